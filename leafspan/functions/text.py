@@ -140,7 +140,7 @@ def title_appears(title: Column, page: Column) -> Column:
 def answer_json(raw: Column) -> Column:
     """The JSON of a model answer: what a fence holds, with Python's literals and trailing commas repaired."""
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.trim(F.when(fenced != "", fenced).otherwise(raw))
+    body = F.btrim(F.when(fenced != "", fenced).otherwise(raw), F.lit(" \t\r\n"))
     for pattern, to in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r",\s*([}\]])", "$1")):
         body = F.regexp_replace(body, pattern, to)
     return body

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leafspan.functions import text as T
 
-by_doc = W.partitionBy("doc_id").orderBy("pre")
-siblings = W.partitionBy("doc_id", "parent_pos").orderBy("pre")
+
+def by_doc():
+    return W.partitionBy("doc_id").orderBy("pre")
+
+
+def siblings():
+    return W.partitionBy("doc_id", "parent_pos").orderBy("pre")
 
 
 def promote_chapters(outline: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def exact_parents(items: DataFrame) -> DataFrame:
 
 def hierarchical_ids(nodes: DataFrame, max_depth: int = 3) -> DataFrame:
     """Adds id: 1, 1.1, 1.1.1 by the order of siblings."""
-    df = nodes.withColumn("rank", F.row_number().over(siblings).cast("string")).withColumn("id", F.when(F.col("parent_pos").isNull(), F.col("rank")))
+    df = nodes.withColumn("rank", F.row_number().over(siblings()).cast("string")).withColumn("id", F.when(F.col("parent_pos").isNull(), F.col("rank")))
     for _ in range(max_depth - 1):
         up = df.where("id is not null").select("doc_id", F.col("pre").alias("parent_pos"), F.col("id").alias("up_id"))
         df = df.join(up, ["doc_id", "parent_pos"], "left").withColumn("id", F.coalesce("id", F.concat_ws(".", F.when(F.col("up_id").isNotNull(), F.col("up_id")), F.when(F.col("up_id").isNotNull(), F.col("rank"))))).drop("up_id")
@@ -48,13 +53,13 @@ def hierarchical_ids(nodes: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def sequential_ids(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("id", F.lpad((F.row_number().over(by_doc) - 1).cast("string"), 4, "0"))
+    return nodes.withColumn("id", F.lpad((F.row_number().over(by_doc()) - 1).cast("string"), 4, "0"))
 
 
 def flatten(nodes: DataFrame, max_depth: int = 3, max_nodes: int = 100) -> DataFrame:
     """The first max_nodes nodes to max_depth in preorder, with has_children."""
     kids = nodes.where("parent_pos is not null").select("doc_id", F.col("parent_pos").alias("pre")).distinct().withColumn("has_children", F.lit(True))
-    top = nodes.where(F.col("depth") <= max_depth).withColumn("rn", F.row_number().over(by_doc)).where(F.col("rn") <= max_nodes).drop("rn")
+    top = nodes.where(F.col("depth") <= max_depth).withColumn("rn", F.row_number().over(by_doc())).where(F.col("rn") <= max_nodes).drop("rn")
     return top.join(kids, ["doc_id", "pre"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
 
 
@@ -80,7 +85,7 @@ def subtree_ends(nodes: DataFrame) -> DataFrame:
 
 def is_leaf() -> Column:
     """Whether the next node in preorder isn't deeper; needs nothing but the window that other columns use."""
-    return F.coalesce(F.lead("depth").over(by_doc) <= F.col("depth"), F.lit(True))
+    return F.coalesce(F.lead("depth").over(by_doc()) <= F.col("depth"), F.lit(True))
 
 
 def headings(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from leafspan.functions import text as T
 
 
-def validate_mapping(items: DataFrame, pages: DataFrame, totals: DataFrame, offset=F.lit(0)) -> DataFrame:
+def validate_mapping(items: DataFrame, pages: DataFrame, totals: DataFrame, offset=0) -> DataFrame:
     """Adds physical and passed: page + offset, and whether the title is on it."""
     df = items.join(totals, "doc_id").withColumn("physical", F.when(F.col("page") >= 1, F.col("page") + offset))
     text = pages.select("doc_id", F.col("page_no").alias("physical"), F.col("text").alias("page_text"))

@@ -69,14 +69,16 @@ def j13(spark, d):
 
 
 def pairs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Sections of every two documents 2k and 2k + 1, side by side."""
-    n = D.nodes(spark, d).select(F.floor(C("doc_id") / 2).alias("pair"), "doc_id", "pre", F.left("title", F.lit(24)).alias("title"))
-    return n.where("doc_id % 2 = 0"), n.where("doc_id % 2 = 1")
+    """The sections of each tree, and of a version of it in which titles have changed."""
+    n = D.nodes(spark, d).select(C("doc_id").alias("pair"), "pre", "title")
+    changed = F.when(C("pre") % 3 == 0, F.concat(C("title"), F.lit(" extra"))).when(C("pre") % 3 == 1, F.reverse("title")).otherwise(C("title"))
+    return n, n.withColumn("title", changed)
 
 
-MATCHES = """titles AS (SELECT doc_id // 2 AS pair, doc_id, pre, lower(trim(left(title, 24))) AS t, list_distinct(list_filter(string_split(lower(trim(left(title, 24))), ' '), lambda x: x <> '')) AS w FROM nodes),
+MATCHES = """versions AS (SELECT doc_id AS pair, pre, 0 AS side, title FROM nodes UNION ALL SELECT doc_id, pre, 1, CASE pre % 3 WHEN 0 THEN title || ' extra' WHEN 1 THEN reverse(title) ELSE title END FROM nodes),
+    titles AS (SELECT pair, pre, side, lower(trim(title)) AS t, list_distinct(list_filter(string_split(lower(trim(title)), ' '), lambda x: x <> '')) AS w FROM versions),
     scored AS (SELECT a.pair, a.pre, b.pre AS other_pre, CASE WHEN a.t = b.t THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS similarity
-    FROM titles a JOIN titles b ON a.pair = b.pair AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 WHERE len(list_intersect(a.w, b.w)) > 0),
+    FROM titles a JOIN titles b ON a.pair = b.pair AND a.side = 0 AND b.side = 1 WHERE len(list_intersect(a.w, b.w)) > 0),
     matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair, pre ORDER BY similarity DESC, other_pre) AS rn FROM scored WHERE similarity > 0.5) WHERE rn = 1)"""
 
 

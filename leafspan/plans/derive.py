@@ -96,9 +96,10 @@ def end_pages(nodes: DataFrame, totals: DataFrame, max_leaf: int = MAX_LEAF, max
         ).drop("up")
     leaf_end = F.coalesce("next_start", F.when(F.col("depth") == 1, F.col("total_pages")).otherwise(F.least(F.col("up_boundary"), F.col("start_page") + max_leaf - 1)))
     df = df.withColumn("end_page", F.when(F.col("inner").isNull(), F.greatest(leaf_end, "start_page")))
-    for d in range(max_depth, 1, -1):
-        last = df.where(F.col("depth") >= d).groupBy("doc_id", F.col("parent_pos").alias("pre")).agg(F.max_by("end_page", "pre").alias("kid_end"))
-        df = df.join(last, ["doc_id", "pre"], "left").withColumn("end_page", F.coalesce("end_page", F.greatest("kid_end", "start_page"))).drop("kid_end")
+    for d in range(max_depth - 1, 0, -1):  # the ends of all that lies deeper are known
+        last = df.where(F.col("depth") > d).groupBy("doc_id", F.col("parent_pos").alias("pre")).agg(F.max_by("end_page", "pre").alias("kid_end"))
+        own = F.when((F.col("depth") == d) & F.col("kid_end").isNotNull(), F.greatest("kid_end", "start_page"))
+        df = df.join(last, ["doc_id", "pre"], "left").withColumn("end_page", F.coalesce("end_page", own)).drop("kid_end")
     return df.drop("next_start", "inner", "boundary", "up_boundary", "total_pages")
 
 
@@ -199,13 +200,13 @@ SQL = {
     ),
     "ends3": (
         ("leaf_ends",),
-        """SELECT a.*, coalesce(e0, greatest(k, start_page)) AS e1 FROM leaf_ends a LEFT JOIN (
-        SELECT doc_id, parent_pos AS pre, arg_max(e0, pre) AS k FROM leaf_ends WHERE depth >= 3 GROUP BY ALL) USING (doc_id, pre)""",
+        """SELECT a.*, coalesce(e0, CASE WHEN depth = 2 THEN greatest(k, start_page) END) AS e1 FROM leaf_ends a LEFT JOIN (
+        SELECT doc_id, parent_pos AS pre, arg_max(e0, pre) AS k FROM leaf_ends WHERE depth = 3 GROUP BY ALL) USING (doc_id, pre)""",
     ),
     "nodes": (
         ("ends3",),
         """SELECT a.doc_id, a.pre, node_id, parent_pos, depth, title, start_page, CAST(coalesce(e1, greatest(k, start_page)) AS INT) AS end_page FROM ends3 a LEFT JOIN (
-        SELECT doc_id, parent_pos AS pre, arg_max(e1, pre) AS k FROM ends3 WHERE depth >= 2 GROUP BY ALL) USING (doc_id, pre)""",
+        SELECT doc_id, parent_pos AS pre, arg_max(e1, pre) AS k FROM ends3 WHERE depth > 1 GROUP BY ALL) USING (doc_id, pre)""",
     ),
     "suggestions": (
         ("nodes",),

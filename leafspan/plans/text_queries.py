@@ -114,20 +114,19 @@ def b11(spark, d) -> DataFrame:
 
 
 _NUMBERED = "CASE list_index % 6 WHEN 0 THEN '第三章 ' WHEN 1 THEN '(2) ' WHEN 2 THEN '一、' WHEN 3 THEN '1.2 ' WHEN 4 THEN 'A. ' ELSE 'IV. ' END || title"
-NUMBERED = F.concat(
-    F.when(C("list_index") % 6 == 0, "第三章 ").when(C("list_index") % 6 == 1, "(2) ").when(C("list_index") % 6 == 2, "一、").when(C("list_index") % 6 == 3, "1.2 ").when(C("list_index") % 6 == 4, "A. ").otherwise("IV. "), C("title")
-)
+def numbered():
+    return F.concat(F.when(C("list_index") % 6 == 0, "第三章 ").when(C("list_index") % 6 == 1, "(2) ").when(C("list_index") % 6 == 2, "一、").when(C("list_index") % 6 == 3, "1.2 ").when(C("list_index") % 6 == 4, "A. ").otherwise("IV. "), C("title"))
 
 
 @query("b12_strip_numbering", sql(f"SELECT doc_id, list_index, {D.strip_sql('t')} AS core FROM (SELECT doc_id, list_index, {_NUMBERED} AS t FROM toc_items)", "toc_items"))
 def b12(spark, d) -> DataFrame:
-    return D.toc_items(spark, d).select("doc_id", "list_index", T.strip_numbering(NUMBERED).alias("core"))
+    return D.toc_items(spark, d).select("doc_id", "list_index", T.strip_numbering(numbered()).alias("core"))
 
 
 @query("b13_clean_title", sql(f"""SELECT doc_id, list_index, CASE WHEN length(core) >= 3 THEN core WHEN length(trim(t)) > 0 THEN trim(t) ELSE t END AS clean FROM (
     SELECT doc_id, list_index, t, {D.strip_sql('t')} AS core FROM (SELECT doc_id, list_index, {_NUMBERED} AS t FROM toc_items))""", "toc_items"))
 def b13(spark, d) -> DataFrame:
-    return D.toc_items(spark, d).select("doc_id", "list_index", T.clean_title(F.concat(F.lit("part / "), NUMBERED)).alias("clean"))
+    return D.toc_items(spark, d).select("doc_id", "list_index", T.clean_title(F.concat(F.lit("part / "), numbered())).alias("clean"))
 
 
 @query("b14_display_title", sql(r"""SELECT doc_id, pre, node_id || ' ' || title AS display_title, (trim(title) = '' OR regexp_matches(title, '(?i)^(?:page\s*[0-9]+|第[0-9]+页|header|footer|confidential|copyright|[\s[:punct:]]*$)')

@@ -334,13 +334,13 @@ def g19(spark, d):
 
 @query("q1_sibling_gaps", sql("""SELECT doc_id, pre, next_start - end_page - 1 AS gap FROM (SELECT *, lead(start_page) OVER (PARTITION BY doc_id, parent_pos ORDER BY pre) AS next_start FROM nodes) WHERE next_start - end_page - 1 <> 0""", "nodes"))
 def q1(spark, d):
-    n = D.nodes(spark, d).withColumn("next_start", F.lead("start_page").over(H.siblings))
+    n = D.nodes(spark, d).withColumn("next_start", F.lead("start_page").over(H.siblings()))
     return n.select("doc_id", "pre", (C("next_start") - C("end_page") - 1).alias("gap")).where("gap <> 0")
 
 
 @query("q2_shared_pages", sql("""SELECT doc_id, pre FROM (SELECT *, lead(start_page) OVER (PARTITION BY doc_id, parent_pos ORDER BY pre) AS next_start FROM nodes) WHERE end_page = next_start - 1""", "nodes"))
 def q2(spark, d):
-    return D.nodes(spark, d).withColumn("next_start", F.lead("start_page").over(H.siblings)).where("end_page = next_start - 1").select("doc_id", "pre")
+    return D.nodes(spark, d).withColumn("next_start", F.lead("start_page").over(H.siblings())).where("end_page = next_start - 1").select("doc_id", "pre")
 
 
 @query("q3_child_ends", sql("SELECT k.doc_id, k.pre, CASE WHEN k.start_page > k.end_page THEN 'inverted' ELSE 'ends_with_parent' END AS issue FROM nodes k JOIN nodes p ON p.doc_id = k.doc_id AND p.pre = k.parent_pos WHERE k.end_page = p.end_page OR k.start_page > k.end_page", "nodes"))
@@ -467,7 +467,7 @@ def k3(spark, d):
 
 @query("k8_expand_candidates", sql("SELECT doc_id, pre, depth + 2 AS target_depth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pre) AS rn FROM nodes n WHERE end_page - start_page + 1 > 2 AND depth <= 2) WHERE rn <= 10", "nodes"))
 def k8(spark, d):
-    big = D.nodes(spark, d).where("end_page - start_page + 1 > 2 AND depth <= 2").withColumn("rn", F.row_number().over(H.by_doc))
+    big = D.nodes(spark, d).where("end_page - start_page + 1 > 2 AND depth <= 2").withColumn("rn", F.row_number().over(H.by_doc()))
     return big.where("rn <= 10").select("doc_id", "pre", (C("depth") + 2).alias("target_depth"))
 
 
