@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .decontam import op8_benchmark_decontamination
 from .html_wrapper import op4_html_extraction
 from .license_scan import op9_license_scan
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op8_benchmark_decontamination": oracle.OP8, "op10_quality_rules": oracle.OP10}
