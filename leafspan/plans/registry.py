@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafspan.plans import catalog_queries, text_queries, tree_queries
+from leafspan.plans import catalog_queries, more_queries, text_queries, tree_queries
 
-_MODULES = (text_queries, tree_queries, catalog_queries)
+_MODULES = (text_queries, tree_queries, catalog_queries, more_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
 
