@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
-    groups = simhash.near_duplicates(docs, shingle=5, max_bits=3)
+    """One document of each group of near-duplicates (five-word shingles, similarity of about 0.8), the one of the smallest id."""
+    groups = simhash.similar_documents(docs, shingle=5)
     first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])

@@ -29,27 +29,36 @@ from .graph import components
 BITS = 64
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """The 64-bit SimHash of a text in UTF-8, as an unsigned number.
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, in order, repeats included.
 
     Words are split at ASCII white space after lower-casing A-Z. Fewer words
-    than a shingle make one shingle; no words give nought.
+    than a shingle make one shingle; no words make none.
     """
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, n = xxhash.xxh64_intdigest, len(words) - k + 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(starts))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; nought without hashes."""
     total = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = slice(at, min(n, at + (1 << 16)))
-        spans = zip(starts[part].tolist(), ends[k - 1 :][part].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
-        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """The 64-bit SimHash of a text in UTF-8, as an unsigned number."""
+    return simhash_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,38 +74,44 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def trie_pairs(keys: np.ndarray, group: np.ndarray, first_bit: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of the keys of a group that differ in at most max_bits bits.
+def trie_steps(keys: np.ndarray, group: np.ndarray, first_bit: int, max_bits: int, width: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of the keys of a group that differ in at most max_bits bits, a step at a time.
 
     keys: distinct within a group, unsigned, sorted by (group, key), and equal
-    within a group above first_bit. A node is a range of positions; a pair of
-    nodes is one row of the arrays below.
+    within a group above first_bit. A node is a range of positions, a pair of
+    nodes a row of the arrays below. A level of more than width pairs goes on
+    in halves, one after the other, so memory is bounded however dense a group is.
     """
     cuts = np.flatnonzero(np.diff(group)) + 1
     lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
     big = hi - lo > 1
-    a_lo, a_hi = lo[big], hi[big]
-    b_lo, b_hi, err = a_lo.copy(), a_hi.copy(), np.zeros(len(a_lo), np.int8)
-    out_i, out_j = [], []
-    for bit in range(first_bit, BITS + 1):
+    stack = [(first_bit, (lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), np.int8)))]
+    while stack:
+        bit, level = stack.pop()
+        if not len(level[0]):
+            continue
+        if len(level[0]) > width:
+            half = len(level[0]) // 2
+            stack += [(bit, tuple(x[half:] for x in level)), (bit, tuple(x[:half] for x in level))]
+            continue
+        a_lo, a_hi, b_lo, b_hi, err = level
         small = (a_hi - a_lo) * (b_hi - b_lo) <= (16 if bit < BITS else np.iinfo(np.int64).max)
         if small.any():
-            na, nb = (a_hi - a_lo)[small], (b_hi - b_lo)[small]
-            n = na * nb
+            nb = (b_hi - b_lo)[small]
+            n = (a_hi - a_lo)[small] * nb
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             i = np.repeat(a_lo[small], n) + at // np.repeat(nb, n)
             j = np.repeat(b_lo[small], n) + at % np.repeat(nb, n)
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= max_bits)
-            out_i.append(i[near])
-            out_j.append(j[near])
-            a_lo, a_hi, b_lo, b_hi, err = (x[~small] for x in (a_lo, a_hi, b_lo, b_hi, err))
-        if not len(a_lo):
-            break
-        zeros = np.concatenate(([0], np.cumsum((keys >> np.uint64(BITS - 1 - bit)) & np.uint64(1) == 0)))
-        a_mid, b_mid = a_lo + zeros[a_hi] - zeros[a_lo], b_lo + zeros[b_hi] - zeros[b_lo]
-        own = a_lo == b_lo
-        far = ~own
-        a_lo, a_hi, b_lo, b_hi, err = (
+            yield i[near], j[near]
+            a_lo, a_hi, b_lo, b_hi, err = (x[~small] for x in level)
+            if not len(a_lo):
+                continue
+        # Zeros come first in a node: a bit's count of zeros is where its children part.
+        zeros = lambda x, y: _first_one(keys, x, y, bit)
+        a_mid, b_mid = zeros(a_lo, a_hi), zeros(b_lo, b_hi)
+        far = a_lo != b_lo
+        level = tuple(
             np.concatenate(x)
             for x in (
                 (a_lo, a_mid, a_lo, a_mid[far]),
@@ -106,11 +121,30 @@ def trie_pairs(keys: np.ndarray, group: np.ndarray, first_bit: int, max_bits: in
                 (err, err, err + 1, err[far] + 1),
             )
         )
+        a_lo, a_hi, b_lo, b_hi, err = level
         live = (err <= max_bits) & (a_lo < a_hi) & (b_lo < b_hi) & ~((a_lo == b_lo) & (a_hi - a_lo < 2))
-        a_lo, a_hi, b_lo, b_hi, err = (x[live] for x in (a_lo, a_hi, b_lo, b_hi, err))
-    if not out_i:
+        stack.append((bit + 1, tuple(x[live] for x in level)))
+
+
+def _first_one(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
+    """First position in each node whose key has the bit, by halving: a node's keys are sorted and equal above the bit."""
+    lo, hi, shift = lo.copy(), hi.copy(), np.uint64(BITS - 1 - bit)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        open_ = lo < hi
+        one = ((keys[np.minimum(mid, len(keys) - 1)] >> shift) & np.uint64(1)).astype(bool)
+        hi = np.where(open_ & one, mid, hi)
+        lo = np.where(open_ & ~one, mid + 1, lo)
+    return lo
+
+
+def trie_pairs(keys: np.ndarray, group: np.ndarray, first_bit: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All steps of trie_steps() at once."""
+    steps = list(trie_steps(keys, group, first_bit, max_bits))
+    if not steps:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_i), np.concatenate(out_j)
+    i, j = zip(*steps, strict=True)
+    return np.concatenate(i), np.concatenate(j)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -234,8 +268,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3, id_col
     stay, in the component of the first. An empty table gives an empty table.
     """
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
+    return _grouped(fps, links(fps.select("fp").distinct(), max_bits, hot_block))
+
+
+def _grouped(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """fps (id, fp) with component_id, the smallest id that edges between fingerprints reach."""
     leaves = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    joined = components(links(leaves.select("fp"), max_bits, hot_block))
+    joined = components(edges)
     rooted = leaves.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     linked = rooted.where(F.col("component").isNotNull())
     low = linked.groupBy("component").agg(F.min("first").alias("low"))
@@ -247,6 +286,99 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3, id_col
     return fps.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
+# Odd multipliers that turn one hash of a shingle into several.
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def least_shingles(hashes: np.ndarray, tables: int) -> list[int]:
+    """For each of so many orders of shingles the first one of a text, as a signed number; 0 for a text without any."""
+    if not len(hashes):
+        return [0] * tables
+    out = []
+    for m in _MULTIPLIERS[:tables]:
+        mixed = hashes * np.uint64(m)
+        out.append(int((mixed ^ (mixed >> np.uint64(31))).min().astype(np.uint64).view(np.int64)))
+    return out
+
+
+def _bucket_task(max_bits: int, chunk: int):
+    """Links within buckets, from rows (bucket, part_a, part_b, fp) sorted by the first three."""
+
+    def links_of(bucket: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((keys, bucket))
+        bucket, keys = bucket[order], keys[order]
+        root = np.arange(len(keys))
+        for i, j in trie_steps(keys, bucket, 0, max_bits):
+            apart = root[i] != root[j]
+            if apart.any():
+                root = forest(len(keys), root[i[apart]], root[j[apart]])[root]
+        moved = np.flatnonzero(root != np.arange(len(keys)))
+        return pa.RecordBatch.from_arrays([pa.array(keys[moved].view(np.int64)), pa.array(keys[root[moved]].view(np.int64))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            held.append(cols)
+            size += batch.num_rows
+            if size >= chunk:
+                every = [np.concatenate(x) for x in zip(*held, strict=True)]
+                new = np.any([np.diff(c) != 0 for c in every[:-1]], axis=0)
+                run_of = np.concatenate(([0], np.cumsum(new)))
+                last = run_of == run_of[-1]  # may go on in the next batch
+                if not last.all():
+                    yield links_of(run_of[~last], every[-1][~last].view(np.uint64))
+                held, size = [[c[last] for c in every]], int(last.sum())
+        if size:
+            every = [np.concatenate(x) for x in zip(*held, strict=True)]
+            new = np.any([np.diff(c) != 0 for c in every[:-1]], axis=0) if size > 1 else np.zeros(0, bool)
+            yield links_of(np.concatenate(([0], np.cumsum(new))), every[-1].view(np.uint64))
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, max_bits: int = 10, tables: int = 8, id_col: str = "doc_id", text_col: str = "text", hot_block: int = 20_000) -> DataFrame:
+    """(id, fp BIGINT, component_id) with a budget of bits for a similarity of about 0.8.
+
+    Texts with a Jaccard similarity of 0.8 over their shingles differ in about
+    10 of 64 bits: too many for blocks of bits as keys. Here a document is dealt
+    out by the first of its shingles under each of ``tables`` orders, one of
+    which two such texts share but for 0.2 ** tables of the cases, and a
+    bucket's fingerprints are joined in the trie with the whole budget. A
+    bucket of more than hot_block fingerprints is split into parts by hash, and
+    every two parts meet in a task of their own: nothing is left out.
+
+    Nulls, repeats and empty tables are treated as in near_duplicates().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = [], []
+            for t in batch.column(1).cast(pa.binary()):
+                h = shingle_hashes(t.as_py(), shingle)
+                fps.append(simhash_of(h))
+                keys.append(least_shingles(h, tables))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sketches = cut(texts.mapInArrow(run, f"id {kind}, fp bigint, keys array<bigint>"))
+    # A key of its own for each order: equal values of two orders don't meet.
+    dealt = sketches.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", F.xxhash64("t", "key").alias("bucket")).distinct()
+    sizes = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    parts = F.ceil(F.col("n") / hot_block).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    met = dealt.join(sizes, "bucket").select("bucket", "fp", parts.alias("parts")).withColumn("own", own)
+    rows = met.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "fp")
+    edges = (
+        rows.repartition("bucket", "part_a", "part_b")
+        .sortWithinPartitions("bucket", "part_a", "part_b")
+        .mapInArrow(_bucket_task(max_bits, 100_000), "a bigint, b bigint")
+    )
+    return _grouped(sketches.select("id", "fp"), edges)
+
+
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, shingle=3, max_bits=2).select(

@@ -78,3 +78,34 @@ def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("hot", [20_000, 4])
+def test_similar_documents_meet(spark, hot):
+    """Copies with a few words changed are one group, others alone, whether or not buckets are split."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(12):
+        text = [r.choice(words) for _ in range(300)]
+        for c in range(5):
+            own = list(text)
+            for _ in range(2 * (c > 0)):
+                own[r.randrange(300)] = "new"
+            rows.append((g * 10 + c, " ".join(own)))
+    rows += [(900, ""), (901, None), (902, "one two"), (902, "one two"), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(x["id"], x["component_id"]) for x in simhash.similar_documents(df, hot_block=hot).collect()]
+    assert sorted(got, key=str) == sorted([(i, (i // 10 * 10 if i < 900 else 900 if i < 902 else 902) if i is not None else 902) for i, _ in rows], key=str)
+    assert simhash.similar_documents(df.limit(0)).collect() == []
+
+
+def test_trie_steps_are_bounded_and_whole():
+    r = random.Random(4)
+    base = r.getrandbits(64)
+    keys = np.array(sorted({base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(400)}), np.uint64)
+    group = np.zeros(len(keys), np.int64)
+    steps = list(simhash.trie_steps(keys, group, 0, 10, width=50))
+    found = {p for i, j in steps for p in zip(i.tolist(), j.tolist())}
+    assert found == {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys))}
+    assert max(len(i) for i, _ in steps) <= 50 * 16
