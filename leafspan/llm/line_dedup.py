@@ -122,7 +122,8 @@ def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tu
     )
     texts = texts.withColumn("rank", F.struct(F.col("first").isNull().alias("z"), "first", "key"))
     lines = texts.select("key", "rank", F.explode("lines").alias("l")).select("key", "rank", "l.*")
-    holder = lines.groupBy("h").agg(F.min("rank").alias("holder"), F.max("rank").alias("last")).where("holder <> last").select("h", "holder")
+    # Written out, so that the join below has an exchange on either side and Spark can split a frequent line.
+    holder = cut(lines.groupBy("h").agg(F.min("rank").alias("holder"), F.max("rank").alias("last")).where("holder <> last").select("h", "holder"))
     shared = cut(
         lines.join(holder, "h")
         .groupBy("key")
