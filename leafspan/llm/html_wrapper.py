@@ -2,16 +2,19 @@
 
 A page is a stream of tags and texts. What repeats side by side (list items,
 paragraphs) becomes a repeated group and texts become slots, so that a page is
-a small expression. Expressions of a host are aligned, two at a time: what only
-one of them has becomes optional, groups that match are merged. Pages with the
-same expression count once, and a host's expressions are first merged in salted
-parts and then together, so a large host is no large task.
-
-Each slot of a wrapper has its place, the tags around it. Places inside the
-page's article belong to the main text, those inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments don't; a host's wrapper holds
-the verdict for each of its slots. Extraction reads a page's tags again and
-keeps the texts in slots of the main text.
+a small expression. A text that most of a host's distinct pages with its place
+have there is a constant of the template and a token of its own; all other slots
+are fields, whose texts vary. Expressions of a host are aligned, two at a time:
+what only one of them has becomes optional, groups that match are merged. Pages
+with the same expression count once, and a host's expressions are first merged
+in salted parts and then together, so a large host is no large task.
+
+The wrapper decides: its constants are never main text, its fields may be. Among
+fields the place, the tags around it, breaks the tie: those inside the page's
+article go first, those inside menus, headers, footers, sidebars, notices,
+adverts, forms and comments come last, and serve only where a host's template
+has no other field. Extraction reads a page's tags again and keeps the texts in
+fields of the main text.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
@@ -43,30 +47,32 @@ ASIDE_NAMES = re.compile(
     re.I,
 )
 MAIN_TAGS = frozenset(("article", "main"))
+# Distinct pages that a constant stands on at least.
+LEAST_PAGES = 3
 
 
 class _Place:
-    """Open elements: their tags and whether they, or one around them, lie outside the main text."""
+    """Open elements: their tags and whether they, or one around them, look like (1) or are hidden and so lie (2) outside the main text."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, bool]] = []
+        self.open: list[tuple[str, int, bool]] = []
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             return
-        aside = tag in ASIDE_TAGS and not (tag == "header" and any(m for *_, m in self.open[-1:]))
-        if not aside and attributes:
+        aside = int(tag in ASIDE_TAGS and not (tag == "header" and any(m for *_, m in self.open[-1:])))
+        if attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'")
                 name = name.lower()
                 if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                    aside = True
-                elif name in ("class", "id", "role", "aria-label") and tag not in ("html", "body", "article", "main") and ASIDE_NAMES.search(value):
-                    aside = True
+                    aside = 2
+                elif not aside and name in ("class", "id", "role", "aria-label") and tag not in ("html", "body", "article", "main") and ASIDE_NAMES.search(value):
+                    aside = 1
         if tag == "p" or tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
             self._imply(tag)
-        above = self.open[-1] if self.open else ("", False, False)
-        self.open.append((tag, above[1] or aside, above[2] or tag in MAIN_TAGS))
+        above = self.open[-1] if self.open else ("", 0, False)
+        self.open.append((tag, max(above[1], aside), above[2] or tag in MAIN_TAGS))
 
     def _imply(self, tag: str) -> None:
         """A new paragraph or item ends an open one of its kind, with the inline elements in it."""
@@ -86,10 +92,10 @@ class _Place:
                 return  # a stray end tag doesn't close a section
 
     def slot(self) -> str:
-        """The place as the wrapper knows it: block tags from the root, + in the main part, - outside the text."""
+        """The place as the wrapper knows it: block tags from the root, + in the main part, - outside the text, ~ hidden."""
         tags = [t for t, *_ in self.open if t not in INLINE]
-        above = self.open[-1] if self.open else ("", False, False)
-        return "/".join(tags) + ("-" if above[1] else "+" if above[2] else "")
+        above = self.open[-1] if self.open else ("", 0, False)
+        return "/".join(tags) + ("~" if above[1] > 1 else "-" if above[1] else "+" if above[2] else "")
 
 
 def read(page: str) -> Iterator[tuple[str, str]]:
@@ -97,7 +103,7 @@ def read(page: str) -> Iterator[tuple[str, str]]:
     place = _Place()
     for m in _TOKEN.finditer(page):
         if m[6] is not None:
-            yield place.slot(), m[6]
+            yield place.slot(), " " if m[6] == "\n" else m[6]
         elif m[1] is not None:
             yield place.slot(), m[1].replace("&", "&amp;")
         elif m[4] is not None:
@@ -112,15 +118,95 @@ def read(page: str) -> Iterator[tuple[str, str]]:
                     place.end(tag)
 
 
-def expression(page: str) -> tuple[str, ...]:
-    """The page as a sequence of slots with text, neighbours of one kind folded into a repeated group (+)."""
-    out: list[str] = []
+def _number(text: str) -> int:
+    """A signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def keyed(page: str) -> Iterator[tuple[str, str, int]]:
+    """read() with a number for slot and text. It is that of all text that a slot has in its block, so words between inline tags have none of their own."""
+    block: list[tuple[str, str]] = []
+
+    def numbered() -> Iterator[tuple[str, str, int]]:
+        whole: dict[str, str] = {}
+        for slot, text in block:
+            whole[slot] = whole.get(slot, "") + text
+        numbers = {slot: _number(slot + "\x00" + " ".join(text.split())) for slot, text in whole.items()}
+        yield from ((slot, text, numbers[slot]) for slot, text in block)
+        block.clear()
+
     for slot, text in read(page):
+        if text == "\n":
+            yield from numbered()
+            yield slot, text, 0
+        else:
+            block.append((slot, text))
+    yield from numbered()
+
+
+def blocks_of(page: str) -> tuple[int, list[dict]]:
+    """The page's number and its blocks: slot, number of slot and text, and times on the page; text 0 stands for the slot itself.
+
+    The page's number is that of its longest block outside of menus and the
+    like, so that near copies of a page are one and don't make its text a constant.
+    Pages whose longest block is a constant are one too: that keeps text, it loses none.
+    """
+    lengths: dict[tuple[str, int], int] = {}
+    times: dict[tuple[str, int], int] = {}
+    last = None
+    for slot, text, number in keyed(page):
+        if text == "\n":
+            last = None
+            continue
+        if text.isspace():
+            continue
+        at = (slot, number)
+        if last != at:
+            times[at] = times.get(at, 0) + 1
+            lengths[at] = 0
+        lengths[at] += len(text)
+        last = at
+    likely = [at for at in lengths if not at[0].endswith(("-", "~"))]
+    longest = max(likely, key=lambda at: (lengths[at], at[1]))[1] if likely else _number(page)
+    slots = {s: _number(s) for s, _ in times}
+    rows = [{"slot": slots[s], "text": number, "times": n} for (s, number), n in times.items()]
+    return longest, rows + [{"slot": n, "text": 0, "times": 0} for n in slots.values()]
+
+
+def constants(pages: DataFrame) -> DataFrame:
+    """(host, texts): numbers of a host's constants, over the table (host, html).
+
+    A constant stands on more than half of the distinct pages that have its slot,
+    the same number of times, and on LEAST_PAGES at least; so a host has at
+    most twice as many as an average page has blocks.
+    """
+    block = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64()), ("times", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [blocks_of(page.as_py() or "") for page in batch.column(1)]
+            whole = [_number(page.as_py() or "") for page in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array(whole, pa.int64()), pa.array([b for _, b in got], block)], ["host", "page", "whole", "blocks"])
+
+    read_ = pages.select("host", "html").mapInArrow(run, "host string, page bigint, whole bigint, blocks array<struct<slot:bigint,text:bigint,times:int>>")
+    distinct = read_.groupBy("host", "page").agg(F.min(F.struct("whole", "blocks")).alias("one"))
+    counts = cut(distinct.select("host", F.inline("one.blocks")).groupBy("host", "slot", "text", "times").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES))
+    slots = counts.where("times = 0").select("host", "slot", F.col("n").alias("with_slot"))
+    most = counts.where("times > 0").join(slots, ["host", "slot"]).where("2 * n > with_slot")
+    return most.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("texts"))
+
+
+def expression(page: str, fixed: frozenset[int] | set[int] = frozenset()) -> tuple[str, ...]:
+    """The page as a sequence of slots with text, neighbours of one kind folded into a repeated group (+); fixed texts are tokens, a slot and a number."""
+    out: list[str] = []
+    for slot, text, number in keyed(page):
         if text != "\n" and not text.isspace():
-            if out and out[-1].rstrip("\x01") == slot:
-                out[-1] = slot + "\x01"
+            token = f"{slot}\x00{number}" if number in fixed else slot
+            if out and out[-1].rstrip("\x01") == token:
+                out[-1] = token + "\x01"
             else:
-                out.append(slot)
+                out.append(token)
     return tuple(out)
 
 
@@ -175,44 +261,56 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([table["host"][0].as_py()], pa.string()), "slots": pa.array([list(merged or ())], pa.list_(pa.string())), "n": pa.array([n], pa.int64())})
 
 
-def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
+def wrappers(pages: DataFrame, parts: int = 16, broadcast_rows: int = 20_000) -> DataFrame:
     """(host, slots, n): the wrapper of every host, over the table (host, html)."""
+    fixed = cut(constants(pages))
+    small = fixed.limit(broadcast_rows + 1).count() <= broadcast_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple, int] = {}
-            for host, page in zip(batch.column(0), batch.column(1), strict=True):
-                key = (host.as_py(), fold(expression(page.as_py() or "")))
+            for host, page, texts in zip(*batch.columns, strict=True):
+                key = (host.as_py(), fold(expression(page.as_py() or "", set(texts.as_py() or ()))))
                 counts[key] = counts.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([h for h, _ in counts], pa.string()), pa.array([list(e) for _, e in counts], pa.list_(pa.string())), pa.array(list(counts.values()), pa.int64())], ["host", "slots", "n"]
             )
 
     kind = "host string, slots array<string>, n bigint"
-    one_each = pages.select("host", "html").mapInArrow(run, kind).groupBy("host", "slots").agg(F.sum("n").alias("n"))
+    one_each = pages.select("host", "html").join(F.broadcast(fixed) if small else fixed, "host", "left").select("host", "html", "texts").mapInArrow(run, kind).groupBy("host", "slots").agg(F.sum("n").alias("n"))
     salted = one_each.withColumn("salt", F.pmod(F.xxhash64("slots"), F.lit(parts)))
     partial = salted.groupBy("host", "salt").applyInArrow(_merge, kind)
     return partial.groupBy("host").applyInArrow(_merge, kind)
 
 
 def main_slots(slots: list[str]) -> set[str]:
-    """The slots of a wrapper that hold main text: those in its article; without one, all that aren't aside."""
-    bare = [s.rstrip("\x01\x02") for s in slots]
+    """The fields of a wrapper that hold main text: those in its article; without one on every page, also all that aren't aside.
+
+    Where a template, known by its constants, has fields only in places that look like none of the main text, these are the main text.
+    """
+    fields = [s for s in slots if "\x00" not in s]
+    bare = {s.rstrip("\x01\x02") for s in fields}
     inside = {s for s in bare if s.endswith("+")}
-    if any(s.rstrip("\x01\x02").endswith("+") and "\x02" not in s for s in slots):
+    if any(s.rstrip("\x01\x02").endswith("+") and "\x02" not in s for s in fields):
         return inside
-    return inside | {s for s in bare if not s.endswith(("+", "-"))}
+    likely = inside | {s for s in bare if not s.endswith(("+", "-", "~"))}
+    return likely or ({s for s in bare if s.endswith("-")} if len(fields) < len(slots) else set())
+
+
+def fixed_texts(slots: list[str]) -> set[int]:
+    """The constants of a wrapper."""
+    return {int(s.rstrip("\x01\x02").split("\x00")[1]) for s in slots if "\x00" in s}
 
 
-def text_of(page: str, wanted: set[str]) -> str:
-    """The texts in wanted slots: white space within a block is one blank, and so is what joins blocks.
+def text_of(page: str, wanted: set[str], fixed: set[int] = frozenset()) -> str:
+    """The texts in wanted slots that aren't fixed: white space within a block is one blank, and so is what joins blocks.
 
-    A page that has text in an article never takes text from outside of it.
+    A page that has such a text in an article takes none from outside of it.
     """
-    parts = list(read(page))
-    own = {s for s, t in parts if s.endswith("+") and not t.isspace()}
-    wanted = {s for s in wanted if s.endswith("+")} if own else wanted
-    kept = [t if t == "\n" else html.unescape(t) for s, t in parts if t == "\n" or s in wanted or (s in own)]
+    parts = [(s, t) for s, t, n in keyed(page) if t == "\n" or n not in fixed]
+    if any(s.endswith("+") and s in wanted and not t.isspace() for s, t in parts):
+        wanted = {s for s in wanted if s.endswith("+")}
+    kept = [t if t == "\n" else html.unescape(t) for s, t in parts if t == "\n" or s in wanted]
     return " ".join("".join(kept).split())
 
 
@@ -225,19 +323,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    found = cut(wrappers(rows)).select("host", "slots")
+    found = cut(wrappers(rows, broadcast_rows=broadcast_rows)).select("host", "slots")
     small = found.limit(broadcast_rows + 1).count() <= broadcast_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, set] = {}
+        known: dict[tuple, tuple] = {}
         for batch in batches:
             texts = []
             for page, slots in zip(batch.column(2), batch.column(3), strict=True):
                 key = tuple(slots.as_py() or ())
                 if key not in known:
                     known = known if len(known) < 10_000 else {}
-                    known[key] = main_slots(list(key))
-                texts.append(text_of(page.as_py(), known[key]))
+                    known[key] = main_slots(list(key)), fixed_texts(list(key))
+                texts.append(text_of(page.as_py(), *known[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     joined = rows.join(F.broadcast(found) if small else found, "host", "left").select("id", "url", "html", "slots")
