@@ -1,9 +1,11 @@
 """Line de-duplication by pairwise alignment.
 
-Documents meet through lines they share. A line that documents hold in common
-names its earliest holder, and each later document is paired with the holders
-of its lines: as many pairs as shared lines at most, however many documents
-hold one, and no line is too frequent. The two are aligned with patience diff:
+Documents meet through lines they share, and through the shortest runs of lines
+that reach the least size of a block. A line or run that documents hold in common
+names its earliest holder, and each later document is paired with these holders:
+at most three pairs for a shared line, however many documents hold it, no line
+is too frequent, and every line of a shared block has a partner with a whole
+block around it. The two are aligned with patience diff:
 lines found once in either, then what lies between. Runs of aligned lines are
 deleted from the later document.
 
@@ -13,11 +15,13 @@ move once, to meet the deletions. Equal texts are one text until then.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
@@ -104,6 +108,40 @@ def common_blocks(mine: list[tuple], other: list[tuple], min_words: int) -> list
     return out
 
 
+def runs(lines: list[tuple], min_words: int) -> set[int]:
+    """Hashes of the shortest runs of two or more lines that reach min_words, one from each line on and one up to it.
+
+    Lines are (number, hash, words), sorted; a run's numbers follow each other.
+    Each line of a longer run is in one of these runs within it, or is itself
+    long enough.
+    """
+    out, start, total = set(), 0, 0
+    ends: list[tuple[int, int]] = []
+    for k, (n, _, w) in enumerate(lines):
+        if k and n != lines[k - 1][0] + 1:
+            start, total = k, 0
+        total += w
+        while start < k and total - lines[start][2] >= min_words:
+            total -= lines[start][2]
+            start += 1
+        if total >= min_words:
+            ends.append((start, k))
+    total, last = 0, len(lines) - 1
+    for k in range(len(lines) - 1, -1, -1):
+        if k < len(lines) - 1 and lines[k][0] != lines[k + 1][0] - 1:
+            last, total = k, 0
+        total += lines[k][2]
+        while last > k and total - lines[last][2] >= min_words:
+            total -= lines[last][2]
+            last -= 1
+        if total >= min_words:
+            ends.append((k, last))
+    for a, b in ends:
+        if a < b:
+            out.add(xxhash.xxh64_intdigest(array("q", [x[1] for x in lines[a : b + 1]]).tobytes()) - (1 << 63))
+    return out
+
+
 def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(key, first, gone): per distinct text its earliest id and the numbers of the lines that earlier texts have."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -131,7 +169,19 @@ def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tu
     )
     own = F.transform("shared", lambda x: F.struct(*[x[c].alias(c) for c in ("n", "r", "h", "w")]))
     partners = F.array_distinct(F.transform(F.filter("shared", lambda x: x["holder"] != F.col("key")), lambda x: x["holder"]))
-    pairs = shared.select("key", own.alias("mine"), F.explode(partners).alias("holder"))
+
+    def run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sorted(runs([(x["n"], x["h"], x["w"]) for x in row], min_words)) for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int64()))], ["key", "rank", "runs"])
+
+    # Lines that no other text has are in no shared run.
+    thin = shared.select("key", "rank", F.transform("shared", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["w"].alias("w"))).alias("lines"))
+    held_runs = cut(thin.mapInArrow(run_hashes, f"key string, rank {thin.schema['rank'].dataType.simpleString()}, runs array<bigint>").select("key", "rank", F.explode("runs").alias("run")))
+    run_holder = cut(held_runs.groupBy("run").agg(F.min("rank").alias("holder"), F.max("rank").alias("last")).where("holder <> last").select("run", F.col("holder.key").alias("holder")))
+    by_run = held_runs.select("key", "run").join(run_holder, "run").where("key <> holder").select("key", "holder")
+    met = shared.select("key", F.explode(partners).alias("holder")).unionByName(by_run).distinct()
+    pairs = met.join(shared.select("key", own.alias("mine")), "key")
     held = shared.select(F.col("key").alias("holder"), own.alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

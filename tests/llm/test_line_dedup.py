@@ -49,3 +49,31 @@ def test_no_line_is_too_frequent(spark):
     rows = [(k, f"{LONG[0]}\nown line {k}", 0) for k in range(300)]
     got = run(spark, rows)
     assert got[0][0] == rows[0][1] and all(got[k][0] == f"own line {k}" for k in range(1, 300))
+
+
+def all_pairs(texts, min_words=10):
+    """Lines that go from each text if it is aligned with every earlier one."""
+    lines = [[(n, x, len(x.split()), n) for n, x in enumerate(t.split("\n"))] for t in texts]
+    return [sorted({n for other in lines[:k] for n in line_dedup.common_blocks(own, [x[:3] for x in other], min_words)}) for k, own in enumerate(lines)]
+
+
+def test_blocks_of_short_lines_name_a_partner(spark):
+    """A block is found although each of its lines, and parts of it, have earlier holders."""
+    short = [f"verse {k} ends" for k in range(60)]
+    texts = ["\n".join(short[:3]), "\n".join(short[3:6]), "\n".join(short[:6]), "\n".join(short[:6])]
+    assert run(spark, [(k, t, 0) for k, t in enumerate(texts)])[3] == ("", 6, 6)
+    texts[3] += "\nown"
+    r = random.Random(3)
+    for _ in range(40):
+        own, left = [], list(range(60))
+        while len(own) < 15:
+            at, n = r.choice(left), r.randrange(1, 9)
+            own += [k for k in range(at, min(60, at + n)) if k in left]
+            left = [k for k in left if not at <= k < at + n]
+        texts.append("\n".join(short[k] + " x" * (k % 7 == 0) * 9 for k in own))
+    got = run(spark, [(k, t, 0) for k, t in enumerate(texts)])
+    wanted = all_pairs(texts)
+    assert wanted[3] == [0, 1, 2, 3, 4, 5]
+    for k, t in enumerate(texts):
+        assert got[k][0] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in wanted[k]), k
+        assert got[k][2] == len(wanted[k])
