@@ -26,18 +26,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which tells rows of different ids or texts apart; a null id is one of its own."""
+    named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return docs.withColumn("_key", F.concat(F.md5(F.coalesce("text", F.lit(""))), named))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of about 0.8), the one of the smallest id."""
-    groups = simhash.similar_documents(docs, shingle=5)
-    first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates (five-word shingles, similarity of about 0.8), the one of the smallest id (null ids last), then of the smallest key."""
+    rows = keyed(docs)
+    groups = simhash.similar_documents(rows.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_key")), shingle=5, id_col="_row")
+    first = groups.select(F.col("component_id._key").alias("_key")).distinct()
+    return rows.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    found = decontam.contamination(rows, common.table(spark, sf_dir, "benchmark"), id_col="_key")
+    return rows.join(found.where("contaminated").select(F.col("id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

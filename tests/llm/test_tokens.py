@@ -133,3 +133,20 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     codec = pieces.Codec(pieces.DEFAULT_MODEL)
     assert codec.decode(np.array(got[203])) == "other words of the second"
     assert all(codec.decode(np.array(got[k])) == clean[k] for k in range(60))
+
+
+def test_rows_without_an_id_of_their_own_stay(spark, tmp_path):
+    """Null and shared ids: one row of each group stays, contaminated rows go and only they."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    a, b, c, d, e = (" ".join(r.choice(words) for _ in range(60)) for _ in range(5))
+    leak = " ".join(f"leak{k}" for k in range(12))
+    rows = [(None, a), (None, b), (None, a), (1, a), (7, c), (7, d), (2, c), (7, f"{e} {leak}"), (None, f"{leak} {e[:100]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    alone = corpus_pipeline.keep_one_of_each(spark, df, str(tmp_path))
+    assert sorted(map(tuple, alone.collect()), key=str) == sorted([(None, b), (1, a), (2, c), (7, d), *rows[-2:]], key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted(rows[:-2], key=str)
