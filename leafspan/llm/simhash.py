@@ -271,112 +271,224 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3, id_col
     return _grouped(fps, links(fps.select("fp").distinct(), max_bits, hot_block))
 
 
-def _grouped(fps: DataFrame, edges: DataFrame) -> DataFrame:
-    """fps (id, fp) with component_id, the smallest id that edges between fingerprints reach."""
-    leaves = fps.groupBy("fp").agg(F.min("id").alias("first"))
+def _grouped(rows: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
+    """rows (id, fp and the key) with component_id, the smallest id that edges between keys reach."""
+    leaves = rows.groupBy(key).agg(F.min("id").alias("first"))
     joined = components(edges)
-    rooted = leaves.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = leaves.join(joined.withColumnRenamed("node", key), key, "left")
     linked = rooted.where(F.col("component").isNotNull())
     low = linked.groupBy("component").agg(F.min("first").alias("low"))
     named = (
         linked.join(low, "component")
-        .select("fp", F.col("low").alias("component_id"))
-        .unionByName(rooted.where(F.col("component").isNull()).select("fp", F.col("first").alias("component_id")))
+        .select(key, F.col("low").alias("component_id"))
+        .unionByName(rooted.where(F.col("component").isNull()).select(key, F.col("first").alias("component_id")))
     )
-    return fps.join(named, "fp", "left").select("id", "fp", "component_id")
+    return rows.join(named, key, "left").select("id", "fp", "component_id")
 
 
-# Odd multipliers that turn one hash of a shingle into several.
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+def _multipliers(n: int) -> np.ndarray:
+    """Odd multipliers that turn one hash of a shingle into several, by a rule (SplitMix64)."""
+    out, state, full = [], 0, (1 << 64) - 1
+    for _ in range(n):
+        state = (state + 0x9E3779B97F4A7C15) & full
+        z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & full
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & full
+        out.append((z ^ (z >> 31)) | 1)
+    return np.array(out, np.uint64)
 
 
-def least_shingles(hashes: np.ndarray, tables: int) -> list[int]:
-    """For each of so many orders of shingles the first one of a text, as a signed number; 0 for a text without any."""
-    if not len(hashes):
-        return [0] * tables
-    out = []
-    for m in _MULTIPLIERS[:tables]:
-        mixed = hashes * np.uint64(m)
-        out.append(int((mixed ^ (mixed >> np.uint64(31))).min().astype(np.uint64).view(np.int64)))
-    return out
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A key per band: the first shingles of a text under so many orders each, as a signed number; of no shingles, of the band alone."""
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    by = _multipliers(bands * rows)[:, None]
+    for at in range(0, len(hashes), 4096):
+        mixed = hashes[None, at : at + 4096] * by
+        mixed ^= mixed >> np.uint64(31)
+        least = np.minimum(least, mixed.min(axis=1))
+    least = least.reshape(bands, rows)
+    return [xxhash.xxh64_intdigest(least[k].tobytes(), k) - (1 << 63) for k in range(bands)]
 
 
-def _bucket_task(max_bits: int, chunk: int):
-    """Links within buckets, from rows (bucket, part_a, part_b, fp) sorted by the first three."""
+def set_key(shingles: np.ndarray) -> bytes:
+    """128 bits that tell sets of shingles, sorted and without repeats, apart."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, sorted and without repeats; 1 for two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int, size) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by their first columns, in tables that hold whole groups: (number of each row's group, table)."""
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        columns = [table.column(k).to_numpy() for k in range(keys)]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0) if table.num_rows > 1 else np.zeros(0, bool)
+        return np.concatenate(([0], np.cumsum(new)))
+
+    held, total = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        total += size(batch)
+        if total < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        group = numbered(table)
+        last = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+        if last:
+            yield group[:last], table.slice(0, last)
+        held = table.slice(last).to_batches()
+        total = sum(size(x) for x in held)
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield numbered(table), table
 
-    def links_of(bucket: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((keys, bucket))
-        bucket, keys = bucket[order], keys[order]
-        root = np.arange(len(keys))
-        for i, j in trie_steps(keys, bucket, 0, max_bits):
-            apart = root[i] != root[j]
-            if apart.any():
-                root = forest(len(keys), root[i[apart]], root[j[apart]])[root]
-        moved = np.flatnonzero(root != np.arange(len(keys)))
-        return pa.RecordBatch.from_arrays([pa.array(keys[moved].view(np.int64)), pa.array(keys[root[moved]].view(np.int64))], ["a", "b"])
+
+def _candidate_task(max_bits: int, most: int = 100_000):
+    """A spanning forest of the near fingerprints within buckets, from rows (bucket, part_a, part_b, fp, key) sorted by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-            held.append(cols)
-            size += batch.num_rows
-            if size >= chunk:
-                every = [np.concatenate(x) for x in zip(*held, strict=True)]
-                new = np.any([np.diff(c) != 0 for c in every[:-1]], axis=0)
-                run_of = np.concatenate(([0], np.cumsum(new)))
-                last = run_of == run_of[-1]  # may go on in the next batch
-                if not last.all():
-                    yield links_of(run_of[~last], every[-1][~last].view(np.uint64))
-                held, size = [[c[last] for c in every]], int(last.sum())
-        if size:
-            every = [np.concatenate(x) for x in zip(*held, strict=True)]
-            new = np.any([np.diff(c) != 0 for c in every[:-1]], axis=0) if size > 1 else np.zeros(0, bool)
-            yield links_of(np.concatenate(([0], np.cumsum(new))), every[-1].view(np.uint64))
+        for group, table in _whole_groups(batches, 3, most, lambda b: b.num_rows):
+            fps = table.column(3).to_numpy().view(np.uint64)
+            order = np.lexsort((fps, group))
+            fps, group = fps[order], group[order]
+            root = np.arange(len(fps))
+            for i, j in trie_steps(fps, group, 0, max_bits):
+                apart = root[i] != root[j]
+                if apart.any():
+                    root = forest(len(fps), root[i[apart]], root[j[apart]])[root]
+            moved = np.flatnonzero(root != np.arange(len(fps)))
+            names = table.column(4)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(order[x])).combine_chunks() for x in (moved, root[moved])], ["a", "b"])
 
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, max_bits: int = 10, tables: int = 8, id_col: str = "doc_id", text_col: str = "text", hot_block: int = 20_000) -> DataFrame:
-    """(id, fp BIGINT, component_id) with a budget of bits for a similarity of about 0.8.
+def similar_links(fps: np.ndarray, sets: list[np.ndarray], max_bits: int, similarity: float, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect what chains of similar sets connect, among those whose fingerprints differ in at most max_bits bits.
 
-    Texts with a Jaccard similarity of 0.8 over their shingles differ in about
-    10 of 64 bits: too many for blocks of bits as keys. Here a document is dealt
-    out by the first of its shingles under each of ``tables`` orders, one of
-    which two such texts share but for 0.2 ** tables of the cases, and a
-    bucket's fingerprints are joined in the trie with the whole budget. A
-    bucket of more than hot_block fingerprints is split into parts by hash, and
-    every two parts meet in a task of their own: nothing is left out.
-
-    Nulls, repeats and empty tables are treated as in near_duplicates().
+    The trie names the pairs; those that links found so far already join aren't
+    looked at again, all others are compared in full. With part, only pairs of
+    different parts count.
     """
+    order = np.argsort(fps, kind="stable")
+    keys, size = fps[order], np.array([len(x) for x in sets], np.int64)[order]
+    root, out_a, out_b = np.arange(len(fps)), [], []
+    for i, j in trie_steps(keys, np.zeros(len(keys), np.int64), 0, max_bits):
+        near = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+        if part is not None:
+            near &= part[order[i]] != part[order[j]]
+        i, j = i[near], j[near]
+        while len(i):
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            _, first = np.unique(i, return_index=True)  # a pair for each text at a time
+            like = np.array([jaccard(sets[order[x]], sets[order[y]]) >= similarity for x, y in zip(i[first], j[first], strict=True)], bool)
+            won = first[like] if len(first) else first
+            out_a.append(order[i[won]])
+            out_b.append(order[j[won]])
+            root = forest(len(root), root[i[won]], root[j[won]])[root]
+            i, j = np.delete(i, first), np.delete(j, first)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _confirm_task(max_bits: int, similarity: float, most: int = 1 << 25):
+    """Links between similar texts, from rows (group, part_a, part_b, own, key, fp, shingles) sorted by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, table in _whole_groups(batches, 3, most, lambda b: b.nbytes):
+            table = table.combine_chunks()
+            fps, own = table.column(5).to_numpy().view(np.uint64), table.column(3).to_numpy()
+            mixed = table.column(1).to_numpy() != table.column(2).to_numpy()
+            lists = table.column(6).combine_chunks()
+            flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            starts = np.concatenate((np.flatnonzero(np.diff(group, prepend=-1)), [len(group)]))
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                sets = [flat[at[k] : at[k + 1]] for k in range(lo, hi)]
+                i, j = similar_links(fps[lo:hi], sets, max_bits, similarity, own[lo:hi] if mixed[lo] else None)
+                found.append((i + lo, j + lo))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            names = table.column(4)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x)).combine_chunks() for x in (i, j)], ["a", "b"])
+
+    return run
+
+
+def _met(rows: DataFrame, group: str, key: str, parts) -> DataFrame:
+    """rows in parts by the key's hash: part_a, part_b and own; every two parts of a group meet once, each part also on its own."""
+    own = F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")
+    dealt = rows.withColumn("_parts", parts.cast("int")).withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.withColumn("part_a", F.least("own", "_other")).withColumn("part_b", F.greatest("own", "_other")).drop("_parts", "_other")
+    return dealt.repartition(group, "part_a", "part_b").sortWithinPartitions(group, "part_a", "part_b")
+
+
+def similar_documents(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 20, bands: int = 12, rows: int = 3,
+    id_col: str = "doc_id", text_col: str = "text", hot_block: int = 20_000, hot_shingles: int = 4_000_000,
+) -> DataFrame:
+    """(id, fp BIGINT, component_id): components of texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Five-word SimHashes of texts of similarity 0.8 differ in about 10 of 64
+    bits: too many for blocks of bits as keys. So fingerprints meet in buckets, by the
+    first shingles under ``rows`` orders, ``bands`` times over; two texts of
+    similarity s share none with a chance of (1 - s**rows)**bands, 0.0002 at 0.8.
+    A trie join within the bucket, with a budget of max_bits, names the
+    candidates, and a second one within each component of candidates the pairs
+    whose whole sets are compared: no link stands on an estimate.
+
+    Texts with equal sets are one from the start. A bucket of more than
+    hot_block texts, or a component of more than hot_shingles shingles, is split
+    by hash, and every two parts meet in a task of their own: nothing is left out.
+
+    component_id is the smallest id of the component (nulls only where it has no
+    other). Texts without words are alike; repeated rows stay; an empty table
+    gives an empty table.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            fps, sets, keys = [], [], []
             for t in batch.column(1).cast(pa.binary()):
                 h = shingle_hashes(t.as_py(), shingle)
+                own = np.unique(h)
                 fps.append(simhash_of(h))
-                keys.append(least_shingles(h, tables))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "keys"])
+                sets.append(set_key(own))
+                keys.append(band_keys(own, bands, rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "key", "buckets"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = cut(texts.mapInArrow(run, f"id {kind}, fp bigint, keys array<bigint>"))
-    # A key of its own for each order: equal values of two orders don't meet.
-    dealt = sketches.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", F.xxhash64("t", "key").alias("bucket")).distinct()
+    sketches = cut(texts.mapInArrow(sketch, f"id {kind}, fp bigint, key binary, buckets array<bigint>"))
+    one_each = cut(sketches.groupBy("key").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("buckets").alias("buckets")))
+    dealt = one_each.select("key", "fp", F.explode("buckets").alias("bucket"))
     sizes = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    parts = F.ceil(F.col("n") / hot_block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    met = dealt.join(sizes, "bucket").select("bucket", "fp", parts.alias("parts")).withColumn("own", own)
-    rows = met.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "fp")
-    edges = (
-        rows.repartition("bucket", "part_a", "part_b")
-        .sortWithinPartitions("bucket", "part_a", "part_b")
-        .mapInArrow(_bucket_task(max_bits, 100_000), "a bigint, b bigint")
-    )
-    return _grouped(sketches.select("id", "fp"), edges)
+    met = _met(dealt.join(sizes, "bucket"), "bucket", "key", F.ceil(F.col("n") / hot_block))
+    candidates = components(met.select("bucket", "part_a", "part_b", "fp", "key").mapInArrow(_candidate_task(max_bits), "a binary, b binary"))
+
+    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(3).cast(pa.binary())]
+            same = [k for k, x in enumerate(sets) if set_key(x) == batch.column(1)[k].as_py()]  # other texts of the same id drop out
+            part = batch.take(pa.array(same, pa.int64()))
+            ends = np.concatenate(([0], np.cumsum([len(sets[k]) for k in same]))).astype(np.int32)
+            flat = np.concatenate([sets[k] for k in same]) if same else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["component", "key", "fp", "shingles"])
+
+    wanted = one_each.select(F.col("id").alias("_id"), "key", "fp").join(candidates.withColumnRenamed("node", "key"), "key")
+    known = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("component", "key", "fp", "text")
+    sets = cut(known.mapInArrow(shingles_of, "component binary, key binary, fp bigint, shingles array<bigint>"))
+    weight = sets.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"))
+    pairs = _met(sets.join(weight, "component"), "component", "key", F.greatest(F.lit(1), F.ceil(F.col("n") / hot_shingles)))
+    edges = pairs.select("component", "part_a", "part_b", "own", "key", "fp", "shingles").mapInArrow(_confirm_task(max_bits, similarity), "a binary, b binary")
+    return _grouped(sketches.select("id", "fp", "key"), edges, "key")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

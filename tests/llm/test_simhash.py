@@ -109,3 +109,44 @@ def test_trie_steps_are_bounded_and_whole():
     found = {p for i, j in steps for p in zip(i.tolist(), j.tolist())}
     assert found == {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys))}
     assert max(len(i) for i, _ in steps) <= 50 * 16
+
+
+def test_set_similarity():
+    a, b = np.array([1, 2, 3, 4, 5], np.uint64), np.array([2, 3, 4, 5, 6], np.uint64)
+    none = np.zeros(0, np.uint64)
+    assert simhash.jaccard(a, b) == pytest.approx(4 / 6)
+    assert (simhash.jaccard(a, a), simhash.jaccard(none, none), simhash.jaccard(a, none), simhash.jaccard(none, a)) == (1, 1, 0, 0)
+
+
+@pytest.mark.parametrize(("hot", "shingles"), [(20_000, 4_000_000), (5, 400)])
+def test_similar_documents_match_brute_force(spark, hot, shingles):
+    """Texts on either side of a similarity of 0.8, among them equal sets with other repeats, against all pairs."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for g in range(40):
+        text = [r.choice(words) for _ in range(r.choice([30, 120, 400]))]
+        for c in range(6):
+            own = list(text)
+            for _ in range(c * len(text) // 110):
+                own[r.randrange(len(own))] = r.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, "a b c d e a b c d e a b c d e"), (901, "a b c d e a b c d e a b c d e a b c d e"), (902, "zz"), (903, None)]
+    sets = [set(simhash.shingle_hashes(t.encode() if t is not None else None, 5).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near += 0.8 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.9
+                group[max(root(i), root(j))] = min(root(i), root(j))
+    assert near > 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["id"]: x["component_id"] for x in simhash.similar_documents(df, hot_block=hot, hot_shingles=shingles).collect()}
+    assert got == {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
