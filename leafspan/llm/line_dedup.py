@@ -9,13 +9,13 @@ block around it. The two are aligned with patience diff:
 lines found once in either, then what lies between. Runs of aligned lines are
 deleted from the later document.
 
-What moves is a hash, a position and a word count for each shared line; texts
-move once, to meet the deletions. Equal texts are one text until then.
+What moves is a digest (MD5, 128 bits), a position and a word count for each
+shared line; texts move once, to meet the deletions. Equal texts are one text
+until then. A text's lines go once to the task that aligns it with its holders.
 """
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -86,38 +86,15 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(mine: list[tuple], other: list[tuple], min_words: int) -> list[int]:
-    """Places of mine in aligned blocks of at least min_words words.
-
-    Lines are (number, hash, words); those of mine end in their place in the
-    text, blank lines included. A block is a run of lines whose numbers follow
-    each other in either document. What an alignment leaves over is aligned
-    again, so blocks that have changed places are found as well.
-    """
-    i_left, j_left, out = list(range(len(mine))), list(range(len(other))), []
-    while aligned := [(i_left[i], j_left[j]) for i, j in patience([mine[i][1] for i in i_left], [other[j][1] for j in j_left])]:
-        run: list[tuple[int, int]] = []
-        for i, j in [*aligned, (-1, -1)]:
-            if run and not (i >= 0 and mine[i][0] == mine[run[-1][0]][0] + 1 and other[j][0] == other[run[-1][1]][0] + 1):
-                if sum(mine[k][2] for k, _ in run) >= min_words:
-                    out += [mine[k][3] for k, _ in run]
-                run = []
-            run.append((i, j))
-        i_done, j_done = {i for i, _ in aligned}, {j for _, j in aligned}
-        i_left, j_left = [i for i in i_left if i not in i_done], [j for j in j_left if j not in j_done]
-    return out
-
-
-def runs(lines: list[tuple], min_words: int) -> set[int]:
-    """Hashes of the shortest runs of two or more lines that reach min_words, one from each line on and one up to it.
+def run_ends(lines: list[tuple], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of lines that reach min_words, one from each line on and one up to it.
 
     Lines are (number, hash, words), sorted; a run's numbers follow each other.
-    Each line of a longer run is in one of these runs within it, or is itself
-    long enough.
+    Each line of any run that reaches min_words is in one of these within it.
     """
-    out, start, total = set(), 0, 0
+    start, total = 0, 0
     ends: list[tuple[int, int]] = []
-    for k, (n, _, w) in enumerate(lines):
+    for k, (n, _, w, *_) in enumerate(lines):
         if k and n != lines[k - 1][0] + 1:
             start, total = k, 0
         total += w
@@ -136,10 +113,38 @@ def runs(lines: list[tuple], min_words: int) -> set[int]:
             last -= 1
         if total >= min_words:
             ends.append((k, last))
-    for a, b in ends:
-        if a < b:
-            out.add(xxhash.xxh64_intdigest(array("q", [x[1] for x in lines[a : b + 1]]).tobytes()) - (1 << 63))
-    return out
+    return ends
+
+
+def runs(lines: list[tuple], min_words: int) -> set[int]:
+    """Hashes of the runs of run_ends() that have two lines or more."""
+    return {xxhash.xxh64_intdigest(b"".join(x[1] for x in lines[a : b + 1])) - (1 << 63) for a, b in run_ends(lines, min_words) if a < b}
+
+
+def common_blocks(mine: list[tuple], other: list[tuple], min_words: int) -> list[int]:
+    """Places of mine in aligned blocks of at least min_words words.
+
+    Lines are (number, hash, words); those of mine end in their place in the
+    text, blank lines included. A block is a run of lines whose numbers follow
+    each other in either document. Lines that the alignment leaves out, because
+    their block has changed places or a line has several copies, are in a block if
+    one of their shortest runs is a run of the other: what is found is all that
+    the two have in common, in time that grows with their lines.
+    """
+    out: set[int] = set()
+    block: list[tuple[int, int]] = []
+    for i, j in [*patience([x[1] for x in mine], [x[1] for x in other]), (-1, -1)]:
+        if block and not (i >= 0 and mine[i][0] == mine[block[-1][0]][0] + 1 and other[j][0] == other[block[-1][1]][0] + 1):
+            if sum(mine[k][2] for k, _ in block) >= min_words:
+                out.update(k for k, _ in block)
+            block = []
+        block.append((i, j))
+    if len(out) < len(mine):
+        held = {tuple(x[1] for x in other[a : b + 1]) for a, b in run_ends(other, min_words)}
+        for a, b in run_ends(mine, min_words):
+            if tuple(x[1] for x in mine[a : b + 1]) in held:
+                out.update(range(a, b + 1))
+    return [mine[k][3] for k in sorted(out)]
 
 
 def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +153,7 @@ def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tu
     blank = F.lit("\x20\x09\x0b\x0c\x0d")
     rows = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("key"), F.transform(F.split(text, "\n"), lambda x: F.btrim(x, blank)).alias("lines"))
     full = F.filter(
-        F.transform("lines", lambda x, n: F.struct(F.when(x != "", n).alias("n"), F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))),
+        F.transform("lines", lambda x, n: F.struct(F.when(x != "", n).alias("n"), F.unhex(F.md5(x)).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))),
         lambda x: x["n"].isNotNull(),
     )
     # Blank lines don't count: numbers run over the others.
@@ -181,20 +186,24 @@ def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tu
     run_holder = cut(held_runs.groupBy("run").agg(F.min("rank").alias("holder"), F.max("rank").alias("last")).where("holder <> last").select("run", F.col("holder.key").alias("holder")))
     by_run = held_runs.select("key", "run").join(run_holder, "run").where("key <> holder").select("key", "holder")
     met = shared.select("key", F.explode(partners).alias("holder")).unionByName(by_run).distinct()
-    pairs = met.join(shared.select("key", own.alias("mine")), "key")
-    held = shared.select(F.col("key").alias("holder"), own.alias("other"))
+    held = shared.select(F.col("key").alias("holder"), own.alias("lines"))
+    # A text's own lines come first, then those of its holders, so that neither is repeated for the other.
+    rows = shared.select("key", F.lit(0).alias("turn"), own.alias("lines")).unionByName(met.join(held, "holder").select("key", F.lit(1).alias("turn"), "lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine = None, []
         for batch in batches:
             keys, gone = [], []
-            for row in batch.to_pylist():
-                got = common_blocks([(x["n"], x["h"], x["w"], x["r"]) for x in row["mine"]], [(x["n"], x["h"], x["w"]) for x in row["other"]], min_words)
-                if got:
-                    keys.append(row["key"])
+            for key, turn, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                lines = [(x["n"], x["h"], x["w"], x["r"]) for x in lines.as_py()]
+                if not turn:
+                    at, mine = key, lines
+                elif key == at and (got := common_blocks(mine, lines, min_words)):
+                    keys.append(key)
                     gone.append(got)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
-    aligned = pairs.join(held, "holder").select("key", "mine", "other").mapInArrow(run, "key string, gone array<int>")
+    aligned = rows.repartition("key").sortWithinPartitions("key", "turn").mapInArrow(run, "key string, gone array<int>")
     gone = aligned.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     return gone, texts.select("key", "first", F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"]).alias("words"))
 
@@ -205,26 +214,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Blocks of fewer than min_words words stay. The earlier of two documents is
     the one of the smaller id (null ids last; then the smaller MD5 of the
     text); a later copy of a whole text of min_words words or more becomes
-    empty. Rows that repeat both id and text are one document and are treated
-    alike. Texts of which nothing is deleted stay as they are, nulls too; in
+    empty, an empty table stays empty. Rows that repeat both id and text are one
+    document and are treated alike. Texts of which nothing is deleted stay as they are, nulls too; in
     others the deleted lines go, with their line breaks. Columns of docs called
     n_lines or n_removed give way.
     """
     names = docs.columns
     gone, texts = deletions(docs, id_col, text_col, min_words)
-    plan = texts.join(gone, "key", "left").select(F.col("key").alias("_key"), F.col("first").alias("_first"), F.col("words").alias("_words"), F.coalesce("gone", F.array().cast("array<int>")).alias("_gone"))
+    plan = texts.join(gone, "key", "left").select("key", "first", "words", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    # All of a row is one struct meanwhile, so that names of docs clash with none of these.
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("_key", F.md5(text)).join(plan, "_key", "left")
-    copy = ~F.col(id_col).eqNullSafe(F.col("_first")) & (F.col("_words") >= min_words)
-    split = F.split(text, "\n")
+    df = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("key")).join(plan, "key", "left")
+    df = df.withColumn("copy", ~F.col("id").eqNullSafe(F.col("first")) & (F.col("words") >= min_words))
+    split = F.split("text", "\n")
     full = lambda x: F.btrim(x, F.lit("\x20\x09\x0b\x0c\x0d")) != ""
-    df = df.withColumn("_n", F.size(F.filter(split, full))).withColumn("_copy", copy)
-    walked = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    cleaned = F.when(F.col("_copy"), F.lit("")).when(F.size("_gone") > 0, walked).otherwise(F.col(text_col))
+    df = df.withColumn("n", F.size(F.filter(split, full)))
+    walked = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    cleaned = F.when(F.col("copy"), F.lit("")).when(F.size("gone") > 0, walked).otherwise(F.col(f"row.`{text_col}`"))
     return df.select(
-        *[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in names if c not in ("n_lines", "n_removed")],
-        F.col("_n").alias("n_lines"),
-        F.when(F.col("_copy"), F.col("_n")).otherwise(F.size("_gone")).alias("n_removed"),
+        *[(cleaned if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names if c not in ("n_lines", "n_removed")],
+        F.col("n").alias("n_lines"),
+        F.when(F.col("copy"), F.col("n")).otherwise(F.size("gone")).alias("n_removed"),
     )
 
 

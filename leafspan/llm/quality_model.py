@@ -198,25 +198,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x[order], got["y"].to_numpy(float)[order])
 
 
-def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
-    """The given columns of every row (its id if none are given), and quality_score and predicted.
-
-    A null text is scored as an empty one; repeated rows and null ids stay. An
-    empty table gives an empty table.
-    """
-    columns = columns or [id_col]
-    wanted = docs.select(*[F.col(c) for c in columns], F.col(text_col).cast("string").alias("_text"))
+def scored(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """(row, quality_score, predicted) of every row; row is a struct of all columns, so that none of their names clashes."""
+    wanted = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                x = np.array([features_of(t.as_py()) for t in part.column(len(columns)).cast(pa.binary())]).reshape(-1, len(FEATURES))
+                x = np.array([features_of(t.as_py()) for t in part.column(1).cast(pa.binary())]).reshape(-1, len(FEATURES))
                 s = model.score(x)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, "quality_score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["row", "quality_score", "predicted"])
+
+    return wanted.mapInArrow(run, f"row {wanted.schema['row'].dataType.simpleString()}, quality_score double, predicted int")
+
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return wanted.mapInArrow(run, f"{fields}, quality_score double, predicted int")
+def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
+    """The given columns of every row (its id if none are given), and quality_score and predicted.
+
+    Given columns of these two names give way. A null or empty text is scored
+    like any other, as one without words; repeated rows and null ids stay, and
+    rows that are equal get equal scores. An empty table gives an empty table.
+    """
+    wanted = [F.col(f"`{c}`") for c in columns or [id_col]]
+    own = docs.select(*wanted, F.col(text_col).cast("string").alias("_scored_text"))
+    return scored(own, model, "_scored_text", threshold).select(
+        *[F.col(f"row.`{c}`") for c in columns or [id_col] if c not in ("quality_score", "predicted")], "quality_score", "predicted"
+    )
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

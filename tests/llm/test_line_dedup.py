@@ -77,3 +77,35 @@ def test_blocks_of_short_lines_name_a_partner(spark):
     for k, t in enumerate(texts):
         assert got[k][0] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in wanted[k]), k
         assert got[k][2] == len(wanted[k])
+
+
+def test_names_clash_with_nothing_and_long_texts_are_read_to_the_end(spark):
+    names = ["_key", "_first", "_words", "_gone", "_n", "_copy", "row", "key", "id", "first", "words", "gone", "n", "copy", "lines"]
+    body = "\n".join(f"filler {k} of a long text with words enough for a block of its own" for k in range(20_000))
+    rows = [(1, body + "\n" + LONG[3], *names), (2, "own\n" + LONG[3], *names), (2, "own\n" + LONG[3], *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = line_dedup.line_dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    got = sorted(tuple(r) for r in got.collect())
+    assert got[0][:2] == (1, rows[0][1]) and got[1] == got[2] == (2, "own", *names, 2, 1)
+
+
+def test_random_documents_against_all_pairs(spark):
+    """Lines of any length, repeats, ties and shared blocks, aligned with every earlier text."""
+    for seed in range(3):
+        r = random.Random(seed)
+        pool = [" ".join(f"w{r.randrange(50)}" for _ in range(r.choice([1, 2, 4, 12]))) for _ in range(30)]
+        texts = []
+        for _ in range(30):
+            at = r.randrange(25)
+            texts.append("\n".join([*(r.choice(pool) for _ in range(r.randrange(4))), *pool[at : at + r.randrange(6)], *(f"own {len(texts)} {k}" for k in range(r.randrange(3)))]))
+        first = {}
+        for k, t in enumerate(texts):
+            first.setdefault(t, k)
+        got = run(spark, [(k, t, 0) for k, t in enumerate(texts)])
+        wanted = all_pairs(list(first))
+        for t, k in first.items():
+            lost = wanted[list(first).index(t)]
+            kept = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in lost)
+            assert len(got[k][0].split("\n")) <= len(t.split("\n"))
+            assert got[k][0] == kept, (seed, k)
