@@ -14,9 +14,9 @@ from leafspan.llm import common, decontam, line_dedup, pieces, quality_model, si
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, null and empty texts judged like any other; repeated rows stay or go alike."""
     model = quality_model.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, columns=docs.columns).where("predicted = 1").select(*docs.columns)
+    return unpacked(quality_model.scored(docs, model).where("predicted = 1"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,25 +26,35 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, which tells rows of different ids or texts apart; a null id is one of its own."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, key): all of a row in one struct, and a key that tells rows of different ids or texts apart; a null id is one of its own."""
     named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
-    return docs.withColumn("_key", F.concat(F.md5(F.coalesce("text", F.lit(""))), named))
+    key = F.concat(F.md5(F.coalesce("text", F.lit(""))), F.when(F.col("text").isNull(), "0").otherwise("1"), named)
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text", key.alias("key"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, whatever they are called."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of about 0.8), the one of the smallest id (null ids last), then of the smallest key."""
-    rows = keyed(docs)
-    groups = simhash.similar_documents(rows.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_key")), shingle=5, id_col="_row")
-    first = groups.select(F.col("component_id._key").alias("_key")).distinct()
-    return rows.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8), the one of the smallest id (null ids last), then of the smallest key.
+
+    Null and blank texts are one group. Rows that repeat id and text are one document, of which one row stays.
+    """
+    rows = packed(docs)
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key").alias("named"), "text")
+    groups = simhash.similar_documents(named, shingle=5, similarity=0.8, id_col="named")
+    first = groups.select(F.col("component_id.key").alias("key")).distinct()
+    return unpacked(rows.join(first, "key", "left_semi").dropDuplicates(["key"]), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    rows = keyed(docs)
-    found = decontam.contamination(rows, common.table(spark, sf_dir, "benchmark"), id_col="_key")
-    return rows.join(found.where("contaminated").select(F.col("id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+    """Documents without a passage of the benchmark; those of null ids are judged by their texts like all others, and repeated rows alike."""
+    rows = packed(docs)
+    found = decontam.contamination(rows.select("key", "text"), common.table(spark, sf_dir, "benchmark"), id_col="key")
+    return unpacked(rows.join(found.where("contaminated").select(F.col("id").alias("key")).distinct(), "key", "left_anti"), docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
