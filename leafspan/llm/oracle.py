@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import CHAR_CLASSES, COMMON_WORDS
+from .quality_rules import AROUND, CHAR_CLASSES, COMMON_WORDS, LONGEST_COMMON
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPLIT = "list_filter(regexp_split_to_array({0}, '{1}'), lambda x: x <> '')"
@@ -43,6 +43,7 @@ def _op10() -> str:
     n = {w: f"f.n{k}" for k, w in enumerate(names)}
     counts = ", ".join(f"len(list_filter(w, lambda x: x = '{w}')) AS n{k}" for k, w in enumerate(names))
     word_distance = _least({c: _distance([f"{n[w]} / greatest(n_words, 1)::DOUBLE" for w in v], list(v.values())) for c, v in COMMON_WORDS.items()})
+    around = AROUND.replace("'", "''")
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, {_SPLIT.format("coalesce(text, '')", r"[ \t\n\x0B\x0C\r]+")} AS w,
 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\x0C\r]')) AS l FROM documents),
 b AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
@@ -50,7 +51,7 @@ CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGIN
 g AS (SELECT r, k, count(*) OVER (PARTITION BY r, w[k], w[k + 1], w[k + 2]) AS n FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS k FROM d)),
 s AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM g WHERE n > 1) GROUP BY r),
 c AS (SELECT r, length(text) - word_chars AS blank, length(text) - length(regexp_replace(text, '\p{{Lu}}+', '', 'g')) AS upper, length(text) - length(regexp_replace(text, '[.,;:!?''"()\-]+', '', 'g')) AS stop, n_symbols AS symbol FROM b),
-f AS (SELECT r, {counts} FROM d),
+f AS (SELECT r, {counts} FROM (SELECT r, list_transform(list_filter(w, lambda x: length(x) <= {LONGEST_COMMON}), lambda x: lower(trim(x, '{around}'))) AS w FROM d)),
 m AS (SELECT doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {char_distance} AS cd, {word_distance} AS wd FROM b JOIN c USING (r) JOIN f USING (r) LEFT JOIN s USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ((length(text) >= 200 AND cd > 0.16) OR (n_words >= 100 AND wd > 0.33)) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM m"""

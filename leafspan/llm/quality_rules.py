@@ -29,6 +29,11 @@ CHAR_CLASSES = {
 # What the classes hold; blanks and SYMBOLS are counted elsewhere, all else counts as letters.
 CLASS_PATTERNS = {"upper": r"\p{Lu}+", "stop": r"[.,;:!?'\"()\-]+"}
 
+# Punctuation that may stand around a word.
+AROUND = ".,;:!?()\"'"
+# No common word with the punctuation around it is longer.
+LONGEST_COMMON = 12
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -38,13 +43,24 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")
 
 
+def _windows_found_twice(words: str, text_wise: bool) -> str:
+    """SQL for the sorted starts, repeats included, of three-word windows that equal a neighbour in the sorted order."""
+    if text_wise:
+        keys = f"sort_array(transform(sequence(0, size({words}) - 3), i -> struct(concat_ws(' ', get({words}, i), get({words}, i + 1), get({words}, i + 2)) as k, i as at)))"
+        pairs = "filter(sequence(1, size(keys) - 1), x -> get(keys, x).k = get(keys, x - 1).k)"
+        return f"aggregate(array({keys}), cast(array() as array<int>), (z, keys) -> sort_array(flatten(transform({pairs}, x -> array(get(keys, x).at, get(keys, x - 1).at)))))"
+    at = lambda x: f"cast({x} & (shiftleft(1L, _bits) - 1L) as int)"
+    return f"sort_array(flatten(transform(_pairs, p -> array({at('_keys[p]')}, {at('_keys[p - 1]')}))))"
+
+
 def with_repeat_words(df: DataFrame, words: str = "words", out: str = "n_repeat_words") -> DataFrame:
     """Adds how many words stand in a three-word window that is found at least twice, the first included.
 
     A window's hash and position share one BIGINT, the position in as many low
     bits as the text needs: one sort of a plain array brings equal windows
-    together. The words of neighbours are then compared, so a hash that two
-    windows share counts nothing.
+    together. Where neighbours of one hash differ in words, as two windows with
+    one hash might hide an equal one between them, that text's windows are sorted
+    as texts instead; so the count is exact.
     """
     df = df.withColumn("_bits", F.length(F.bin(F.size(words))).cast("int"))
     df = df.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
@@ -55,17 +71,10 @@ def with_repeat_words(df: DataFrame, words: str = "words", out: str = "n_repeat_
             i -> shiftleft(xxhash64(get(_hashes, i), get(_hashes, i + 1), get(_hashes, i + 2)), _bits) | i)))"""
         ),
     )
+    df = df.withColumn("_pairs", F.expr("if(size(_keys) < 2, array(), filter(sequence(1, size(_keys) - 1), k -> shiftright(get(_keys, k) ^ get(_keys, k - 1), _bits) = 0L))"))
     at = lambda x: f"cast({x} & (shiftleft(1L, _bits) - 1L) as int)"
-    same = " AND ".join(f"{words}[p.a + {k}] = {words}[p.b + {k}]" for k in range(3))
-    df = df.withColumn(
-        "_pairs",
-        F.expr(
-            f"""if(size(_keys) < 2, array(), transform(
-            filter(sequence(1, size(_keys) - 1), k -> shiftright(get(_keys, k) ^ get(_keys, k - 1), _bits) = 0L),
-            k -> struct({at("_keys[k - 1]")} as a, {at("_keys[k]")} as b)))"""
-        ),
-    )
-    df = df.withColumn("_found", F.expr(f"sort_array(flatten(transform(filter(_pairs, p -> {same}), p -> array(p.a, p.b))))"))
+    same = " AND ".join(f"{words}[{at('_keys[p]')} + {k}] = {words}[{at('_keys[p - 1]')} + {k}]" for k in range(3))
+    df = df.withColumn("_found", F.expr(f"if(forall(_pairs, p -> {same}), {_windows_found_twice(words, False)}, {_windows_found_twice(words, True)})"))
     covered = F.aggregate(
         "_found",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")),
@@ -104,7 +113,9 @@ def divergence(df: DataFrame, text: str, lang: str, words: str, word_chars: str,
     df = df.withColumn("_chars", F.transform(counts, lambda x: x / length))
     df = df.withColumn("_chars", F.concat("_chars", F.array(F.greatest(F.lit(0.0), 1.0 - F.get("_chars", F.lit(0)) - F.get("_chars", F.lit(1)) - F.get("_chars", F.lit(2)) - F.get("_chars", F.lit(3))))))
     every = sorted({w for own in COMMON_WORDS.values() for w in own})
-    df = df.withColumn("_common", F.filter(words, lambda w: w.isin(every)))
+    # Common words count in any case and with punctuation around them.
+    plain = F.transform(F.filter(words, lambda w: F.length(w) <= LONGEST_COMMON), lambda w: F.lower(F.btrim(w, F.lit(AROUND))))
+    df = df.withColumn("_common", F.filter(plain, lambda w: w.isin(every)))
     known = F.col(lang).isin(list(COMMON_WORDS))
     chars, common = [], []
     for code in COMMON_WORDS:
@@ -126,6 +137,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reference, one of fewer than min_words words not against the word reference.
     A null or blank text has no words, fails the base rule and isn't kept.
     Repeated rows are judged row by row; an empty table gives an empty table.
+
+    The columns come out of one struct by inline(), below which Spark pushes no
+    filter on them: a filter on kept computes them once, as no filter does.
     """
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     df = df.withColumn("words", words_of(F.col("text")))
@@ -141,7 +155,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = divergence(with_repeat_words(df), "text", "lang", "words", "word_chars", "n_symbols")
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     odd = ((F.length("text") >= min_chars) & (F.col("char_distance") > max_char_distance)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
-    return df.withColumn("kept", ~F.col("base_failed") & ~odd).drop("text", "lang", "words")
+    df = df.withColumn("kept", ~F.col("base_failed") & ~odd)
+    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
+    return df.select(F.inline(F.array(F.struct(*names))))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
