@@ -110,3 +110,52 @@ def test_license_alignment_survives_edits(spark):
     df = spark.createDataFrame([(1, "head " * 30 + " ".join(words) + " tail" * 30)], "doc_id long, text string")
     (r,) = license_scan.scan(df).collect()
     assert r["licenses"] == [name] and r["matches"][0]["coverage"] > 0.9 and r["matches"][0]["first_word"] == 30
+
+
+def test_every_license_line_is_reported(spark):
+    text = "All rights reserved. All rights reserved. Copyright 2019 A. All rights reserved. Released under the MIT License. x Released under the MIT License."
+    df = spark.createDataFrame([(1, text), (2, "All rights reserved. " * 8000)], "doc_id long, text string")
+    got = {r["id"]: [(m["name"], m["first_word"], m["end_word"]) for m in r["matches"]] for r in license_scan.scan(df).collect()}
+    assert got[1] == [("All-Rights-Reserved", 0, 3), ("All-Rights-Reserved", 3, 6), ("All-Rights-Reserved", 9, 12), ("MIT", 12, 17), ("MIT", 18, 23)]
+    assert got[2] == [("All-Rights-Reserved", 3 * k, 3 * k + 3) for k in range(8000)]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_licenses_against_alignment_everywhere():
+    """Templates with words changed, left out and put in, of any length: found where an exhaustive alignment finds them."""
+    import random
+
+    r = random.Random(2)
+    index = license_scan.Index(license_scan.TEMPLATES, 5, 4)
+    lost = tried = 0
+    for _ in range(150):
+        t = r.randrange(len(index.texts))
+        own = index.texts[t].tolist()
+        for _ in range(r.randrange(0, 1 + len(own) // 5)):
+            k = r.randrange(len(own))
+            own[k : k + 1] = r.choice([[], [-1], [-1, own[k]]])
+        text = np.array([-1] * r.randrange(30) + own + [-1] * r.randrange(30), np.int64)
+        full = longest_common(text.tolist(), index.texts[t].tolist()) / len(index.texts[t])
+        got = license_scan.matches_in(index, text, 0.8, 8)
+        if full >= 0.8 and len(own) <= len(index.texts[t]) + 8:
+            tried += 1
+            name = index.names[t]
+            lost += not any(index.names[g[0]] == name or g[4] >= 0.8 * len(index.texts[t]) for g in got)
+    assert tried > 60 and lost == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_banded_alignment_is_the_longest(seed):
+    r = np.random.default_rng(seed)
+    text, template = r.integers(0, 4, 25), r.integers(0, 4, 12)
+    pairs = license_scan.banded(text, template, -12, 40)
+    assert all(text[i] == template[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+    assert len(pairs) == longest_common(text.tolist(), template.tolist())
