@@ -130,26 +130,47 @@ class Codec:
             new = sorted(words)
         for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(e.ids, np.int32).tobytes()
-        if self.sp is not None:
-            # A word's pieces in front of which the library puts its marker again are a word's pieces in a text.
-            check = [w for w in new if w[:1] == MARK and w[1:2] != MARK] if self.model.dummy_prefix and not self.model.squeeze else []
-            for word, ids in zip(check, self.sp.encode([w[1:].replace(MARK, " ") for w in check], num_threads=1), strict=True):
-                if len(word) > 1 and np.array(ids, np.int32).tobytes() != self.known[word]:
+        if self.sp is not None and self.word_parity:
+            # The library puts a marker before each text: a word without its own is a text whose pieces are that word's.
+            # What is nothing but markers stands behind a letter instead, whose pieces are taken off again.
+            bare = [w for w in new if not w.strip(MARK)]
+            rest = [w for w in new if w[:1] == MARK and w.strip(MARK)]
+            self.differ.update(w for w in new if w[:1] != MARK)  # no normalised text has such a word: not checked, not alike
+            lone = np.array(self.sp.encode("a"), np.int32).tobytes()
+            asked = ["a" + w.replace(MARK, " ") for w in bare] + [w[1:].replace(MARK, " ") for w in rest]
+            for word, ids, before in zip(bare + rest, self.sp.encode(asked, num_threads=1), [lone] * len(bare) + [b""] * len(rest), strict=True):
+                if np.array(ids, np.int32).tobytes() != before + self.known[word]:
                     self.differ.add(word)
 
+    @property
+    def word_parity(self) -> bool:
+        """Whether words can be held against the library one by one: where blanks aren't squeezed and each text gets a marker."""
+        return self.model.by_word and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap and self.model.escape
+
     def encode(self, texts: list[str], step: int = 256) -> list[np.ndarray]:
+        return [ids for ids, _ in self.encoded(texts, step)]
+
+    def encoded(self, texts: list[str], step: int = 256) -> list[tuple[np.ndarray, bool | None]]:
+        """Ids and whether they are those of the sentencepiece library, null without verify.
+
+        Every distinct word is compared where words can be, else every whole text.
+        """
         out = []
         for at in range(0, len(texts), step):
-            plain = [self.model.normalise(t) if t else "" for t in texts[at : at + step]]
+            part = [t or "" for t in texts[at : at + step]]
+            plain = [self.model.normalise(t) if t else "" for t in part]
             cut = [_words(t) if self.model.by_word else [t] for t in plain]
             self._learn(set().union(*cut))
-            out += [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut]
+            ids = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut]
+            if self.sp is None:
+                alike = [None] * len(part)
+            elif self.word_parity:
+                alike = [not self.differ or self.differ.isdisjoint(words) for words in cut]
+            else:
+                alike = [np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, self.sp.encode(part, num_threads=1), strict=True)]
+            out += zip(ids, alike, strict=True)
         return out
 
-    def agrees(self, text: str | None) -> bool:
-        """Whether no word of a text encodes otherwise in the sentencepiece library."""
-        return not self.differ or self.differ.isdisjoint(_words(self.model.normalise(text or "")))
-
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         text = data.decode("utf-8", "replace")
@@ -178,9 +199,11 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id",
     """Per row of docs: (id, n_tokens, input_ids); with verify also parity and round_trip.
 
     model: a path that exists on every machine, or else of a file given to
-    SparkContext.addFile(). A null or empty text has no ids. parity: every word
-    has the ids that the sentencepiece library gives. round_trip: the ids decode
-    to the text as normalised, in which a marker is a blank. Repeated rows and null ids stay.
+    SparkContext.addFile(). A null or empty text has no ids. parity: the
+    sentencepiece library gives the same ids, compared for every distinct word, or,
+    where a model joins or drops blanks, for every whole text. round_trip: the ids decode
+    to the text as normalised, in which a marker is a blank. Repeated rows and null ids stay; an
+    empty table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -190,14 +213,15 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id",
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                ids = codec.encode(texts)
+                got = codec.encoded(texts)
+                ids = [x for x, _ in got]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 cols = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
                 names = ["id", "n_tokens", "input_ids"]
                 if verify:
                     plain = [codec.model.normalizer.normalize_str(t or "") if codec.model.normalizer else t or "" for t in texts]
-                    cols += [pa.array([codec.agrees(t) for t in texts]), pa.array([codec.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, plain, strict=True)])]
+                    cols += [pa.array([x for _, x in got], pa.bool_()), pa.array([codec.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, plain, strict=True)])]
                     names += ["parity", "round_trip"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -27,6 +27,53 @@ def test_parity_with_the_library(spark):
     assert pieces.encode(df.limit(0)).collect() == []
 
 
+def model_file(path, pieces_, bpe, prefix, squeeze, bytes_):
+    """A model as the library reads it, written field by field; nothing is trained."""
+    import struct
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    field = lambda k, v: varint(k << 3 | 2) + varint(len(v)) + v if isinstance(v, bytes) else varint(k << 3) + varint(v)
+    body = b""
+    for text, score, kind in pieces_:
+        body += field(1, field(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + field(3, kind))
+    body += field(2, field(3, 2 if bpe else 1) + field(35, int(bytes_)) + field(40, 0))
+    body += field(3, field(1, b"identity") + field(3, int(prefix)) + field(4, int(squeeze)) + field(5, 1))
+    path.write_bytes(body)
+    return str(path)
+
+
+@pytest.mark.parametrize(("prefix", "squeeze", "bytes_"), [(True, False, True), (True, True, True), (False, False, False), (True, True, False)])
+def test_unigram_models_agree_with_the_library(spark, tmp_path, prefix, squeeze, bytes_):
+    import sentencepiece
+
+    r = random.Random(1)
+    own = {pieces.MARK, *"abcde", *(pieces.MARK * r.randrange(2) + "".join(r.choice("abcde") for _ in range(r.randrange(2, 5))) for _ in range(60))}
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256 * bytes_)] + [(w, -r.random() * 9 - 1, 1) for w in sorted(own)]
+    path = model_file(tmp_path / "uni.model", rows, False, prefix, squeeze, bytes_)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", None, " ", "  ", "abc  de ", "a", " bad  cafe", "zz é", "edabc" * 400, *(" ".join("".join(r.choice("abcdez") for _ in range(r.randrange(6))) for _ in range(12)) for _ in range(40))]
+    got = {x["id"]: x for x in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, verify=True).collect()}
+    for k, t in enumerate(texts):
+        assert (got[k]["input_ids"] == sp.encode(t or "")) == got[k]["parity"], (k, t)
+        assert got[k]["parity"], (t, got[k]["input_ids"], sp.encode(t or ""))
+
+
+def test_parity_is_false_where_ids_differ(tmp_path):
+    rows = [("<unk>", 0.0, 2), *((c, -2.0, 1) for c in "ab" + pieces.MARK), ("ab", -1.0, 1), (pieces.MARK + "a", -1.5, 1)]
+    for squeeze in (False, True):
+        codec = pieces.Codec(model_file(tmp_path / f"m{squeeze}", rows, True, True, squeeze, False), verify=True)
+        assert [ok for _, ok in codec.encoded(["ab a", "b"])] == [True, True]
+        codec.tokenizer = type("Wrong", (), {"encode_batch": lambda self, words, **_: [type("E", (), {"ids": [1]})() for _ in words]})()
+        codec.known = {}
+        assert [ok for _, ok in codec.encoded(["ab a", "", "b  "])] == [False, True, False]
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     r = random.Random(5)
     for _ in range(100):
