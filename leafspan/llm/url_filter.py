@@ -4,9 +4,11 @@ Hosts run words together. A unigram model, counted over all the table's URLs
 and the word list below, splits every distinct host label by Viterbi: labels
 are exploded into substrings, substrings meet their counts in a join, and each
 label's best split is a fold over its own (few) candidates. Multinomial naive
-Bayes then scores the words of host and path. It learns from the table itself:
-a URL with a listed word of spam in its split host is an example to block, any
-other an example to allow. Nothing is broadcast but what Spark finds small.
+Bayes then scores the words of host and path. It learns from labelled URLs where
+the caller has some, else from weak labels: a URL whose split host has a word
+that only such hosts have is an example to block, any other an example to allow;
+a fifth of the hosts never serve as examples, and held_out() reports on these.
+Nothing is broadcast but what Spark finds small.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from .common import cut
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-# Words of hosts that sell or spam.
+# Words that hosts of gambling, pills, pornography, counterfeits, loan sharks, advert and malware networks have, and hardly others do.
 SPAM_WORDS = (
-    "spam", "farm", "cheap", "pills", "pill", "casino", "poker", "bet", "betting", "porn", "xxx", "sex", "viagra", "cialis",
-    "pharmacy", "replica", "loan", "loans", "payday", "lottery", "jackpot", "escort", "adult", "torrent", "warez", "crack",
+    "spam", "casino", "casinos", "poker", "bets", "betting", "slots", "jackpot", "lottery", "pills", "viagra", "cialis", "porn", "porno", "xxx",
+    "sex", "sexy", "adult", "escort", "escorts", "replica", "replicas", "payday", "ads", "adserver", "popunder", "clickbait", "torrent", "warez", "keygen", "malware", "phishing",
 )
 
 # Words that host names are made of.
@@ -34,10 +36,10 @@ HOST_WORDS = (
     "game", "games", "sport", "sports", "travel", "food", "cook", "recipe", "car", "auto", "house", "garden", "art", "design", "photo",
     "school", "learn", "science", "history", "law", "bank", "money", "finance", "market", "trade", "job", "jobs", "work", "kids", "baby",
     "pet", "dog", "cat", "love", "date", "life", "style", "fashion", "beauty", "city", "live", "mail", "chat", "forum", "wiki", "info", "hub",
-    "link", "page", "host", "buy", "sale", "deal", "deals", "price", "discount", "offer", "win", "prize", "bonus", "click", "fast", "easy",
+    "link", "page", "host", "buy", "farm", "cheap", "bet", "pill", "pharmacy", "loan", "loans", "crack", "track", "sale", "deal", "deals", "price", "discount", "offer", "win", "prize", "bonus", "click", "fast", "easy",
 )
 
-MAX_PIECE = 20  # no longer substring is looked up; longer unknown stretches stay whole
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -46,8 +48,7 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return pages.withColumn("host", F.translate(host, upper, lower)).withColumn("path", path)
+    return pages.withColumn("host", F.translate(host, UPPER, LOWER)).withColumn("path", path)
 
 
 def _fits(rule: str) -> Column:
@@ -66,21 +67,21 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 
 
 def _tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+"), "")
 
 
 def split_labels(labels: DataFrame, counts: DataFrame, total: float) -> DataFrame:
     """(label, words): the likeliest split of each label under the unigram counts.
 
-    An unknown stretch of n characters has the likelihood 10 / (total * 10**n),
+    Substrings of every length that a word has are looked up, however long. An unknown stretch of n characters has the likelihood 10 / (total * 10**n),
     so that it is split only where known words make up for it. Of equally
     likely splits the one with the longer last words is taken.
     """
-    at = F.explode(F.expr("sequence(1, length(label))")).alias("a")
-    pieces = labels.select("label", at).select(
-        "label", "a", F.explode(F.expr(f"transform(sequence(a, least(length(label), a + {MAX_PIECE} - 1)), b -> struct(b, substring(label, a, b - a + 1) as word))")).alias("p")
-    )
-    known = pieces.select("label", "a", F.col("p.b").alias("b"), F.col("p.word").alias("word")).join(counts, "word")
+    lengths = counts.agg(F.sort_array(F.collect_set(F.length("word"))).alias("n")).first()["n"]  # lengths of words: a short list, however many words
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    at = labels.select("label", F.explode(sizes).alias("n")).where("n <= length(label)").select("label", "n", F.explode(F.expr("sequence(1, length(label) - n + 1)")).alias("a"))
+    pieces = at.select("label", "a", (F.col("a") + F.col("n") - 1).alias("b"), F.expr("substring(label, a, n)").alias("word"))
+    known = pieces.join(counts, "word")
     found = known.groupBy("label").agg(F.collect_list(F.struct("a", "b", F.log(F.col("n") / total).alias("p"))).alias("known"))
     base = math.log(10 / total)
 
@@ -111,14 +112,28 @@ def split_labels(labels: DataFrame, counts: DataFrame, total: float) -> DataFram
     return labels.join(found, "label", "left").select("label", "known").mapInArrow(run, "label string, words array<string>")
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, spam_words=SPAM_WORDS, host_words=HOST_WORDS, alpha: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, spam_words=SPAM_WORDS, host_words=HOST_WORDS, alpha: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """Per row of pages: (id, host, path, rule, verdict, log_odds).
 
-    verdict is the rule's; without one it is block where the log odds of naive
+    labelled: URLs of pages that are known, as (url, blocked boolean); without it,
+    weak labels serve. A URL labelled either way is blocked. verdict is the rule's; without one it is block where the log odds of naive
     Bayes (add-alpha) are over 0, else allow. log_odds is null for a URL without
-    words, which is allowed; so are nulls. Repeated rows are judged alike, and an
-    empty table gives an empty table.
+    words, which is allowed; so are nulls and empty URLs. Repeated rows are judged
+    alike, ties of rules go to the first of equal length, and an empty table
+    gives an empty table.
     """
+    return _judged(pages, id_col, url_col, rules, spam_words, host_words, alpha, labelled)[0]
+
+
+def held_out(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
+    """(spam, blocked, urls) over the URLs of hosts that no example came from: weak label, verdict of naive Bayes, number of distinct URLs."""
+    options = {"rules": RULES, "spam_words": SPAM_WORDS, "host_words": HOST_WORDS, "alpha": 0.5, "labelled": None} | options
+    _, scored = _judged(pages, id_col, url_col, *[options[k] for k in ("rules", "spam_words", "host_words", "alpha", "labelled")])
+    return scored.where("NOT example").groupBy("spam", (F.col("log_odds") > 0).alias("blocked")).agg(F.count("*").alias("urls"))
+
+
+def _judged(pages: DataFrame, id_col: str, url_col: str, rules, spam_words, host_words, alpha: float, labelled: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What judge() returns, and (host, path, spam, example, log_odds) of every distinct URL."""
     rows = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")), "url")
     rule, says = rule_of(rules)
     rows = rows.select("id", "host", "path", rule.alias("rule"), says.alias("says"))
@@ -142,34 +157,41 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host_words_of = cut(
         labels.join(splits, "label").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("words"))
     )
-    spam = F.arrays_overlap("words", F.array(*[F.lit(w) for w in spam_words]))
-    examples = urls.join(host_words_of.withColumn("spam", spam), "host", "left")
+    spam = F.coalesce(F.arrays_overlap("words", F.array(*[F.lit(w) for w in spam_words])), F.lit(False))
+    examples = urls.join(host_words_of, "host", "left")
+    if labelled is None:
+        examples = examples.withColumn("spam", spam).withColumn("example", F.crc32("host") % 5 != 0)
+    else:
+        known = with_parts(labelled.select(F.col("url").cast("string").alias("url"), F.col("blocked").alias("spam")).where("spam is not null"), "url").groupBy("host", "path").agg(F.bool_or("spam").alias("spam"))
+        examples = examples.join(known, ["host", "path"], "left").withColumn("example", F.col("spam").isNotNull()).withColumn("spam", F.coalesce("spam", F.lit(False)))
     # Numbers in paths are pages, not words: they count as one.
     tokens = F.concat(
         F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w)),
         F.transform(_tokens(F.col("path")), lambda w: F.concat(F.lit("p:"), F.regexp_replace(w, r"^\p{N}+$", "#"))),
     )
-    examples = examples.select("host", "path", "rows", F.coalesce("spam", F.lit(False)).alias("spam"), tokens.alias("tokens"))
+    examples = examples.select("host", "path", "rows", "spam", "example", tokens.alias("tokens"))
     by_word = (
-        examples.select("spam", "rows", F.explode("tokens").alias("token"))
+        examples.where("example").select("spam", "rows", F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(F.sum(F.when(F.col("spam"), F.col("rows")).otherwise(0)).alias("bad"), F.sum(F.when(~F.col("spam"), F.col("rows")).otherwise(0)).alias("good"))
     )
     by_word = cut(by_word)
     sums = by_word.agg(F.count("*").alias("v"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    classes = examples.agg(F.sum(F.when(F.col("spam"), F.col("rows")).otherwise(0)).alias("bad"), F.sum("rows").alias("all")).first()
+    classes = examples.where("example").agg(F.sum(F.when(F.col("spam"), F.col("rows")).otherwise(0)).alias("bad"), F.sum("rows").alias("all")).first()
     bad, all_ = float(classes["bad"] or 0), float(classes["all"] or 0)
     prior = math.log((bad + alpha) / (all_ - bad + alpha))
     v = (sums["v"] or 0) + 1
     odds = F.log((F.col("bad") + alpha) / ((sums["bad"] or 0) + alpha * v)) - F.log((F.col("good") + alpha) / ((sums["good"] or 0) + alpha * v))
     scored = (
         examples.select("host", "path", F.explode("tokens").alias("token"))
-        .join(by_word.select("token", odds.alias("odds")), "token")
+        .join(by_word.select("token", odds.alias("odds")), "token", "left")
+        .select("host", "path", F.coalesce("odds", F.lit(0.0)).alias("odds"))  # a word that no example has says nothing
         .groupBy("host", "path")
         .agg((F.sum("odds") + prior).alias("log_odds"))
     )
+    judged = examples.select("host", "path", "spam", "example").join(scored, ["host", "path"], "left")
     verdict = F.coalesce("says", F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    return rows.join(scored, ["host", "path"], "left").select("id", "host", "path", "rule", verdict.alias("verdict"), F.round("log_odds", 9).alias("log_odds"))
+    return rows.join(scored, ["host", "path"], "left").select("id", "host", "path", "rule", verdict.alias("verdict"), F.round("log_odds", 9).alias("log_odds")), judged
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -159,3 +159,51 @@ def test_banded_alignment_is_the_longest(seed):
     pairs = license_scan.banded(text, template, -12, 40)
     assert all(text[i] == template[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
     assert len(pairs) == longest_common(text.tolist(), template.tolist())
+
+
+def test_url_words_of_any_length_and_given_labels(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    counts = spark.createDataFrame([(long, 5), ("cure", 9)], "word string, n long")
+    got = {r["label"]: r["words"] for r in url_filter.split_labels(spark.createDataFrame([(long + "cure",), ("x" * 5000,)], "label string"), counts, 100.0).collect()}
+    assert got == {long + "cure": [long, "cure"], "x" * 5000: ["x" * 5000]}
+    urls = [f"http://{kind}{k}.test/{path}/{k}" for k in range(30) for kind, path in (("good", "news"), ("bad", "win"))]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    known = spark.createDataFrame([(u, "bad" in u) for u in urls[:30]] + [("http://x.test/", None)], "url string, blocked boolean")
+    got = {r["id"]: r["verdict"] for r in url_filter.judge(df, rules=(), labelled=known).collect()}
+    assert got == {k: "block" if "bad" in u else "allow" for k, u in enumerate(urls)}
+
+
+def test_hosts_without_examples_are_judged(spark):
+    """Verdicts on hosts that no example came from, planted among ordinary ones."""
+    urls = [f"http://{'casino' if k % 6 == 0 else 'garden'}{chr(97 + k % 26)}{chr(97 + k // 26)}.test/{'bonus' if k % 6 == 0 else 'plants'}/{k}" for k in range(240)]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {(r["spam"], r["blocked"]): r["urls"] for r in url_filter.held_out(df).collect()}
+    assert set(got) == {(True, True), (False, False)} and sum(got.values()) > 25
+
+
+def judged_by_hand(urls, rules):
+    """Host, path and the longest rule that fits, character by character."""
+    out = []
+    for u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        tail = rest[cut:]
+        path = tail[: min([tail.index(c) for c in "?#" if c in tail] or [len(tail)])]
+        fits = [r for r in rules if (host == r[0].split("/")[0] or host.endswith("." + r[0].split("/")[0])) and path.startswith("/" + r[0].split("/", 1)[1])]
+        out.append((host, path, max(fits, key=lambda r: len(r[0]))[0] if fits else None))
+    return out
+
+
+def test_url_parts_and_rules_against_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    urls = [None, "", "://", "x"] + [
+        r.choice(["http://", "HTTPS://", "", "://"]) + r.choice(["", "a.", "B.İ."]) + r.choice(["example", "Example", "x"]) + r.choice([".com", ".net", ".org", ".COM:80", "com"])
+        + r.choice(["", "/", "/en/", "/en/7", "/de/8x", "/es/" + "y" * 20_000]) + r.choice(["", "?a=/en/", "#/de/", "?x#y"])
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {x["id"]: (x["host"], x["path"], x["rule"]) for x in url_filter.judge(df).collect()}
+    assert [got[k] for k in range(len(urls))] == judged_by_hand(urls, url_filter.RULES)
