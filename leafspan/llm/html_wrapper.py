@@ -23,99 +23,156 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
+# A quoted value that runs on over tags up to the next tag's "=" was never closed: then the tag ends at its first ">".
+_VALUES = r"(?:[^>\"']++|\"(?![^\"]*>[^\"]*<[a-zA-Z][^\"<>]*=\s*\")[^\"]*+\"|'(?![^']*>[^']*<[a-zA-Z][^'<>]*=\s*')[^']*+')*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\2\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)",
-    re.S | re.I,
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:({_VALUES})>|([^>]*)(?:>|\Z))|([^<]+|<)",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-# Elements without an end, elements inside a block, and what isn't main text.
+# Elements without an end, elements whose content is no text, elements inside a block, and what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template textarea svg iframe title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-ASIDE_TAGS = frozenset("nav header footer aside form button select option menu dialog head figure object audio video canvas fieldset".split())
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|aside|widget\w*"
-    r"|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comment\w*|respond|reply|disqus\w*|pagination|pager|login|signup|search)(?:$|[\s_-])",
-    re.I,
+ASIDE_TAGS = frozenset("nav header footer aside form button select option menu dialog head object audio video canvas fieldset".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar".split())
+
+# Words of class names and ids. ASIDE_WORDS say by themselves that a part isn't main text; WEAK_WORDS do
+# only where no word but FRAME_WORDS stands beside them; inside an article that, or OWNER_WORDS, is asked of all.
+ASIDE_WORDS = frozenset(
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion "
+    "banner banners cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription comment comments respond disqus pagination pager login signup signin".split()
 )
+WEAK_WORDS = frozenset("ad ads adv header related recommended recommendations recommend notice notices share sharing social search widget widgets reply replies discussion".split())
+FRAME_WORDS = frozenset(
+    "site page top bottom left right side global main box bar block list items item links link posts articles stories news content contents container wrapper wrap inner outer area section unit slot label "
+    "button buttons icon icons form field row col column group panel primary secondary first last new more also you may like sticky fixed small large responsive mobile desktop".split()
+)
+OWNER_WORDS = frozenset("article post entry blog story reader readers user users visitor visitors your the".split())
 MAIN_TAGS = frozenset(("article", "main"))
 # Distinct pages that a constant stands on at least.
 LEAST_PAGES = 3
 
 
+def _aside_name(value: str, inside: bool, title_like: bool) -> bool:
+    """Whether a class, an id or a label names a part outside the main text; inside: within an article; title_like: of a section or heading."""
+    for token in value.split():
+        words = {w.lower() for w in _PARTS.findall(token)}
+        strong = {w for w in words if w in ASIDE_WORDS or w.endswith(("comments", "sidebar", "navbar", "breadcrumbs"))}
+        weak = words & WEAK_WORDS
+        rest = {w for w in words - strong - weak - FRAME_WORDS if not w.isdigit()}
+        if strong and (not inside or not rest - OWNER_WORDS):
+            return True
+        if weak and not rest and not (title_like and inside):
+            return True
+    return False
+
+
 class _Place:
-    """Open elements: their tags and whether they, or one around them, look like (1) or are hidden and so lie (2) outside the main text."""
+    """Open elements: their tags, the place's number, and whether they, or one around them, look like (1) or are hidden and so lie (2) outside the main text."""
 
     def __init__(self):
-        self.open: list[tuple[str, int, bool]] = []
+        self.open: list[tuple[str, int, bool, str]] = []
+        self.times: dict[str, int] = {}
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             return
-        aside = int(tag in ASIDE_TAGS and not (tag == "header" and any(m for *_, m in self.open[-1:])))
+        above = self.open[-1] if self.open else ("", 0, False, "")
+        inside = above[2]
+        aside = int(tag in ASIDE_TAGS and not (tag == "header" and inside))
         if attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
-                value = value.strip("\"'")
-                name = name.lower()
+                value, name = value.strip("\"'"), name.lower()
                 if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     aside = 2
-                elif not aside and name in ("class", "id", "role", "aria-label") and tag not in ("html", "body", "article", "main") and ASIDE_NAMES.search(value):
-                    aside = 1
-        if tag == "p" or tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
+                elif aside or tag in ("html", "body", "article", "main"):
+                    continue
+                elif name == "role":
+                    aside = int(value.lower() in ASIDE_ROLES)
+                elif name in ("class", "id", "aria-label"):
+                    aside = int(_aside_name(html.unescape(value), inside, tag in ("section", "h1", "h2", "h3", "h4", "h5", "h6")))
+        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
             self._imply(tag)
-        above = self.open[-1] if self.open else ("", 0, False)
-        self.open.append((tag, max(above[1], aside), above[2] or tag in MAIN_TAGS))
+            above = self.open[-1] if self.open else ("", 0, False, "")
+        # A place is the number of its block tags from the root, so a deep one is no longer than others.
+        place = above[3] if tag in INLINE else f"{tag}.{xxhash.xxh64_hexdigest(above[3] + '/' + tag)}"
+        self.open.append((tag, max(above[1], aside), above[2] or tag in MAIN_TAGS, place))
+        self.times[tag] = self.times.get(tag, 0) + 1
+
+    def _cut(self, k: int) -> None:
+        for tag, *_ in self.open[k:]:
+            self.times[tag] -= 1
+        del self.open[k:]
 
     def _imply(self, tag: str) -> None:
         """A new paragraph or item ends an open one of its kind, with the inline elements in it."""
-        for k in range(len(self.open) - 1, -1, -1):
+        for k in range(len(self.open) - 1, -1, -1) if self.times.get(tag) else ():
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self._cut(k)
                 return
             if self.open[k][0] not in INLINE:
                 return
 
     def end(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
+        for k in range(len(self.open) - 1, -1, -1) if self.times.get(tag) else ():
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self._cut(k)
                 return
             if self.open[k][0] in MAIN_TAGS | {"nav", "aside", "footer", "form"} and tag in INLINE | {"p", "div"}:
                 return  # a stray end tag doesn't close a section
 
     def slot(self) -> str:
-        """The place as the wrapper knows it: block tags from the root, + in the main part, - outside the text, ~ hidden."""
-        tags = [t for t, *_ in self.open if t not in INLINE]
-        above = self.open[-1] if self.open else ("", 0, False)
-        return "/".join(tags) + ("~" if above[1] > 1 else "-" if above[1] else "+" if above[2] else "")
+        """The place as the wrapper knows it: a number of its block tags, + in the main part, - outside the text, ~ hidden."""
+        above = self.open[-1] if self.open else ("", 0, False, "")
+        return above[3] + ("~" if above[1] > 1 else "-" if above[1] else "+" if above[2] else "")
+
+
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
 def read(page: str) -> Iterator[tuple[str, str]]:
-    """(slot, text) of the texts of a page, and (slot, "\\n") where a block begins or ends."""
-    place = _Place()
-    for m in _TOKEN.finditer(page):
+    """(slot, text) of the texts of a page, and (slot, "\\n") where a block begins or ends.
+
+    An element that closes itself (<x/>) is empty. One whose content is no text
+    goes with it; without an end it is a tag alone, but for scripts and styles,
+    which reach to the end of the page.
+    """
+    place, at, endless = _Place(), 0, set()
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         if m[6] is not None:
             yield place.slot(), " " if m[6] == "\n" else m[6]
         elif m[1] is not None:
             yield place.slot(), m[1].replace("&", "&amp;")
-        elif m[4] is not None:
-            tag = m[4].lower()
+        elif m[3] is not None:
+            tag, attributes = m[3].lower(), m[4] if m[4] is not None else m[5]
             if tag not in INLINE or tag == "br":
                 yield place.slot(), "\n"
-            if m[3]:
+            if m[2]:
                 place.end(tag)
+            elif attributes.rstrip().endswith("/"):
+                continue
+            elif tag in RAW:
+                end = None if tag in endless else _ENDS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
             else:
-                place.start(tag, m[5])
-                if m[5].rstrip().endswith("/") and tag not in VOID and place.open and place.open[-1][0] == tag and tag in ("svg", "path"):
-                    place.end(tag)
+                place.start(tag, attributes)
 
 
 def _number(text: str) -> int:
@@ -228,10 +285,13 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
     """
     bare = lambda s: s.rstrip("\x01\x02")
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    numbers = {x: k for k, x in enumerate({bare(x) for x in (*a, *b)})}
+    left, right = [numbers[bare(x)] for x in a], np.array([numbers[bare(x)] for x in b], np.int64)
+    # Longest common subsequences of what follows, a row at a time; running maxima from the right fill a row in.
+    best = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if bare(a[i]) == bare(b[j]) else max(best[i + 1][j], best[i][j + 1])
+        row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (right == left[i]))
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out: list[str] = []
 
     def put(slot: str, marks: str) -> None:
@@ -242,7 +302,7 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
         if i < n and j < m and bare(a[i]) == bare(b[j]):
             put(a[i], a[i][len(bare(a[i])) :] + b[j][len(bare(b[j])) :])
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+        elif j == m or (i < n and best[i + 1, j] >= best[i, j + 1]):
             put(a[i], a[i][len(bare(a[i])) :] + "\x02")
             i += 1
         else:
@@ -261,8 +321,12 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([table["host"][0].as_py()], pa.string()), "slots": pa.array([list(merged or ())], pa.list_(pa.string())), "n": pa.array([n], pa.int64())})
 
 
-def wrappers(pages: DataFrame, parts: int = 16, broadcast_rows: int = 20_000) -> DataFrame:
-    """(host, slots, n): the wrapper of every host, over the table (host, html)."""
+def wrappers(pages: DataFrame, most: int = 256, broadcast_rows: int = 20_000) -> DataFrame:
+    """(host, slots, n): the wrapper of every host, over the table (host, html).
+
+    A task merges about most expressions: a host's are dealt into so many parts,
+    in two rounds, that a host of most**3 expressions has no larger task.
+    """
     fixed = cut(constants(pages))
     small = fixed.limit(broadcast_rows + 1).count() <= broadcast_rows
 
@@ -278,9 +342,12 @@ def wrappers(pages: DataFrame, parts: int = 16, broadcast_rows: int = 20_000) ->
 
     kind = "host string, slots array<string>, n bigint"
     one_each = pages.select("host", "html").join(F.broadcast(fixed) if small else fixed, "host", "left").select("host", "html", "texts").mapInArrow(run, kind).groupBy("host", "slots").agg(F.sum("n").alias("n"))
-    salted = one_each.withColumn("salt", F.pmod(F.xxhash64("slots"), F.lit(parts)))
-    partial = salted.groupBy("host", "salt").applyInArrow(_merge, kind)
-    return partial.groupBy("host").applyInArrow(_merge, kind)
+    counts = one_each.groupBy("host").agg(F.count("*").alias("k"))
+    salted = one_each.join(counts, "host").select("host", "slots", "n", F.pmod(F.xxhash64("slots"), F.ceil(F.col("k") / most)).alias("salt"))
+    partial = cut(salted.groupBy("host", "salt").applyInArrow(_merge, kind))
+    again = partial.groupBy("host").agg(F.count("*").alias("k"))
+    salted = partial.join(again, "host").select("host", "slots", "n", F.pmod(F.xxhash64("slots"), F.ceil(F.col("k") / most)).alias("salt"))
+    return salted.groupBy("host", "salt").applyInArrow(_merge, kind).groupBy("host").applyInArrow(_merge, kind)
 
 
 def main_slots(slots: list[str]) -> set[str]:
@@ -317,8 +384,9 @@ def text_of(page: str, wanted: set[str], fixed: set[int] = frozenset()) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 20_000) -> DataFrame:
     """Per row of pages: (id, url, text, n_chars); text is empty where there is none.
 
-    Null pages are empty ones, and pages with a null url share a wrapper; the
-    same holds for repeated rows, which are extracted alike. The wrappers are
+    Null and empty pages have an empty text, and pages with a null url share a
+    wrapper; the same holds for repeated rows, which are extracted alike. An
+    empty table gives an empty table. The wrappers are
     broadcast if they are at most broadcast_rows, else joined by host.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"://([^/?#]*)", 1)), F.lit(""))
