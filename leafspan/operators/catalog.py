@@ -26,17 +26,22 @@ def best_matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> D
     """(pair, pre, other_pre, similarity): for each section of left the most similar title of right, over a threshold.
 
     left and right: (pair, pre, title). Equal titles give 1, others the Jaccard
-    of their words; only titles with a word in common meet, through the word.
+    of their words. Two titles above the threshold share one of the first words of
+    either in any fixed order, if as many come first as the threshold lets
+    differ, and one more. Long words, the rarer ones, come first: titles meet
+    through these, never through words that all have.
     """
     words = lambda t: F.array_distinct(F.array_remove(F.split(F.lower(F.trim(t)), " "), ""))
-    a = left.select("pair", "pre", F.lower(F.trim("title")).alias("t"), words(F.col("title")).alias("w"))
-    b = right.select("pair", F.col("pre").alias("other_pre"), F.lower(F.trim("title")).alias("ot"), words(F.col("title")).alias("ow"))
-    met = a.withColumn("word", F.explode("w")).join(b.withColumn("word", F.explode("ow")), ["pair", "word"])
-    # One row a pair of titles and shared word: the count is the intersection.
-    near = met.groupBy("pair", "pre", "other_pre").agg(F.count("*").alias("n"), F.first(F.size("w")).alias("na"), F.first(F.size("ow")).alias("nb"), F.first(F.col("t") == F.col("ot")).alias("same"))
-    scored = near.withColumn("similarity", F.when(F.col("same"), 1.0).otherwise(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))).where(F.col("similarity") > threshold)
-    first = F.row_number().over(W.partitionBy("pair", "pre").orderBy(F.desc("similarity"), "other_pre"))
-    return scored.withColumn("rn", first).where("rn = 1").select("pair", "pre", "other_pre", "similarity")
+    ordered = lambda w: F.transform(F.sort_array(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"])
+    first = lambda w: F.slice(w, 1, F.size(w) - F.floor(F.size(w) * threshold).cast("int"))
+    a = left.select("pair", "pre", F.lower(F.trim("title")).alias("t"), ordered(words(F.col("title"))).alias("w"))
+    b = right.select("pair", F.col("pre").alias("other_pre"), F.lower(F.trim("title")).alias("ot"), ordered(words(F.col("title"))).alias("ow"))
+    met = a.withColumn("word", F.explode(first(F.col("w")))).join(b.withColumn("word", F.explode(first(F.col("ow")))), ["pair", "word"])
+    both = F.size(F.array_intersect("w", "ow"))
+    score = F.when(F.col("t") == F.col("ot"), 1.0).otherwise(both / (F.size("w") + F.size("ow") - both))
+    scored = met.select("pair", "pre", "other_pre", score.alias("similarity")).where(F.col("similarity") > threshold)
+    # Titles that share several words meet several times, with one result.
+    return scored.groupBy("pair", "pre").agg(F.max(F.struct("similarity", (-F.col("other_pre")).alias("o"))).alias("best")).select("pair", "pre", (-F.col("best.o")).alias("other_pre"), F.col("best.similarity").alias("similarity"))
 
 
 def newest(df: DataFrame, key: str, n: int, *order) -> DataFrame:

@@ -15,6 +15,63 @@ def siblings():
     return W.partitionBy("doc_id", "parent_pos").orderBy("pre")
 
 
+def deepest(df: DataFrame, column: str = "depth") -> int:
+    """The greatest depth in df: one job, one number. Trees of any depth are asked for theirs."""
+    return int(df.agg(F.max(column)).first()[0] or 1)
+
+
+def structure_codes(items: DataFrame, max_level: int | None = None, key: str = "doc_id", order: str = "list_index", level: str = "level") -> DataFrame:
+    """Adds the dotted code of every item of a list of levels: counters that shallower levels restart.
+
+    Absent levels aren't in the code. A counter is what has been seen of its
+    level, less what had been at the last shallower item: one sort a document for all.
+    """
+    levels = range(1, (max_level or deepest(items, level)) + 1)
+    so_far = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    df = items.withColumn("_seen", F.array(*[F.sum((F.col(level) == n).cast("int")).over(so_far) for n in levels]))
+    df = df.withColumn("_before", F.array(*[F.last(F.when(F.col(level) < n, F.col("_seen")[n - 1]), ignorenulls=True).over(so_far) for n in levels]))
+    count = [F.col("_seen")[n - 1] - F.coalesce(F.col("_before")[n - 1], F.lit(0)) for n in levels]
+    parts = [F.when((F.col(level) >= n) & (c > 0), c.cast("string")) for n, c in zip(levels, count, strict=True)]
+    return df.withColumn("structure", F.concat_ws(".", *parts)).drop("_seen", "_before")
+
+
+def _above(max_depth: int, *columns: str) -> Column:
+    """For each depth but the last, the last earlier row that is no deeper, as a struct of columns; those of smaller depth than the row's are its ancestors."""
+    before = by_doc().rowsBetween(W.unboundedPreceding, -1)
+    found = [F.last(F.when(F.col("depth") <= d, F.struct(*columns)), ignorenulls=True).over(before) for d in range(1, max_depth)]
+    return F.array(*found) if found else F.array().cast("array<struct<" + ",".join(f"{c}:int" for c in columns) + ">>")
+
+
+def _after(max_depth: int, *columns: str) -> Column:
+    """The first later row that isn't below this one, as a struct of columns; null for none. Runs backwards, so that no frame is read twice."""
+    later = W.partitionBy("doc_id").orderBy(F.desc("pre")).rowsBetween(W.unboundedPreceding, -1)
+    return F.get(F.array(*[F.last(F.when(F.col("depth") <= d, F.struct(*columns)), ignorenulls=True).over(later) for d in range(1, max_depth + 1)]), F.col("depth") - 1)
+
+
+def parents(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Adds parent_pos: the nearest row before with a smaller depth."""
+    df = nodes.withColumn("_above", _above(max_depth or deepest(nodes), "pre"))
+    return df.withColumn("parent_pos", F.when(F.col("depth") > 1, F.get("_above", F.col("depth") - 2)["pre"])).drop("_above")
+
+
+def end_pages(nodes: DataFrame, totals: DataFrame | None = None, max_leaf: int = 2, max_depth: int | None = None) -> DataFrame:
+    """Adds end_page. nodes: (doc_id, pre, parent_pos, depth, start_page) and total_pages, or totals: (doc_id, total_pages).
+
+    A leaf ends where its next sibling starts; a last leaf at its boundary, where
+    what follows its parent starts, or after max_leaf pages, a last root leaf with
+    the document. An inner node ends with its last child: the nodes that end at
+    one row are a chain, along which a running maximum goes up.
+    """
+    df = nodes.join(totals, "doc_id") if totals is not None else nodes
+    backwards = W.partitionBy("doc_id").orderBy(F.desc("pre"))
+    df = df.withColumn("_next", _after(max_depth or deepest(nodes), "pre", "parent_pos", "start_page")).withColumn("_inner", F.coalesce(F.lag("depth").over(backwards) > F.col("depth"), F.lit(False)))
+    sibling = F.when(F.col("_next").isNotNull() & F.col("_next.parent_pos").eqNullSafe(F.col("parent_pos")), F.col("_next.start_page"))
+    last = F.when(F.col("depth") == 1, F.col("total_pages")).otherwise(F.least(F.coalesce(F.col("_next.start_page") - 1, F.col("total_pages")), F.col("start_page") + max_leaf - 1))
+    df = df.withColumn("_end", F.when(F.col("_inner"), F.col("start_page")).otherwise(F.greatest(F.coalesce(sibling, last), "start_page"))).withColumn("_until", F.coalesce("_next.pre", F.lit(-1)))
+    chain = W.partitionBy("doc_id", "_until").orderBy(F.desc("pre")).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("end_page", F.max("_end").over(chain)).drop("_next", "_inner", "_end", "_until", "total_pages")
+
+
 def promote_chapters(outline: DataFrame) -> DataFrame:
     """(doc_id, pos, level, title, page) with invalid titles dropped, chapters on level 1, repeated chapters
     dropped with what is below them, and appendices after a chapter on level 2."""
@@ -42,14 +99,10 @@ def exact_parents(items: DataFrame) -> DataFrame:
     return items.join(found, ["doc_id", "list_index"], "left").drop("parent_code")
 
 
-def hierarchical_ids(nodes: DataFrame, max_depth: int = 3) -> DataFrame:
+def hierarchical_ids(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Adds id: 1, 1.1, 1.1.1 by the order of siblings."""
-    df = nodes.withColumn("rank", F.row_number().over(siblings()).cast("string")).withColumn("id", F.when(F.col("parent_pos").isNull(), F.col("rank")))
-    for _ in range(max_depth - 1):
-        up = df.where("id is not null").select("doc_id", F.col("pre").alias("parent_pos"), F.col("id").alias("up_id"))
-        df = df.join(up, ["doc_id", "parent_pos"], "left").withColumn("id", F.coalesce("id", F.concat_ws(".", F.when(F.col("up_id").isNotNull(), F.col("up_id")), F.when(F.col("up_id").isNotNull(), F.col("rank"))))).drop("up_id")
-        df = df.withColumn("id", F.nullif("id", F.lit("")))
-    return df.drop("rank")
+    ranked = nodes.withColumn("_rank", F.row_number().over(siblings()).cast("string"))
+    return paths(ranked, max_depth, "_rank", "_ranks").withColumn("id", F.array_join("_ranks", ".")).drop("_rank", "_ranks")
 
 
 def sequential_ids(nodes: DataFrame) -> DataFrame:
@@ -63,24 +116,26 @@ def flatten(nodes: DataFrame, max_depth: int = 3, max_nodes: int = 100) -> DataF
     return top.join(kids, ["doc_id", "pre"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
 
 
-def paths(nodes: DataFrame, max_depth: int = 3, column: str = "node_id") -> DataFrame:
-    """Adds path: the column's values from the root to the node."""
-    df = nodes.withColumn("path", F.when(F.col("parent_pos").isNull(), F.array(column)))
-    for _ in range(max_depth - 1):
-        up = df.where("path is not null").select("doc_id", F.col("pre").alias("parent_pos"), F.col("path").alias("up"))
-        df = df.join(up, ["doc_id", "parent_pos"], "left").withColumn("path", F.coalesce("path", F.when(F.col("up").isNotNull(), F.array_append("up", F.col(column))))).drop("up")
-    return df
+def paths(nodes: DataFrame, max_depth: int | None = None, column: str = "node_id", out: str = "path") -> DataFrame:
+    """Adds the column's values from the root to the node."""
+    max_depth = max_depth or deepest(nodes)
+    df = nodes.withColumn("_above", _above(max_depth, "depth", column))
+    up = [F.when((F.col("depth") > d) & (F.col("_above")[d - 1]["depth"] == d), F.col("_above")[d - 1]) for d in range(1, max_depth)]
+    above = F.transform(F.filter(F.array(*up), lambda x: x.isNotNull()), lambda x: x[column]) if up else F.array().cast(f"array<{nodes.schema[column].dataType.simpleString()}>")
+    return df.withColumn(out, F.concat(above, F.array(column))).drop("_above")
 
 
-def subtree_ends(nodes: DataFrame) -> DataFrame:
+def subtree_ends(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Adds last_pre: where the node's subtree ends in preorder. One range of pre is a subtree."""
-    df = nodes
-    ends = F.lit(None).cast("int")
-    after = W.partitionBy("doc_id").orderBy("pre").rowsBetween(1, W.unboundedFollowing)
-    for d in (1, 2, 3):
-        df = df.withColumn(f"_x{d}", F.first(F.when(F.col("depth") <= d, F.col("pre")), ignorenulls=True).over(after))
-        ends = F.when(F.col("depth") == d, F.col(f"_x{d}")).otherwise(ends)
-    return df.withColumn("last_pre", F.coalesce(ends - 1, F.max("pre").over(W.partitionBy("doc_id")))).drop("_x1", "_x2", "_x3")
+    later = _after(max_depth or deepest(nodes), "pre")["pre"]
+    return nodes.withColumn("_later", later).withColumn("last_pre", F.coalesce(F.col("_later") - 1, F.max("pre").over(W.partitionBy("doc_id")))).drop("_later")
+
+
+def rollup(nodes: DataFrame, value: str = "tokens", max_depth: int | None = None) -> DataFrame:
+    """Adds last_pre and subtree, the sum of a value (0 or more) over the node and all below it: a difference of running sums, no join."""
+    df = subtree_ends(nodes, max_depth).withColumn("_run", F.sum(value).over(by_doc().rowsBetween(W.unboundedPreceding, 0)))
+    # Of the rows that end at one place the last is that place itself.
+    return df.withColumn("subtree", F.max("_run").over(W.partitionBy("doc_id", "last_pre")) - F.col("_run") + F.col(value)).drop("_run")
 
 
 def is_leaf() -> Column:

@@ -44,11 +44,16 @@ def neighbour_bounds(items: DataFrame, trusted, last_page) -> DataFrame:
 
 
 def relocate(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, list_index, fixed): the first page between an item's bounds that has its title; null if none does."""
-    wanted = items.where("prev_page <= next_page").select("doc_id", "list_index", "title", F.explode(F.sequence("prev_page", "next_page")).alias("page_no"))
-    hits = wanted.join(pages.select("doc_id", "page_no", "text"), ["doc_id", "page_no"]).where(T.title_in_page(F.col("title"), F.col("text")))
-    found = hits.groupBy("doc_id", "list_index").agg(F.min("page_no").alias("fixed"))
-    return items.select("doc_id", "list_index").join(found, ["doc_id", "list_index"], "left")
+    """(doc_id, list_index, fixed): the first page between an item's bounds that has its title; null if none does.
+
+    A document's pages and its items are an array each and meet once, so a page's
+    text is neither repeated for its items nor stripped of white space for each.
+    """
+    texts = pages.select("doc_id", F.struct("page_no", "text", T.title_key(F.col("text"), False).alias("key")).alias("p")).groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("pages"))
+    wanted = items.select("doc_id", F.struct("list_index", "title", T.title_key(F.col("title"), False).alias("key"), "prev_page", "next_page").alias("i")).groupBy("doc_id").agg(F.collect_list("i").alias("items"))
+    has = lambda i, p: p["page_no"].between(i["prev_page"], i["next_page"]) & (F.contains(p["text"], i["title"]) | F.contains(p["key"], i["key"]))
+    found = F.transform("items", lambda i: F.struct(i["list_index"].alias("list_index"), F.get(F.filter("pages", lambda p: has(i, p)), F.lit(0))["page_no"].alias("fixed")))
+    return wanted.join(texts, "doc_id", "left").select("doc_id", F.inline(found))
 
 
 def fill_mapping(left: DataFrame, right: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -47,7 +47,7 @@ def s3(spark, d):
 def s5(spark, d):
     from leafspan.sources.trees import nested_trees
 
-    return nested_trees(D.nodes(spark, d))
+    return nested_trees(D.nodes(spark, d), D.LEVELS)
 
 
 BACKUPS = "backups AS (SELECT o_orderkey AS backup_id, o_custkey AS doc_id, o_orderdate AS created_at FROM orders)"
@@ -277,9 +277,9 @@ def t4(spark, d):
 
 @query("e15_set_members", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS is_primary FROM documents WHERE doc_id % 7 <> 0")
 def e15(spark, d):
-    """Sets by source; removing a primary document promotes the next one."""
-    left = D.table(spark, d, "documents").where("doc_id % 7 <> 0")
-    return left.select("source", "doc_id", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) == 1).alias("is_primary"))
+    """Sets by source; removing a primary document promotes the next one: the smallest id a set, found before the shuffle, not a sort of each set."""
+    left = D.table(spark, d, "documents").where("doc_id % 7 <> 0").select("source", "doc_id")
+    return left.join(left.groupBy("source").agg(F.min("doc_id").alias("first")), "source").select("source", "doc_id", (C("doc_id") == C("first")).alias("is_primary"))
 
 
 @query("e17_budget_upsert", sql("SELECT entry_id, CASE WHEN rn = 1 AND document_id % 2 = 0 THEN 42.5 ELSE budget END AS budget FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY start_date, entry_id) AS rn FROM timeline)", "timeline"))

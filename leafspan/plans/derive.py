@@ -8,11 +8,13 @@ position. Each function has its twin among the common table expressions of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafspan.functions import text as T
+from leafspan.operators import hierarchy as H
 
 PAGE_LINES = 2
+LEVELS = 5  # of the derived trees
 MAX_LEAF = 2  # pages of a last leaf, so that gaps are left
 
 
@@ -20,87 +22,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def paged(docs: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
+    """(doc_id, page_no, text, total_pages): so many lines make a page. No shuffle: pages come from the row's own array."""
+    split = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("l")).withColumn("total_pages", F.expr(f"cast(ceil(size(l) / {lines}) as int)"))
+    pages = F.expr(f"transform(sequence(1, total_pages), p -> array_join(slice(l, (p - 1) * {lines} + 1, {lines}), '\\n'))")
+    return split.select("doc_id", "total_pages", F.posexplode(pages).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page_no"), "text", "total_pages")
+
+
 def pages_of(docs: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
-    """(doc_id, page_no, text, tokens): so many lines make a page. No shuffle: pages come from the row's own array."""
-    split = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
-    pages = F.expr(f"transform(sequence(1, cast(ceil(size(l) / {lines}) as int)), p -> array_join(slice(l, (p - 1) * {lines} + 1, {lines}), '\\n'))")
-    out = split.select("doc_id", F.posexplode(pages).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page_no"), "text")
-    return out.withColumn("tokens", T.estimate_tokens(F.col("text")))
+    """(doc_id, page_no, text, tokens) of paged()."""
+    return paged(docs, lines).select("doc_id", "page_no", "text", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(table(spark, sf_dir, "documents"))
 
 
-def structure_codes(items: DataFrame, max_level: int = 3, key: str = "doc_id", order: str = "list_index", level: str = "level") -> DataFrame:
-    """Adds the dotted code of every item of a list of levels: counters that deeper levels restart.
-
-    One window sort a document serves all levels; absent levels aren't in the code.
-    """
-    by = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    parts = []
-    for n in range(1, max_level + 1):
-        items = items.withColumn(f"_g{n}", F.sum((F.col(level) < n).cast("int")).over(by))
-    for n in range(1, max_level + 1):
-        count = F.sum((F.col(level) == n).cast("int")).over(W.partitionBy(key, f"_g{n}").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-        items = items.withColumn(f"_n{n}", count)
-        parts.append(F.when((F.col(level) >= n) & (F.col(f"_n{n}") > 0), F.col(f"_n{n}").cast("string")))
-    items = items.withColumn("structure", F.concat_ws(".", *parts))
-    return items.drop(*[f"_{c}{n}" for c in "gn" for n in range(1, max_level + 1)])
-
-
-def toc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, list_index, level, structure, title, page, physical_index): one item a page; every eleventh title is off."""
-    pages = doc_pages(spark, sf_dir).where("NOT (doc_id % 5 = 0 AND page_no <= 3)")
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = paged(table(spark, sf_dir, "documents")).where("NOT (doc_id % 5 = 0 AND page_no <= 3)")
     title = F.substring(F.trim(F.element_at(F.split("text", "\n"), 1)), 1, 60)
     items = pages.select(
         "doc_id",
         (F.col("page_no") - 1).alias("list_index"),
-        F.expr("cast(if(page_no = 1, 1, 1 + ((page_no - 1) * 7 + doc_id) % 3) as int)").alias("level"),
+        F.expr(f"cast(if(page_no = 1, 1, 1 + ((page_no - 1) * (1 + doc_id % 4) + doc_id) % {LEVELS}) as int)").alias("level"),
         F.when((F.col("doc_id") + F.col("page_no") - 1) % 11 == 0, F.concat(title, F.lit(" zzq"))).otherwise(title).alias("title"),
         F.expr("cast(page_no - doc_id % 4 as int)").alias("page"),
         F.col("page_no").alias("physical_index"),
+        "total_pages",
     )
-    return structure_codes(items).select("doc_id", "list_index", "level", "structure", "title", "page", "physical_index")
-
-
-def parents(items: DataFrame, key: str = "doc_id", pos: str = "list_index", depth: str = "depth", max_depth: int = 3) -> DataFrame:
-    """Adds parent_pos: the nearest item before with a smaller depth."""
-    before = W.partitionBy(key).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(depth) == d, F.col(pos)), ignorenulls=True).over(before) for d in range(1, max_depth)]
-    for d, c in enumerate(last, 1):
-        items = items.withColumn(f"_p{d}", c)
-    found: Column = F.lit(None).cast("int")
-    for d in range(2, max_depth + 1):
-        own = [F.col(f"_p{k}") for k in range(1, d)]
-        found = F.when(F.col(depth) == d, F.greatest(*own) if len(own) > 1 else own[0]).otherwise(found)
-    return items.withColumn("parent_pos", found).drop(*[f"_p{d}" for d in range(1, max_depth)])
-
-
-def end_pages(nodes: DataFrame, totals: DataFrame, max_leaf: int = MAX_LEAF, max_depth: int = 3) -> DataFrame:
-    """Adds end_page. nodes: (doc_id, pre, parent_pos, depth, start_page); totals: (doc_id, total_pages).
-
-    A leaf ends where its next sibling starts; a last leaf at its boundary or
-    after max_leaf pages, a last root leaf with the document. Boundaries go
-    down a level at a time, the ends of inner nodes come up from their last child.
-    """
-    siblings = W.partitionBy("doc_id", "parent_pos").orderBy("pre")
-    df = nodes.join(totals, "doc_id").withColumn("next_start", F.lead("start_page").over(siblings))
-    kids = df.where("parent_pos is not null").select("doc_id", F.col("parent_pos").alias("pre")).distinct().withColumn("inner", F.lit(True))
-    df = df.join(kids, ["doc_id", "pre"], "left").withColumn("boundary", F.when(F.col("depth") == 1, F.coalesce(F.col("next_start") - 1, "total_pages")))
-    for d in range(2, max_depth + 1):
-        above = df.where(F.col("depth") < d).select("doc_id", F.col("pre").alias("parent_pos"), F.col("boundary").alias("up"))
-        df = df.join(above, ["doc_id", "parent_pos"], "left")
-        df = df.withColumn("boundary", F.when(F.col("depth") == d, F.coalesce(F.col("next_start") - 1, "up")).otherwise(F.col("boundary"))).withColumn(
-            "up_boundary", F.when(F.col("depth") == d, F.col("up")).otherwise(F.col("up_boundary") if d > 2 else F.lit(None).cast("int"))
-        ).drop("up")
-    leaf_end = F.coalesce("next_start", F.when(F.col("depth") == 1, F.col("total_pages")).otherwise(F.least(F.col("up_boundary"), F.col("start_page") + max_leaf - 1)))
-    df = df.withColumn("end_page", F.when(F.col("inner").isNull(), F.greatest(leaf_end, "start_page")))
-    for d in range(max_depth - 1, 0, -1):  # the ends of all that lies deeper are known
-        last = df.where(F.col("depth") > d).groupBy("doc_id", F.col("parent_pos").alias("pre")).agg(F.max_by("end_page", "pre").alias("kid_end"))
-        own = F.when((F.col("depth") == d) & F.col("kid_end").isNotNull(), F.greatest("kid_end", "start_page"))
-        df = df.join(last, ["doc_id", "pre"], "left").withColumn("end_page", F.coalesce("end_page", own)).drop("kid_end")
-    return df.drop("next_start", "inner", "boundary", "up_boundary", "total_pages")
+    return H.structure_codes(items, LEVELS)
+
+
+def toc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, list_index, level, structure, title, page, physical_index): one item a page, on up to five levels; every eleventh title is off."""
+    return _items(spark, sf_dir).select("doc_id", "list_index", "level", "structure", "title", "page", "physical_index")
 
 
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +64,12 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, pre, node_id, parent_pos, depth, title, start_page, end_page): the section trees."""
-    items = toc_items(spark, sf_dir).select(
-        "doc_id", F.col("list_index").alias("pre"), F.col("structure").alias("node_id"), T.code_level(F.col("structure")).alias("depth"), "title", F.col("physical_index").alias("start_page")
+    """(doc_id, pre, node_id, parent_pos, depth, title, start_page, end_page): the section trees. One scan, one exchange."""
+    items = _items(spark, sf_dir).select(
+        "doc_id", F.col("list_index").alias("pre"), F.col("structure").alias("node_id"), T.code_level(F.col("structure")).alias("depth"), "title", F.col("physical_index").alias("start_page"), "total_pages"
     )
-    return end_pages(parents(items, pos="pre"), page_totals(spark, sf_dir)).select("doc_id", "pre", "node_id", "parent_pos", "depth", "title", "start_page", "end_page")
+    ended = H.end_pages(H.parents(items, LEVELS), max_leaf=MAX_LEAF, max_depth=LEVELS)
+    return ended.select("doc_id", "pre", "node_id", "parent_pos", "depth", "title", "start_page", "end_page")
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,52 +117,51 @@ SQL = {
     ),
     "toc_raw": (
         ("doc_pages",),
-        """SELECT doc_id, page_no - 1 AS list_index, CAST(CASE WHEN page_no = 1 THEN 1 ELSE 1 + ((page_no - 1) * 7 + doc_id) % 3 END AS INT) AS level,
+        f"""SELECT doc_id, page_no - 1 AS list_index, CAST(CASE WHEN page_no = 1 THEN 1 ELSE 1 + ((page_no - 1) * (1 + doc_id % 4) + doc_id) % {LEVELS} END AS INT) AS level,
         substr(trim(string_split(text, chr(10))[1]), 1, 60) || CASE WHEN (doc_id + page_no - 1) % 11 = 0 THEN ' zzq' ELSE '' END AS title,
         CAST(page_no - doc_id % 4 AS INT) AS page, page_no AS physical_index FROM doc_pages WHERE NOT (doc_id % 5 = 0 AND page_no <= 3)""",
     ),
     "toc_groups": (
         ("toc_raw",),
-        """SELECT *, sum(CAST(level < 2 AS INT)) OVER w AS g2, sum(CAST(level < 3 AS INT)) OVER w AS g3 FROM toc_raw
-        WINDOW w AS (PARTITION BY doc_id ORDER BY list_index ROWS UNBOUNDED PRECEDING)""",
+        "SELECT *, " + ", ".join(f"sum(CAST(level < {n} AS INT)) OVER (PARTITION BY doc_id ORDER BY list_index) AS g{n}" for n in range(1, LEVELS + 1)) + " FROM toc_raw",
     ),
     "toc_items": (
         ("toc_groups",),
-        """SELECT doc_id, list_index, level, concat_ws('.', CASE WHEN n1 > 0 THEN CAST(n1 AS VARCHAR) END, CASE WHEN level >= 2 AND n2 > 0 THEN CAST(n2 AS VARCHAR) END,
-        CASE WHEN level >= 3 AND n3 > 0 THEN CAST(n3 AS VARCHAR) END) AS structure, title, page, physical_index FROM (
-        SELECT *, sum(CAST(level = 1 AS INT)) OVER (PARTITION BY doc_id ORDER BY list_index ROWS UNBOUNDED PRECEDING) AS n1,
-        sum(CAST(level = 2 AS INT)) OVER (PARTITION BY doc_id, g2 ORDER BY list_index ROWS UNBOUNDED PRECEDING) AS n2,
-        sum(CAST(level = 3 AS INT)) OVER (PARTITION BY doc_id, g3 ORDER BY list_index ROWS UNBOUNDED PRECEDING) AS n3 FROM toc_groups)""",
+        "SELECT doc_id, list_index, level, concat_ws('.', "
+        + ", ".join(f"CASE WHEN level >= {n} AND n{n} > 0 THEN CAST(n{n} AS VARCHAR) END" for n in range(1, LEVELS + 1))
+        + ") AS structure, title, page, physical_index FROM (SELECT *, "
+        + ", ".join(f"sum(CAST(level = {n} AS INT)) OVER (PARTITION BY doc_id, g{n} ORDER BY list_index) AS n{n}" for n in range(1, LEVELS + 1))
+        + " FROM toc_groups)",
     ),
     "totals": ((), "SELECT doc_id, CAST((len(string_split(text, chr(10))) + 1) // 2 AS INT) AS total_pages FROM documents WHERE text IS NOT NULL"),
-    "tree": (
+    "flat": (
         ("toc_items",),
-        """SELECT *, CASE depth WHEN 2 THEN p1 WHEN 3 THEN greatest(p1, p2) END AS parent_pos FROM (
-        SELECT doc_id, list_index AS pre, structure AS node_id, CAST(len(string_split(structure, '.')) AS INT) AS depth, title, physical_index AS start_page,
-        max(CASE WHEN len(string_split(structure, '.')) = 1 THEN list_index END) OVER w AS p1, max(CASE WHEN len(string_split(structure, '.')) = 2 THEN list_index END) OVER w AS p2
-        FROM toc_items WINDOW w AS (PARTITION BY doc_id ORDER BY list_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        "SELECT doc_id, list_index AS pre, structure AS node_id, CAST(len(string_split(structure, '.')) AS INT) AS depth, title, physical_index AS start_page FROM toc_items",
+    ),
+    "tree": (
+        ("flat",),
+        """SELECT a.*, up.parent_pos FROM flat a LEFT JOIN (SELECT t.doc_id, t.pre, max(u.pre) AS parent_pos FROM flat t JOIN flat u ON u.doc_id = t.doc_id AND u.pre < t.pre AND u.depth < t.depth GROUP BY ALL) up USING (doc_id, pre)""",
     ),
     "bounded": (
         ("tree", "totals"),
         """SELECT a.*, total_pages, lead(start_page) OVER (PARTITION BY a.doc_id, parent_pos ORDER BY pre) AS next_start,
         EXISTS (SELECT 1 FROM tree k WHERE k.doc_id = a.doc_id AND k.parent_pos = a.pre) AS inner_node FROM tree a JOIN totals USING (doc_id)""",
     ),
-    "b1": (("bounded",), "SELECT doc_id, pre, coalesce(next_start - 1, total_pages) AS boundary FROM bounded WHERE depth = 1"),
-    "b2": (("bounded", "b1"), "SELECT a.doc_id, a.pre, coalesce(next_start - 1, boundary) AS boundary FROM bounded a LEFT JOIN b1 ON a.doc_id = b1.doc_id AND a.parent_pos = b1.pre WHERE depth = 2"),
-    "leaf_ends": (
-        ("bounded", "b1", "b2"),
-        f"""SELECT a.*, CASE WHEN NOT inner_node THEN greatest(start_page, coalesce(next_start, CASE WHEN depth = 1 THEN total_pages ELSE least(b.boundary, start_page + {MAX_LEAF} - 1) END)) END AS e0
-        FROM bounded a LEFT JOIN (SELECT * FROM b1 UNION ALL SELECT * FROM b2) b ON a.doc_id = b.doc_id AND a.parent_pos = b.pre""",
+    "bounds": (
+        ("bounded",),
+        """SELECT doc_id, pre, coalesce(next_start - 1, total_pages) AS boundary FROM bounded WHERE parent_pos IS NULL
+        UNION ALL SELECT a.doc_id, a.pre, coalesce(a.next_start - 1, b.boundary) FROM bounded a JOIN bounds b ON a.doc_id = b.doc_id AND a.parent_pos = b.pre""",
     ),
-    "ends3": (
-        ("leaf_ends",),
-        """SELECT a.*, coalesce(e0, CASE WHEN depth = 2 THEN greatest(k, start_page) END) AS e1 FROM leaf_ends a LEFT JOIN (
-        SELECT doc_id, parent_pos AS pre, arg_max(e0, pre) AS k FROM leaf_ends WHERE depth = 3 GROUP BY ALL) USING (doc_id, pre)""",
+    "ends": (
+        ("bounded", "bounds"),
+        f"""SELECT a.doc_id, a.pre, greatest(start_page, coalesce(next_start, CASE WHEN depth = 1 THEN total_pages ELSE least(b.boundary, start_page + {MAX_LEAF} - 1) END)) AS end_page
+        FROM bounded a LEFT JOIN bounds b ON a.doc_id = b.doc_id AND a.parent_pos = b.pre WHERE NOT inner_node
+        UNION ALL SELECT p.doc_id, p.pre, greatest(k.end_page, p.start_page) FROM ends k JOIN (SELECT doc_id, parent_pos, max(pre) AS last_kid FROM bounded WHERE parent_pos IS NOT NULL GROUP BY ALL) l
+        ON l.doc_id = k.doc_id AND l.last_kid = k.pre JOIN bounded p ON p.doc_id = l.doc_id AND p.pre = l.parent_pos""",
     ),
     "nodes": (
-        ("ends3",),
-        """SELECT a.doc_id, a.pre, node_id, parent_pos, depth, title, start_page, CAST(coalesce(e1, greatest(k, start_page)) AS INT) AS end_page FROM ends3 a LEFT JOIN (
-        SELECT doc_id, parent_pos AS pre, arg_max(e1, pre) AS k FROM ends3 WHERE depth > 1 GROUP BY ALL) USING (doc_id, pre)""",
+        ("tree", "ends"),
+        "SELECT t.doc_id, t.pre, node_id, parent_pos, depth, title, start_page, CAST(end_page AS INT) AS end_page FROM tree t JOIN ends USING (doc_id, pre)",
     ),
     "suggestions": (
         ("nodes",),
@@ -251,5 +206,5 @@ def sql(query: str, *needs: str) -> str:
 
     for name in needs:
         visit(name)
-    body = ",\n".join(f"{n} AS ({SQL[n][1].replace('{strip(title)}', strip_sql('title'))})" for n in order)
-    return f"WITH {body}\n{query}".rstrip() if body else query
+    body = ",\n".join(f"{n} AS {'' if ' UNION ALL SELECT' in SQL[n][1] else 'MATERIALIZED '}({SQL[n][1].replace('{strip(title)}', strip_sql('title'))})" for n in order)
+    return f"WITH RECURSIVE {body}\n{query}".rstrip() if body else query

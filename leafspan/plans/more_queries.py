@@ -8,7 +8,7 @@ from leafspan.functions import text as T
 from leafspan.operators import audit as A, coverage as G, hierarchy as H
 from leafspan.plans import derive as D
 from leafspan.plans.derive import sql
-from leafspan.plans.tree_queries import GAPS, J1, LEAVES, NODE_TEXT, SCORE, SUB, leaves, tsql, validated
+from leafspan.plans.tree_queries import GAPS, GROUPED, J1, LEAVES, NODE_TEXT, SCORE, SUB, leaves, rolled, tsql, validated
 
 C = F.col
 QUERIES: dict = {}
@@ -51,12 +51,9 @@ THIN = SUB + """, rolled AS (SELECT s.doc_id, s.pre, any_value(s.last_pre) AS la
 @query("w17_tree_thinning", tsql(THIN, """SELECT n.doc_id, n.pre, tokens FROM rolled n WHERE NOT EXISTS (SELECT 1 FROM rolled a WHERE a.doc_id = n.doc_id AND a.tokens < 150 AND n.pre > a.pre AND n.pre <= a.last_pre)""", "nodes", "doc_pages"))
 def w17(spark, d):
     """Nodes whose subtree has too few tokens swallow what is below them; a running maximum finds what goes."""
-    from leafspan.plans.tree_queries import w16
-
-    n = H.subtree_ends(D.nodes(spark, d)).join(w16(spark, d), ["doc_id", "pre"])
     order = W.partitionBy("doc_id").orderBy("pre").rowsBetween(W.unboundedPreceding, -1)
-    until = F.max(F.when(C("tokens") < 150, C("last_pre"))).over(order)
-    return n.withColumn("until", until).where("until is null OR pre > until").select("doc_id", "pre", "tokens")
+    until = F.max(F.when(C("subtree") < 150, C("last_pre"))).over(order)
+    return rolled(spark, d).withColumn("until", until).where("until is null OR pre > until").select("doc_id", "pre", C("subtree").alias("tokens"))
 
 
 @query("w23_section_text", tsql(LEAVES, r"""SELECT l.doc_id, l.pre, left(substr(p.text, greatest(1, instr(p.text, trim(regexp_replace(l.title, ' zzq$', ''))))), 2000) AS text FROM leaves l JOIN doc_pages p ON p.doc_id = l.doc_id AND p.page_no = l.start_page""", "nodes", "doc_pages"))
@@ -128,6 +125,9 @@ def p6(spark, d):
     return pages.groupBy("doc_id", "gap_start", F.floor((C("p") - C("gap_start")) / 2).alias("chunk")).agg(F.min("p").alias("first_page"), F.max("p").alias("last_page"))
 
 
+CAP = "CASE WHEN sum(tokens) OVER (PARTITION BY doc_id) <= {0} THEN 1099511627776 ELSE CAST((CAST(floor(sum(tokens) OVER (PARTITION BY doc_id) / ceil(sum(tokens) OVER (PARTITION BY doc_id) / {0})) AS BIGINT) + {0}) // 2 AS BIGINT) END"
+
+
 def _groups(spark, d, limit: int, overlap: int) -> DataFrame:
     """Greedy groups of pages by tokens, each starting with the last pages of the one before: a fold over a document's pages."""
     pages = D.doc_pages(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "tokens"))).alias("pages"), F.sum("tokens").alias("total"))
@@ -143,12 +143,12 @@ def _groups(spark, d, limit: int, overlap: int) -> DataFrame:
     return pages.withColumn("cap", cap).select("doc_id", F.posexplode(folded).alias("group_no", "pages"))
 
 
-@query("p2_overlapping_groups", None)
+@query("p2_overlapping_groups", tsql(GROUPED.format(cap=CAP.format(400), full="len(a.open) > 0", keep="least(1, len(a.open))"), "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS group_no, pages FROM groups", "doc_pages"))
 def p2(spark, d):
     return _groups(spark, d, 400, 1)
 
 
-@query("p3_overlapping_groups_two", None)
+@query("p3_overlapping_groups_two", tsql(GROUPED.format(cap=CAP.format(600), full="len(a.open) > 0", keep="least(2, len(a.open))"), "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS group_no, pages FROM groups", "doc_pages"))
 def p3(spark, d):
     return _groups(spark, d, 600, 2)
 

@@ -34,8 +34,9 @@ MISSING = LEAVES + """, missing AS (SELECT doc_id, CAST(unnest(generate_series(1
 GAPS = MISSING + """, gaps AS (SELECT doc_id, min(page_no) AS gap_start, max(page_no) AS gap_end FROM (SELECT *, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS island FROM missing) GROUP BY doc_id, island)"""
 
 
-def tsql(ctes: str, body: str, *needs: str) -> str:
-    return sql("", *needs).rstrip() + ",\n" + ctes + "\n" + body
+def tsql(ctes: str, body: str, *needs: str, more: bool = False) -> str:
+    """body with derived tables and further ones in front; more: body goes on with tables of its own."""
+    return sql("", *needs).rstrip() + ",\n" + ctes + (",\n" if more else "\n") + body
 
 
 @query("w1_structure_codes", sql("SELECT doc_id, list_index, level, structure FROM toc_items", "toc_items"))
@@ -45,11 +46,20 @@ def w1(spark, d):
 
 def outline(spark, d) -> DataFrame:
     t = D.toc_items(spark, d)
-    title = F.when(C("level") == 1, F.concat(F.lit("Chapter "), ((C("list_index") / 5).cast("int") % 7 + 1).cast("string"), F.lit(" "), F.left("title", F.lit(8)))).when(C("list_index") % 9 == 4, F.concat(F.lit("Appendix "), C("title"))).otherwise(C("title"))
+    title = F.when(C("level") == 1, F.concat(F.lit("Chapter "), ((C("list_index") / 5).cast("int") % 7 + 1).cast("string"), F.lit(" "), F.left("title", F.lit(8)))).when(C("list_index") % 9 == 4, F.concat(F.lit("附件1 "), C("title"))).otherwise(C("title"))
     return t.select("doc_id", C("list_index").alias("pos"), "level", title.alias("title"), "page")
 
 
-@query("w2_promote_chapters", None)
+OUTLINE = """outline AS (SELECT doc_id, list_index AS pos, level, CASE WHEN level = 1 THEN 'Chapter ' || (list_index // 5 % 7 + 1) || ' ' || left(title, 8) WHEN list_index % 9 = 4 THEN '附件1 ' || title ELSE title END AS title, page FROM toc_items),
+    valid AS (SELECT *, regexp_matches(title, '^\\s*(?:第[一二三四五六七八九十百千0-9]+[章部节]|[Cc]hapter\\s+(?:[0-9]+|[IVXLC]+)|[0-9]+\\s*/\\s*\\S|[0-9]+\\s*[一-鿿]{2,})') AS chapter FROM outline WHERE """ + _VALID.format("title") + """),
+    marked AS (SELECT *, chapter AND row_number() OVER (PARTITION BY doc_id, title ORDER BY pos) > 1 AS again FROM valid),
+    grouped AS (SELECT *, sum(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM marked),
+    headed AS (SELECT *, first_value(level) OVER g AS head, row_number() OVER g AS rn FROM grouped WINDOW g AS (PARTITION BY doc_id, grp ORDER BY pos)),
+    passed AS (SELECT *, min(CASE WHEN rn > 1 THEN level END) OVER (PARTITION BY doc_id, grp ORDER BY pos) AS least_level FROM headed),
+    kept AS (SELECT *, coalesce(bool_or(chapter) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM passed WHERE NOT (grp > 0 AND (rn = 1 OR coalesce(least_level > head, false))))"""
+
+
+@query("w2_promote_chapters", tsql(OUTLINE, "SELECT doc_id, pos, CASE WHEN chapter THEN 1 WHEN level = 1 AND regexp_matches(title, '^附件\\s*[0-9]') AND seen THEN 2 ELSE level END AS level, title, page FROM kept", "toc_items"))
 def w2(spark, d):
     return H.promote_chapters(outline(spark, d))
 
@@ -106,10 +116,10 @@ def w8(spark, d):
 RANKED = "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, parent_pos ORDER BY pre) AS VARCHAR) AS r FROM nodes)"
 
 
-@query("w9_hierarchical_ids", tsql(RANKED, """SELECT a.doc_id, a.pre, concat_ws('.', c.r, b.r, a.r) AS id FROM ranked a LEFT JOIN ranked b ON a.doc_id = b.doc_id AND a.parent_pos = b.pre
-    LEFT JOIN ranked c ON b.doc_id = c.doc_id AND b.parent_pos = c.pre""", "nodes"))
+@query("w9_hierarchical_ids", tsql(RANKED, """ids AS (SELECT doc_id, pre, r AS id FROM ranked WHERE parent_pos IS NULL UNION ALL SELECT a.doc_id, a.pre, u.id || '.' || a.r FROM ranked a JOIN ids u ON u.doc_id = a.doc_id AND u.pre = a.parent_pos)
+    SELECT doc_id, pre, id FROM ids""", "nodes", more=True))
 def w9(spark, d):
-    return H.hierarchical_ids(D.nodes(spark, d)).select("doc_id", "pre", "id")
+    return H.hierarchical_ids(D.nodes(spark, d), D.LEVELS).select("doc_id", "pre", "id")
 
 
 @query("w10_sequential_ids", sql("SELECT doc_id, pre, lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pre) - 1 AS VARCHAR), 4, '0') AS id FROM nodes", "nodes"))
@@ -145,12 +155,13 @@ SUB = """sub AS (SELECT *, coalesce((SELECT min(k.pre) FROM nodes k WHERE k.doc_
 
 @query("w16_subtree_rollup", tsql(SUB, """SELECT s.doc_id, s.pre, sum(p.tokens) AS tokens FROM sub s JOIN nodes k ON k.doc_id = s.doc_id AND k.pre BETWEEN s.pre AND s.last_pre JOIN doc_pages p ON p.doc_id = k.doc_id AND p.page_no = k.start_page GROUP BY ALL""", "nodes", "doc_pages"))
 def w16(spark, d):
+    return rolled(spark, d).select("doc_id", "pre", C("subtree").alias("tokens"))
+
+
+def rolled(spark, d) -> DataFrame:
+    """Nodes with last_pre and subtree, the tokens of their pages and of all below."""
     n = D.nodes(spark, d).join(D.doc_pages(spark, d).select("doc_id", C("page_no").alias("start_page"), "tokens"), ["doc_id", "start_page"])
-    # Tokens of a subtree are a difference of running sums: no range join.
-    order = W.partitionBy("doc_id").orderBy("pre").rowsBetween(W.unboundedPreceding, 0)
-    n = H.subtree_ends(n).withColumn("run", F.sum("tokens").over(order))
-    ends = n.select("doc_id", C("pre").alias("last_pre"), C("run").alias("end_run"))
-    return n.join(ends, ["doc_id", "last_pre"]).select("doc_id", "pre", (C("end_run") - C("run") + C("tokens")).alias("tokens"))
+    return H.rollup(n, "tokens", D.LEVELS)
 
 
 @query("w18_preface", sql("SELECT doc_id, 'Preface' AS title, 1 AS start_page, arg_min(start_page, pre) - 1 AS end_page FROM nodes GROUP BY doc_id HAVING arg_min(start_page, pre) > 1", "nodes"))
@@ -165,9 +176,9 @@ def w19(spark, d):
     return D.nodes(spark, d).groupBy("doc_id").agg(roots.alias("root_nodes"), F.count("*").alias("total_nodes"), F.max("depth").alias("max_depth"), F.try_divide(F.count("*"), roots).alias("avg_per_root"), F.sum(F.length("title")).alias("title_chars"))
 
 
-@query("w20_paths", sql("""SELECT a.doc_id, a.pre, concat_ws(' > ', c.node_id, b.node_id, a.node_id) AS path FROM nodes a LEFT JOIN nodes b ON a.doc_id = b.doc_id AND a.parent_pos = b.pre LEFT JOIN nodes c ON b.doc_id = c.doc_id AND b.parent_pos = c.pre""", "nodes"))
+@query("w20_paths", tsql("""p AS (SELECT doc_id, pre, node_id AS path FROM nodes WHERE parent_pos IS NULL UNION ALL SELECT a.doc_id, a.pre, p.path || ' > ' || a.node_id FROM nodes a JOIN p ON p.doc_id = a.doc_id AND p.pre = a.parent_pos)""", "SELECT doc_id, pre, path FROM p", "nodes"))
 def w20(spark, d):
-    return H.paths(D.nodes(spark, d)).select("doc_id", "pre", F.array_join("path", " > ").alias("path"))
+    return H.paths(D.nodes(spark, d), D.LEVELS).select("doc_id", "pre", F.array_join("path", " > ").alias("path"))
 
 
 @query("w21_api_layout", sql("SELECT doc_id, node_id AS id, title, start_page AS ps, end_page AS pe FROM nodes", "nodes"))
@@ -412,7 +423,7 @@ def e6(spark, d):
 @query("e7_apply_deletes", tsql(SUB, """SELECT n.doc_id, n.pre FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM sub s WHERE s.doc_id = n.doc_id AND s.pre % 5 = 3 AND s.depth > 1 AND n.pre BETWEEN s.pre AND s.last_pre)""", "nodes"))
 def e7(spark, d):
     n = D.nodes(spark, d)
-    return A.apply_deletes(n, H.subtree_ends(n).where("pre % 5 = 3 AND depth > 1")).select("doc_id", "pre")
+    return A.apply_deletes(n, H.subtree_ends(n, D.LEVELS).where("pre % 5 = 3 AND depth > 1")).select("doc_id", "pre")
 
 
 @query("e8_apply_edits", sql("""SELECT n.doc_id, n.pre, CASE WHEN s.action = 'MODIFY_FORMAT' THEN s.suggested_title ELSE n.title END AS title, CASE WHEN s.action = 'MODIFY_PAGE' THEN n.end_page + 1 ELSE n.end_page END AS end_page FROM nodes n LEFT JOIN suggestions s ON s.doc_id = n.doc_id AND s.pre = n.pre""", "nodes", "suggestions"))
@@ -483,21 +494,26 @@ def p5(spark, d):
     return docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 8000).cast("int"))).alias("k")).select("doc_id", "k", F.substring("text", C("k") * 8000 + 1, F.lit(8000)).alias("chunk"))
 
 
-@query("p1_group_pages", None)
+GROUPED = """numbered AS (SELECT doc_id, page_no, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS n, {cap} AS cap FROM doc_pages),
+    step AS (SELECT doc_id, n, [{{'p': page_no, 't': tokens}}] AS open, CAST(tokens AS BIGINT) AS s, CAST(NULL AS INT[]) AS closed, cap FROM numbered WHERE n = 1
+    UNION ALL SELECT a.doc_id, b.n, CASE WHEN a.s + b.tokens > a.cap AND {full} THEN list_append(a.open[len(a.open) - {keep} + 1 : len(a.open)], {{'p': b.page_no, 't': b.tokens}}) ELSE list_append(a.open, {{'p': b.page_no, 't': b.tokens}}) END,
+    CASE WHEN a.s + b.tokens > a.cap AND {full} THEN b.tokens + CAST(coalesce(list_sum(list_transform(a.open[len(a.open) - {keep} + 1 : len(a.open)], lambda x: x.t)), 0) AS BIGINT) ELSE a.s + b.tokens END,
+    CASE WHEN a.s + b.tokens > a.cap AND {full} THEN list_transform(a.open, lambda x: x.p) END, a.cap FROM step a JOIN numbered b ON b.doc_id = a.doc_id AND b.n = a.n + 1),
+    groups AS (SELECT doc_id, n, closed AS pages FROM step WHERE closed IS NOT NULL UNION SELECT doc_id, n + 1, list_transform(open, lambda x: x.p) FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS last FROM step) WHERE n = last)"""
+
+
+@query("p1_group_pages", tsql(GROUPED.format(cap=400, full="a.s > 0", keep=0), "SELECT doc_id, CAST(unnest(pages) AS INT) AS page_no, CAST(group_no AS INT) AS group_no FROM (SELECT doc_id, pages, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS group_no FROM groups)", "doc_pages"))
 def p1(spark, d):
-    """Greedy groups of pages by tokens: a fold over each document's own array, in the JVM."""
+    """Greedy groups of pages by tokens: a fold over each document's own array, in the JVM, that notes only where groups start."""
     pages = D.doc_pages(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "tokens"))).alias("pages"))
-    folded = F.aggregate(
-        "pages",
-        F.struct(F.lit(1).alias("g"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<page_no:int,g:int>>").alias("out")),
-        lambda acc, p: F.struct(
-            F.when((acc["sum"] + p["tokens"] > 400) & (acc["sum"] > 0), acc["g"] + 1).otherwise(acc["g"]).alias("g"),
-            F.when((acc["sum"] + p["tokens"] > 400) & (acc["sum"] > 0), p["tokens"].cast("bigint")).otherwise(acc["sum"] + p["tokens"]).alias("sum"),
-            F.array_append(acc["out"], F.struct(p["page_no"].alias("page_no"), F.when((acc["sum"] + p["tokens"] > 400) & (acc["sum"] > 0), acc["g"] + 1).otherwise(acc["g"]).alias("g"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    starts = F.expr(
+        """aggregate(pages, named_struct('sum', 0L, 'at', 0, 'starts', array(1)), (a, p) -> if(a.sum + p.tokens > 400 AND a.sum > 0,
+            named_struct('sum', cast(p.tokens as bigint), 'at', a.at + 1, 'starts', array_append(a.starts, a.at + 1)),
+            named_struct('sum', a.sum + p.tokens, 'at', a.at + 1, 'starts', a.starts)), a -> a.starts)"""
     )
-    return pages.select("doc_id", F.inline(folded)).withColumnRenamed("g", "group_no")
+    groups = pages.select("doc_id", "pages", starts.alias("starts")).select("doc_id", "pages", "starts", F.posexplode("starts").alias("g", "start"))
+    own = F.expr("slice(pages, start, coalesce(get(starts, g + 1), size(pages) + 1) - start)")
+    return groups.select("doc_id", (C("g") + 1).alias("group_no"), F.inline(own)).select("doc_id", "page_no", "group_no")
 
 
 @query("p7_large_nodes", tsql(NODE_TEXT, "SELECT doc_id, pre, tokens FROM node_text WHERE span >= 15 OR tokens > 2500", "nodes", "doc_pages"))

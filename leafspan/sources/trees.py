@@ -1,9 +1,11 @@
-"""Section trees as nested JSON, of bounded depth, in and out."""
+"""Section trees as nested JSON, in and out; the reader unrolls them to a depth that is its parameter."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as S
 
+from leafspan.operators import hierarchy as H
+
 
 def tree_schema(depth: int = 4) -> S.StructType:
     """A node with every accepted key, children and nodes unrolled to a depth."""
@@ -39,26 +41,20 @@ def read_trees(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
     return out
 
 
-def nested_trees(nodes: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(doc_id, tree): the API's JSON layout, put together from the deepest level up."""
-    fields = lambda: [F.col("node_id").alias("id"), "title", F.col("start_page").alias("ps"), F.col("end_page").alias("pe")]
-    kids = None
-    for d in range(max_depth, 0, -1):
-        own = nodes.where(F.col("depth") == d)
-        if kids is None:
-            node = F.to_json(F.struct(*fields()))
-        else:
-            own = own.join(kids, ["doc_id", "pre"], "left")
-            head = F.to_json(F.struct(*fields()))
-            node = F.when(F.col("children").isNull(), head).otherwise(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"children":['), "children", F.lit("]}")))
-        below = own.select("doc_id", "pre", "parent_pos", node.alias("json"))
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "json"))), lambda x: x["json"]), ",")
-        if d > 1:
-            level = below.groupBy("doc_id", F.col("parent_pos").alias("pre")).agg(joined.alias("children"))
-            # Nodes whose parent is two levels up hang from it as well.
-            kids = level
-        else:
-            return below.groupBy("doc_id").agg(F.concat(F.lit('{"id":"root","children":['), joined, F.lit("]}")).alias("tree"))
+def nested_trees(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(doc_id, tree): the API's JSON layout, of any depth.
+
+    Every node is written in preorder, with the brackets that it opens or that end
+    with it, and a document's parts are put together: one pass, no join.
+    """
+    head = F.to_json(F.struct(F.col("node_id").alias("id"), "title", F.col("start_page").alias("ps"), F.col("end_page").alias("pe")))
+    df = H.paths(nodes, max_depth, "pre", "_path").select("doc_id", "pre", head.alias("head"), F.size("_path").alias("level"))
+    df = df.withColumn("above", F.lag("level").over(H.by_doc())).withColumn("below", F.lead("level").over(H.by_doc()))
+    opens = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"children":['))
+    closes = F.concat("head", F.repeat(F.lit("]}"), F.col("level") - F.coalesce("below", F.lit(1))))
+    part = F.concat(F.when(F.col("above") >= F.col("level"), ",").otherwise(""), F.when(F.col("below") > F.col("level"), opens).otherwise(closes))
+    parts = F.sort_array(F.collect_list(F.struct("pre", part.alias("part"))))
+    return df.groupBy("doc_id").agg(F.concat(F.lit('{"id":"root","children":['), F.array_join(F.transform(parts, lambda x: x["part"]), ""), F.lit("]}")).alias("tree"))
 
 
 def write_trees(trees: DataFrame, path: str) -> None:

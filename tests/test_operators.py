@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import text as T
 from leafspan.operators import audit, catalog, coverage, hierarchy, mapping
-from leafspan.plans import derive
 from leafspan.sources import trees
 from leafspan.streaming import streams
 
@@ -62,7 +61,7 @@ def test_timeline_status(spark):
 
 def test_structure_codes_skip_absent_levels(spark):
     df = spark.createDataFrame([(1, i, level) for i, level in enumerate([1, 3, 2, 3, 1, 2])], "doc_id long, list_index int, level int")
-    got = derive.structure_codes(df).orderBy("list_index").collect()
+    got = hierarchy.structure_codes(df).orderBy("list_index").collect()
     assert [r["structure"] for r in got] == ["1", "1.1", "1.1", "1.1.1", "2", "2.1"]
 
 
@@ -70,7 +69,7 @@ def test_small_tree_end_pages(spark):
     starts = [(0, 1, 21), (1, 2, 24), (2, 2, 32), (3, 2, 52), (4, 2, 78), (5, 1, 87)]
     nodes = spark.createDataFrame([(1, *s) for s in starts], "doc_id long, pre int, depth int, start_page int")
     totals = spark.createDataFrame([(1, 200)], "doc_id long, total_pages int")
-    got = derive.end_pages(derive.parents(nodes, pos="pre"), totals, max_leaf=50).orderBy("pre").collect()
+    got = hierarchy.end_pages(hierarchy.parents(nodes), totals, max_leaf=50).orderBy("pre").collect()
     assert [(r["start_page"], r["end_page"]) for r in got] == [(21, 86), (24, 32), (32, 52), (52, 78), (78, 86), (87, 200)]
 
 
@@ -163,3 +162,65 @@ def test_streams_agree_with_batches(spark, tmp_path):
     calls = lambda x: x.select(C("ts").alias("created_at"), C("event_type").alias("operation"), (C("event_type") != "error").alias("success"), F.lit(1).alias("tokens"), F.lit(1.0).alias("duration_ms"))
     timed = streams.run_available(streams.call_metrics(calls(stream)), "metrics", str(tmp_path / "c3"), "complete")
     assert {tuple(r) for r in timed.collect()} == {tuple(r) for r in streams.call_metrics(calls(df)).collect()}
+
+
+def brute_ends(rows, total, max_leaf):
+    """end pages of (pre, depth, start) by recursion over the tree, and where each subtree ends."""
+    n = len(rows)
+    up = [max((j for j in range(i) if rows[j][1] < rows[i][1]), default=None) for i in range(n)]
+    kids = {i: [j for j in range(n) if up[j] == i] for i in [None, *range(n)]}
+    ends = {}
+
+    def walk(own, boundary):
+        for k, i in enumerate(own):
+            after = rows[own[k + 1]][2] if k + 1 < len(own) else None
+            edge = after - 1 if after is not None else boundary
+            if kids[i]:
+                walk(kids[i], edge)
+                ends[i] = max(ends[kids[i][-1]], rows[i][2])
+            else:
+                ends[i] = max(rows[i][2], after if after is not None else total if rows[i][1] == 1 else min(boundary, rows[i][2] + max_leaf - 1))
+
+    walk(kids[None], total)
+    last = [max([i, *(j for j in range(n) if i < j and all(rows[k][1] > rows[i][1] for k in range(i + 1, j + 1)))]) for i in range(n)]
+    return [ends[i] for i in range(n)], last, up
+
+
+def test_trees_of_any_depth_against_brute_force(spark):
+    """Random trees down to depth 7: parents, ends, ids, paths, rollup, deletes and nested JSON."""
+    import json
+    import random
+
+    r = random.Random(1)
+    docs = {}
+    for d in range(12):
+        depth, page, rows = 0, 1, []
+        for i in range(r.randrange(1, 40)):
+            depth = r.randrange(1, min(depth + 1, 7) + 1)
+            rows.append((i, depth, page))
+            page += r.randrange(0, 4)
+        docs[d] = (rows, page + 5)
+    df = spark.createDataFrame([(d, *x, f"n{x[0]}", "t", total, x[0] + 1) for d, (rows, total) in docs.items() for x in rows], "doc_id long, pre int, depth int, start_page int, node_id string, title string, total_pages int, tokens int")
+    tree = hierarchy.end_pages(hierarchy.parents(df.drop("node_id").withColumn("node_id", C("pre").cast("string"))), max_leaf=2)
+    got = hierarchy.rollup(hierarchy.hierarchical_ids(hierarchy.paths(tree)))
+    seen = {(x["doc_id"], x["pre"]): x for x in got.collect()}
+    nested = {x["doc_id"]: json.loads(x["tree"]) for x in trees.nested_trees(tree).collect()}
+    gone = {(x["doc_id"], x["pre"]) for x in audit.apply_deletes(tree, hierarchy.subtree_ends(tree).where("pre % 4 = 1")).collect()}
+    for d, (rows, total) in docs.items():
+        ends, last, up = brute_ends(rows, total, 2)
+        left = []
+        for i in range(len(rows)):
+            x, path, at = seen[d, i], [i], i
+            while up[at] is not None:
+                at = up[at]
+                path.insert(0, at)
+            ranks = [sum(up[j] == up[k] for j in range(k + 1)) for k in path]
+            assert (x["parent_pos"], x["end_page"], x["last_pre"], x["path"]) == (up[i], ends[i], last[i], [str(k) for k in path])
+            assert x["id"] == ".".join(map(str, ranks)) and x["subtree"] == sum(range(i + 1, last[i] + 2))
+            here = nested[d]
+            for k in ranks:
+                here = here["children"][k - 1]
+            assert here["id"] == str(i) and here["pe"] == ends[i] and len(here.get("children", [])) == up.count(i)
+            if not any(k % 4 == 1 for k in path):
+                left.append((d, i))
+        assert {g for g in gone if g[0] == d} == set(left)
