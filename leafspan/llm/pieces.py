@@ -113,7 +113,7 @@ class Codec:
         self.model = PieceModel(data)
         self.tokenizer = self.model.tokenizer()
         self.keep, self.known = keep, {}
-        self.sp, self.differ = None, set()
+        self.sp, self.differ, self.lossy = None, set(), set()
         if verify:
             import sentencepiece
 
@@ -126,10 +126,16 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         new = sorted(words - self.known.keys())
         if len(self.known) + len(new) > self.keep:
-            self.known, self.differ = {}, set()
+            self.known, self.differ, self.lossy = {}, set(), set()
             new = sorted(words)
         for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(e.ids, np.int32).tobytes()
+        if self.sp is not None:
+            # A text's pieces are its words' pieces, one after the other, so it comes back whole if each word does.
+            for word in new:
+                data = b"".join(map(self.bytes.__getitem__, np.frombuffer(self.known[word], np.int32).tolist()))
+                if data != word.replace(MARK, " ").encode("utf-8", "replace"):
+                    self.lossy.add(word)
         if self.sp is not None and self.word_parity:
             # The library puts a marker before each text: a word without its own is a text whose pieces are that word's.
             # What is nothing but markers stands behind a letter instead, whose pieces are taken off again.
@@ -148,10 +154,10 @@ class Codec:
         return self.model.by_word and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap and self.model.escape
 
     def encode(self, texts: list[str], step: int = 256) -> list[np.ndarray]:
-        return [ids for ids, _ in self.encoded(texts, step)]
+        return [ids for ids, *_ in self.encoded(texts, step)]
 
-    def encoded(self, texts: list[str], step: int = 256) -> list[tuple[np.ndarray, bool | None]]:
-        """Ids and whether they are those of the sentencepiece library, null without verify.
+    def encoded(self, texts: list[str], step: int = 256) -> list[tuple[np.ndarray, bool | None, bool | None]]:
+        """Ids, whether they are those of the sentencepiece library, and whether they decode to the text as normalised; nulls without verify.
 
         Every distinct word is compared where words can be, else every whole text.
         """
@@ -168,7 +174,8 @@ class Codec:
                 alike = [not self.differ or self.differ.isdisjoint(words) for words in cut]
             else:
                 alike = [np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, self.sp.encode(part, num_threads=1), strict=True)]
-            out += zip(ids, alike, strict=True)
+            whole = [None if self.sp is None else not self.lossy or self.lossy.isdisjoint(words) for words in cut]
+            out += zip(ids, alike, whole, strict=True)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -214,14 +221,13 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id",
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
                 got = codec.encoded(texts)
-                ids = [x for x, _ in got]
+                ids = [x for x, *_ in got]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 cols = [part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
                 names = ["id", "n_tokens", "input_ids"]
                 if verify:
-                    plain = [codec.model.normalizer.normalize_str(t or "") if codec.model.normalizer else t or "" for t in texts]
-                    cols += [pa.array([x for _, x in got], pa.bool_()), pa.array([codec.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, plain, strict=True)])]
+                    cols += [pa.array([x for _, x, _ in got], pa.bool_()), pa.array([x for *_, x in got], pa.bool_())]
                     names += ["parity", "round_trip"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -1,6 +1,7 @@
 """Tokenizer, packing, HTML extraction, pipeline."""
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -57,21 +58,25 @@ def test_unigram_models_agree_with_the_library(spark, tmp_path, prefix, squeeze,
     rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256 * bytes_)] + [(w, -r.random() * 9 - 1, 1) for w in sorted(own)]
     path = model_file(tmp_path / "uni.model", rows, False, prefix, squeeze, bytes_)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = pieces.Codec(path)
     texts = ["", None, " ", "  ", "abc  de ", "a", " bad  cafe", "zz é", "edabc" * 400, *(" ".join("".join(r.choice("abcdez") for _ in range(r.randrange(6))) for _ in range(12)) for _ in range(40))]
     got = {x["id"]: x for x in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, verify=True).collect()}
     for k, t in enumerate(texts):
         assert (got[k]["input_ids"] == sp.encode(t or "")) == got[k]["parity"], (k, t)
         assert got[k]["parity"], (t, got[k]["input_ids"], sp.encode(t or ""))
+        normal = " ".join((t or "").split(" ")).strip(" ") if squeeze else t or ""
+        normal = re.sub(" +", " ", normal) if squeeze else normal
+        assert got[k]["round_trip"] == (codec.decode(np.array(got[k]["input_ids"])) == normal), t
 
 
 def test_parity_is_false_where_ids_differ(tmp_path):
     rows = [("<unk>", 0.0, 2), *((c, -2.0, 1) for c in "ab" + pieces.MARK), ("ab", -1.0, 1), (pieces.MARK + "a", -1.5, 1)]
     for squeeze in (False, True):
         codec = pieces.Codec(model_file(tmp_path / f"m{squeeze}", rows, True, True, squeeze, False), verify=True)
-        assert [ok for _, ok in codec.encoded(["ab a", "b"])] == [True, True]
+        assert [ok for _, ok, _ in codec.encoded(["ab a", "b"])] == [True, True]
         codec.tokenizer = type("Wrong", (), {"encode_batch": lambda self, words, **_: [type("E", (), {"ids": [1]})() for _ in words]})()
         codec.known = {}
-        assert [ok for _, ok in codec.encoded(["ab a", "", "b  "])] == [False, True, False]
+        assert [ok for _, ok, _ in codec.encoded(["ab a", "", "b  "])] == [False, True, False]
 
 
 def test_best_fit_decreasing_against_a_plain_search():
