@@ -76,6 +76,7 @@ def title_key(title: Column, lower: bool = True) -> Column:
 
 def strip_numbering(title: Column) -> Column:
     """Numbering prefixes go, in a set order; then blanks and punctuation around."""
+    # The prefixes, in their order.
     for pattern in (
         r"^第[一二三四五六七八九十百千零〇0-9]+[章节条部分篇][\s、.：:]*", r"^[（(][一二三四五六七八九十0-9]+[)）]\s*", r"^[一二三四五六七八九十]+、\s*",
         r"^[0-9]+(?:\.[0-9]+)*[.、]?\s+", r"^[A-Z]\.\s*", r"^[IVXLC]+\.\s*",
@@ -98,11 +99,18 @@ def is_noise(title: Column) -> Column:
     return (F.coalesce(F.trim(title), F.lit("")) == "") | title.rlike(NOISE) | ((F.length(core) <= 2) & ~core.rlike("[0-9]"))
 
 
+# How chapters begin.
 def is_chapter(title: Column) -> Column:
     return title.rlike(r"^\s*(?:第[一二三四五六七八九十百千0-9]+[章部节]|[Cc]hapter\s+(?:[0-9]+|[IVXLC]+)|[0-9]+\s*/\s*\S|[0-9]+\s*[一-鿿]{2,})")
 
 
-APPENDIX = r"(?i)附件|附录|附表|附图|appendix|annex|attachment|exhibit|glossary|bibliography|references|index|schedule"
+# Words of appendices of tenders, of form labels and of table heads.
+APPENDIX_WORDS = ("投标函", "开标一览表", "报价明细表", "偏离表", "声明书", "承诺书", "授权委托书", "证明书", "自评表", "基本情况表", "业绩一览表", "情况表", "清单", "一览表", "证书一览表")
+FORM_WORDS = ("地址", "时间", "日期", "名称", "公章", "签字", "盖章", "电话", "传真", "邮编")
+HEAD_WORDS = ("序号", "项目", "内容", "名称", "规格", "数量", "单价", "合价", "金额", "备注", "编号", "类别", "单位", "要求", "说明")
+
+APPENDIX = r"^附件\s*[0-9０-９一二三四五六七八九十]|" + "|".join(APPENDIX_WORDS)
+AROUND = r"^[\s\u3000]+|[\s\u3000]+$"
 
 
 def is_appendix(title: Column) -> Column:
@@ -111,19 +119,100 @@ def is_appendix(title: Column) -> Column:
 
 def is_valid_title(title: Column) -> Column:
     """Ordered rejections; what none of them names is a title."""
-    t, numbered = F.trim(title), title.rlike(r"^\s*(?:[0-9]+(?:\.[0-9]+)*|第[一二三四五六七八九十0-9]+[章节条]|[Cc]hapter)")
+    t = F.regexp_replace(title, AROUND, "")
+    words = F.array_remove(F.split(t, r"[\s\u3000]+"), "")
+    short = (F.size(words) >= 2) & F.forall(words, lambda w: F.length(w) <= 4)
     return (
         F.when(F.length(t) <= 1, False)
         .when(F.length(t) > 80, False)
-        .when(t.rlike(r"[。；;!?！？]") & ~numbered, False)
+        .when(t.rlike("[。，！？]") & ~t.rlike(r"^(?:第|（|\(|附件|表|图)"), False)
         .when(~t.rlike(r"[\p{L}\p{N}]"), False)
-        .when(t.rlike(r"[:：]$"), False)
-        .when(t.rlike(r"^[A-Z]\.$"), False)
-        .when(t.rlike(r"^(?:序号|名称|备注|No\.|Item|Description)$"), False)
+        .when(t.rlike("[:：]$") & t.rlike("|".join(FORM_WORDS) + "|  "), False)
+        .when(t.rlike(r"^\p{L}\.(?s:.)") & ~t.rlike(r"^\p{L}\.[\s\u3000]*[附补表图]"), False)
+        .when(short & F.arrays_overlap(words, F.array(*[F.lit(w) for w in HEAD_WORDS])), False)
         .otherwise(True)
     )
 
 
+def numbering_profile(text: Column) -> dict[str, Column]:
+    """Enumerators by kind: Chinese, Arabic and letters, with a mark and, but for the first, white space behind; how many in all, and the page's start."""
+    edge = r"(?U)(?<![\p{L}\p{N}_])"
+    kinds = {"cjk": r"[一二三四五六七八九十]+[、．.]", "arabic": edge + r"\p{Nd}+[.、](?:\p{Nd}+[.、]?)?\s", "letter": edge + r"[A-Z][.、]\s"}
+    counts = {k: F.regexp_count(text, F.lit(p)) for k, p in kinds.items()}
+    total = counts["cjk"] + counts["arabic"] + counts["letter"]
+    preview = F.regexp_replace(F.translate(F.left(text, F.lit(300)), "\n", " "), AROUND, "")
+    return counts | {"tokens": F.length(text), "list_items": total, "has_numbering": total > 0, "preview": preview}
+
+
+def toc_score(text: Column) -> Column:
+    """How like a contents page a text is: a heading, lines that end in a page, numbers below numbers and leaders, less what lists of figures and abstracts have.
+
+    From 70 on it is one, from 50 on it may be.
+    """
+    cited = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S[\s.\-–—…·:：]+(?:第|p\.)?\s*[0-9]{1,4}\s*页?\s*$")))
+    return (
+        F.when(text.rlike(r"(?im)^\s*(?:table of contents|contents|目\s*录)\s*$"), 35).when(text.rlike("(?i)contents|目录"), 15).otherwise(0)
+        + F.when(cited > 10, 40).when(cited >= 5, 25).when(cited >= 2, 15).otherwise(0)
+        + F.when(text.rlike(r"(?m)^\s*[0-9]+\.[0-9]+(?:\s|\.)"), 15).otherwise(0)
+        + F.when(text.rlike(r"\.{4,}|(?:\. ){4,}|…{2,}"), 10).otherwise(0)
+        - F.when(text.rlike(r"(?i)list of (?:figures|tables)|图目录|表目录"), 30).otherwise(0)
+        - F.when(text.rlike(r"(?im)^\s*(?:abstract|摘要)\s*$"), 30).otherwise(0)
+        - F.when(F.length(text) < 50, 10).when(F.length(text) > 10000, 10).otherwise(0)
+    )
+
+
+def title_confidence(title: Column, page: Column) -> Column:
+    """100 where the page has the title in any case, 95 where it has its letters and digits, else how near the nearest stretch of its length comes.
+
+    Stretches start at every character; what differs in over three tenths of its length counts as nought.
+    """
+    norm = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+
+    def score(x: Column) -> Column:
+        t, p = x["t"], x["p"]
+        n = F.length(t)
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - n + 1))
+        # The distance with a limit is -1 beyond it, and cheap where a stretch is unlike.
+        near = F.array_min(F.filter(F.transform(starts, lambda i: F.call_function("levenshtein", F.substring(p, i, n), t, F.floor(n * 3 / 10).cast("int"))), lambda d: d >= 0))
+        return F.when(n == 0, 0).when(F.contains(p, t), 95).when(near.isNotNull(), F.least(F.floor(100 * (n - near) / n).cast("int"), F.lit(94))).otherwise(0)
+
+    # An array of one, so that both texts are made ready once, not for every stretch.
+    ready = F.array(F.struct(norm(title).alias("t"), norm(page).alias("p")))
+    return F.when(F.contains(F.lower(page), F.lower(title)), 100).otherwise(F.get(F.transform(ready, score), F.lit(0)))
+
+
+# What tells types of documents apart: words of the text, patterns of it, and hints in titles.
+DOCUMENT_TYPES = {
+    "tender": (("招标", "投标", "采购", "竞标", "评标", "开标"), ("招标公告", "投标须知", "评分标准", "采购需求"), ("第一章", "第二章", "附件", "评标办法")),
+    "bid": (("投标函", "报价", "技术方案", "商务响应", "资质证明"), ("投标函", "开标一览表", "技术响应", "商务响应"), ("技术部分", "商务部分", "资格证明")),
+    "contract": (("甲方", "乙方", "合同", "协议", "违约", "条款"), ("第[一二三四五六七八]条", "甲乙双方", "违约责任"), ("总则", "权利义务", "违约责任", "争议解决")),
+    "academic": (
+        ("abstract", "introduction", "methodology", "conclusion", "references", "摘要", "引言", "结论", "参考文献"),
+        ("Abstract", "Introduction", "Chapter [0-9]+", "References"),
+        ("Abstract", "Introduction", "Methodology", "Results", "Discussion", "Conclusion"),
+    ),
+    "technical": (
+        ("api", "function", "class", "method", "parameter", "return", "接口", "函数"),
+        ("API Reference", r"Class [\p{L}\p{N}_]+", r"function [\p{L}\p{N}_]+", r"\.get\(", r"\.post\("),
+        ("Getting Started", "API Reference", "Examples", "Configuration"),
+    ),
+    "news": (("记者", "报道", "消息", "通讯员", "本报讯"), ("[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日", r"记者\s+[\p{L}\p{N}_]+\s+报道", "本报讯"), ()),
+    "report": (("年度报告", "研究报告", "调查报告", "财务报告", "总结"), ("[0-9]{4}年.*报告", "Executive Summary", "财务数据"), ("概述", "背景", "分析", "结论", "建议")),
+    "manual": (("使用说明", "操作指南", "用户手册", "安装", "配置"), ("安装步骤", "操作流程", "注意事项", "常见问题"), ("产品介绍", "安装", "使用", "维护", "故障排除")),
+    "legal": (("法律", "法规", "条例", "规定", "办法"), ("第[一二三四五六七八九十]+章", "第[0-9]+条", "中华人民共和国"), ("总则", "分则", "附则")),
+}
+KEYWORD, PATTERN, HINT = 10, 15, 20  # points
+
+
+def type_scores(text: Column, titles: Column) -> dict[str, Column]:
+    """Points by type: what the text has of a type's words, in lower case, and patterns, and the titles of its hints."""
+    hits = lambda found, points: sum((F.when(c, points).otherwise(0) for c in found), F.lit(0))
+    return {
+        t: hits([F.contains(F.lower(text), F.lit(w)) for w in words], KEYWORD) + hits([text.rlike(x) for x in patterns], PATTERN) + hits([F.contains(titles, F.lit(h)) for h in hints], HINT)
+        for t, (words, patterns, hints) in DOCUMENT_TYPES.items()
+    }
+
+
 def title_in_page(title: Column, page: Column) -> Column:
     """Whether the page has the title, as it is or without white space."""
     return F.contains(page, title) | F.contains(title_key(page, False), title_key(title, False))
@@ -166,6 +255,7 @@ def poor_extraction(text: Column) -> Column:
     return F.when((F.length(text) < 100) | (n < 20), False).otherwise((single > 0.8 * n) | (mean < 1.5))
 
 
+# What messages of errors that no repeat mends have.
 FATAL = r"invalid api key|authentication|unauthorized|401|403|insufficient|quota|billing|model not found|404|error"
 
 
@@ -194,8 +284,8 @@ def code_key(code: Column) -> Column:
 
 
 def content_key(text: Column) -> Column:
-    """Equal for equal content: MD5 of the length and the SHA-256 of the first 8,192 characters."""
-    return F.md5(F.concat(F.length(text).cast("string"), F.lit("_"), F.sha2(F.substring(text, 1, 8192), 256)))
+    """Equal for equal content: MD5 of the length and the SHA-256 of the whole text."""
+    return F.md5(F.concat(F.length(text).cast("string"), F.lit("_"), F.sha2(text, 256)))
 
 
 def page_range(text: Column) -> Column:

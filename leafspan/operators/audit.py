@@ -55,6 +55,18 @@ def latest_per_node(edits: DataFrame, order: str) -> DataFrame:
     return edits.withColumn("_rn", F.row_number().over(W.partitionBy("doc_id", "pre").orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
 
 
+def snapshot(versions: DataFrame, now: DataFrame) -> DataFrame:
+    """versions (doc_id, version and the tree's columns) with the trees of now as the next version of their documents."""
+    last = versions.groupBy("doc_id").agg(F.max("version").alias("_last"))
+    new = now.join(last, "doc_id", "left").withColumn("version", F.coalesce(F.col("_last") + 1, F.lit(1))).drop("_last")
+    return versions.unionByName(new.select(*versions.columns))
+
+
+def restore(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """versions with those of wanted (doc_id, version) copied as the newest of their documents; what was current stays as a snapshot."""
+    return snapshot(versions, versions.join(wanted, ["doc_id", "version"], "left_semi").drop("version"))
+
+
 def conflicts(edits: DataFrame) -> DataFrame:
     """(doc_id, node_id, actions): pending nodes to be both deleted and changed."""
     own = edits.where("status = 'pending'").groupBy("doc_id", "node_id").agg(F.sort_array(F.collect_set("action")).alias("actions"))

@@ -44,6 +44,19 @@ def best_matches(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> D
     return scored.groupBy("pair", "pre").agg(F.max(F.struct("similarity", (-F.col("other_pre")).alias("o"))).alias("best")).select("pair", "pre", (-F.col("best.o")).alias("other_pre"), F.col("best.similarity").alias("similarity"))
 
 
+def difference_notes(matches: DataFrame, left: DataFrame, right: DataFrame, pages: int = 5) -> DataFrame:
+    """matches (pair, pre, other_pre) with notes: which summary is the longer one, or that they differ, and starts more than so many pages apart.
+
+    left: (pair, pre, summary, start_page), right: (pair, other_pre, summary, start_page). A null summary is an empty one.
+    """
+    a = left.select("pair", "pre", F.coalesce("summary", F.lit("")).alias("s1"), F.col("start_page").alias("p1"))
+    b = right.select("pair", "other_pre", F.coalesce("summary", F.lit("")).alias("s2"), F.col("start_page").alias("p2"))
+    # The notes.
+    summary = F.when(F.length("s1") > F.length("s2"), "文档1的摘要更详细").when(F.length("s2") > F.length("s1"), "文档2的摘要更详细").when(F.col("s1") != F.col("s2"), "摘要内容不同")
+    start = F.when(F.abs(F.col("p1") - F.col("p2")) > pages, F.format_string("起始页码差异较大: %d vs %d", "p1", "p2"))
+    return matches.join(a, ["pair", "pre"]).join(b, ["pair", "other_pre"]).withColumn("notes", F.array_compact(F.array(summary, start))).drop("s1", "s2", "p1", "p2")
+
+
 def newest(df: DataFrame, key: str, n: int, *order) -> DataFrame:
     """The first n rows of every key; Spark limits each task's groups before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")

@@ -70,7 +70,7 @@ def merge_first_wins(parts: list[DataFrame], keys: list[str], order: str) -> Dat
 
 
 def interpolate(items: DataFrame) -> DataFrame:
-    """Adds filled: gaps in physical get evenly spaced pages between their neighbours, or count on from the one before."""
+    """Adds filled: gaps in physical get evenly spaced pages between their neighbours, or count on from the one before; documents without any page keep none."""
     order = W.partitionBy("doc_id").orderBy("list_index")
     before, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
     known = F.col("physical").isNotNull()
@@ -78,5 +78,23 @@ def interpolate(items: DataFrame) -> DataFrame:
     for name, f, w in (("a", F.last, before), ("b", F.first, after)):
         df = df.withColumn(f"{name}_page", f(F.when(known, F.col("physical")), ignorenulls=True).over(w)).withColumn(f"{name}_rn", f(F.when(known, F.col("rn")), ignorenulls=True).over(w))
     between = F.col("a_page") + F.floor((F.col("b_page") - F.col("a_page")) * (F.col("rn") - F.col("a_rn")) / (F.col("b_rn") - F.col("a_rn")))
-    filled = F.when(known, F.col("physical")).when(F.col("a_page").isNull(), F.greatest(F.lit(1), F.col("b_page") - (F.col("b_rn") - F.col("rn")))).when(F.col("b_page").isNull(), F.col("a_page") + F.col("rn") - F.col("a_rn")).otherwise(between)
+    filled = F.when(known, F.col("physical")).when(F.col("a_page").isNull() & F.col("b_page").isNull(), F.lit(None)).when(F.col("a_page").isNull(), F.greatest(F.lit(1), F.col("b_page") - (F.col("b_rn") - F.col("rn")))).when(F.col("b_page").isNull(), F.col("a_page") + F.col("rn") - F.col("a_rn")).otherwise(between)
     return df.withColumn("filled", filled.cast("int")).drop("rn", "a_page", "b_page", "a_rn", "b_rn")
+
+
+def shift_duplicates(items: DataFrame, page: str = "physical") -> DataFrame:
+    """Adds shifted: of items of a document on one page the first stays, each later one goes to the next page that is free.
+
+    In the order of pages, an item's page is the least that is over the one before: a running maximum of page less place.
+    """
+    order = W.partitionBy("doc_id").orderBy(page, "list_index")
+    known = items.where(F.col(page).isNotNull()).withColumn("_k", F.row_number().over(order))
+    shifted = known.withColumn("shifted", (F.col("_k") + F.max(F.col(page) - F.col("_k")).over(order.rowsBetween(W.unboundedPreceding, 0))).cast("int")).drop("_k")
+    return shifted.unionByName(items.where(F.col(page).isNull()).withColumn("shifted", F.lit(None).cast("int")))
+
+
+def backward_steps(items: DataFrame, page: str = "physical") -> DataFrame:
+    """(doc_id, list_index, previous, page): items whose page lies before that of the item before, among those with a page."""
+    order = W.partitionBy("doc_id").orderBy("list_index")
+    known = items.where(F.col(page).isNotNull()).select("doc_id", "list_index", F.lag(page).over(order).alias("previous"), F.col(page).alias("page"))
+    return known.where("page < previous")

@@ -43,13 +43,32 @@ def s3(spark, d):
     return D.table(spark, d, "documents").select("doc_id", kind.alias("file_type"))
 
 
-@query("s5_nested_trees", None)
+@query("s5_nested_trees", sql("", "nodes").rstrip() + """, seen AS (SELECT *, lag(depth) OVER w AS above, lead(depth) OVER w AS below, substr(to_json({'id': node_id, 'title': title, 'ps': start_page, 'pe': end_page}), 1) AS j FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY pre))
+    SELECT doc_id, '{"id":"root","children":[' || string_agg(CASE WHEN above >= depth THEN ',' ELSE '' END || CASE WHEN below > depth THEN left(j, length(j) - 1) || ',"children":[' ELSE j || repeat(']}', depth - coalesce(below, 1)) END, '' ORDER BY pre) || ']}' AS tree FROM seen GROUP BY doc_id""")
 def s5(spark, d):
     from leafspan.sources.trees import nested_trees
 
     return nested_trees(D.nodes(spark, d), D.LEVELS)
 
 
+@query("s4_trees_read_back", sql("SELECT doc_id, node_id, depth, title, start_page, end_page FROM nodes", "nodes"))
+def s4(spark, d):
+    """The trees as nested JSON, read again by the reader of tree files."""
+    from leafspan.sources.trees import flat_trees, nested_trees
+
+    own = nested_trees(D.nodes(spark, d), D.LEVELS).select("doc_id", C("tree").alias("value"))
+    return flat_trees(own, "doc_id", D.LEVELS).select("doc_id", "node_id", "depth", "title", "start_page", "end_page")
+
+
+@query("s6_sink_suggestions", sql("SELECT doc_id, suggestion_id, action, coalesce(nullif(status, 'rejected'), 'pending') AS status FROM suggestions", "suggestions"))
+def s6(spark, d):
+    """Suggestions appended to a table by buckets of their document, those without a status as pending, and read again."""
+    from leafspan.sources.trees import with_bucket
+
+    own = D.suggestions(spark, d).select("doc_id", "suggestion_id", "action", F.when(C("status") != "rejected", C("status")).alias("status"))
+    return with_bucket(own).where("bucket BETWEEN 0 AND 15").select("doc_id", "suggestion_id", "action", "status")
+
+
 BACKUPS = "backups AS (SELECT o_orderkey AS backup_id, o_custkey AS doc_id, o_orderdate AS created_at FROM orders)"
 
 
@@ -87,6 +106,22 @@ def j14(spark, d):
     return O.best_matches(*pairs(spark, d))
 
 
+@query("j15_difference_notes", sql("", "nodes").rstrip() + ",\n" + MATCHES + """ SELECT m.pair, m.pre, list_filter([CASE WHEN length(a.s) > length(b.s) THEN '文档1的摘要更详细' WHEN length(b.s) > length(a.s) THEN '文档2的摘要更详细' WHEN a.s <> b.s THEN '摘要内容不同' END,
+    CASE WHEN abs(a.p - b.p) > 5 THEN '起始页码差异较大: ' || a.p || ' vs ' || b.p END], lambda x: x IS NOT NULL) AS notes FROM matched m
+    JOIN (SELECT doc_id AS pair, pre, title AS s, start_page AS p FROM nodes) a USING (pair, pre)
+    JOIN (SELECT doc_id AS pair, pre AS other_pre, CASE pre % 4 WHEN 0 THEN '' WHEN 1 THEN title || ' more' WHEN 2 THEN reverse(title) ELSE title END AS s, start_page + pre % 9 AS p FROM nodes) b USING (pair, other_pre)""")
+def j15(spark, d):
+    """What differs between matched sections of two versions: which summary says more, and starts over five pages apart."""
+    left, right = pairs(spark, d)
+    own = lambda s, p: [s.alias("summary"), p.alias("start_page")]
+    n = D.nodes(spark, d)
+    k = C("pre") % 4
+    other = F.when(k == 0, F.lit(None)).when(k == 1, F.concat("title", F.lit(" more"))).when(k == 2, F.reverse("title")).otherwise(C("title"))
+    a = n.select(C("doc_id").alias("pair"), "pre", *own(C("title"), C("start_page")))
+    b = n.select(C("doc_id").alias("pair"), C("pre").alias("other_pre"), *own(other, C("start_page") + C("pre") % 9))
+    return O.difference_notes(O.best_matches(left, right), a, b).select("pair", "pre", "notes")
+
+
 @query("g11_comparison", sql("", "nodes").rstrip() + ",\n" + MATCHES + " SELECT pair, avg(similarity) AS mean, count(*) FILTER (similarity > 0.8) AS high, count(*) FILTER (similarity > 0.5 AND similarity <= 0.8) AS middle FROM matched GROUP BY pair")
 def g11(spark, d):
     n = lambda c: F.sum(c.cast("int"))
@@ -221,12 +256,17 @@ def k10(spark, d):
     return first.groupBy("doc_id").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
 
 
-@query("k11_toc_score", sql(r"""SELECT doc_id, page_no, CASE WHEN regexp_matches(text, '(?i)contents|目录') THEN 40 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '[0-9]+')) > 10 THEN 40 WHEN len(regexp_extract_all(text, '[0-9]+')) >= 5 THEN 30 WHEN len(regexp_extract_all(text, '[0-9]+')) >= 2 THEN 15 ELSE 0 END
-    - CASE WHEN regexp_matches(text, '(?i)abstract') THEN 30 ELSE 0 END + CASE WHEN length(text) < 2000 THEN 5 ELSE 0 END AS score FROM doc_pages""", "doc_pages"))
+_LAID = "CASE page_no % 5 WHEN 0 THEN 'Contents' || chr(10) || '1. One ..... 3' || chr(10) || '1.1 Two ..... 4' || chr(10) || text WHEN 1 THEN 'List of Figures' || chr(10) || text WHEN 2 THEN 'Abstract' || chr(10) || text ELSE text END"
+
+
+@query("k11_toc_score", sql(rf"""SELECT doc_id, page_no, CASE WHEN regexp_matches(t, '(?im)^\s*(?:table of contents|contents|目\s*录)\s*$') THEN 35 WHEN regexp_matches(t, '(?i)contents|目录') THEN 15 ELSE 0 END
+    + CASE WHEN cited > 10 THEN 40 WHEN cited >= 5 THEN 25 WHEN cited >= 2 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(t, '(?m)^\s*[0-9]+\.[0-9]+(?:\s|\.)') THEN 15 ELSE 0 END
+    + CASE WHEN contains(t, '....') OR contains(t, '. . . . ') OR contains(t, '……') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(t, '(?i)list of (?:figures|tables)|图目录|表目录') THEN 30 ELSE 0 END
+    - CASE WHEN regexp_matches(t, '(?im)^\s*(?:abstract|摘要)\s*$') THEN 30 ELSE 0 END - CASE WHEN length(t) < 50 OR length(t) > 10000 THEN 10 ELSE 0 END AS score
+    FROM (SELECT *, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S[\s.\-–—…·:：]+(?:第|p\.)?\s*[0-9]{{1,4}}\s*页?\s*$'))) AS cited FROM (SELECT doc_id, page_no, {_LAID} AS t FROM doc_pages))""", "doc_pages"))
 def k11(spark, d):
-    n = F.regexp_count("text", F.lit("[0-9]+"))
-    score = F.when(C("text").rlike("(?i)contents|目录"), 40).otherwise(0) + F.when(n > 10, 40).when(n >= 5, 30).when(n >= 2, 15).otherwise(0) - F.when(C("text").rlike("(?i)abstract"), 30).otherwise(0) + F.when(F.length("text") < 2000, 5).otherwise(0)
-    return D.doc_pages(spark, d).select("doc_id", "page_no", score.alias("score"))
+    laid = F.expr(_LAID.replace("chr(10)", "'\\n'"))
+    return D.doc_pages(spark, d).select("doc_id", "page_no", laid.alias("t")).select("doc_id", "page_no", T.toc_score(C("t")).alias("score"))
 
 
 @query("r1_split_debug", "SELECT conv_id, turn, left(text, 500) AS output FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafspan.functions import text as T
 from leafspan.plans import derive as D
@@ -148,20 +148,40 @@ def b16(spark, d) -> DataFrame:
     return D.toc_items(spark, d).select("doc_id", "list_index", T.is_chapter(shown).alias("is_chapter"))
 
 
-@query("b17_appendix_titles", sql(r"SELECT doc_id, list_index, regexp_matches(title, '(?i)附件|附录|附表|附图|appendix|annex|attachment|exhibit|glossary|bibliography|references|index|schedule') OR list_index % 3 = 0 AS is_appendix FROM toc_items", "toc_items"))
+def labelled(title: str) -> str:
+    """SQL for titles with marks of appendices, forms, tables and sentences laid over them, as shown() has them."""
+    return f"CASE list_index % 12 WHEN 0 THEN '附件 1 ' || {title} WHEN 1 THEN {title} || ' 偏离表' WHEN 2 THEN '序号 项目 内容' WHEN 3 THEN '地址 ' || left({title}, 6) || '：' WHEN 4 THEN 'G. ' || {title} WHEN 5 THEN 'A.附录 ' || {title} WHEN 6 THEN {title} || '，更多' WHEN 7 THEN '（一）' || {title} || '，更多' WHEN 8 THEN '....' WHEN 9 THEN left({title}, 8) || ':' ELSE {title} END"
+
+
+def shown(title) -> Column:
+    k = C("list_index") % 12
+    forms = [F.concat(F.lit("附件 1 "), title), F.concat(title, F.lit(" 偏离表")), F.lit("序号 项目 内容"), F.concat(F.lit("地址 "), F.left(title, F.lit(6)), F.lit("：")), F.concat(F.lit("G. "), title), F.concat(F.lit("A.附录 "), title)]
+    forms += [F.concat(title, F.lit("，更多")), F.concat(F.lit("（一）"), title, F.lit("，更多")), F.lit("...."), F.concat(F.left(title, F.lit(8)), F.lit(":"))]
+    out = F.when(k == 0, forms[0])
+    for n, f in enumerate(forms[1:], 1):
+        out = out.when(k == n, f)
+    return out.otherwise(title)
+
+
+_APPENDIX = "regexp_matches({0}, '^附件\\s*[0-9０-９一二三四五六七八九十]') OR regexp_matches({0}, '" + "|".join(T.APPENDIX_WORDS) + "')"
+
+
+@query("b17_appendix_titles", sql(f"SELECT doc_id, list_index, {_APPENDIX.format('t')} AS is_appendix FROM (SELECT *, {labelled('title')} AS t FROM toc_items)", "toc_items"))
 def b17(spark, d) -> DataFrame:
-    return D.toc_items(spark, d).select("doc_id", "list_index", T.is_appendix(F.when(C("list_index") % 3 == 0, F.concat(F.lit("附件1 "), C("title"))).otherwise(C("title"))).alias("is_appendix"))
+    return D.toc_items(spark, d).select("doc_id", "list_index", T.is_appendix(shown(C("title"))).alias("is_appendix"))
 
 
-_VALID = r"""CASE WHEN length(trim({0})) <= 1 THEN false WHEN length(trim({0})) > 80 THEN false
- WHEN regexp_matches(trim({0}), '[。；;!?！？]') AND NOT regexp_matches({0}, '^\s*(?:[0-9]+(?:\.[0-9]+)*|第[一二三四五六七八九十0-9]+[章节条]|[Cc]hapter)') THEN false
- WHEN NOT regexp_matches(trim({0}), '[\p{{L}}\p{{N}}]') THEN false WHEN regexp_matches(trim({0}), '[:：]$') THEN false WHEN regexp_matches(trim({0}), '^[A-Z]\.$') THEN false
- WHEN regexp_matches(trim({0}), '^(?:序号|名称|备注|No\.|Item|Description)$') THEN false ELSE true END"""
+_BARE = r"regexp_replace({0}, '^[\s　]+|[\s　]+$', '', 'g')"
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\s　]+'), lambda x: x <> '')"
+_VALID = rf"""(SELECT CASE WHEN length(b) <= 1 OR length(b) > 80 THEN false WHEN regexp_matches(b, '[。，！？]') AND NOT regexp_matches(b, '^(第|（|\(|附件|表|图)') THEN false
+ WHEN NOT regexp_matches(b, '[\p{{{{L}}}}\p{{{{N}}}}]') THEN false WHEN regexp_matches(b, '[:：]$') AND (contains(b, '  ') OR regexp_matches(b, '{"|".join(T.FORM_WORDS)}')) THEN false
+ WHEN length(b) > 2 AND regexp_matches(b, '^\p{{{{L}}}}\.') AND NOT regexp_matches(b, '^\p{{{{L}}}}\.[\s　]*[附补表图]') THEN false
+ WHEN len({_WORDS.format("b")}) >= 2 AND list_max(list_transform({_WORDS.format("b")}, lambda x: length(x))) <= 4 AND list_has_any({_WORDS.format("b")}, [{", ".join(f"'{w}'" for w in T.HEAD_WORDS)}]) THEN false ELSE true END FROM (SELECT {_BARE} AS b))"""
 
 
-@query("b18_valid_titles", sql(f"SELECT doc_id, list_index, {_VALID.format('title')} AS is_valid FROM toc_items", "toc_items"))
+@query("b18_valid_titles", sql(f"SELECT doc_id, list_index, {_VALID.format('t')} AS is_valid FROM (SELECT *, {labelled('title')} AS t FROM toc_items)", "toc_items"))
 def b18(spark, d) -> DataFrame:
-    return D.toc_items(spark, d).select("doc_id", "list_index", T.is_valid_title(C("title")).alias("is_valid"))
+    return D.toc_items(spark, d).select("doc_id", "list_index", T.is_valid_title(shown(C("title"))).alias("is_valid"))
 
 
 def items_on_pages(spark, d) -> DataFrame:
@@ -225,10 +245,17 @@ def b26(spark, d) -> DataFrame:
     return D.doc_pages(spark, d).where("page_no <= 5").groupBy("doc_id").agg((short >= F.greatest(F.lit(1), F.floor(F.count("*") * 0.8))).alias("scanned"))
 
 
-@query("b27_numbering_profile", sql(r"""SELECT doc_id, page_no, len(regexp_extract_all(text, '[一二三四五六七八九十]+、')) AS cjk, len(regexp_extract_all(text, '[0-9]+\.')) AS arabic, len(regexp_extract_all(text, '\b[A-Z]\.')) AS letter, left(text, 300) AS preview FROM doc_pages""", "doc_pages"))
+# White space is doubled, as a match takes the one before it and the one behind it.
+_MARKED = r"""regexp_replace(CASE page_no % 4 WHEN 0 THEN '一、' || text || ' A. B. ' WHEN 1 THEN '1. 2.3 ' || text || ' 12、 x.5 ' ELSE text END, '(\s)', '\1\1', 'g')"""
+
+
+@query("b27_numbering_profile", sql(rf"""SELECT doc_id, page_no, tokens, cjk, arabic, letter, cjk + arabic + letter AS list_items, cjk + arabic + letter > 0 AS has_numbering, {{preview}} AS preview FROM (SELECT doc_id, page_no, length(shown) AS tokens, shown,
+    len(regexp_extract_all(shown, '[一二三四五六七八九十]+[、．.]')) AS cjk, len(regexp_extract_all(doubled, '(^|[^\p{{L}}\p{{N}}_])\p{{Nd}}+[.、](\p{{Nd}}+[.、]?)?[\s\x{{85}}\x{{a0}}　]')) AS arabic,
+    len(regexp_extract_all(doubled, '(^|[^\p{{L}}\p{{N}}_])[A-Z][.、][\s\x{{85}}\x{{a0}}　]')) AS letter FROM (SELECT *, {_MARKED} AS doubled, CASE page_no % 4 WHEN 0 THEN '一、' || text || ' A. B. ' WHEN 1 THEN '1. 2.3 ' || text || ' 12、 x.5 ' ELSE text END AS shown FROM doc_pages))""", "doc_pages").replace("{preview}", _BARE.format("replace(left(shown, 300), chr(10), ' ')")))
 def b27(spark, d) -> DataFrame:
-    count = lambda p: F.regexp_count("text", F.lit(p))
-    return D.doc_pages(spark, d).select("doc_id", "page_no", count("[一二三四五六七八九十]+、").alias("cjk"), count(r"[0-9]+\.").alias("arabic"), count(r"\b[A-Z]\.").alias("letter"), F.left("text", F.lit(300)).alias("preview"))
+    k = C("page_no") % 4
+    own = F.when(k == 0, F.concat(F.lit("一、"), "text", F.lit(" A. B. "))).when(k == 1, F.concat(F.lit("1. 2.3 "), "text", F.lit(" 12、 x.5 "))).otherwise(C("text"))
+    return D.doc_pages(spark, d).select("doc_id", "page_no", own.alias("shown")).select("doc_id", "page_no", *[c.alias(n) for n, c in T.numbering_profile(C("shown")).items()])
 
 
 @query("b28_question_intent", """SELECT conv_id, turn, regexp_matches(lower(text), 'list|all|which|哪些|列出|所有') AS is_list, CASE WHEN contains(lower(text), 'budget') THEN 'extract_budget' WHEN contains(lower(text), 'time') THEN 'extract_timeline' WHEN contains(lower(text), 'compare') THEN 'compare' END AS tool
@@ -270,7 +297,7 @@ def b33(spark, d) -> DataFrame:
     return D.toc_items(spark, d).select("doc_id", "list_index", T.code_level(C("structure")).alias("level"), T.code_key(C("structure")).alias("sort_key"))
 
 
-@query("b34_content_groups", "SELECT min(doc_id) AS first_doc, count(*) AS copies, md5(length(text) || '_' || sha256(left(text, 8192))) AS key FROM documents GROUP BY key")
+@query("b34_content_groups", "SELECT min(doc_id) AS first_doc, count(*) AS copies, md5(length(text) || '_' || sha256(text)) AS key FROM documents GROUP BY key")
 def b34(spark, d) -> DataFrame:
     return D.table(spark, d, "documents").groupBy(T.content_key(C("text")).alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 

@@ -374,12 +374,35 @@ def q5(spark, d):
     return t.select("doc_id", "list_index", F.when(C("physical_index") + 2 <= C("total_pages"), C("physical_index") + 2).alias("physical"))
 
 
-@query("q6_interpolate", sql("""SELECT doc_id, list_index, physical_index AS filled FROM toc_items""", "toc_items"))
+@query("q6_interpolate", tsql("""given AS (SELECT doc_id, list_index, CASE WHEN list_index % 4 = 1 THEN physical_index * 2 + list_index % 3 END AS physical FROM toc_items),
+    rows AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY list_index) AS rn FROM given),
+    around AS (SELECT r.*, (SELECT max(a.rn) FROM rows a WHERE a.doc_id = r.doc_id AND a.rn <= r.rn AND a.physical IS NOT NULL) AS ar, (SELECT min(b.rn) FROM rows b WHERE b.doc_id = r.doc_id AND b.rn >= r.rn AND b.physical IS NOT NULL) AS br FROM rows r)""",
+    """SELECT r.doc_id, r.list_index, CAST(CASE WHEN r.physical IS NOT NULL THEN r.physical WHEN ar IS NULL THEN greatest(1, b.physical - (br - r.rn)) WHEN br IS NULL THEN a.physical + r.rn - ar ELSE a.physical + floor((b.physical - a.physical) * (r.rn - ar) / (br - ar)) END AS INT) AS filled
+    FROM around r LEFT JOIN rows a ON a.doc_id = r.doc_id AND a.rn = ar LEFT JOIN rows b ON b.doc_id = r.doc_id AND b.rn = br WHERE ar IS NOT NULL OR br IS NOT NULL""", "toc_items"))
 def q6(spark, d):
-    t = D.toc_items(spark, d).withColumn("physical", F.when(C("list_index") % 3 == 0, C("physical_index")))
-    known = t.groupBy("doc_id").agg(F.max("physical").alias("any"))
-    open_ = M.interpolate(t).join(known, "doc_id")
-    return open_.select("doc_id", "list_index", F.when(C("any").isNull(), C("physical_index")).otherwise(C("filled")).alias("filled"))
+    t = D.toc_items(spark, d).select("doc_id", "list_index", F.when(C("list_index") % 4 == 1, C("physical_index") * 2 + C("list_index") % 3).alias("physical"))
+    return M.interpolate(t).where("filled is not null").select("doc_id", "list_index", "filled")
+
+
+TWICE = "given AS (SELECT doc_id, list_index, CASE WHEN list_index % 7 <> 3 THEN CAST(physical_index // 3 * 3 + list_index % 2 AS INT) END AS physical FROM toc_items)"
+
+
+def repeated(spark, d) -> DataFrame:
+    return D.toc_items(spark, d).select("doc_id", "list_index", F.when(C("list_index") % 7 != 3, (F.floor(C("physical_index") / 3) * 3 + C("list_index") % 2).cast("int")).alias("physical"))
+
+
+@query("q6_shift_duplicates", tsql(TWICE, """numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY physical, list_index) AS n FROM given WHERE physical IS NOT NULL),
+    walk AS (SELECT doc_id, list_index, n, physical AS shifted FROM numbered WHERE n = 1 UNION ALL SELECT b.doc_id, b.list_index, b.n, greatest(b.physical, a.shifted + 1) FROM walk a JOIN numbered b ON b.doc_id = a.doc_id AND b.n = a.n + 1)
+    SELECT doc_id, list_index, CAST(shifted AS INT) AS shifted FROM walk UNION ALL SELECT doc_id, list_index, NULL FROM given WHERE physical IS NULL""", "toc_items", more=True))
+def q6_shift(spark, d):
+    return M.shift_duplicates(repeated(spark, d)).select("doc_id", "list_index", "shifted")
+
+
+@query("q6_backward_steps", tsql(TWICE, """known AS (SELECT * FROM given WHERE physical IS NOT NULL),
+    pairs AS (SELECT b.doc_id, b.list_index, b.physical AS page, (SELECT max(a.list_index) FROM known a WHERE a.doc_id = b.doc_id AND a.list_index < b.list_index) AS at FROM known b)
+    SELECT p.doc_id, p.list_index, a.physical AS previous, p.page FROM pairs p JOIN known a ON a.doc_id = p.doc_id AND a.list_index = p.at WHERE p.page < a.physical""", "toc_items", more=True))
+def q6_backward(spark, d):
+    return M.backward_steps(repeated(spark, d))
 
 
 @query("q7_parent_child", sql("SELECT k.doc_id, p.pre, min(k.start_page) AS first_child FROM nodes k JOIN nodes p ON p.doc_id = k.doc_id AND p.pre = k.parent_pos GROUP BY k.doc_id, p.pre, p.start_page HAVING p.start_page + k.doc_id % 3 > min(k.start_page)", "nodes"))
@@ -394,21 +417,40 @@ _PAREN = r"length(title) - length(replace(replace(title, '.', ''), '。', ''))"
 E1 = f"""least(0.95, 0.3 + CASE confidence WHEN 'high' THEN 0.5 ELSE 0 END + CASE WHEN length(title) > 80 THEN 0.2 ELSE 0 END + CASE WHEN {_PAREN} >= 2 THEN 0.2 ELSE 0 END
     + CASE WHEN instr(page_text, title) > 100 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(title, '^[0-9]+') AND length(title) > 50 THEN 0.1 ELSE 0 END)"""
 E2 = f"CASE WHEN {strip_sql('title')} = {strip_sql('suggested_title')} OR rtrim(title) = rtrim(suggested_title) THEN 0.7 ELSE 0.4 END"
-E3 = "CASE WHEN ((end_page - start_page + 1 > 15 AND false) OR (end_page - start_page + 1 < 3)) AND contains(page_text, left(title, 20)) THEN 0.6 ELSE 0.3 END"
+# Every other proposal shortens a range, the others lengthen it by a page.
+NEW_END = "CASE WHEN pre % 2 = 0 THEN start_page ELSE end_page + 1 END"
+E3 = f"CASE WHEN ((end_page - start_page + 1 > 15 AND {NEW_END} - start_page < end_page - start_page) OR (end_page - start_page + 1 < 3 AND {NEW_END} > end_page)) AND contains(page_text, left(title, 20)) THEN 0.6 ELSE 0.3 END"
 E4 = "CASE WHEN start_page > end_page THEN 0.0 WHEN contains(page_text, left(title, 15)) THEN 0.8 ELSE 0.2 END"
 
 
-@query("e5_verify_advice", tsql(ON_PAGE, f"SELECT suggestion_id, action, CASE action WHEN 'DELETE' THEN {E1} WHEN 'MODIFY_FORMAT' THEN {E2} WHEN 'MODIFY_PAGE' THEN {E3} WHEN 'ADD' THEN {E4} END AS score FROM pages", "suggestions", "doc_pages"))
-def e5(spark, d):
-    s = D.suggestions(spark, d)
+VERIFY = {"DELETE": ("e1_verify_delete", E1), "MODIFY_FORMAT": ("e2_verify_format", E2), "MODIFY_PAGE": ("e3_verify_page", E3), "ADD": ("e4_verify_add", E4)}
+
+
+def evidence(spark, d) -> DataFrame:
+    """Proposals with the text of their start page and, by action, their score."""
     p = D.doc_pages(spark, d).select("doc_id", C("page_no").alias("start_page"), C("text").alias("page_text"))
-    df = s.join(p, ["doc_id", "start_page"], "left")
     t, page, a, b = C("title"), C("page_text"), C("start_page"), C("end_page")
-    score = (
-        F.when(C("action") == "DELETE", A.delete_evidence(t, page, C("confidence"))).when(C("action") == "MODIFY_FORMAT", A.format_evidence(t, C("suggested_title")))
-        .when(C("action") == "MODIFY_PAGE", A.page_evidence(a, b, a, b + 1, t, page)).when(C("action") == "ADD", A.add_evidence(t, a, b, page)).otherwise(0.0)
+    new_end = F.when(C("pre") % 2 == 0, a).otherwise(b + 1)
+    return D.suggestions(spark, d).join(p, ["doc_id", "start_page"], "left").select(
+        "suggestion_id", "action", A.delete_evidence(t, page, C("confidence")).alias("DELETE"), A.format_evidence(t, C("suggested_title")).alias("MODIFY_FORMAT"),
+        A.page_evidence(a, b, a, new_end, t, page).alias("MODIFY_PAGE"), A.add_evidence(t, a, b, page).alias("ADD"),
     )
-    return df.select("suggestion_id", "action", score.alias("score"))
+
+
+def _verify(action: str, name: str, score: str) -> None:
+    @query(name, tsql(ON_PAGE, f"SELECT suggestion_id, {score} AS score FROM pages WHERE action = '{action}'", "suggestions", "doc_pages"))
+    def one(spark, d):
+        return evidence(spark, d).where(C("action") == action).select("suggestion_id", C(action).alias("score"))
+
+
+for _action, (_name, _score) in VERIFY.items():
+    _verify(_action, _name, _score)
+
+
+@query("e5_verify_advice", tsql(ON_PAGE, f"SELECT suggestion_id, action, CASE action WHEN 'DELETE' THEN {E1} WHEN 'MODIFY_FORMAT' THEN {E2} WHEN 'MODIFY_PAGE' THEN {E3} WHEN 'ADD' THEN {E4} END AS score FROM pages", "suggestions", "doc_pages"))
+def e5(spark, d):
+    score = F.coalesce(*[F.when(C("action") == a, C(a)) for a in VERIFY], F.lit(0.0))
+    return evidence(spark, d).select("suggestion_id", "action", score.alias("score"))
 
 
 SCORE = "CASE confidence WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.7 ELSE 0.5 END"

@@ -8,22 +8,27 @@ from leafspan.operators import hierarchy as H
 
 
 def tree_schema(depth: int = 4) -> S.StructType:
-    """A node with every accepted key, children and nodes unrolled to a depth."""
+    """A node with every accepted key, its children unrolled to a depth."""
     fields = [S.StructField(k, S.StringType()) for k in ("title", "node_id", "id", "summary")]
     fields += [S.StructField(k, S.IntegerType()) for k in ("start_index", "end_index", "ps", "pe", "page_start", "page_end")]
     if depth > 1:
-        below = S.ArrayType(tree_schema(depth - 1))
-        fields += [S.StructField("nodes", below), S.StructField("children", below)]
+        fields.append(S.StructField("children", S.ArrayType(tree_schema(depth - 1))))
     return S.StructType(fields)
 
 
 def read_trees(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
-    """(doc, path, depth, node_id, title, start_page, end_page) of one JSON tree a file.
+    """(doc, path, depth, node_id, title, start_page, end_page) of one JSON tree a file."""
+    return flat_trees(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), "value"), "doc", depth)
 
-    A file is {structure: [..]}, {children: [..]}, {result: {structure: [..]}} or
+
+def flat_trees(text: DataFrame, key: str, depth: int = 4) -> DataFrame:
+    """(key, path, depth, node_id, title, start_page, end_page) of JSON trees (key, value).
+
+    A tree is {structure: [..]}, {children: [..]}, {result: {structure: [..]}} or
     a list of nodes. One generator a level; levels are put together by union.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), "value")
+    # Children go by two names: made one first, as the schema would double with every level.
+    text = text.select(F.col(key).alias("doc"), F.regexp_replace("value", r'(?<!\\\\)"nodes"\s*:', '"children":').alias("value"))
     many = S.ArrayType(tree_schema(depth))
     wrapped = S.StructType([S.StructField("structure", many), S.StructField("children", many), S.StructField("result", S.StructType([S.StructField("structure", many)]))])
     w = F.from_json("value", wrapped)
@@ -37,8 +42,8 @@ def read_trees(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
         )
         out = flat if out is None else out.unionByName(flat)
         if d < depth:
-            level = level.select("doc", "path", F.posexplode(F.coalesce("n.nodes", "n.children")).alias("p", "n")).select("doc", F.array_append("path", F.col("p")).alias("path"), "n")
-    return out
+            level = level.select("doc", "path", F.posexplode("n.children").alias("p", "n")).select("doc", F.array_append("path", F.col("p")).alias("path"), "n")
+    return out.withColumnRenamed("doc", key)
 
 
 def nested_trees(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -61,6 +66,12 @@ def write_trees(trees: DataFrame, path: str) -> None:
     trees.write.mode("errorifexists").json(path)
 
 
+def with_bucket(df: DataFrame, key: str = "doc_id", buckets: int = 16) -> DataFrame:
+    """df with the bucket of its key, and pending for the status of rows that have none."""
+    out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    return out.withColumn("status", F.coalesce("status", F.lit("pending"))) if "status" in df.columns else out
+
+
 def append_rows(df: DataFrame, path: str, key: str = "doc_id", buckets: int = 16) -> None:
     """Appends to a table that is partitioned by a bucket of its key."""
-    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("append").partitionBy("bucket").parquet(path)
+    with_bucket(df, key, buckets).write.mode("append").partitionBy("bucket").parquet(path)

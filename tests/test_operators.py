@@ -38,8 +38,20 @@ def values(spark, rule, *rows):
         (T.strip_numbering, "1.2 Scope", "Scope"),
         (T.is_chapter, "Chapter IV", True),
         (T.is_chapter, "Scope", False),
-        (T.is_valid_title, "G.", False),
-        (T.is_valid_title, "Name:", False),
+        (T.is_valid_title, "G.", True),
+        (T.is_valid_title, "G. rest", False),
+        (T.is_valid_title, "A.附录", True),
+        (T.is_valid_title, "Name:", True),
+        (T.is_valid_title, "Name  :", False),
+        (T.is_valid_title, "地址：", False),
+        (T.is_valid_title, "序号 项目 内容", False),
+        (T.is_valid_title, "（一）适用，范围", True),
+        (T.is_valid_title, "适用，范围", False),
+        (T.is_valid_title, "　x　", False),
+        (T.is_appendix, "附件 2：表", True),
+        (T.is_appendix, "技术偏离表", True),
+        (T.is_appendix, "Appendix A", False),
+        (T.toc_score, "\nContents\n\n1. Introduction - 5\n2. Background - 12\n3. Methods - 25\n4. Results - 40\n5. Discussion - 55\n", 60),
         (T.is_valid_title, "Scope of work", True),
         (T.is_noise, "Page 12", True),
         (T.is_noise, "Scope", False),
@@ -83,7 +95,7 @@ def test_coverage_and_gaps_add_up(spark):
 
 
 def test_chapters_repeat_and_appendices_move_down(spark):
-    rows = [(1, "Chapter 1 A"), (2, "Scope of it"), (1, "Chapter 1 A"), (2, "Scope again"), (1, "Appendix X"), (1, "x")]
+    rows = [(1, "Chapter 1 A"), (2, "Scope of it"), (1, "Chapter 1 A"), (2, "Scope again"), (1, "附件1 X"), (1, "x")]
     df = spark.createDataFrame([(1, i, level, t, i) for i, (level, t) in enumerate(rows)], "doc_id long, pos int, level int, title string, page int")
     got = hierarchy.promote_chapters(df).orderBy("pos").collect()
     assert [(r["pos"], r["level"]) for r in got] == [(0, 1), (1, 2), (4, 2)]
@@ -224,3 +236,50 @@ def test_trees_of_any_depth_against_brute_force(spark):
             if not any(k % 4 == 1 for k in path):
                 left.append((d, i))
         assert {g for g in gone if g[0] == d} == set(left)
+
+
+def test_contents_pages_score_over_others(spark):
+    leader = " " + "." * 20 + " "
+    high = "Table of Contents\n" + "\n".join(f"Chapter {k}{leader}{k * 9}\n  {k}.1 Part{leader}{k * 9 + 1}" for k in range(1, 7))
+    nested = "Contents\n" + "\n".join(f"{k}. Part{leader}{k}\n    {k}.1 Below{leader}{k + 1}" for k in range(1, 5))
+    figures = "List of Figures\n" + "\n".join(f"Figure 1.{k}: Shape{leader}{k}" for k in range(4))
+    plain = "It holds no\ntable of contents structure or page numbers.\n" * 3
+    got = values(spark, T.toc_score, high, nested, figures, plain, "Abstract\n\nThis paper shows a way to learn, with uses in many fields of work.", "Contents\nChapter 1")
+    assert got[0] >= 70 and got[1] >= 70 and got[2] < 70 and all(x < 50 for x in got[3:])
+
+
+@pytest.mark.parametrize(
+    ("title", "page", "least", "most"),
+    [
+        ("Introduction to Learning", "x Introduction to Learning\n\nmore", 100, 100),
+        ("Data Collection Methods", "DATA COLLECTION METHODS\n\nWe did", 100, 100),
+        ("Background and Motivation", "Background, and: Motivation!", 95, 95),
+        ("Experimental Methodology", "Expermental Methodolgy\n\nWe designed", 80, 94),
+        ("thequickbrownfox", "zzxthequickbrownfoxjumps", 100, 100),
+        ("Quantum Computing Fundamentals", "Classical ideas\n\nThe past was other", 0, 0),
+        ("!!", "??", 0, 0),
+    ],
+)
+def test_title_confidence(spark, title, page, least, most):
+    df = spark.createDataFrame([(title, page)], "t string, p string")
+    assert least <= df.select(T.title_confidence(C("t"), C("p"))).first()[0] <= most
+
+
+def test_duplicates_shift_and_steps_back(spark):
+    df = spark.createDataFrame([(1, i, p) for i, p in enumerate([10, 15, 15, 15, 20, None, 16])], "doc_id long, list_index int, physical int")
+    assert {r["list_index"]: r["shifted"] for r in mapping.shift_duplicates(df).collect()} == {0: 10, 1: 15, 2: 16, 3: 17, 4: 20, 5: None, 6: 18}
+    assert [tuple(r) for r in mapping.backward_steps(df).collect()] == [(1, 6, 20, 16)]
+
+
+def test_restoring_keeps_what_was_current(spark):
+    first = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (2, 1, "c")], "doc_id long, version int, title string")
+    edited = spark.createDataFrame([(1, "x"), (3, "new")], "doc_id long, title string")
+    got = audit.restore(audit.snapshot(first, edited), spark.createDataFrame([(1, 1)], "doc_id long, version int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "a"), (1, 1, "b"), (1, 2, "x"), (1, 3, "a"), (1, 3, "b"), (2, 1, "c"), (3, 1, "new")]
+
+
+def test_rows_are_appended_by_bucket(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "done")], "doc_id long, status string")
+    for _ in range(2):
+        trees.append_rows(df, str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("doc_id", "status").collect()) == [(1, "pending"), (1, "pending"), (2, "done"), (2, "done")]
