@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,29 @@ def _aside_name(value: str, inside: bool, title_like: bool) -> bool:
     return False
 
 
+@lru_cache(maxsize=20_000)
+def _place_of(above: str, tag: str) -> str:
+    """A place is the number of its block tags from the root, so a deep one is no longer than others."""
+    return f"{tag}.{xxhash.xxh64_hexdigest(above + '/' + tag)}"
+
+
+@lru_cache(maxsize=20_000)
+def _aside_of(tag: str, attributes: str, inside: bool) -> int:
+    """Whether a tag with its attributes looks like (1), or is hidden and so lies (2) outside the main text."""
+    aside = int(tag in ASIDE_TAGS and not (tag == "header" and inside))
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        value, name = value.strip("\"'"), name.lower()
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            aside = 2
+        elif aside or tag in ("html", "body", "article", "main"):
+            continue
+        elif name == "role":
+            aside = int(value.lower() in ASIDE_ROLES)
+        elif name in ("class", "id", "aria-label"):
+            aside = int(_aside_name(html.unescape(value), inside, tag in ("section", "h1", "h2", "h3", "h4", "h5", "h6")))
+    return aside
+
+
 class _Place:
     """Open elements: their tags, the place's number, and whether they, or one around them, look like (1) or are hidden and so lie (2) outside the main text."""
 
@@ -89,24 +113,11 @@ class _Place:
         if tag in VOID:
             return
         above = self.open[-1] if self.open else ("", 0, False, "")
-        inside = above[2]
-        aside = int(tag in ASIDE_TAGS and not (tag == "header" and inside))
-        if attributes:
-            for name, value in _ATTRIBUTE.findall(attributes):
-                value, name = value.strip("\"'"), name.lower()
-                if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                    aside = 2
-                elif aside or tag in ("html", "body", "article", "main"):
-                    continue
-                elif name == "role":
-                    aside = int(value.lower() in ASIDE_ROLES)
-                elif name in ("class", "id", "aria-label"):
-                    aside = int(_aside_name(html.unescape(value), inside, tag in ("section", "h1", "h2", "h3", "h4", "h5", "h6")))
+        aside = (_aside_of if len(attributes) < 200 else _aside_of.__wrapped__)(tag, attributes, above[2])
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
             self._imply(tag)
             above = self.open[-1] if self.open else ("", 0, False, "")
-        # A place is the number of its block tags from the root, so a deep one is no longer than others.
-        place = above[3] if tag in INLINE else f"{tag}.{xxhash.xxh64_hexdigest(above[3] + '/' + tag)}"
+        place = above[3] if tag in INLINE else _place_of(above[3], tag)
         self.open.append((tag, max(above[1], aside), above[2] or tag in MAIN_TAGS, place))
         self.times[tag] = self.times.get(tag, 0) + 1
 
