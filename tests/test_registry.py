@@ -36,11 +36,7 @@ def duck():
     return con
 
 
-#: One of each family: all of them take minutes.
-CHOSEN = ["b1_estimate_tokens", "b21_answer_items", "b36_history", "w5_markdown_sections", "w9_hierarchical_ids", "j6_relocate", "g1_gaps", "e7_apply_deletes", "k2_retention", "r3_latest_wins", "t4_sessions"]
-
-
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
