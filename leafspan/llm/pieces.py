@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -122,31 +123,36 @@ class Codec:
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() if kind != UNKNOWN else " ⁇ ".encode()
             for p, _, kind in self.model.pieces
         ]
+        self.ended = [*self.bytes, b"\0"]
 
     def _learn(self, words: set[str]) -> None:
         new = sorted(words - self.known.keys())
         if len(self.known) + len(new) > self.keep:
             self.known, self.differ, self.lossy = {}, set(), set()
             new = sorted(words)
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, np.int32).tobytes()
-        if self.sp is not None:
-            # A text's pieces are its words' pieces, one after the other, so it comes back whole if each word does.
-            for word in new:
-                data = b"".join(map(self.bytes.__getitem__, np.frombuffer(self.known[word], np.int32).tolist()))
-                if data != word.replace(MARK, " ").encode("utf-8", "replace"):
-                    self.lossy.add(word)
-        if self.sp is not None and self.word_parity:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        for word, own in zip(new, ids, strict=True):
+            self.known[word] = array("i", own).tobytes()
+        if self.sp is None:
+            return
+        # A text's pieces are its words' pieces, one after the other, so it comes back whole if each word does. All are looked at at once, each with a NUL behind it.
+        flat: list[int] = []
+        for own in ids:
+            flat += own
+            flat.append(-1)
+        if b"".join(map(self.ended.__getitem__, flat)) != "\0".join([*new, ""]).replace(MARK, " ").encode("utf-8", "replace"):
+            self.lossy.update(w for w, own in zip(new, ids, strict=True) if b"".join(map(self.bytes.__getitem__, own)) != w.replace(MARK, " ").encode("utf-8", "replace"))
+        if self.word_parity:
             # The library puts a marker before each text: a word without its own is a text whose pieces are that word's.
-            # What is nothing but markers stands behind a letter instead, whose pieces are taken off again.
-            bare = [w for w in new if not w.strip(MARK)]
-            rest = [w for w in new if w[:1] == MARK and w.strip(MARK)]
-            self.differ.update(w for w in new if w[:1] != MARK)  # no normalised text has such a word: not checked, not alike
-            lone = np.array(self.sp.encode("a"), np.int32).tobytes()
-            asked = ["a" + w.replace(MARK, " ") for w in bare] + [w[1:].replace(MARK, " ") for w in rest]
-            for word, ids, before in zip(bare + rest, self.sp.encode(asked, num_threads=1), [lone] * len(bare) + [b""] * len(rest), strict=True):
-                if np.array(ids, np.int32).tobytes() != before + self.known[word]:
-                    self.differ.add(word)
+            usual = [k for k, w in enumerate(new) if w[:1] == MARK and w[1:2] not in ("", MARK)]
+            for k, own in zip(usual, self.sp.encode([new[k][1:] for k in usual], num_threads=1), strict=True):
+                if own != ids[k]:
+                    self.differ.add(new[k])
+            # Words of several markers stand behind a letter instead, whose pieces are taken off again; a word without any is in no normalised text.
+            lone = self.sp.encode("a")
+            for w, own in zip(new, ids, strict=True):
+                if w[:1] != MARK or (w[1:2] in ("", MARK) and self.sp.encode("a" + w.replace(MARK, " ")) != lone + own):
+                    self.differ.add(w)
 
     @property
     def word_parity(self) -> bool:

@@ -74,7 +74,7 @@ def test_parity_is_false_where_ids_differ(tmp_path):
     for squeeze in (False, True):
         codec = pieces.Codec(model_file(tmp_path / f"m{squeeze}", rows, True, True, squeeze, False), verify=True)
         assert [ok for _, ok, _ in codec.encoded(["ab a", "b"])] == [True, True]
-        codec.tokenizer = type("Wrong", (), {"encode_batch": lambda self, words, **_: [type("E", (), {"ids": [1]})() for _ in words]})()
+        codec.tokenizer = type("Wrong", (), {"encode_batch_fast": lambda self, words, **_: [type("E", (), {"ids": [1]})() for _ in words]})()
         codec.known = {}
         assert [ok for _, ok, _ in codec.encoded(["ab a", "", "b  "])] == [False, True, False]
 
