@@ -352,7 +352,8 @@ def wrappers(pages: DataFrame, most: int = 256, broadcast_rows: int = 20_000) ->
             )
 
     kind = "host string, slots array<string>, n bigint"
-    one_each = pages.select("host", "html").join(F.broadcast(fixed) if small else fixed, "host", "left").select("host", "html", "texts").mapInArrow(run, kind).groupBy("host", "slots").agg(F.sum("n").alias("n"))
+    read_ = pages.select("host", "html").join(F.broadcast(fixed) if small else fixed, "host", "left").select("host", "html", "texts").mapInArrow(run, kind)
+    one_each = cut(read_.groupBy("host", "slots").agg(F.sum("n").alias("n")))
     counts = one_each.groupBy("host").agg(F.count("*").alias("k"))
     salted = one_each.join(counts, "host").select("host", "slots", "n", F.pmod(F.xxhash64("slots"), F.ceil(F.col("k") / most)).alias("salt"))
     partial = cut(salted.groupBy("host", "salt").applyInArrow(_merge, kind))
