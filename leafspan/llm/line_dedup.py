@@ -221,7 +221,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = docs.columns
     gone, texts = deletions(docs, id_col, text_col, min_words)
-    plan = texts.join(gone, "key", "left").select("key", "first", "words", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    # Written out, so that the join below is an exchange away from the grouping and Spark can split a frequent text.
+    plan = cut(texts.join(gone, "key", "left").select("key", "first", "words", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")))
     # All of a row is one struct meanwhile, so that names of docs clash with none of these.
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.md5(text).alias("key")).join(plan, "key", "left")
