@@ -74,13 +74,17 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def trie_steps(keys: np.ndarray, group: np.ndarray, first_bit: int, max_bits: int, width: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_steps(
+    keys: np.ndarray, group: np.ndarray, first_bit: int, max_bits: int, width: int = 500_000, root: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of the keys of a group that differ in at most max_bits bits, a step at a time.
 
     keys: distinct within a group, unsigned, sorted by (group, key), and equal
     within a group above first_bit. A node is a range of positions, a pair of
     nodes a row of the arrays below. A level of more than width pairs goes on
     in halves, one after the other, so memory is bounded however dense a group is.
+    root: labels of what is joined already, which the caller may change in place
+    between steps; a pair of nodes that have one label throughout is dropped.
     """
     cuts = np.flatnonzero(np.diff(group)) + 1
     lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
@@ -88,6 +92,11 @@ def trie_steps(keys: np.ndarray, group: np.ndarray, first_bit: int, max_bits: in
     stack = [(first_bit, (lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), np.int8)))]
     while stack:
         bit, level = stack.pop()
+        if root is not None and len(level[0]):
+            turns = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
+            a_lo, a_hi, b_lo, b_hi, _ = level
+            joined = (turns[a_lo] == turns[a_hi - 1]) & (turns[b_lo] == turns[b_hi - 1]) & (root[a_lo] == root[b_lo])
+            level = tuple(x[~joined] for x in level)
         if not len(level[0]):
             continue
         if len(level[0]) > width:
@@ -359,11 +368,14 @@ def _candidate_task(max_bits: int, most: int = 100_000):
             fps = table.column(3).to_numpy().view(np.uint64)
             order = np.lexsort((fps, group))
             fps, group = fps[order], group[order]
-            root = np.arange(len(fps))
-            for i, j in trie_steps(fps, group, 0, max_bits):
+            new = np.diff(group, prepend=-1) != 0
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            # What is near the first of its bucket is joined at once: a bucket of near copies takes no pairs.
+            root = np.where(np.bitwise_count(fps ^ fps[first]) <= max_bits, first, np.arange(len(fps)))
+            for i, j in trie_steps(fps, group, 0, max_bits, root=root):
                 apart = root[i] != root[j]
                 if apart.any():
-                    root = forest(len(fps), root[i[apart]], root[j[apart]])[root]
+                    root[:] = forest(len(fps), root[i[apart]], root[j[apart]])[root]
             moved = np.flatnonzero(root != np.arange(len(fps)))
             names = table.column(4)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(order[x])).combine_chunks() for x in (moved, root[moved])], ["a", "b"])
@@ -374,14 +386,18 @@ def _candidate_task(max_bits: int, most: int = 100_000):
 def similar_links(fps: np.ndarray, sets: list[np.ndarray], max_bits: int, similarity: float, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that connect what chains of similar sets connect, among those whose fingerprints differ in at most max_bits bits.
 
-    The trie names the pairs; those that links found so far already join aren't
-    looked at again, all others are compared in full. With part, only pairs of
-    different parts count.
+    All are compared with the first. The trie names the other pairs; those that
+    links found so far already join aren't looked at again, all others are
+    compared in full. With part, only pairs of different parts count beyond the
+    first.
     """
     order = np.argsort(fps, kind="stable")
     keys, size = fps[order], np.array([len(x) for x in sets], np.int64)[order]
-    root, out_a, out_b = np.arange(len(fps)), [], []
-    for i, j in trie_steps(keys, np.zeros(len(keys), np.int64), 0, max_bits):
+    least = similarity * np.maximum(size, size[0])
+    like = np.array([jaccard(sets[order[0]], sets[x]) >= similarity if k and ok else False for k, (x, ok) in enumerate(zip(order, np.minimum(size, size[0]) >= least, strict=True))], bool)
+    root = np.where(like, 0, np.arange(len(fps)))
+    out_a, out_b = [order[like]], [np.repeat(order[:1], int(like.sum()))]
+    for i, j in trie_steps(keys, np.zeros(len(keys), np.int64), 0, max_bits, root=root):
         near = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
         if part is not None:
             near &= part[order[i]] != part[order[j]]
@@ -394,9 +410,9 @@ def similar_links(fps: np.ndarray, sets: list[np.ndarray], max_bits: int, simila
             won = first[like] if len(first) else first
             out_a.append(order[i[won]])
             out_b.append(order[j[won]])
-            root = forest(len(root), root[i[won]], root[j[won]])[root]
+            root[:] = forest(len(root), root[i[won]], root[j[won]])[root]
             i, j = np.delete(i, first), np.delete(j, first)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _confirm_task(max_bits: int, similarity: float, most: int = 1 << 25):
@@ -422,12 +438,50 @@ def _confirm_task(max_bits: int, similarity: float, most: int = 1 << 25):
     return run
 
 
-def _met(rows: DataFrame, group: str, key: str, parts) -> DataFrame:
-    """rows in parts by the key's hash: part_a, part_b and own; every two parts of a group meet once, each part also on its own."""
-    own = F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")
-    dealt = rows.withColumn("_parts", parts.cast("int")).withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = dealt.withColumn("part_a", F.least("own", "_other")).withColumn("part_b", F.greatest("own", "_other")).drop("_parts", "_other")
-    return dealt.repartition(group, "part_a", "part_b").sortWithinPartitions(group, "part_a", "part_b")
+def _led_task(similarity: float):
+    """Links of a component's texts to its leader, from rows (component, part, other, key, shingles) sorted by the first three; the leader comes first in each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, np.uint64)
+        for batch in batches:
+            like = []
+            for k, (other, shingles) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4), strict=True)):
+                own = shingles.values.to_numpy().view(np.uint64)
+                if not other:
+                    lead = own
+                elif min(len(own), len(lead)) >= similarity * max(len(own), len(lead)) and jaccard(own, lead) >= similarity:
+                    like.append(k)
+            at = pa.array(like, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(0).take(at)], ["a", "b"])
+
+    return run
+
+
+def _led_links(hot: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """(a, b): texts of hot (component, key, shingles, n) that are similar to their component's leader, which is the text whose key names it."""
+    other = F.col("key") != F.col("component")
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    own = F.pmod(F.xxhash64("key"), parts).cast("int")
+    dealt = hot.select("component", F.explode(F.when(other, F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"), other.alias("other"), "key", "shingles")
+    return dealt.repartition("component", "part").sortWithinPartitions("component", "part", "other").mapInArrow(_led_task(similarity), "a binary, b binary")
+
+
+def _met(rows: DataFrame, hot: DataFrame | None, group: str, key: str, limit: int) -> DataFrame:
+    """Rows of groups for one task each, and those of hot groups in parts that meet two by two, sorted by (group, part_a, part_b).
+
+    hot has the columns of rows and weight and led. What is led is joined to its
+    group's leader already and meets only what isn't: a group grows with its
+    rows times those that its leader hasn't, not with its square.
+    """
+    met = rows.select("*", *[F.lit(0).alias(c) for c in ("own", "part_a", "part_b")])
+    if hot is not None:
+        parts = lambda led: F.ceil(F.coalesce(F.sum(F.when(F.col("led") == led, F.col("weight"))), F.lit(0)) / limit).cast("int")
+        counted = hot.join(hot.groupBy(group).agg(parts(False).alias("_free"), parts(True).alias("_led")).where("_free > 0"), group)
+        own = F.when(F.col("led"), F.col("_free") + F.pmod(F.xxhash64(key), F.greatest("_led", F.lit(1)))).otherwise(F.pmod(F.xxhash64(key), F.col("_free"))).cast("int")
+        last = F.when(F.col("led"), F.col("_free")).otherwise(F.col("_free") + F.col("_led")) - 1
+        dealt = counted.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+        met = met.unionByName(dealt.select(*rows.columns, "own", F.least("own", "_other").alias("part_a"), F.greatest("own", "_other").alias("part_b")))
+    return met.repartition(group, "part_a", "part_b").sortWithinPartitions(group, "part_a", "part_b")
 
 
 def similar_documents(
@@ -444,9 +498,10 @@ def similar_documents(
     candidates, and a second one within each component of candidates the pairs
     whose whole sets are compared: no link stands on an estimate.
 
-    Texts with equal sets are one from the start. A bucket of more than
-    hot_block texts, or a component of more than hot_shingles shingles, is split
-    by hash, and every two parts meet in a task of their own: nothing is left out.
+    Texts with equal sets are one from the start. In a bucket of more than
+    hot_block texts, or a component of more than hot_shingles shingles, all are
+    compared with one leader; those that it doesn't join meet all others, split
+    by hash, every two parts in a task of their own: nothing is left out.
 
     component_id is the smallest id of the component (nulls only where it has no
     other). Texts without words are alike; repeated rows stay; an empty table
@@ -469,9 +524,16 @@ def similar_documents(
     sketches = cut(texts.mapInArrow(sketch, f"id {kind}, fp bigint, key binary, buckets array<bigint>"))
     one_each = cut(sketches.groupBy("key").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("buckets").alias("buckets")))
     dealt = one_each.select("key", "fp", F.explode("buckets").alias("bucket"))
-    sizes = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    met = _met(dealt.join(sizes, "bucket"), "bucket", "key", F.ceil(F.col("n") / hot_block))
-    candidates = components(met.select("bucket", "part_a", "part_b", "fp", "key").mapInArrow(_candidate_task(max_bits), "a binary, b binary"))
+    sizes = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).where("n > 1"))
+    met, hot, led = dealt.join(sizes.where(F.col("n") <= hot_block).select("bucket"), "bucket"), None, None
+    large = sizes.where(F.col("n") > hot_block)
+    if not large.isEmpty():
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= max_bits
+        hot = cut(dealt.join(large, "bucket").select("bucket", "key", "fp", F.lit(1).alias("weight"), near.alias("led"), (F.col("fp") == F.col("lead")).alias("leads")))
+        leaders = hot.where("leads").groupBy("bucket").agg(F.min("key").alias("b"))
+        led = hot.where("led").join(leaders, "bucket").select(F.col("key").alias("a"), "b")
+    found = _met(met.select("bucket", "key", "fp"), hot, "bucket", "key", hot_block).select("bucket", "part_a", "part_b", "fp", "key").mapInArrow(_candidate_task(max_bits), "a binary, b binary")
+    candidates = components(found if led is None else found.unionByName(led))
 
     def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -485,9 +547,17 @@ def similar_documents(
     wanted = one_each.select(F.col("id").alias("_id"), "key", "fp").join(candidates.withColumnRenamed("node", "key"), "key")
     known = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("component", "key", "fp", "text")
     sets = cut(known.mapInArrow(shingles_of, "component binary, key binary, fp bigint, shingles array<bigint>"))
-    weight = sets.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"))
-    pairs = _met(sets.join(weight, "component"), "component", "key", F.greatest(F.lit(1), F.ceil(F.col("n") / hot_shingles)))
+    large = cut(sets.groupBy("component").agg(F.sum(F.size("shingles")).alias("n")).where(F.col("n") > hot_shingles))
+    calm, hot, led = sets, None, None
+    if not large.isEmpty():
+        calm = sets.join(large, "component", "left_anti")
+        known = sets.join(large, "component")
+        led = cut(_led_links(known, hot_shingles, similarity))
+        joined = led.select(F.col("a").alias("key"), F.lit(True).alias("_joined")).distinct()
+        hot = known.join(joined, "key", "left").withColumn("weight", F.size("shingles")).withColumn("led", F.col("_joined").isNotNull() | (F.col("key") == F.col("component")))
+    pairs = _met(calm, hot, "component", "key", hot_shingles)
     edges = pairs.select("component", "part_a", "part_b", "own", "key", "fp", "shingles").mapInArrow(_confirm_task(max_bits, similarity), "a binary, b binary")
+    edges = edges if led is None else edges.unionByName(led)
     return _grouped(sketches.select("id", "fp", "key"), edges, "key")
 
 

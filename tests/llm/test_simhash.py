@@ -111,6 +111,18 @@ def test_trie_steps_are_bounded_and_whole():
     assert max(len(i) for i, _ in steps) <= 50 * 16
 
 
+def test_trie_drops_what_is_joined():
+    """Pairs of nodes with one label throughout are not gone into; all others are."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    keys = np.array(sorted({base ^ sum(1 << b for b in r.sample(range(64), 3)) for _ in range(500)}), np.uint64)
+    group = np.zeros(len(keys), np.int64)
+    assert list(simhash.trie_steps(keys, group, 0, 10, root=group.copy())) == []
+    root = np.arange(len(keys)) // 100
+    found = {p for i, j in simhash.trie_steps(keys, group, 0, 10, root=root) for p in zip(i.tolist(), j.tolist())}
+    assert {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if root[a] != root[b]} <= found
+
+
 def test_set_similarity():
     a, b = np.array([1, 2, 3, 4, 5], np.uint64), np.array([2, 3, 4, 5, 6], np.uint64)
     none = np.zeros(0, np.uint64)
@@ -118,7 +130,7 @@ def test_set_similarity():
     assert (simhash.jaccard(a, a), simhash.jaccard(none, none), simhash.jaccard(a, none), simhash.jaccard(none, a)) == (1, 1, 0, 0)
 
 
-@pytest.mark.parametrize(("hot", "shingles"), [(20_000, 4_000_000), (5, 400)])
+@pytest.mark.parametrize(("hot", "shingles"), [(20_000, 4_000_000), (5, 400), (2, 60)])
 def test_similar_documents_match_brute_force(spark, hot, shingles):
     """Texts on either side of a similarity of 0.8, among them equal sets with other repeats, against all pairs."""
     r = random.Random(5)
