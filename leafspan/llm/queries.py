@@ -11,6 +11,7 @@ from .packing import op7_pack_tokens
 from .pieces import op6_sentencepiece
 from .quality_model import op1_quality_classifier
 from .quality_rules import op10_quality_rules
+from .repacking import op11_bestfit_repacking
 from .simhash import op5_simhash_near_dedup
 from .url_filter import op2_url_filter
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_bestfit_repacking": op11_bestfit_repacking,
 }
 
 SQL = {"op8_benchmark_decontamination": oracle.OP8, "op10_quality_rules": oracle.OP10}
