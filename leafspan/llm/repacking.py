@@ -10,7 +10,9 @@ rounding. Any other partition has a gap, above its bound or in the room that
 its long pieces leave: all of its sequences that have room are opened. What is
 open is dealt out anew over fewer partitions, packed again and certified again,
 until the open sequences meet the bound of all that is open, or a round over
-the fewest partitions that memory allows is done.
+the fewest partitions that memory allows is done. If all sequences together are
+then still above the bound of all pieces, everything is dealt out once, and the
+better packing stays.
 
 Only lengths and keys travel between partitions, never texts or ids, and each
 round is written to the shared checkpoint folder before the next reads it.
@@ -200,15 +202,13 @@ def _cut_up(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str) ->
         yield pa.table({"id": batch.column(0).take(pa.array(doc, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
 
-def _open_state(now: DataFrame) -> tuple[np.ndarray, int, int, int]:
-    """(lengths' counts, pieces, sequences and blocks) of what is open. Lengths are at most capacity, so the counts are bounded."""
-    loose = now.where("open")
-    rows = loose.groupBy("length").count().collect()
+def _lengths(pieces: DataFrame) -> np.ndarray:
+    """Number of pieces of each length, of which there are capacity at most."""
+    rows = pieces.groupBy("length").count().collect()
     counts = np.zeros(max([r["length"] for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r["length"]] = r["count"]
-    blocks = now.agg(F.count("bins")).first()[0]
-    return counts, int(counts.sum()), loose.where("offset = 0").count(), blocks
+    return counts
 
 
 def repack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = 1_000_000, fan: int = 8) -> DataFrame:
@@ -230,32 +230,45 @@ def repack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
     def again(round_: int):
         return lambda batches: _sequences((pa.Table.from_batches([b]) for b in batches), capacity, round_, block_pieces)
 
-    now = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(first, schema))
-    own, closed = ["id", *[f.split()[0] for f in _OWN.split(", ")]], []
-    counts, pieces, sequences, blocks = _open_state(now)
-    width = blocks
-    for round_ in range(1, 32):
-        least = -(-pieces // block_pieces)
-        if sequences <= lower_bound(counts, capacity) or width <= least and round_ > 1:
-            break
-        width = max(least, -(-width // fan))
-        then = cut(now.where("open").select(*own).repartition(width).mapInArrow(again(round_), schema))
-        made = then.agg(F.sum("bins")).first()[0]
-        if made < sequences:
-            closed.append(now.where("not open"))
-            now = then
-            counts, pieces, sequences, _ = _open_state(now)
-    for part in closed:
-        now = now.unionByName(part)
+    own = ["id", *[f.split()[0] for f in _OWN.split(", ")]]
+
+    def dealt(pieces: DataFrame, width: int, round_: int) -> DataFrame:
+        return cut(pieces.select(*own).repartition(width).mapInArrow(again(round_), schema))
+
+    def settled(now: DataFrame, round_: int) -> tuple[DataFrame, int]:
+        """Rounds of exchange over what is open; the pieces in their places, and the next round's number."""
+        width, closed = now.agg(F.count("bins")).first()[0], []
+        for round_ in range(round_, round_ + 12):
+            loose = now.where("open")
+            counts, sequences = _lengths(loose), loose.where("offset = 0").count()
+            least = -(-int(counts.sum()) // block_pieces)
+            if sequences <= lower_bound(counts, capacity) or width <= least and closed:
+                break
+            width = max(least, -(-width // fan))
+            then = dealt(loose, width, round_)
+            if then.agg(F.sum("bins")).first()[0] < sequences:
+                closed.append(now.where("not open"))
+                now = then
+            elif width <= least:
+                break
+        for part in closed:
+            now = now.unionByName(part)
+        return now, round_ + 1
+
+    now, round_ = settled(cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(first, schema)), 1)
+    said = certificate(now, capacity)
+    if said["sequences"] > said["lower_bound"]:
+        width = max(1, -(-said["pieces"] // block_pieces), now.agg(F.count("bins")).first()[0] // fan)
+        mixed, _ = settled(dealt(now, width, round_), round_ + 1)
+        if certificate(mixed, capacity)["sequences"] < said["sequences"]:
+            now = mixed
     return now.select(*own, "sequence_id", "offset", "certified")
 
 
 def certificate(packed: DataFrame, capacity: int = 2048) -> dict[str, int]:
     """Sequences of a packing, and what no packing of all its pieces goes below."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in packed.groupBy("length").count().collect():
-        counts[r["length"]] = r["count"]
-    return {"sequences": packed.where("offset = 0").count(), "lower_bound": lower_bound(counts, capacity), "tokens": int((counts * np.arange(capacity + 1)).sum())}
+    counts = _lengths(packed)
+    return {"sequences": packed.where("offset = 0").count(), "lower_bound": lower_bound(counts, capacity), "tokens": int((counts * np.arange(len(counts))).sum()), "pieces": int(counts.sum())}
 
 
 def op11_bestfit_repacking(spark, sf_dir: str) -> DataFrame:
