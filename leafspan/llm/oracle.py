@@ -58,3 +58,29 @@ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ((length(text)
 
 
 OP10 = _op10()
+
+
+def _crc_step() -> str:
+    """The table of the CRC's step over one byte, as a list."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(str(c))
+    return f"[{', '.join(table)}]::BIGINT[]"
+
+
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, ({_crc_step()})[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+_HEX8 = "('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT::DOUBLE"
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_BENCH_WORDS} AS w FROM documents),
+f AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+g AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM (SELECT {_BENCH_WORDS} AS w FROM benchmark)),
+fc AS (SELECT f, count(*) AS n FROM f GROUP BY f), gc AS (SELECT f, count(*) AS n FROM g GROUP BY f),
+b AS (SELECT f, {_CRC} % 10000 AS b FROM (SELECT f FROM fc UNION SELECT f FROM gc)),
+s AS (SELECT b, sum(n) AS s FROM fc JOIN b USING (f) GROUP BY b), t AS (SELECT b, sum(n) AS t FROM gc JOIN b USING (f) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (b)),
+m AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN gain USING (b) GROUP BY r),
+k AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(({_HEX8} + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (r)),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) OVER () AS able FROM k WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * 25 // 100 THEN place END AS rank FROM o UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM k WHERE words < 20"""

@@ -12,6 +12,7 @@ from .pieces import op6_sentencepiece
 from .quality_model import op1_quality_classifier
 from .quality_rules import op10_quality_rules
 from .repacking import op11_bestfit_repacking
+from .resampling import op13_importance_resampling
 from .simhash import op5_simhash_near_dedup
 from .url_filter import op2_url_filter
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_bestfit_repacking": op11_bestfit_repacking,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-SQL = {"op8_benchmark_decontamination": oracle.OP8, "op10_quality_rules": oracle.OP10}
+SQL = {"op8_benchmark_decontamination": oracle.OP8, "op10_quality_rules": oracle.OP10, "op13_importance_resampling": oracle.OP13}
