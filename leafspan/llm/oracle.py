@@ -84,3 +84,38 @@ m AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS we
 k AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(({_HEX8} + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (r)),
 o AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) OVER () AS able FROM k WHERE words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= able * 25 // 100 THEN place END AS rank FROM o UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM k WHERE words < 20"""
+
+
+def _cheapest(*ways: str) -> str:
+    """The least of lists of (cost, audit, text)."""
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _op12() -> str:
+    name = "coalesce(CAST({0} AS VARCHAR), ' ')"
+    key = f"{name.format('conv_id')} || ':' || {name.format('turn')}"
+    way = "{{'c': {0}.c + {1}, 'a': {0}.a || '{2}', 't': {3}}}".format
+    add = "{0}.t || [{1}]".format
+    # Behind a row: deleted, kept or given another role, from each place; then what is inserted.
+    kept = lambda p, letter, first: way(p, f"CASE WHEN NOT gone AND i = '{first}' THEN late ELSE 1000000000 END", letter, add(p, "role || ':' || text"))
+    told = lambda p, role: way(p, "CASE WHEN NOT gone THEN 2 + late ELSE 1000000000 END", "R", add(p, f"'{role}:' || text"))
+    deleted = lambda p: way(p, "3", "D", f"{p}.t")
+    more = lambda p, role: way(p, "2", "I", add(p, f"'{role}:'"))
+    user = [f(p, *a) for p in ("p0", "p1", "p3") for f, a in ((kept, "Ku"), (told, ["user"]))]
+    none = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+    start = "{'c': 0, 'a': '', 't': []::VARCHAR[]}"
+    behind_user = lambda ps: _cheapest("p2", *[more(p, "user") for p in ps])
+    return rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, {name.format("role")} AS role, {name.format("text")} AS text, (SELECT {_CRC.replace("encode(f)", f"encode({key})")}) % 20 AS k FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM t WHERE k <> 0),
+y AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM x),
+z AS (SELECT *, substr(role, 1, 1) AS i, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, substr(body, length(body), 1) NOT IN ('.', '!', '?') AS open, lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM y),
+r AS (SELECT *, blank OR again AS gone, CASE WHEN open THEN 1 ELSE 0 END AS late, before IS NOT NULL AND substr(before, 1, 1) || i NOT IN ('su', 'ua', 'au') AS bad FROM z),
+c AS (SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open AND NOT gone) AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS rows FROM r GROUP BY conv_id),
+s0 AS (SELECT conv_id, 0 AS n, {start} AS p0, {none} AS p1, {{'c': 2, 'a': 'I', 't': ['user:']}} AS p2, {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}} AS p3 FROM c),
+s AS (SELECT * FROM s0 UNION ALL SELECT conv_id, n, p0, p1, q2 AS p2, {_cheapest("p3", more("p2", "assistant"), more("u0", "assistant"), more("u1", "assistant"))} AS p3 FROM (SELECT *, {more("p0", "user")} AS u0, {more("p1", "user")} AS u1, {behind_user(["p0", "p1", "p3"])} AS q2 FROM (SELECT s.conv_id, s.n + 1 AS n, {deleted("p0")} AS p0, {_cheapest(deleted("p1"), kept("p0", "K", "s"))} AS p1, {_cheapest(deleted("p2"), *user)} AS p2, {_cheapest(deleted("p3"), kept("p2", "K", "a"), told("p2", "assistant"))} AS p3 FROM s JOIN r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = s.n + 1))),
+e AS (SELECT conv_id, {_cheapest("p0", "p3")} AS best FROM s JOIN c USING (conv_id) WHERE n = rows UNION ALL SELECT s.conv_id, {_cheapest("p0", "p3")} FROM s JOIN c ON s.conv_id IS NULL AND c.conv_id IS NULL AND n = rows)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+OP12 = _op12()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracle
+from .conversations import op12_conversation_repair
 from .decontam import op8_benchmark_decontamination
 from .html_wrapper import op4_html_extraction
 from .license_scan import op9_license_scan
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_bestfit_repacking": op11_bestfit_repacking,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
-SQL = {"op8_benchmark_decontamination": oracle.OP8, "op10_quality_rules": oracle.OP10, "op13_importance_resampling": oracle.OP13}
+SQL = {"op8_benchmark_decontamination": oracle.OP8, "op10_quality_rules": oracle.OP10, "op12_conversation_repair": oracle.OP12, "op13_importance_resampling": oracle.OP13}
