@@ -74,34 +74,72 @@ def title_key(title: Column, lower: bool = True) -> Column:
     return F.lower(key) if lower else key
 
 
-def strip_numbering(title: Column) -> Column:
-    """Numbering prefixes go, in a set order; then blanks and punctuation around."""
-    # The prefixes, in their order.
-    for pattern in (
-        r"^第[一二三四五六七八九十百千零〇0-9]+[章节条部分篇][\s、.：:]*", r"^[（(][一二三四五六七八九十0-9]+[)）]\s*", r"^[一二三四五六七八九十]+、\s*",
-        r"^[0-9]+(?:\.[0-9]+)*[.、]?\s+", r"^[A-Z]\.\s*", r"^[IVXLC]+\.\s*",
-    ):
-        title = F.regexp_replace(title, pattern, "")
-    return F.btrim(title, F.lit(" \t.:;,-"))
+# Prefixes of numbering, in the order they go, and what goes around what is left.
+NUMBERING = (
+    r"^第[零一二三四五六七八九十百千万\d]+[章节条款项部分篇]\s*[、.．·:\s]*",
+    r"^[（(][零一二三四五六七八九十百千万\d]+[）)]\s*[、.．·:\s]*",
+    r"^[零一二三四五六七八九十百千万]+[、，,．.·:\s]+",
+    r"^\d+(?:\.\d+)*\s*[、，,．.·:\s]*",
+    r"^[A-Za-z]+\s*[、，,．.·:)\s]+",
+    r"^[IVXivx]+\s*[、，,．.·:\s]+",
+)
+AROUND_TITLE = "、，,．.·: \t"
+# What a display title loses besides.
+IN_BRACKETS = r"^[（(][^）)]*[）)]\s*"
+AROUND_DISPLAY = "、，,．.·: \t\n-—_"
+PLAIN_NUMBERS = (r"^第[^章节条款]*[章节条款]\s*", r"^\d+(?:\.\d+)*\s*[、/／]*\s*", IN_BRACKETS)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space around, as Unicode has it; a null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def clean_title(title: Column) -> Column:
-    last = F.when(F.instr(title, " / ") > 0, F.trim(F.element_at(F.split(title, " / "), -1))).otherwise(title)
-    core = strip_numbering(last)
-    return F.when(F.length(core) >= 3, core).when(F.length(F.trim(last)) > 0, F.trim(last)).otherwise(title)
+def strip_numbering(title: Column) -> Column:
+    """Numbering prefixes go, in a set order; then blanks and punctuation around. A null is empty."""
+    title = stripped(title)
+    for pattern in NUMBERING:
+        title = F.regexp_replace(title, "(?U)" + pattern, "")
+    return F.btrim(title, F.lit(AROUND_TITLE))
 
 
-NOISE = r"(?i)^(?:page\s*[0-9]+|第[0-9]+页|header|footer|confidential|copyright|[\s\p{Punct}]*$|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
+def clean_title(title: Column) -> Column:
+    """A title for display: what follows a first slash between blanks, else the title without its numbering; what is shorter than three characters keeps more of it."""
+    behind = stripped(F.regexp_extract(title, "(?s)^.*? / (.*)$", 1))
+    core = strip_numbering(title)
+    short = F.btrim(F.regexp_replace(core, "(?U)" + IN_BRACKETS, ""), F.lit(AROUND_DISPLAY))
+    more = stripped(title)
+    for pattern in PLAIN_NUMBERS:
+        more = F.regexp_replace(more, "(?U)" + pattern, "")
+    more = F.btrim(more, F.lit(AROUND_DISPLAY))
+    shown = F.when(F.length(short) >= 3, short).when(more != "", more).when(short != "", short).otherwise(title)
+    return F.when(F.coalesce(title, F.lit("")) == "", "").when(behind != "", behind).when(core == "", title).otherwise(shown)
+
+
+# Titles that are none, in any case: page marks, tender metadata, marks alone, ids.
+NOISE = (
+    r"^(?:温馨提示|页码|第\s*\d+\s*页|-\s*\d+\s*-$)",
+    r"^.*项目编号.*:.*JJWL.*$",
+    r"^.*采购.*$",
+    r"^.*报价文件.*$",
+    r"^[、，,．.·:\s]*$",
+    r"^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$",
+)
 
 
 def is_noise(title: Column) -> Column:
-    core = F.regexp_replace(title, r"[\s\p{Punct}]+", "")
-    return (F.coalesce(F.trim(title), F.lit("")) == "") | title.rlike(NOISE) | ((F.length(core) <= 2) & ~core.rlike("[0-9]"))
+    """Titles of a noise pattern, and those of which two characters or fewer are left without numbering, none of them a digit."""
+    t, core = stripped(title), strip_numbering(title)
+    named = [t.rlike("(?idU)" + p) for p in NOISE]
+    return F.coalesce(named[0] | named[1] | named[2] | named[3] | named[4] | named[5], F.lit(True)) | ((F.length(core) <= 2) & ~core.rlike(r"\p{Nd}"))
 
 
 # How chapters begin.
+CHAPTER = r"^(?:第[一二三四五六七八九十0-9]+章|(?i:chapter)\s*[0-9IVXivx]|[0-9]{1,2}\s*/\s*[^\n]|[0-9]{1,2}\s+[一-龥]{2,}|第[一二三四五六七八九十百0-9]+[部节])"
+
+
 def is_chapter(title: Column) -> Column:
-    return title.rlike(r"^\s*(?:第[一二三四五六七八九十百千0-9]+[章部节]|[Cc]hapter\s+(?:[0-9]+|[IVXLC]+)|[0-9]+\s*/\s*\S|[0-9]+\s*[一-鿿]{2,})")
+    return title.rlike(CHAPTER)
 
 
 # Words of appendices of tenders, of form labels and of table heads.
@@ -255,12 +293,38 @@ def poor_extraction(text: Column) -> Column:
     return F.when((F.length(text) < 100) | (n < 20), False).otherwise((single > 0.8 * n) | (mean < 1.5))
 
 
-# What messages of errors that no repeat mends have.
-FATAL = r"invalid api key|authentication|unauthorized|401|403|insufficient|quota|billing|model not found|404|error"
+# What messages of errors that no repeat mends have, in lower case.
+FATAL = (
+    "insufficient balance", "error code: 402", "invalid api key", "invalid_api_key", "error code: 401", "unauthorized", "authentication failed", "authentication error",
+    "error code: 403", "forbidden", "api key not valid", "invalid authentication", "account deactivated", "account suspended", "rate limit exceeded", "quota exceeded",
+)
+
+
+def has_any(text: Column, words) -> Column:
+    """Whether the text has one of the words, as they are."""
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def is_fatal(message: Column) -> Column:
-    return F.lower(message).rlike(FATAL)
+    return has_any(F.lower(message), FATAL)
+
+
+# Words of questions that ask for a whole list, and of questions that ask for a tool, by tool in order.
+LIST_WORDS = ("列出", "列表", "采购清单", "所有", "全部", "都有哪些", "有哪些", "多少", "几个", "几项", "包含", "包括", "list", "all", "every", "what are", "how many", "enumerate")
+TOOL_WORDS = {
+    "extract_dates": ("有效时间", "关键日期", "提取日期", "截止日期", "投标时间", "有效期", "时间信息", "日期信息"),
+    "extract_budget": ("预算", "价格", "报价", "费用", "成本", "总价", "金额", "采购金额", "预算价", "控制价", "标底"),
+    "add_to_timeline": ("添加到时间线", "添加该项目到", "加入时间线", "项目管理时间线", "添加到项目管理", "加入项目管理"),
+}
+
+
+def asks_for_list(question: Column) -> Column:
+    return has_any(F.lower(question), LIST_WORDS)
+
+
+def asked_tool(question: Column) -> Column:
+    """The first tool whose words a question has; null for none."""
+    return F.coalesce(*[F.when(has_any(question, words), F.lit(tool)) for tool, words in TOOL_WORDS.items()])
 
 
 def budget_in_wan(budget: Column, unit: Column) -> Column:

@@ -186,12 +186,10 @@ SQL = {
 
 def strip_sql(title: str) -> str:
     """strip_numbering() in DuckDB SQL."""
-    for pattern in (
-        "^第[一二三四五六七八九十百千零〇0-9]+[章节条部分篇][\\s、.：:]*", "^[（(][一二三四五六七八九十0-9]+[)）]\\s*", "^[一二三四五六七八九十]+、\\s*",
-        "^[0-9]+(?:\\.[0-9]+)*[.、]?\\s+", "^[A-Z]\\.\\s*", "^[IVXLC]+\\.\\s*",
-    ):
+    title = f"regexp_replace(coalesce({title}, ''), '^\\s+|\\s+$', '', 'g')"
+    for pattern in T.NUMBERING:
         title = f"regexp_replace({title}, '{pattern}', '')"
-    return f"trim({title}, ' ' || chr(9) || '.:;,-')"
+    return f"trim({title}, '、，,．.·: ' || chr(9))"
 
 
 def sql(query: str, *needs: str) -> str:

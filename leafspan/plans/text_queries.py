@@ -113,39 +113,60 @@ def b11(spark, d) -> DataFrame:
     return D.toc_items(spark, d).select("doc_id", "list_index", T.title_key(C("title")).alias("title_key"))
 
 
-_NUMBERED = "CASE list_index % 6 WHEN 0 THEN '第三章 ' WHEN 1 THEN '(2) ' WHEN 2 THEN '一、' WHEN 3 THEN '1.2 ' WHEN 4 THEN 'A. ' ELSE 'IV. ' END || title"
-def numbered():
-    return F.concat(F.when(C("list_index") % 6 == 0, "第三章 ").when(C("list_index") % 6 == 1, "(2) ").when(C("list_index") % 6 == 2, "一、").when(C("list_index") % 6 == 3, "1.2 ").when(C("list_index") % 6 == 4, "A. ").otherwise("IV. "), C("title"))
+# Marks laid over the titles, a row each in turn: numbering, and what is no title.
+MARKS = ("第三章 ", "(2) ", "一、", "1.2 ", "A. ", "IV. ", "1、", "1.1", "1) ", "（三）", "第五条：", "b)", "第十二款", "7 / ", "part / 2 ", "Chapter 4 ", "CHAPTER IV ", "12 ", "3 总则 ", "第二部分 ", "Chapters ", "")
+WHOLE = ("温馨提示", "- 3 -", "第 12 页", "项目编号 : jjwl-7", "某采购项目", "， ·", "0a1b2c3d-0000-1111-2222-333344445555", "AB", "一、总", "1、")
 
 
-@query("b12_strip_numbering", sql(f"SELECT doc_id, list_index, {D.strip_sql('t')} AS core FROM (SELECT doc_id, list_index, {_NUMBERED} AS t FROM toc_items)", "toc_items"))
+def _marked(title: str) -> str:
+    marks, whole = (", ".join(f"'{x}'" for x in names) for names in (MARKS, WHOLE))
+    return f"CASE WHEN list_index % 7 = 6 THEN ([{whole}])[CAST((doc_id + list_index) % {len(WHOLE)} + 1 AS INT)] ELSE ([{marks}])[CAST((doc_id + list_index) % {len(MARKS)} + 1 AS INT)] || {title} END"
+
+
+def numbered() -> Column:
+    pick = lambda names: F.get(F.array(*[F.lit(x) for x in names]), ((C("doc_id") + C("list_index")) % len(names)).cast("int"))
+    return F.when(C("list_index") % 7 == 6, pick(WHOLE)).otherwise(F.concat(pick(MARKS), C("title")))
+
+
+_NUMBERED = f"(SELECT doc_id, list_index, {_marked('title')} AS t FROM toc_items)"
+
+
+@query("b12_strip_numbering", sql(f"SELECT doc_id, list_index, {D.strip_sql('t')} AS core FROM {_NUMBERED}", "toc_items"))
 def b12(spark, d) -> DataFrame:
     return D.toc_items(spark, d).select("doc_id", "list_index", T.strip_numbering(numbered()).alias("core"))
 
 
-@query("b13_clean_title", sql(f"""SELECT doc_id, list_index, CASE WHEN length(core) >= 3 THEN core WHEN length(trim(t)) > 0 THEN trim(t) ELSE t END AS clean FROM (
-    SELECT doc_id, list_index, t, {D.strip_sql('t')} AS core FROM (SELECT doc_id, list_index, {_NUMBERED} AS t FROM toc_items))""", "toc_items"))
+def _without(text: str, *patterns: str) -> str:
+    for p in patterns:
+        text = f"regexp_replace({text}, '{p}', '')"
+    return f"trim({text}, '、，,．.·: -—_' || chr(9) || chr(10))"
+
+
+@query("b13_clean_title", sql(f"""SELECT doc_id, list_index, CASE WHEN t = '' THEN '' WHEN instr(t, ' / ') > 0 AND trim(substr(t, instr(t, ' / ') + 3)) <> '' THEN trim(substr(t, instr(t, ' / ') + 3)) WHEN core = '' THEN t
+    WHEN length(short) >= 3 THEN short WHEN more <> '' THEN more WHEN short <> '' THEN short ELSE t END AS clean FROM (SELECT *, {_without('core', T.IN_BRACKETS)} AS short, {_without('trim(t)', *T.PLAIN_NUMBERS)} AS more FROM (
+    SELECT *, {D.strip_sql('t')} AS core FROM {_NUMBERED}))""", "toc_items"))
 def b13(spark, d) -> DataFrame:
-    return D.toc_items(spark, d).select("doc_id", "list_index", T.clean_title(F.concat(F.lit("part / "), numbered())).alias("clean"))
+    return D.toc_items(spark, d).select("doc_id", "list_index", T.clean_title(numbered()).alias("clean"))
+
 
+def _noise(title: str) -> str:
+    named = " OR ".join(f"regexp_matches(trim({title}), '(?i){p}')" for p in T.NOISE)
+    return f"({named} OR (length({D.strip_sql(title)}) <= 2 AND NOT regexp_matches({D.strip_sql(title)}, '[0-9]')))"
 
-@query("b14_display_title", sql(r"""SELECT doc_id, pre, node_id || ' ' || title AS display_title, (trim(title) = '' OR regexp_matches(title, '(?i)^(?:page\s*[0-9]+|第[0-9]+页|header|footer|confidential|copyright|[\s[:punct:]]*$)')
-    OR (length(regexp_replace(title, '[\s[:punct:]]+', '', 'g')) <= 2 AND NOT regexp_matches(regexp_replace(title, '[\s[:punct:]]+', '', 'g'), '[0-9]'))) AS is_noise FROM nodes""", "nodes"))
+
+@query("b14_display_title", sql(f"SELECT doc_id, pre, node_id || ' ' || title AS display_title, {_noise('title')} AS is_noise FROM nodes", "nodes"))
 def b14(spark, d) -> DataFrame:
     return D.nodes(spark, d).select("doc_id", "pre", F.concat_ws(" ", "node_id", "title").alias("display_title"), T.is_noise(C("title")).alias("is_noise"))
 
 
-@query("b15_noise_titles", sql(r"""SELECT doc_id, list_index, true AS noise FROM toc_items WHERE list_index % 5 = 0""", "toc_items"))
+@query("b15_noise_titles", sql(f"SELECT doc_id, list_index, {_noise('t')} AS noise FROM {_NUMBERED}", "toc_items"))
 def b15(spark, d) -> DataFrame:
-    shown = F.when(C("list_index") % 5 == 0, F.concat(F.lit("Page "), C("list_index").cast("string"), F.lit(" footer"))).otherwise(F.concat(F.lit("Section "), C("title")))
-    return D.toc_items(spark, d).where(T.is_noise(shown)).select("doc_id", "list_index", F.lit(True).alias("noise"))
+    return D.toc_items(spark, d).select("doc_id", "list_index", T.is_noise(numbered()).alias("noise"))
 
 
-@query("b16_chapter_titles", sql("SELECT doc_id, list_index, list_index % 4 <> 3 AS is_chapter FROM toc_items", "toc_items"))
+@query("b16_chapter_titles", sql(f"SELECT doc_id, list_index, regexp_matches(t, '{T.CHAPTER}') AS is_chapter FROM {_NUMBERED}", "toc_items"))
 def b16(spark, d) -> DataFrame:
-    k = C("list_index") % 4
-    shown = F.when(k == 0, F.concat(F.lit("第三章 "), C("title"))).when(k == 1, F.concat(F.lit("Chapter 4 "), C("title"))).when(k == 2, F.concat(F.lit("7 / x"), C("title"))).otherwise(F.concat(F.lit("zz "), C("title")))
-    return D.toc_items(spark, d).select("doc_id", "list_index", T.is_chapter(shown).alias("is_chapter"))
+    return D.toc_items(spark, d).select("doc_id", "list_index", T.is_chapter(numbered()).alias("is_chapter"))
 
 
 def labelled(title: str) -> str:
@@ -258,12 +279,16 @@ def b27(spark, d) -> DataFrame:
     return D.doc_pages(spark, d).select("doc_id", "page_no", own.alias("shown")).select("doc_id", "page_no", *[c.alias(n) for n, c in T.numbering_profile(C("shown")).items()])
 
 
-@query("b28_question_intent", """SELECT conv_id, turn, regexp_matches(lower(text), 'list|all|which|哪些|列出|所有') AS is_list, CASE WHEN contains(lower(text), 'budget') THEN 'extract_budget' WHEN contains(lower(text), 'time') THEN 'extract_timeline' WHEN contains(lower(text), 'compare') THEN 'compare' END AS tool
-    FROM conversations WHERE role = 'user'""")
+# Questions' ends laid over the data, which is in no language of the tools' words.
+ASKED = ("", " 截止日期是哪天？", " 预算是多少？", " 请加入项目管理", " 报价的有效期？", " How many are there?", " Enumerate them", " 包括什么？")
+_ASKED = "(SELECT conv_id, turn, text || (['" + "', '".join(ASKED) + f"'])[CAST((conv_id + turn) % {len(ASKED)} + 1 AS INT)] AS q FROM conversations WHERE role = 'user')"
+_any = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+@query("b28_question_intent", f"SELECT conv_id, turn, {_any('lower(q)', T.LIST_WORDS)} AS is_list, CASE " + " ".join(f"WHEN {_any('q', words)} THEN '{tool}'" for tool, words in T.TOOL_WORDS.items()) + f" END AS tool FROM {_ASKED}")
 def b28(spark, d) -> DataFrame:
-    low = F.lower("text")
-    tool = F.when(F.contains(low, F.lit("budget")), "extract_budget").when(F.contains(low, F.lit("time")), "extract_timeline").when(F.contains(low, F.lit("compare")), "compare")
-    return D.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", low.rlike("list|all|which|哪些|列出|所有").alias("is_list"), tool.alias("tool"))
+    q = F.concat("text", F.get(F.array(*[F.lit(x) for x in ASKED]), ((C("conv_id") + C("turn")) % len(ASKED)).cast("int")))
+    return D.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.asks_for_list(q).alias("is_list"), T.asked_tool(q).alias("tool"))
 
 
 @query("b29_tables_to_markdown", """SELECT doc_id, contains(text, '|') AS has_pipe, '| ' || array_to_string(list_transform(string_split(string_split(text, chr(10))[1], '|'), lambda x: trim(x)), ' | ') || ' |' || chr(10) || '|'
@@ -274,9 +299,14 @@ def b29(spark, d) -> DataFrame:
     return D.table(spark, d, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", F.lit(True).alias("has_pipe"), head.alias("head"))
 
 
-@query("b30_fatal_errors", "SELECT event_type, count(*) AS n, regexp_matches(event_type, 'invalid api key|authentication|unauthorized|401|403|insufficient|quota|billing|model not found|404|error') AS fatal FROM events GROUP BY event_type")
+# Messages of failed calls laid over the events: fatal ones as providers word them, and others that look like them.
+MESSAGES = (*(f"Request failed: {w.capitalize()}." for w in T.FATAL), "Connection error, retrying", "403 items returned", "Rate limit reached, slow down", "Timeout after 404 ms", "authentication ok", "balance checked", "", "quota at 80 percent")
+
+
+@query("b30_fatal_errors", f"SELECT event_type, message, count(*) AS n, {_any('lower(message)', T.FATAL)} AS fatal FROM (SELECT event_type, (['" + "', '".join(MESSAGES) + f"'])[CAST(event_id % {len(MESSAGES)} + 1 AS INT)] AS message FROM events) GROUP BY event_type, message")
 def b30(spark, d) -> DataFrame:
-    return D.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("fatal", T.is_fatal(C("event_type")))
+    message = F.get(F.array(*[F.lit(x) for x in MESSAGES]), (C("event_id") % len(MESSAGES)).cast("int"))
+    return D.table(spark, d, "events").groupBy("event_type", message.alias("message")).agg(F.count("*").alias("n")).withColumn("fatal", T.is_fatal(C("message")))
 
 
 @query("b31_budget", sql("SELECT entry_id, CASE budget_unit WHEN '元' THEN budget / 10000 WHEN '亿元' THEN budget * 10000 ELSE budget END AS budget_wan FROM timeline", "timeline"))

@@ -51,7 +51,7 @@ def outline(spark, d) -> DataFrame:
 
 
 OUTLINE = """outline AS (SELECT doc_id, list_index AS pos, level, CASE WHEN level = 1 THEN 'Chapter ' || (list_index // 5 % 7 + 1) || ' ' || left(title, 8) WHEN list_index % 9 = 4 THEN '附件1 ' || title ELSE title END AS title, page FROM toc_items),
-    valid AS (SELECT *, regexp_matches(title, '^\\s*(?:第[一二三四五六七八九十百千0-9]+[章部节]|[Cc]hapter\\s+(?:[0-9]+|[IVXLC]+)|[0-9]+\\s*/\\s*\\S|[0-9]+\\s*[一-鿿]{2,})') AS chapter FROM outline WHERE """ + _VALID.format("title") + """),
+    valid AS (SELECT *, regexp_matches(title, '""" + T.CHAPTER + """') AS chapter FROM outline WHERE """ + _VALID.format("title") + """),
     marked AS (SELECT *, chapter AND row_number() OVER (PARTITION BY doc_id, title ORDER BY pos) > 1 AS again FROM valid),
     grouped AS (SELECT *, sum(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM marked),
     headed AS (SELECT *, first_value(level) OVER g AS head, row_number() OVER g AS rn FROM grouped WINDOW g AS (PARTITION BY doc_id, grp ORDER BY pos)),

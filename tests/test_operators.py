@@ -53,7 +53,54 @@ def values(spark, rule, *rows):
         (T.is_appendix, "Appendix A", False),
         (T.toc_score, "\nContents\n\n1. Introduction - 5\n2. Background - 12\n3. Methods - 25\n4. Results - 40\n5. Discussion - 55\n", 60),
         (T.is_valid_title, "Scope of work", True),
-        (T.is_noise, "Page 12", True),
+        (T.strip_numbering, "第一章 概述", "概述"),
+        (T.strip_numbering, "第二节 定义", "定义"),
+        (T.strip_numbering, "（一）适用范围", "适用范围"),
+        (T.strip_numbering, "一、总则", "总则"),
+        (T.strip_numbering, "1. 投标须知", "投标须知"),
+        (T.strip_numbering, "1、投标须知", "投标须知"),
+        (T.strip_numbering, "1 投标须知", "投标须知"),
+        (T.strip_numbering, "1.1 基本要求", "基本要求"),
+        (T.strip_numbering, "1.1基本要求", "基本要求"),
+        (T.strip_numbering, "b) scope", "scope"),
+        (T.strip_numbering, "第三款 付款", "付款"),
+        (T.strip_numbering, None, ""),
+        (T.clean_title, "1 / 前言", "前言"),
+        (T.clean_title, "（一）（试行）管理办法", "管理办法"),
+        (T.clean_title, "第一章 总则", "总则"),
+        (T.clean_title, "一、总", "一、总"),
+        (T.clean_title, "1、", "1、"),
+        (T.is_noise, "- 3 -", True),
+        (T.is_noise, "温馨提示", True),
+        (T.is_noise, "第 12 页", True),
+        (T.is_noise, "项目编号：x : jjwl-1", True),
+        (T.is_noise, "某采购项目", True),
+        (T.is_noise, "", True),
+        (T.is_noise, None, True),
+        (T.is_noise, "一、总", True),
+        (T.is_noise, "Page 12", False),
+        (T.is_chapter, "CHAPTER 1", True),
+        (T.is_chapter, "CHAPTER IV", True),
+        (T.is_chapter, "chapter7", True),
+        (T.is_chapter, "第2章", True),
+        (T.is_chapter, "第三部分", True),
+        (T.is_chapter, "10 / 招标公告", True),
+        (T.is_chapter, "2 投标人须知", True),
+        (T.is_chapter, "2投标人须知", False),
+        (T.is_chapter, " Chapter 1", False),
+        (T.is_fatal, "Connection error, retrying", False),
+        (T.is_fatal, "403 items", False),
+        (T.is_fatal, "Error code: 403", True),
+        (T.is_fatal, "Rate limit exceeded", True),
+        (T.is_fatal, "Forbidden", True),
+        (T.is_fatal, "account suspended", True),
+        (T.asks_for_list, "How many are there", True),
+        (T.asks_for_list, "有多少项", True),
+        (T.asks_for_list, "Which one", False),
+        (T.asked_tool, "截止日期和预算", "extract_dates"),
+        (T.asked_tool, "项目总价", "extract_budget"),
+        (T.asked_tool, "加入时间线", "add_to_timeline"),
+        (T.asked_tool, "budget?", None),
         (T.is_noise, "Scope", False),
         (T.answer_json, 'x\n```json\n[{"a": None,},]\n```', '[{"a": null}]'),
         (T.repaired_json, '[{"a": 1}, {"a"', '[{"a": 1}]'),
