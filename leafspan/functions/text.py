@@ -274,9 +274,49 @@ def answer_json(raw: Column) -> Column:
 
 
 def repaired_json(body: Column) -> Column:
-    """A list of objects that breaks off is cut at the last whole object and closed."""
-    whole = F.regexp_extract(body, r"(?s)^(.*\})", 1)
-    return F.when(body.rlike(r"\]\s*$"), body).when(F.instr(body, "}") > 0, F.concat(whole, F.lit("]"))).otherwise(F.lit("[]"))
+    """JSON that breaks off, cut behind its last whole value and closed; whole JSON without what stands around it. Null where none begins.
+
+    A fold over tokens keeps a stack of open brackets and the last place where
+    all before it is whole: behind a bracket, or before a comma. Objects that
+    are elements of a list are whole or not at all, so a record that breaks
+    off goes.
+    """
+    # On the stack: o an object, e an object in a list, l a list.
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("open"), F.lit(False).alias("inside"), F.lit(0).alias("cut"), F.lit("").alias("closing"), F.lit(False).alias("over"))
+
+    def step(s: Column, t: Column) -> Column:
+        inside, opens, closes = s["inside"], (t == "{") | (t == "["), (t == "}") | (t == "]")
+        kind = F.when(t == "[", "l").when(F.right(s["open"], F.lit(1)) == "l", "e").otherwise("o")
+        stack = F.when(inside | ~(opens | closes), s["open"]).when(opens, F.concat(s["open"], kind)).otherwise(F.left(s["open"], F.length(s["open"]) - 1))
+        safe = ~inside & (opens | closes | ((t == ",") & (stack != ""))) & ~F.contains(stack, F.lit("e"))
+        end = s["at"] + F.length(t)
+        new = F.struct(
+            end.alias("at"), stack.alias("open"), F.when(t == '"', ~inside).otherwise(inside).alias("inside"), F.when(safe, F.when(t == ",", s["at"]).otherwise(end)).otherwise(s["cut"]).alias("cut"),
+            F.when(safe, stack).otherwise(s["closing"]).alias("closing"), (~inside & closes & (stack == "")).alias("over"),
+        )
+        return F.when(s["over"], s).otherwise(new)
+
+    def close(s: Column) -> Column:
+        return F.struct(s["cut"].alias("cut"), F.translate(F.reverse(s["closing"]), "oel", "}}]").alias("closing"))
+
+    begun = F.regexp_extract(body, r"(?s)[\[{].*", 0)
+    # An array of one, so that the fold runs once.
+    found = F.transform(F.array(begun), lambda x: F.struct(x.alias("x"), F.aggregate(F.regexp_extract_all(x, F.lit(r'(?s)\\.|[^"\\{}\[\],]+|["{}\[\],\\]'), F.lit(0)), start, step, close).alias("s")))
+    return F.get(F.transform(found, lambda f: F.when(f["s"]["cut"] > 0, F.concat(F.left(f["x"], f["s"]["cut"]), f["s"]["closing"]))), F.lit(0))
+
+
+def table_cells(line: Column) -> Column:
+    """The cells of a line of a table, without the bars around it; an empty array for the line below the head."""
+    cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    return F.when(F.forall(cells, lambda c: c.rlike("^:?-{2,}:?$")), F.array().cast("array<string>")).otherwise(cells)
+
+
+def markdown_table(rows: Column) -> Column:
+    """Rows of cells as a Markdown table: the first is the head; short rows are filled up."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), width), "|"), F.lit("|"))
+    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")
 
 
 def language(text: Column) -> Column:
@@ -357,3 +397,35 @@ def page_range(text: Column) -> Column:
     first, last = F.regexp_extract(text, r"^\s*([0-9]+)", 1), F.regexp_extract(text, r"([0-9]+)\s*$", 1)
     fits = text.rlike(r"^\s*[0-9]+\s*(?:-\s*[0-9]+\s*)?$")
     return F.struct(F.when(fits, first.try_cast("int")).alias("first"), F.when(fits, last.try_cast("int")).alias("last"))
+
+
+# Systems of numbering of titles, in the order they are tried; the last group is the number.
+SYSTEMS = {
+    "chapter": r"第([零一二三四五六七八九十百]+)章",
+    "item": r"^([一二三四五六七八九十百]+)、",
+    "bracket": r"（([一二三四五六七八九十百]+)）",
+    "number": r"^(\d+)、",
+    "section": r"^\d+\.(\d+)",
+}
+
+
+def numbering_system(title: Column) -> Column:
+    """The first system of numbering that a title has; null for none."""
+    return F.coalesce(*[F.when(title.rlike("(?U)" + p), F.lit(name)) for name, p in SYSTEMS.items()])
+
+
+def cjk_number(text: Column) -> Column:
+    """Chinese numerals below a thousand as a number; null for anything else."""
+    parts = r"^(?:([一二三四五六七八九])?(百))?零?(?:([一二三四五六七八九])?(十))?([一二三四五六七八九])?$"
+    part = lambda n: F.regexp_extract(text, parts, n)
+    digit = lambda c: F.translate(c, "一二三四五六七八九", "123456789").try_cast("int")
+    place = lambda n, worth: F.when(part(n + 1) != "", worth * F.when(part(n) != "", digit(part(n))).otherwise(1)).otherwise(0)
+    value = place(1, 100) + place(3, 10) + F.when(part(5) != "", digit(part(5))).otherwise(0)
+    return F.when(value > 0, value)
+
+
+def title_number(title: Column) -> Column:
+    """The number of a title in its system of numbering."""
+    found = F.coalesce(*[F.when(title.rlike("(?U)" + p), F.regexp_extract(title, "(?U)" + p, 1)) for p in SYSTEMS.values()])
+    # An array of one, so that the number is sought once, not for every place of it.
+    return F.get(F.transform(F.array(found), lambda x: F.coalesce(x.try_cast("int"), cjk_number(x))), F.lit(0))

@@ -71,3 +71,15 @@ def conflicts(edits: DataFrame) -> DataFrame:
     """(doc_id, node_id, actions): pending nodes to be both deleted and changed."""
     own = edits.where("status = 'pending'").groupBy("doc_id", "node_id").agg(F.sort_array(F.collect_set("action")).alias("actions"))
     return own.where(F.array_contains("actions", "DELETE") & F.exists("actions", lambda a: a.startswith("MODIFY")))
+
+
+def quality(done: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, score, original_nodes, optimized_nodes, removal_rate): points by kind of edit that was done, up to a limit each, and the share of nodes that is gone."""
+    n = lambda a: F.sum((F.col("action") == a).cast("int"))
+    changes = done.groupBy("doc_id").agg(n("DELETE").alias("_d"), n("MODIFY_FORMAT").alias("_f"), n("MODIFY_PAGE").alias("_p"))
+    sizes = before.groupBy("doc_id").agg(F.count("*").alias("original_nodes")).join(after.groupBy("doc_id").agg(F.count("*").alias("_left")), "doc_id", "left")
+    points = lambda c, each, most: F.least(F.lit(most), each * F.coalesce(F.col(c), F.lit(0)))
+    left = F.coalesce(F.col("_left"), F.lit(0))
+    return sizes.join(changes, "doc_id", "left").select(
+        "doc_id", F.least(F.lit(100), 60 + points("_d", 4, 20) + points("_f", 3, 10) + points("_p", 5, 10)).alias("score"), "original_nodes", left.alias("optimized_nodes"), ((F.col("original_nodes") - left) / F.col("original_nodes")).alias("removal_rate")
+    )

@@ -172,3 +172,36 @@ def node_text(nodes: DataFrame, pages: DataFrame, max_chars: int = 5000) -> Data
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.sum("tokens").cast("int").alias("tokens")
     )
     return got.withColumn("text", F.when(F.length("text") > max_chars, F.concat(F.left("text", F.lit(max_chars)), F.lit("..."))).otherwise(F.col("text")))
+
+
+def merge_deep(nodes: DataFrame, limit: int, max_depth: int | None = None) -> DataFrame:
+    """Nodes to a depth of limit, with sub_items: for those at the limit the titles of all below them, in preorder; else an empty array.
+
+    A node below the limit is grouped by its ancestor there, which its path names.
+    """
+    placed = paths(nodes, max_depth, "pre", "_path")
+    below = placed.where(F.col("depth") > limit).groupBy("doc_id", F.get("_path", F.lit(limit - 1)).alias("pre"))
+    titles = below.agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("pre").alias("at"), "title"))), lambda x: x["title"]).alias("sub_items"))
+    return nodes.where(F.col("depth") <= limit).join(titles, ["doc_id", "pre"], "left").withColumn("sub_items", F.coalesce("sub_items", F.array().cast("array<string>")))
+
+
+def promote_equal_children(nodes: DataFrame, totals: DataFrame, max_leaf: int = 2, max_depth: int | None = None) -> DataFrame:
+    """(doc_id, pre, node_id, parent_pos, depth, title, start_page, end_page) with no first child that repeats its parent's title.
+
+    Titles compare without white space and case; empty ones repeat nothing. Such
+    a child goes, its children take its place in its parent, before their
+    uncles, and all below move up a level; a chain of them goes as a whole. Codes,
+    parents and end pages are made anew. In preorder a first child follows its
+    parent, so one look back finds it, and order never changes.
+    """
+    max_depth = max_depth or deepest(nodes)
+    key = T.title_key(F.col("title"))
+    same = (F.col("depth") > F.lag("depth").over(by_doc())) & (F.lag(key).over(by_doc()) == key) & (key != "")
+    marked = nodes.withColumn("_cut", F.coalesce(same, F.lit(False)).cast("int"))
+    # Cuts on the way from the root are levels to move up.
+    moved = paths(marked, max_depth, "_cut", "_cuts").where("_cut = 0")
+    level = (F.col("depth") - F.aggregate("_cuts", F.lit(0), lambda a, x: a + x)).cast("int")
+    kept = moved.select("doc_id", "pre", level.alias("depth"), "title", "start_page")
+    coded = structure_codes(kept, max_depth, order="pre", level="depth").withColumnRenamed("structure", "node_id")
+    ended = end_pages(parents(coded, max_depth), totals, max_leaf, max_depth)
+    return ended.select("doc_id", "pre", "node_id", "parent_pos", "depth", "title", "start_page", "end_page")

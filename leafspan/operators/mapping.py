@@ -98,3 +98,17 @@ def backward_steps(items: DataFrame, page: str = "physical") -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("list_index")
     known = items.where(F.col(page).isNotNull()).select("doc_id", "list_index", F.lag(page).over(order).alias("previous"), F.col(page).alias("page"))
     return known.where("page < previous")
+
+
+def sampled_accuracy(items: DataFrame, by: list[str], key: list[str], percent: int, z: float = 1.96) -> DataFrame:
+    """(by, sampled, accuracy, low, high): the share of passed items of a sample as Wilson's interval, beside the share of all.
+
+    A row is in the sample by a hash of its key, so every run takes the same
+    rows, whatever the partitions; groups of which no row is taken are left out.
+    """
+    taken = F.conv(F.substring(F.md5(F.concat_ws("-", *key)), 1, 8), 16, 10).cast("bigint") % 100 < percent
+    ok = F.col("passed").cast("int")
+    own = items.groupBy(*by).agg(F.count(F.when(taken, True)).alias("sampled"), F.avg(ok).alias("accuracy"), F.avg(F.when(taken, ok)).alias("_p")).where("sampled > 0")
+    n, p, z2 = F.col("sampled"), F.col("_p"), z * z
+    mid, reach, whole = p + z2 / (2 * n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)), 1 + z2 / n
+    return own.select(*by, "sampled", "accuracy", ((mid - reach) / whole).alias("low"), ((mid + reach) / whole).alias("high"))

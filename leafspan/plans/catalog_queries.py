@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leafspan.functions import text as T
-from leafspan.operators import catalog as O
+from leafspan.operators import catalog as O, tables as X
 from leafspan.plans import derive as D
 from leafspan.plans.derive import sql
 from leafspan.plans.text_queries import STATUS
@@ -240,35 +240,72 @@ def k6(spark, d):
     return D.suggestions(spark, d).where("action = 'DELETE' AND status = 'pending' AND confidence = 'high'").select("suggestion_id")
 
 
-TOC = r"(?m)^.*(?:\.{3,}|\s[0-9]+\s*$).*$"
+# What was learned of each document's own contents: named patterns, two or three a document, one of which is broken.
+LEARNED = (
+    ("dotted", r"^\d+(\.\d+)*\s+.+?\s*\.{3,}\s*\d+"),
+    ("chapter", r"^第[一二三四五六七八九十\d]+章\s+.+?\s+\.{3,}\s*\d+"),
+    ("spaced", r"^\d+(\.\d+)*\s+.+?\s{2,}\d+\s*$"),
+    ("broken", r"^(\d+"),
+    ("part", r"^Part\s+\d+.*\d+$"),
+)
+# Lines of contents laid behind the pages, none to thirteen, in the forms in turn.
+_LINES = """transform(sequence(1, CAST((doc_id + page_no * 5) % 14 AS INT)), k -> CASE CAST((doc_id + k) % 4 AS INT) WHEN 0 THEN k || '.' || (k + 1) || ' ' || replace(left(text, 8), '\n', ' ') || ' .... ' || (page_no + k) WHEN 1 THEN '第三章 ' || k || ' .... ' || k WHEN 2 THEN '  ' || k || ' x   ' || (page_no + k) ELSE 'Part ' || k || ' on ' || page_no END)"""
 
 
-@query("k9_nested_toc", sql(r"""SELECT doc_id, page_no, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS rn FROM (SELECT doc_id, page_no, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\|'))) AS n FROM doc_pages) WHERE n >= 1) WHERE rn <= 5""", "doc_pages"))
-def k9(spark, d):
-    n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\|")))
-    return O.newest(D.doc_pages(spark, d).select("doc_id", "page_no", n.alias("n")).where("n >= 1"), "doc_id", 5, "page_no")
+def listed_pages(spark, d) -> DataFrame:
+    """(doc_id, page_no, text) of pages with lines of contents laid behind; pages without any stay."""
+    more = F.when((C("doc_id") + C("page_no") * 5) % 14 > 0, F.concat(F.lit("\n"), F.array_join(F.expr(_LINES), "\n"))).otherwise("")
+    return D.doc_pages(spark, d).select("doc_id", "page_no", F.concat("text", more).alias("text"))
 
 
-@query("k10_first_run", sql("SELECT doc_id, min(page_no) AS first_page, max(page_no) AS last_page FROM (SELECT *, min(island) OVER (PARTITION BY doc_id) AS first_island FROM (SELECT *, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS island FROM doc_pages WHERE tokens > 60 AND page_no <= 20)) WHERE island = first_island GROUP BY doc_id", "doc_pages"))
-def k10(spark, d):
-    p = D.doc_pages(spark, d).where("tokens > 60 AND page_no <= 20").withColumn("island", C("page_no") - F.row_number().over(W.partitionBy("doc_id").orderBy("page_no")))
-    first = p.withColumn("first_island", F.min("island").over(W.partitionBy("doc_id"))).where("island = first_island")
-    return first.groupBy("doc_id").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
+def learned(spark, d) -> DataFrame:
+    forms = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(name).alias("name"), F.lit(regex).alias("regex")) for k, (name, regex) in enumerate(LEARNED)])
+    return D.table(spark, d, "documents").select("doc_id", F.inline(F.filter(forms, lambda f: (C("doc_id") + f["position"]) % 3 != 0)))
+
+
+_LISTED = "listed AS (SELECT doc_id, page_no, text || CASE WHEN (doc_id + page_no * 5) % 14 > 0 THEN chr(10) || array_to_string(" + _LINES.replace("transform(sequence(", "list_transform(generate_series(").replace("k -> ", "lambda k: ").replace("'\\n'", "chr(10)") + ", chr(10)) ELSE '' END AS text FROM doc_pages)"
+_KNOWN = ", ".join(f"({k}, '{name}', '{regex}')" for k, (name, regex) in enumerate(LEARNED) if name != "broken")
+
+
+@query("k9_nested_toc", sql("", "doc_pages").rstrip() + ",\n" + _LISTED + f""", known AS (SELECT * FROM (VALUES {_KNOWN}) t(position, name, regex)),
+    lines AS (SELECT doc_id, page_no, trim(unnest(string_split(text, chr(10)))) AS line FROM listed WHERE page_no > 1),
+    hits AS (SELECT doc_id, page_no, position, name, count(*) AS n FROM lines, known WHERE (doc_id + position) % 3 <> 0 AND line <> '' AND regexp_matches(line, regex) GROUP BY ALL HAVING count(*) >= 3),
+    found AS (SELECT doc_id, page_no, list(name ORDER BY position) AS matched_patterns, sum(n)::INT AS match_count FROM hits GROUP BY ALL)
+    SELECT * EXCLUDE (rn) FROM (SELECT *, CASE WHEN match_count >= 10 THEN 'high' WHEN match_count >= 5 THEN 'medium' ELSE 'low' END AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS rn FROM found) WHERE rn <= 5""")
+def k9(spark, d):
+    return X.nested_contents(listed_pages(spark, d), learned(spark, d), after_page=1)
 
 
 _LAID = "CASE page_no % 5 WHEN 0 THEN 'Contents' || chr(10) || '1. One ..... 3' || chr(10) || '1.1 Two ..... 4' || chr(10) || text WHEN 1 THEN 'List of Figures' || chr(10) || text WHEN 2 THEN 'Abstract' || chr(10) || text ELSE text END"
 
 
-@query("k11_toc_score", sql(rf"""SELECT doc_id, page_no, CASE WHEN regexp_matches(t, '(?im)^\s*(?:table of contents|contents|目\s*录)\s*$') THEN 35 WHEN regexp_matches(t, '(?i)contents|目录') THEN 15 ELSE 0 END
+_SCORED = r"""CASE WHEN regexp_matches(t, '(?im)^\s*(?:table of contents|contents|目\s*录)\s*$') THEN 35 WHEN regexp_matches(t, '(?i)contents|目录') THEN 15 ELSE 0 END
     + CASE WHEN cited > 10 THEN 40 WHEN cited >= 5 THEN 25 WHEN cited >= 2 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(t, '(?m)^\s*[0-9]+\.[0-9]+(?:\s|\.)') THEN 15 ELSE 0 END
     + CASE WHEN contains(t, '....') OR contains(t, '. . . . ') OR contains(t, '……') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(t, '(?i)list of (?:figures|tables)|图目录|表目录') THEN 30 ELSE 0 END
-    - CASE WHEN regexp_matches(t, '(?im)^\s*(?:abstract|摘要)\s*$') THEN 30 ELSE 0 END - CASE WHEN length(t) < 50 OR length(t) > 10000 THEN 10 ELSE 0 END AS score
-    FROM (SELECT *, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S[\s.\-–—…·:：]+(?:第|p\.)?\s*[0-9]{{1,4}}\s*页?\s*$'))) AS cited FROM (SELECT doc_id, page_no, {_LAID} AS t FROM doc_pages))""", "doc_pages"))
+    - CASE WHEN regexp_matches(t, '(?im)^\s*(?:abstract|摘要)\s*$') THEN 30 ELSE 0 END - CASE WHEN length(t) < 50 OR length(t) > 10000 THEN 10 ELSE 0 END"""
+_CITED = r"""len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S[\s.\-–—…·:：]+(?:第|p\.)?\s*[0-9]{1,4}\s*页?\s*$')))"""
+
+
+@query("k11_toc_score", sql(f"SELECT doc_id, page_no, {_SCORED} AS score FROM (SELECT *, {_CITED} AS cited FROM (SELECT doc_id, page_no, {_LAID} AS t FROM doc_pages))", "doc_pages"))
 def k11(spark, d):
     laid = F.expr(_LAID.replace("chr(10)", "'\\n'"))
     return D.doc_pages(spark, d).select("doc_id", "page_no", laid.alias("t")).select("doc_id", "page_no", T.toc_score(C("t")).alias("score"))
 
 
+# Runs of contents pages laid over the documents: one from the second to the fifth page on, another from the ninth, and in long ones one over the twentieth page.
+_RUNS = "CASE WHEN page_no BETWEEN 2 + doc_id % 4 AND 3 + doc_id % 6 OR page_no BETWEEN 9 AND 10 OR (doc_id % 6 = 3 AND page_no BETWEEN 19 AND 24) THEN 'Contents' || chr(10) || '1.1 One ..... 3' || chr(10) || '1.2 Two ..... 4' || chr(10) || text ELSE text END"
+
+
+@query("k10_first_run", sql("", "doc_pages").rstrip() + f""",
+    laid AS (SELECT doc_id, page_no, {_RUNS} AS t FROM doc_pages), scored AS (SELECT doc_id, page_no, {_SCORED} AS score FROM (SELECT *, {_CITED} AS cited FROM laid)),
+    runs AS (SELECT doc_id, page_no, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS run FROM scored WHERE score >= 70)
+    SELECT doc_id, arg_min(a, a) AS first_page, arg_min(b, a) AS last_page FROM (SELECT doc_id, min(page_no) AS a, max(page_no) AS b FROM runs GROUP BY doc_id, run) WHERE a <= 20 GROUP BY doc_id""")
+def k10(spark, d):
+    """The first run of pages that score as contents."""
+    laid = F.expr(_RUNS.replace("chr(10)", "'\\n'"))
+    return X.first_run(D.doc_pages(spark, d).select("doc_id", "page_no", laid.alias("t")), T.toc_score(C("t")) >= 70)
+
+
 @query("r1_split_debug", "SELECT conv_id, turn, left(text, 500) AS output FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")
 def r1(spark, d):
     return D.table(spark, d, "conversations").where("role = 'assistant' AND text IS NOT NULL").select("conv_id", "turn", F.left("text", F.lit(500)).alias("output"))

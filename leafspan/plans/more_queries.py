@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leafspan.functions import text as T
 from leafspan.operators import audit as A, coverage as G, hierarchy as H
 from leafspan.plans import derive as D
 from leafspan.plans.derive import sql
+from leafspan.plans.text_queries import _answers, answers, cut_items
 from leafspan.plans.tree_queries import GAPS, GROUPED, J1, LEAVES, NODE_TEXT, SCORE, SUB, leaves, rolled, tsql, validated
 
 C = F.col
@@ -73,13 +77,28 @@ def j9(spark, d):
     return own.withColumn("any_own", F.bool_or("own").over(W.partitionBy("doc_id", "parent_pos"))).where("own OR NOT any_own").select("doc_id", "pre")
 
 
-@query("j11_promote_equal_child", sql(r"""SELECT p.doc_id, p.pre FROM nodes p JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_pos ORDER BY pre) AS rn FROM nodes) k ON k.doc_id = p.doc_id AND k.parent_pos = p.pre AND k.rn = 1
-    WHERE left(lower(regexp_replace(p.title, '\s+', '', 'g')), 1) = left(lower(regexp_replace(k.title, '\s+', '', 'g')), 1)""", "nodes"))
+def _again(query: str) -> str:
+    """The chain of tables from a list of levels to nodes once more, over p_raw."""
+    names = ("toc_raw", "toc_groups", "toc_items", "flat", "tree", "bounded", "bounds", "ends", "nodes")
+    ctes = [f"p_raw AS ({query})", *(f"{n} AS ({D.SQL[n][1]})" for n in names[1:])]
+    return ",\n".join(re.sub(rf"\b({'|'.join(names)})\b", lambda m: "p_" + m[1].removeprefix("toc_"), x) if k else x for k, x in enumerate(ctes))
+
+
+# Every third node has its neighbour's title laid over its own, in capitals and with blanks in it.
+_ECHO = "CASE WHEN (doc_id + pre) % 3 = 1 THEN coalesce(translate(replace(lag(title) OVER (PARTITION BY doc_id ORDER BY pre), 'e', 'e '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), title) ELSE title END"
+_KEY = r"lower(regexp_replace({0}.title, '\s+', '', 'g'))"
+
+
+@query("j11_promote_equal_child", sql("", "nodes").rstrip() + f""",
+    echo AS (SELECT * REPLACE ({_ECHO} AS title) FROM nodes), span AS (SELECT *, coalesce((SELECT min(k.pre) FROM echo k WHERE k.doc_id = n.doc_id AND k.pre > n.pre AND k.depth <= n.depth) - 1, max(pre) OVER (PARTITION BY doc_id)) AS last_pre FROM echo n),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_pos ORDER BY pre) AS rn FROM span WHERE parent_pos IS NOT NULL),
+    gone AS (SELECT k.doc_id, k.pre, k.last_pre FROM firsts k JOIN echo p ON p.doc_id = k.doc_id AND p.pre = k.parent_pos WHERE rn = 1 AND {_KEY.format("k")} = {_KEY.format("p")} AND {_KEY.format("k")} <> ''),
+    """ + _again("""SELECT doc_id, pre AS list_index, CAST(depth - (SELECT count(*) FROM gone g WHERE g.doc_id = n.doc_id AND n.pre BETWEEN g.pre AND g.last_pre) AS INT) AS level, title, start_page AS page, start_page AS physical_index FROM echo n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = n.doc_id AND g.pre = n.pre)""")
+    + " SELECT doc_id, pre, node_id, parent_pos, depth, title, start_page, end_page FROM p_nodes")
 def j11(spark, d):
-    n = D.nodes(spark, d)
-    first = n.where("parent_pos is not null").withColumn("rn", F.row_number().over(H.siblings())).where("rn = 1").select("doc_id", C("parent_pos").alias("pre"), C("title").alias("kid"))
-    key = lambda c: F.left(T.title_key(C(c)), F.lit(1))
-    return n.join(first, ["doc_id", "pre"]).where(key("title") == key("kid")).select("doc_id", "pre")
+    echo = F.translate(F.replace(F.lag("title").over(H.by_doc()), F.lit("e"), F.lit("e ")), string.ascii_lowercase, string.ascii_uppercase)
+    n = D.nodes(spark, d).withColumn("title", F.when((C("doc_id") + C("pre")) % 3 == 1, F.coalesce(echo, C("title"))).otherwise(C("title")))
+    return H.promote_equal_children(n, D.page_totals(spark, d), D.MAX_LEAF, D.LEVELS)
 
 
 # Phrases laid over the data, which has none of a type's: of tenders, contracts, papers, manuals and laws.
@@ -212,10 +231,8 @@ def q8(spark, d):
     return df.select("doc_id", "list_index", T.title_confidence(C("title"), C("page")).alias("confidence"))
 
 
-@query("s7_answers", sql(r"""SELECT doc_id, length(regexp_replace(string_agg(title, '' ORDER BY list_index), '["\\\x00-\x1f]', '', 'g')) AS title_chars, count(*) AS items FROM toc_items GROUP BY doc_id""", "toc_items"))
+@query("s7_answers", _answers("SELECT doc_id, sum(length(t)) AS title_chars, count(*) AS items FROM whole GROUP BY doc_id"))
 def s7(spark, d):
-    from leafspan.plans.text_queries import answers
-
-    parsed = F.from_json(T.repaired_json(T.answer_json(C("raw"))), "array<struct<i:int,title:string>>")
-    items = answers(spark, d).select("doc_id", F.inline(parsed))
-    return items.groupBy("doc_id").agg(F.sum(F.length("title")).alias("title_chars"), F.count("*").alias("items"))
+    schema = "array<struct<i:int,title:string>>"
+    whole = answers(spark, d).where("doc_id % 4 <> 1").select("doc_id", F.inline(F.from_json(T.answer_json(C("raw")), schema)))
+    return whole.unionByName(cut_items(spark, d, schema)).groupBy("doc_id").agg(F.sum(F.length("title")).alias("title_chars"), F.count("*").alias("items"))

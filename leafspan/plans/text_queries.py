@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafspan.functions import text as T
+from leafspan.operators import tables as X
 from leafspan.plans import derive as D
 from leafspan.plans.derive import sql
 
@@ -224,11 +225,30 @@ def b20(spark, d) -> DataFrame:
 
 
 def answers(spark, d) -> DataFrame:
-    """(doc_id, raw): contents tables as a model writes them: fenced, with Python literals, some cut off."""
+    """(doc_id, raw): contents tables as a model writes them: fenced, with Python literals; of every fourth document cut off somewhere, half of these inside of an object."""
     item = F.format_string('{"i": %d, "title": "%s", "page": %s, "ok": True,}', "list_index", F.regexp_replace("title", r'["\\\x00-\x1f]', ""), F.when(C("list_index") % 4 == 3, F.lit("None")).otherwise(C("page").cast("string")))
     rows = D.toc_items(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("list_index", item.alias("x")))), lambda r: r["x"]), ", ").alias("body"))
-    cut = F.concat(F.lit("Here it is: ["), C("body"), F.lit(', {"i": 9999, "titl'))
-    return rows.select("doc_id", F.when(C("doc_id") % 4 == 1, F.regexp_replace(cut, "^Here it is: ", "")).otherwise(F.concat(F.lit("Here it is:\n```json\n["), C("body"), F.lit("]\n```\nDone"))).alias("raw"))
+    # What is cut off is a share of the items' length that hangs on the document.
+    kept = F.left("body", F.floor(F.length("body") * (C("doc_id") % 97) / 97).cast("int"))
+    cut = F.concat(F.when(C("doc_id") % 8 == 1, F.lit('{"note": "a \\\\\\"list\\\\\\" [of] {", "table_of_contents": [')).otherwise(F.lit("[")), kept)
+    return rows.select("doc_id", F.when(C("doc_id") % 4 == 1, cut).otherwise(F.concat(F.lit("Here it is:\n```json\n["), C("body"), F.lit("]\n```\nDone"))).alias("raw"))
+
+
+def cut_items(spark, d, schema: str) -> DataFrame:
+    """(doc_id, x): the items of cut answers, of lists and of objects that hold one."""
+    whole = T.repaired_json(T.answer_json(C("raw")))
+    rows = answers(spark, d).where("doc_id % 4 = 1").select("doc_id", whole.alias("j"))
+    items = F.when(C("j").startswith("{"), F.from_json("j", f"table_of_contents {schema}")["table_of_contents"]).otherwise(F.from_json("j", schema))
+    return rows.select("doc_id", F.inline(items))
+
+
+_RAW = r"""raw AS (SELECT doc_id, list_index, t, page, '{"i": ' || list_index || ', "title": "' || t || '", "page": ' || CASE WHEN list_index % 4 = 3 THEN 'None' ELSE page::VARCHAR END || ', "ok": True,}' AS x FROM (SELECT *, regexp_replace(title, '["\\\x00-\x1f]', '', 'g') AS t FROM toc_items)),
+    ended AS (SELECT *, sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY list_index) - 2 AS ends, sum(length(x) + 2) OVER (PARTITION BY doc_id) - 2 AS size FROM raw),
+    whole AS (SELECT * FROM ended WHERE doc_id % 4 <> 1 OR ends <= floor(size * (doc_id % 97) / 97))"""
+
+
+def _answers(body: str) -> str:
+    return sql("", "toc_items").rstrip() + ",\n" + _RAW + "\n" + body
 
 
 @query("b21_answer_items", sql(r"""SELECT doc_id, list_index AS i, regexp_replace(title, '["\\\x00-\x1f]', '', 'g') AS title, CASE WHEN list_index % 4 <> 3 THEN page END AS page, true AS ok FROM toc_items WHERE doc_id % 4 <> 1""", "toc_items"))
@@ -237,10 +257,10 @@ def b21(spark, d) -> DataFrame:
     return answers(spark, d).where("doc_id % 4 <> 1").select("doc_id", F.inline(parsed))
 
 
-@query("b22_cut_answers", sql(r"""SELECT doc_id, list_index AS i, regexp_replace(title, '["\\\x00-\x1f]', '', 'g') AS title FROM toc_items WHERE doc_id % 4 = 1""", "toc_items"))
+@query("b22_cut_answers", _answers("SELECT doc_id, list_index AS i, t AS title, CASE WHEN list_index % 4 <> 3 THEN page END AS page FROM whole WHERE doc_id % 4 = 1"))
 def b22(spark, d) -> DataFrame:
-    parsed = F.from_json(T.repaired_json(T.answer_json(C("raw"))), "array<struct<i:int,title:string>>")
-    return answers(spark, d).where("doc_id % 4 = 1").select("doc_id", F.inline(parsed))
+    """Items that end before their answer is cut off, and no others."""
+    return cut_items(spark, d, "array<struct<i:int,title:string,page:int>>")
 
 
 @query("b23_validate_items", sql("""SELECT doc_id, list_index, trim(title) AS title, rtrim(structure || '..', '.') AS structure, CASE WHEN list_index % 4 <> 3 THEN page END AS page FROM toc_items WHERE trim(title) <> ''""", "toc_items"))
@@ -291,12 +311,47 @@ def b28(spark, d) -> DataFrame:
     return D.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.asks_for_list(q).alias("is_list"), T.asked_tool(q).alias("tool"))
 
 
-@query("b29_tables_to_markdown", """SELECT doc_id, contains(text, '|') AS has_pipe, '| ' || array_to_string(list_transform(string_split(string_split(text, chr(10))[1], '|'), lambda x: trim(x)), ' | ') || ' |' || chr(10) || '|'
-    || array_to_string(list_transform(string_split(string_split(text, chr(10))[1], '|'), lambda x: ' --- '), '|') || '|' AS head FROM documents WHERE contains(text, '|')""")
+# Tables laid behind the texts: rows of words of the text, ragged, and behind a line of prose a second one with bars around and a rule.
+def _words(k: str) -> str:
+    return f"slice(w, 1, CAST(1 + (doc_id + {k}) % 4 AS INT))"
+
+
+_FIRST = "array_join(transform(sequence(1, CAST(doc_id % 4 AS INT)), k -> array_join(" + _words("k") + ", ' | ') || ' |'), '\n')"
+_SECOND = "'| ' || array_join(" + _words("1") + ", ' |') || ' |\n|---|:--|\n' || '|' || array_join(" + _words("2") + ", '|') || '||'"
+
+
+def with_tables(spark, d) -> DataFrame:
+    """(doc_id, text) with tables laid behind."""
+    docs = D.table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.split(F.left("text", F.lit(90)), r"[\s|]+").alias("w"))
+    return docs.select("doc_id", F.concat("text", F.when(C("doc_id") % 4 > 0, F.concat(F.lit("\n"), F.expr(_FIRST))).otherwise(""), F.lit("\nAnd then:\n"), F.expr(_SECOND), F.when(C("doc_id") % 3 == 0, "").otherwise("\nend")).alias("text"))
+
+
+def _duck_words(k: str) -> str:
+    return f"w[1 : CAST(1 + (doc_id + {k}) % 4 AS INT)]"
+
+
+_TABLES = rf"""laid AS (SELECT doc_id, text || CASE WHEN doc_id % 4 > 0 THEN chr(10) || array_to_string(list_transform(generate_series(1, doc_id % 4), lambda k: array_to_string({_duck_words("k")}, ' | ') || ' |'), chr(10)) ELSE '' END || chr(10) || 'And then:' || chr(10)
+    || '| ' || array_to_string({_duck_words("1")}, ' |') || ' |' || chr(10) || '|---|:--|' || chr(10) || '|' || array_to_string({_duck_words("2")}, '|') || '||' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || 'end' END AS text
+    FROM (SELECT doc_id, text, regexp_split_to_array(left(text, 90), '[\s|]+') AS w FROM documents WHERE text IS NOT NULL)),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM laid),
+    runs AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM lines WHERE contains(line, '|')),
+    cells AS (SELECT *, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS c FROM runs),
+    body AS (SELECT *, len(list_filter(c, lambda x: NOT regexp_matches(x, '^:?-{{2,}}:?$'))) = 0 AS rule FROM cells),
+    sized AS (SELECT *, max(len(c)) FILTER (NOT rule) OVER (PARTITION BY doc_id, run) AS width, min(n) FILTER (NOT rule) OVER (PARTITION BY doc_id, run) AS head FROM body),
+    regions AS (SELECT doc_id, min(n)::INT AS first_line, max(n)::INT AS last_line, any_value(width)::INT AS columns, count(*) FILTER (NOT rule)::INT AS rows,
+    string_agg('| ' || array_to_string(list_resize(c, width, ''), ' | ') || ' |' || CASE WHEN n = head THEN chr(10) || '|' || array_to_string(list_transform(range(width), lambda x: ' --- '), '|') || '|' ELSE '' END, chr(10) ORDER BY n) FILTER (NOT rule) AS markdown
+    FROM sized WHERE width IS NOT NULL GROUP BY doc_id, run)"""
+
+
+@query("b29_table_regions", f"WITH {_TABLES} SELECT * FROM regions")
+def b29_regions(spark, d) -> DataFrame:
+    return X.table_regions(with_tables(spark, d))
+
+
+@query("b29_tables_to_markdown", f"""WITH {_TABLES} SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS text FROM (SELECT l.doc_id, n, line AS x FROM lines l WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.doc_id = l.doc_id AND l.n BETWEEN first_line AND last_line)
+    UNION ALL SELECT doc_id, first_line, '[TABLE]' || chr(10) || markdown || chr(10) || '[/TABLE]' FROM regions) GROUP BY doc_id""")
 def b29(spark, d) -> DataFrame:
-    cells = F.transform(F.split(F.element_at(F.split("text", "\n"), 1), r"\|"), lambda x: F.trim(x))
-    head = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n|"), F.array_join(F.transform(cells, lambda x: F.lit(" --- ")), "|"), F.lit("|"))
-    return D.table(spark, d, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", F.lit(True).alias("has_pipe"), head.alias("head"))
+    return X.with_markdown(with_tables(spark, d))
 
 
 # Messages of failed calls laid over the events: fatal ones as providers word them, and others that look like them.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leafspan.functions import text as T
-from leafspan.operators import audit as A, coverage as G, hierarchy as H, mapping as M
+from leafspan.operators import audit as A, coverage as G, hierarchy as H, mapping as M, numbering as Q
 from leafspan.plans import derive as D
 from leafspan.plans.derive import sql, strip_sql
 from leafspan.plans.text_queries import _VALID
@@ -138,13 +138,6 @@ def w13(spark, d):
     return D.nodes(spark, d).groupBy("doc_id").agg(F.max("depth").alias("max_depth"), F.sum((C("depth") > 2).cast("int")).alias("deeper"))
 
 
-@query("w14_merge_deep", sql("""SELECT n.doc_id, n.pre, coalesce(string_agg(k.title, '|' ORDER BY k.pre), '') AS sub_items FROM nodes n LEFT JOIN nodes k ON n.depth = 2 AND k.doc_id = n.doc_id AND k.parent_pos = n.pre WHERE n.depth <= 2 GROUP BY ALL""", "nodes"))
-def w14(spark, d):
-    n = D.nodes(spark, d)
-    kids = n.where("depth > 2").groupBy("doc_id", C("parent_pos").alias("pre"), F.lit(2).alias("depth")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "title"))), lambda x: x["title"]), "|").alias("sub_items"))
-    return n.where("depth <= 2").select("doc_id", "pre", "depth").join(kids, ["doc_id", "pre", "depth"], "left").select("doc_id", "pre", F.coalesce("sub_items", F.lit("")).alias("sub_items"))
-
-
 @query("w15_leaves", tsql(LEAVES, "SELECT doc_id, pre FROM leaves", "nodes"))
 def w15(spark, d):
     return leaves(spark, d).select("doc_id", "pre")
@@ -153,6 +146,11 @@ def w15(spark, d):
 SUB = """sub AS (SELECT *, coalesce((SELECT min(k.pre) FROM nodes k WHERE k.doc_id = n.doc_id AND k.pre > n.pre AND k.depth <= n.depth) - 1, max(pre) OVER (PARTITION BY doc_id)) AS last_pre FROM nodes n)"""
 
 
+@query("w14_merge_deep", tsql(SUB, """SELECT n.doc_id, n.pre, coalesce(string_agg(k.title, '|' ORDER BY k.pre), '') AS sub_items FROM sub n LEFT JOIN nodes k ON n.depth = 2 AND k.doc_id = n.doc_id AND k.pre > n.pre AND k.pre <= n.last_pre WHERE n.depth <= 2 GROUP BY ALL""", "nodes"))
+def w14(spark, d):
+    return H.merge_deep(D.nodes(spark, d), 2, D.LEVELS).select("doc_id", "pre", F.array_join("sub_items", "|").alias("sub_items"))
+
+
 @query("w16_subtree_rollup", tsql(SUB, """SELECT s.doc_id, s.pre, sum(p.tokens) AS tokens FROM sub s JOIN nodes k ON k.doc_id = s.doc_id AND k.pre BETWEEN s.pre AND s.last_pre JOIN doc_pages p ON p.doc_id = k.doc_id AND p.page_no = k.start_page GROUP BY ALL""", "nodes", "doc_pages"))
 def w16(spark, d):
     return rolled(spark, d).select("doc_id", "pre", C("subtree").alias("tokens"))
@@ -220,6 +218,16 @@ def g15(spark, d):
     return validated(spark, d).groupBy("doc_id").agg(F.sum(ok).alias("validated"), F.count("*").alias("total"), F.avg(ok).alias("accuracy"))
 
 
+_TAKEN = "('0x' || substr(md5(doc_id || '-' || list_index), 1, 8))::BIGINT % 100 < 30"
+
+
+@query("g15_sampled_accuracy", tsql(J1, f"""SELECT doc_id, n AS sampled, accuracy, round((p + z2 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 6) AS low, round((p + z2 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 6) AS high FROM (
+    SELECT doc_id, 1.96 * 1.96 AS z2, count(*) FILTER ({_TAKEN}) AS n, avg(CAST(passed AS INT)) AS accuracy, avg(CAST(passed AS INT)) FILTER ({_TAKEN}) AS p FROM j1 GROUP BY doc_id) WHERE n > 0""", "toc_items", "doc_pages"))
+def g15_sampled(spark, d):
+    found = M.sampled_accuracy(validated(spark, d), ["doc_id"], ["doc_id", "list_index"], 30)
+    return found.withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
 @query("j2_search_offsets", tsql("""firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY list_index) AS rn FROM toc_items) WHERE rn <= 5 AND length(title) > 0),
     contents AS (SELECT f.doc_id, page_no FROM firsts f JOIN doc_pages p USING (doc_id) WHERE contains(left(p.text, 5000), title) GROUP BY ALL HAVING count(*) >= 3),
     found AS (SELECT f.doc_id, list_index, f.page, min(page_no) AS hit FROM firsts f JOIN doc_pages p USING (doc_id) WHERE contains(left(p.text, 3000), title) AND NOT EXISTS (SELECT 1 FROM contents c WHERE c.doc_id = p.doc_id AND c.page_no = p.page_no) GROUP BY ALL),
@@ -362,12 +370,41 @@ def q3(spark, d):
     return bad.select("doc_id", "pre", F.when(C("start_page") > C("end_page"), "inverted").otherwise("ends_with_parent").alias("issue"))
 
 
-@query("q4_numbering", sql(r"SELECT doc_id, depth, sum(CAST(regexp_matches(title, '^\s*[0-9A-Z]') AS INT)) AS numbered, count(*) AS nodes FROM nodes GROUP BY doc_id, depth HAVING sum(CAST(regexp_matches(title, '^\s*[0-9A-Z]') AS INT)) < count(*)", "nodes"))
+# Marks of five systems of numbering laid over siblings, which count on, with holes and repeats; every sixth title has none.
+_CJK = "('', '一', '二', '三', '四', '五', '六', '七', '八', '九', '十')"
+_SAYS = """CASE WHEN k >= 100 THEN element_at(dg, CAST(k DIV 100 + 1 AS INT)) || '百' || CASE WHEN k % 100 = 0 THEN '' WHEN k % 100 < 10 THEN '零' || element_at(dg, CAST(k % 100 + 1 AS INT)) ELSE element_at(dg, CAST(k % 100 DIV 10 + 1 AS INT)) || '十' || element_at(dg, CAST(k % 10 + 1 AS INT)) END
+    WHEN k >= 20 THEN element_at(dg, CAST(k DIV 10 + 1 AS INT)) || '十' || element_at(dg, CAST(k % 10 + 1 AS INT)) WHEN k >= 10 THEN '十' || element_at(dg, CAST(k % 10 + 1 AS INT)) ELSE element_at(dg, CAST(k + 1 AS INT)) END"""
+_MARK = "CASE WHEN (doc_id + pre) % 6 = 5 THEN '' WHEN doc_id % 5 = 0 THEN '第' || s || '章 ' WHEN doc_id % 5 = 1 THEN s || '、' WHEN doc_id % 5 = 2 THEN '（' || s || '）' WHEN doc_id % 5 = 3 THEN k || '、' ELSE '7.' || k || ' ' END || title"
+_PLACE = "rk + rk DIV 3 - rk DIV 7 + doc_id % 90"
+
+
+def numbered_nodes(spark, d) -> DataFrame:
+    n = D.nodes(spark, d).withColumn("rk", F.row_number().over(H.siblings())).withColumn("k", F.expr(f"CAST({_PLACE} AS INT)")).withColumn("dg", F.expr(f"array{_CJK}"))
+    return n.withColumn("s", F.expr(_SAYS)).withColumn("title", F.expr(_MARK)).select("doc_id", "pre", "parent_pos", "depth", "title")
+
+
+NUMBERED = f"""numbered AS (SELECT doc_id, pre, parent_pos, depth, {_MARK} AS title FROM (SELECT *, {_SAYS.replace("DIV", "//").replace("element_at(dg, ", "list_extract(dg, ")} AS s FROM (
+    SELECT *, CAST({_PLACE.replace("DIV", "//")} AS INT) AS k, list_value{_CJK} AS dg FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_pos ORDER BY pre) AS rk FROM nodes)))),
+    digits AS (SELECT * FROM (VALUES ('一', 1), ('二', 2), ('三', 3), ('四', 4), ('五', 5), ('六', 6), ('七', 7), ('八', 8), ('九', 9)) t(c, v)),
+    words AS (SELECT * FROM (SELECT h.c || '百' || '零' || u.c AS w, h.v * 100 + u.v AS v FROM digits h, digits u UNION ALL SELECT h.c || '百' || t.c || '十' || u.c, h.v * 100 + t.v * 10 + u.v FROM digits h, digits t, (SELECT * FROM digits UNION ALL VALUES ('', 0)) u
+    UNION ALL SELECT h.c || '百', h.v * 100 FROM digits h UNION ALL SELECT t.c || '十' || u.c, t.v * 10 + u.v FROM digits t, (SELECT * FROM digits UNION ALL VALUES ('', 0)) u UNION ALL SELECT '十' || u.c, 10 + u.v FROM (SELECT * FROM digits UNION ALL VALUES ('', 0)) u UNION ALL SELECT c, v FROM digits)),
+    systems AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(title, '{p}') THEN '{name}'" for name, p in T.SYSTEMS.items())} END AS system, CASE {" ".join(f"WHEN regexp_matches(title, '{p}') THEN regexp_extract(title, '{p}', 1)" for p in T.SYSTEMS.values())} END AS said FROM numbered)"""
+
+
+@query("q4_numbering", tsql(NUMBERED, "SELECT doc_id, depth, count(system) AS numbered, count(*) AS nodes FROM systems WHERE depth <= 3 GROUP BY doc_id, depth HAVING count(system) < count(*)", "nodes"))
 def q4(spark, d):
-    own = D.nodes(spark, d).groupBy("doc_id", "depth").agg(F.sum(C("title").rlike(r"^\s*[0-9A-Z]").cast("int")).alias("numbered"), F.count("*").alias("nodes"))
+    """Levels to the third on which fewer titles are numbered than there are nodes."""
+    own = numbered_nodes(spark, d).where("depth <= 3").groupBy("doc_id", "depth").agg(F.count(T.numbering_system(C("title"))).alias("numbered"), F.count("*").alias("nodes"))
     return own.where("numbered < nodes")
 
 
+@query("q4_numbering_holes", tsql(NUMBERED, """SELECT doc_id, parent_pos, system, lo, hi, list_sort(list_filter(list_transform(range(lo, hi + 1), lambda x: CASE WHEN NOT list_contains(seen, x) THEN x END), lambda x: x IS NOT NULL)) AS missing, list_sort(repeated) AS repeated FROM (
+    SELECT doc_id, parent_pos, system, min(v)::INT AS lo, max(v)::INT AS hi, list(DISTINCT v::INT) AS seen, coalesce(list(DISTINCT v::INT) FILTER (again), []) AS repeated FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, parent_pos, system, v) > 1 AS again FROM (
+    SELECT s.*, coalesce(TRY_CAST(said AS INT), w.v) AS v FROM systems s LEFT JOIN words w ON w.w = s.said WHERE depth <= 3)) WHERE v IS NOT NULL GROUP BY ALL)""", "nodes"))
+def q4_holes(spark, d):
+    return Q.numbering_holes(numbered_nodes(spark, d).where("depth <= 3"))
+
+
 @query("q5_index_bounds", sql("SELECT doc_id, list_index, CASE WHEN physical_index + 2 <= total_pages THEN physical_index + 2 END AS physical FROM toc_items JOIN totals USING (doc_id)", "toc_items", "totals"))
 def q5(spark, d):
     t = D.toc_items(spark, d).join(D.page_totals(spark, d), "doc_id")
@@ -482,9 +519,17 @@ def e9(spark, d):
     return both.select("doc_id", "title", F.row_number().over(W.partitionBy("doc_id").orderBy("at", "title")).alias("position"))
 
 
-@query("e11_conflicts", sql("""SELECT doc_id, node_id, list_sort(list(DISTINCT action)) AS actions FROM (SELECT doc_id, node_id[1:1] AS node_id, action FROM suggestions WHERE status = 'pending') GROUP BY ALL HAVING list_contains(list(DISTINCT action), 'DELETE') AND len(list_filter(list(DISTINCT action), lambda x: starts_with(x, 'MODIFY'))) > 0""", "suggestions"))
+# A second reviewer's proposals for every other of the nodes that have one, another action each.
+ACTIONS = ("DELETE", "MODIFY_FORMAT", "MODIFY_PAGE", "ADD")
+
+
+@query("e11_conflicts", sql("""SELECT doc_id, node_id, list_sort(list(DISTINCT action)) AS actions FROM (SELECT doc_id, node_id, action FROM suggestions WHERE status = 'pending'
+    UNION ALL SELECT doc_id, node_id, (['DELETE', 'MODIFY_FORMAT', 'MODIFY_PAGE', 'ADD'])[CAST((doc_id * 31 + pre + 1 + pre % 3) % 4 + 1 AS INT)] FROM suggestions WHERE pre % 2 = 0 AND status = 'pending')
+    GROUP BY doc_id, node_id HAVING list_contains(list(DISTINCT action), 'DELETE') AND len(list_filter(list(DISTINCT action), lambda x: starts_with(x, 'MODIFY'))) > 0""", "suggestions"))
 def e11(spark, d):
-    return A.conflicts(D.suggestions(spark, d).withColumn("node_id", F.left("node_id", F.lit(1))))
+    first = D.suggestions(spark, d).select("doc_id", "node_id", "pre", "action", "status")
+    other = F.get(F.array(*[F.lit(a) for a in ACTIONS]), ((C("doc_id") * 31 + C("pre") + 1 + C("pre") % 3) % 4).cast("int"))
+    return A.conflicts(first.unionByName(first.where("pre % 2 = 0").withColumn("action", other)))
 
 
 @query("e12_batch_review", sql("SELECT CASE WHEN status = 'pending' AND confidence = 'high' THEN 'accepted' ELSE status END AS status, count(*) AS n FROM suggestions GROUP BY 1", "suggestions"))
@@ -506,11 +551,15 @@ def g7(spark, d):
     return s.groupingSets([["action"], ["confidence"]], "action", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("g9_quality_score", sql("""SELECT doc_id, least(100, 60 + least(20, 4 * sum(CAST(action = 'DELETE' AS INT))) + least(10, 3 * sum(CAST(action = 'MODIFY_FORMAT' AS INT))) + least(10, 5 * sum(CAST(action = 'MODIFY_PAGE' AS INT)))) AS score FROM suggestions GROUP BY doc_id""", "suggestions"))
+@query("g9_quality_score", tsql(SUB + """, done AS (SELECT doc_id, pre, action FROM suggestions WHERE status = 'accepted'), changes AS (SELECT doc_id, sum(CAST(action = 'DELETE' AS INT)) AS deleted, sum(CAST(action = 'MODIFY_FORMAT' AS INT)) AS formats, sum(CAST(action = 'MODIFY_PAGE' AS INT)) AS pages FROM done GROUP BY doc_id),
+    sizes AS (SELECT doc_id, count(*) AS original_nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM sub s JOIN done USING (doc_id, pre) WHERE action = 'DELETE' AND s.doc_id = n.doc_id AND n.pre BETWEEN s.pre AND s.last_pre)) AS optimized_nodes FROM nodes n GROUP BY doc_id)""",
+    """SELECT doc_id, least(100, 60 + least(20, 4 * coalesce(deleted, 0)) + least(10, 3 * coalesce(formats, 0)) + least(10, 5 * coalesce(pages, 0))) AS score, original_nodes, optimized_nodes, (original_nodes - optimized_nodes) / original_nodes AS removal_rate FROM sizes LEFT JOIN changes USING (doc_id)""", "nodes", "suggestions"))
 def g9(spark, d):
-    n = lambda a: F.sum((C("action") == a).cast("int"))
-    score = 60 + F.least(F.lit(20), 4 * n("DELETE")) + F.least(F.lit(10), 3 * n("MODIFY_FORMAT")) + F.least(F.lit(10), 5 * n("MODIFY_PAGE"))
-    return D.suggestions(spark, d).groupBy("doc_id").agg(F.least(F.lit(100), score).alias("score"))
+    """Points for accepted edits, and the share of nodes that the deletes among them take, with all below."""
+    done = D.suggestions(spark, d).where("status = 'accepted'")
+    nodes = H.subtree_ends(D.nodes(spark, d), D.LEVELS)
+    left = A.apply_deletes(nodes, nodes.join(done.where("action = 'DELETE'").select("doc_id", "pre"), ["doc_id", "pre"], "left_semi"))
+    return A.quality(done, nodes, left)
 
 
 @query("k3_verification_budget", tsql(LEAVES, "SELECT doc_id, pre, row_number() OVER (PARTITION BY doc_id ORDER BY depth DESC, pre) <= 4 AS verify FROM leaves", "nodes"))

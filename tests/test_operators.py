@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafspan.functions import text as T
-from leafspan.operators import audit, catalog, coverage, hierarchy, mapping
+from leafspan.operators import audit, catalog, coverage, hierarchy, mapping, numbering, tables
 from leafspan.sources import trees
 from leafspan.streaming import streams
 
@@ -53,6 +53,27 @@ def values(spark, rule, *rows):
         (T.is_appendix, "Appendix A", False),
         (T.toc_score, "\nContents\n\n1. Introduction - 5\n2. Background - 12\n3. Methods - 25\n4. Results - 40\n5. Discussion - 55\n", 60),
         (T.is_valid_title, "Scope of work", True),
+        (T.repaired_json, '{"table_of_contents": [{"t": "A}", "p": 1}, {"t": "B"', '{"table_of_contents": [{"t": "A}", "p": 1}]}'),
+        (T.repaired_json, '{"a": 1, "b": "tru', '{"a": 1}'),
+        (T.repaired_json, '{"a": {"b": [1, 2', '{"a": {"b": [1]}}'),
+        (T.repaired_json, 'So: {"a": "x \\" ] } y", "b": [', '{"a": "x \\" ] } y", "b": []}'),
+        (T.repaired_json, '[{"a": [{"b": 1}, {"c', "[]"),
+        (T.repaired_json, '{"a": [1]} and more }', '{"a": [1]}'),
+        (T.repaired_json, "{", "{}"),
+        (T.repaired_json, "none", None),
+        (T.repaired_json, "", None),
+        (T.repaired_json, None, None),
+        (T.numbering_system, "第三章 总则", "chapter"),
+        (T.numbering_system, "附（二）表", "bracket"),
+        (T.numbering_system, "12、报价", "number"),
+        (T.numbering_system, "3.4 范围", "section"),
+        (T.numbering_system, "De tion", None),
+        (T.title_number, "第三章 总则", 3),
+        (T.title_number, "二十一、报价", 21),
+        (T.title_number, "第一百零五章 表", 105),
+        (T.title_number, "（百）表", 100),
+        (T.title_number, "3.14 范围", 14),
+        (T.title_number, "Part", None),
         (T.strip_numbering, "第一章 概述", "概述"),
         (T.strip_numbering, "第二节 定义", "定义"),
         (T.strip_numbering, "（一）适用范围", "适用范围"),
@@ -330,3 +351,66 @@ def test_rows_are_appended_by_bucket(spark, tmp_path):
     for _ in range(2):
         trees.append_rows(df, str(tmp_path / "t"))
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("doc_id", "status").collect()) == [(1, "pending"), (1, "pending"), (2, "done"), (2, "done")]
+
+
+def test_deep_titles_go_to_their_ancestor(spark):
+    rows = [("d", p, u, n, f"t{p}") for p, (u, n) in enumerate([(None, 1), (0, 2), (1, 3), (2, 4), (3, 5), (1, 3), (0, 2), (None, 1), (7, 2), (8, 3)])]
+    df = spark.createDataFrame(rows, "doc_id string, pre int, parent_pos int, depth int, title string")
+    got = {r["pre"]: r["sub_items"] for r in hierarchy.merge_deep(df, 2).collect()}
+    assert got == {0: [], 1: ["t2", "t3", "t4", "t5"], 6: [], 7: [], 8: ["t9"]}
+    assert {r["pre"]: r["sub_items"] for r in hierarchy.merge_deep(df, 5).collect()} == {p: [] for p in range(10)}
+
+
+def test_equal_first_children_are_promoted(spark):
+    """Chapter 2 has itself as its first child, whose children move up; chapter 3 only itself, which goes; a chain goes as a whole."""
+    rows = [("第一章 总则", 1, 1), ("范围", 2, 2), ("第二章供应商须知", 1, 4), ("第二章 供应商须知", 2, 4), ("说明", 3, 5), ("报价", 3, 7), ("附件", 2, 9), ("Ch 3", 1, 10), ("CH3", 2, 10), ("a", 1, 12), ("A", 2, 12), (" a ", 3, 12), ("leaf", 4, 13), (" ", 1, 14), ("", 2, 14)]
+    df = hierarchy.parents(spark.createDataFrame([("d", k, t, n, p) for k, (t, n, p) in enumerate(rows)], "doc_id string, pre int, title string, depth int, start_page int"))
+    totals = spark.createDataFrame([("d", 16)], "doc_id string, total_pages int")
+    got = [(r["title"], r["node_id"], r["parent_pos"], r["depth"], r["end_page"]) for r in sorted(hierarchy.promote_equal_children(df, totals).collect(), key=lambda r: r["pre"])]
+    assert got == [
+        ("第一章 总则", "1", None, 1, 3), ("范围", "1.1", 0, 2, 3), ("第二章供应商须知", "2", None, 1, 9), ("说明", "2.1", 2, 2, 7), ("报价", "2.2", 2, 2, 9), ("附件", "2.3", 2, 2, 9),
+        ("Ch 3", "3", None, 1, 12), ("a", "4", None, 1, 13), ("leaf", "4.1", 9, 2, 13), (" ", "5", None, 1, 15), ("", "5.1", 13, 2, 15),
+    ]
+
+
+def test_tables_become_markdown(spark):
+    text = "intro\n| a | b\n|---|:--:|\n1|2|3\n\nx\n---|---\nlone | pipe"
+    df = spark.createDataFrame([(1, text), (2, "no table\n"), (3, None), (4, ""), (5, "|\n" * 3000)], "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in tables.with_markdown(df).collect()}
+    assert got[1] == "intro\n[TABLE]\n| a | b |  |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n[/TABLE]\n\nx\n[TABLE]\n| lone | pipe |\n| --- | --- |\n[/TABLE]"
+    assert (got[2], got[3], got[4]) == ("no table\n", None, "") and got[5].count("\n") == 3003
+    assert sorted(tuple(r)[:5] for r in tables.table_regions(df.where("doc_id = 1")).collect()) == [(1, 1, 3, 3, 2), (1, 6, 7, 2, 1)]
+
+
+def test_nested_contents(spark):
+    lines = lambda n, form: "\n".join(form.format(k) for k in range(n))
+    pages = [(1, p, t) for p, t in enumerate(["", lines(12, "1.{0} One .... {0}"), lines(2, "1.{0} One .... {0}"), lines(3, " 第一章 总 .... {0} "), lines(3, "1.{0} One .... {0}") + "\n" + lines(3, "第一章 总 .... {0}"), "", None] + [lines(4, "2.{0} x .... {0}")] * 5)] + [(2, 1, lines(9, "1.{0} One .... {0}"))]
+    learned = [(1, 0, "dots", r"^\d+(\.\d+)*\s+.+?\s*\.{3,}\s*\d+"), (1, 1, "bad", "(("), (1, 2, "chapter", r"^第(?P<n>[一二])章"), (1, 3, None, None)]
+    got = tables.nested_contents(spark.createDataFrame(pages, "doc_id int, page_no int, text string"), spark.createDataFrame(learned, "doc_id int, position int, name string, regex string"), after_page=0)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, ["dots"], 12, "high"), (1, 3, ["chapter"], 3, "low"), (1, 4, ["dots", "chapter"], 6, "medium"), (1, 7, ["dots"], 4, "low"), (1, 8, ["dots"], 4, "low")]
+
+
+def test_first_run_of_contents(spark):
+    flags = {1: [3, 4, 7], 2: [19, 20, 21, 22], 3: [25], 4: [1]}
+    pages = spark.createDataFrame([(d, p, p in own) for d, own in flags.items() for p in range(1, 31)], "doc_id int, page_no int, toc boolean")
+    assert {tuple(r) for r in tables.first_run(pages, C("toc")).collect()} == {(1, 3, 4), (2, 19, 22), (4, 1, 1)}
+    assert {tuple(r) for r in tables.first_run(pages, C("toc"), beyond=False).collect()} == {(1, 3, 4), (2, 19, 20), (4, 1, 1)}
+
+
+def test_numbering_holes(spark):
+    titles = ["一、a", "二、b", "二、c", "五、d", "（三）e", "（一）f", "g", None, "1.2 h", "1.4 i"]
+    df = spark.createDataFrame([("d", 0, t) for t in titles], "doc_id string, parent_pos int, title string")
+    got = {r["system"]: (r["lo"], r["hi"], r["missing"], r["repeated"]) for r in numbering.numbering_holes(df).collect()}
+    assert got == {"item": (1, 5, [3, 4], [2]), "bracket": (1, 3, [2], []), "section": (2, 4, [3], [])}
+
+
+def test_quality_and_sample(spark):
+    nodes = spark.createDataFrame([(1, k) for k in range(10)] + [(2, 0)], "doc_id int, pre int")
+    done = spark.createDataFrame([(1, "DELETE")] * 7 + [(1, "MODIFY_PAGE")], "doc_id int, action string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in audit.quality(done, nodes, nodes.where("pre < 4 AND doc_id = 1")).collect()}
+    assert got == {1: (85, 10, 4, 0.6), 2: (60, 1, 0, 1.0)}
+    items = spark.range(4000).selectExpr("id", "id % 7 AS g", "id % 5 > 0 AS passed")
+    took = [sorted(tuple(r) for r in mapping.sampled_accuracy(df, ["g"], ["id"], 25).collect()) for df in (items, items.repartition(7))]
+    assert took[0] == took[1] and len(took[0]) == 7
+    for _, n, accuracy, low, high in took[0]:
+        assert 90 < n < 200 and low < accuracy < high and high - low < 0.2
