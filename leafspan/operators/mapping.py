@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leafspan.functions import text as T
@@ -15,14 +18,61 @@ def validate_mapping(items: DataFrame, pages: DataFrame, totals: DataFrame, offs
     return df.withColumn("passed", F.coalesce(T.title_in_page(F.col("title"), F.col("page_text")), F.lit(False))).drop("page_text")
 
 
+PAGES_AT_ONCE = 1000  # of a document, in one search
+
+
+def title_hits(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, list_index, page_no, ends): the pages from lo to hi that have an item's title, and where in them it first ends.
+
+    items: (doc_id, list_index, title, lo, hi); pages: (doc_id, page_no, text). All
+    titles of a document are sought at once, by one automaton, in one pass over
+    each page. Items and pages meet by document and run of pages, titles
+    first, so a task holds one document's titles and one page, and a long
+    document is shared among tasks. An empty title is on every page, a null on none.
+    """
+    block = lambda page: F.floor(page / PAGES_AT_ONCE).cast("int")
+    wanted = items.where("doc_id is not null AND title is not null AND lo <= hi").select("doc_id", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))).alias("block"), F.lit(0).alias("kind"), F.col("list_index").cast("bigint").alias("n"), F.col("title").alias("text"), "lo", "hi")
+    there = pages.where("doc_id is not null AND text is not null").select("doc_id", block(F.col("page_no")).alias("block"), F.lit(1).alias("kind"), F.col("page_no").cast("bigint").alias("n"), "text", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    kind = items.schema["doc_id"].dataType.simpleString()
+    stream = wanted.unionByName(there).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "kind", "n")
+    return stream.mapInPandas(_searched, f"doc_id {kind}, list_index int, page_no int, ends int")
+
+
+def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import ahocorasick
+
+    now, titles, search = None, {}, None
+    for batch in batches:
+        out = []
+        for doc, block, kind, n, text, lo, hi in batch.itertuples(index=False, name=None):
+            if now != (doc, block):
+                now, titles, search = (doc, block), {}, None
+            if kind == 0:
+                titles.setdefault(text, []).append((n, lo, hi))
+                continue
+            if not titles:
+                continue
+            if search is None:
+                search = ahocorasick.Automaton()
+                for t in filter(None, titles):
+                    search.add_word(t, t)
+                search.make_automaton()
+            first = {"": 0} if "" in titles else {}
+            for at, t in search.iter(text) if len(search) else ():
+                first.setdefault(t, at + 1)
+            out += [(doc, i, n, ends) for t, ends in first.items() for i, lo_, hi_ in titles[t] if lo_ <= n <= hi_]
+        yield pd.DataFrame(out, columns=["doc_id", "list_index", "page_no", "ends"])
+
+
 def search_offsets(items: DataFrame, pages: DataFrame, sample: int = 5) -> DataFrame:
-    """(doc_id, offset): the commonest distance from a sample title's page to the first page that has it."""
+    """(doc_id, offset): the commonest distance from a sample title's page to the first page that has it near its start, contents pages left out."""
     first = items.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy("list_index"))).where(F.col("rn") <= sample).where("page is not null AND length(title) > 0")
-    heads = pages.select("doc_id", "page_no", F.left("text", F.lit(5000)).alias("head"))
-    hits = first.join(heads, "doc_id").withColumn("hit", F.contains(F.left("head", F.lit(3000)), F.col("title")))
-    contents = first.join(heads, "doc_id").where(F.contains("head", F.col("title"))).groupBy("doc_id", "page_no").agg(F.count("*").alias("n")).where("n >= 3").select("doc_id", "page_no")
-    found = hits.where("hit").join(contents, ["doc_id", "page_no"], "left_anti").groupBy("doc_id", "list_index", "page").agg(F.min("page_no").alias("at"))
-    votes = found.groupBy("doc_id", (F.col("at") - F.col("page")).alias("offset")).agg(F.count("*").alias("n"), F.min("list_index").alias("seen"))
+    spans = pages.groupBy("doc_id").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
+    hits = title_hits(first.join(spans, "doc_id").select("doc_id", "list_index", "title", "lo", "hi"), pages)
+    # A page that has three titles of the sample is one of contents.
+    near = F.count(F.when(F.col("ends") <= 5000, True)).over(W.partitionBy("doc_id", "page_no"))
+    found = hits.withColumn("n", near).where("n < 3 AND ends <= 3000").groupBy("doc_id", "list_index").agg(F.min("page_no").alias("at"))
+    votes = found.join(first.select("doc_id", "list_index", "page"), ["doc_id", "list_index"]).groupBy("doc_id", (F.col("at") - F.col("page")).alias("offset")).agg(F.count("*").alias("n"), F.min("list_index").alias("seen"))
     return votes.groupBy("doc_id").agg(F.max_by("offset", F.struct("n", (-F.col("seen")).alias("s"))).alias("offset"))
 
 
@@ -44,16 +94,11 @@ def neighbour_bounds(items: DataFrame, trusted, last_page) -> DataFrame:
 
 
 def relocate(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, list_index, fixed): the first page between an item's bounds that has its title; null if none does.
-
-    A document's pages and its items are an array each and meet once, so a page's
-    text is neither repeated for its items nor stripped of white space for each.
-    """
-    texts = pages.select("doc_id", F.struct("page_no", "text", T.title_key(F.col("text"), False).alias("key")).alias("p")).groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("pages"))
-    wanted = items.select("doc_id", F.struct("list_index", "title", T.title_key(F.col("title"), False).alias("key"), "prev_page", "next_page").alias("i")).groupBy("doc_id").agg(F.collect_list("i").alias("items"))
-    has = lambda i, p: p["page_no"].between(i["prev_page"], i["next_page"]) & (F.contains(p["text"], i["title"]) | F.contains(p["key"], i["key"]))
-    found = F.transform("items", lambda i: F.struct(i["list_index"].alias("list_index"), F.get(F.filter("pages", lambda p: has(i, p)), F.lit(0))["page_no"].alias("fixed")))
-    return wanted.join(texts, "doc_id", "left").select("doc_id", F.inline(found))
+    """(doc_id, list_index, fixed): the first page between an item's bounds that has its title, white space aside; null if none does."""
+    keyed = items.select("doc_id", "list_index", T.title_key(F.col("title"), False).alias("title"), F.col("prev_page").alias("lo"), F.col("next_page").alias("hi"))
+    hits = title_hits(keyed, pages.select("doc_id", "page_no", T.title_key(F.col("text"), False).alias("text")))
+    found = hits.groupBy("doc_id", "list_index").agg(F.min("page_no").alias("fixed"))
+    return items.select("doc_id", "list_index").join(found, ["doc_id", "list_index"], "left")
 
 
 def fill_mapping(left: DataFrame, right: DataFrame, keys: list[str], column: str) -> DataFrame:

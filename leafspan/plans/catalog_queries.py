@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leafspan.functions import text as T
@@ -352,6 +354,17 @@ def t4(spark, d):
     return ST.sessions(D.table(spark, d, "events"))
 
 
+@query("t4_silences", """SELECT user_id, ts AS last_seen, ts + INTERVAL 30 MINUTE AS silent_at FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later, max(ts) OVER () AS newest FROM events)
+    WHERE later - ts >= INTERVAL 30 MINUTE OR (later IS NULL AND ts + INTERVAL 30 MINUTE < newest - INTERVAL 2 HOUR)""")
+def t4_silences(spark, d):
+    """Runs as a stream over the events that are there, with timers."""
+    schema = D.table(spark, d, "events").schema
+    # A pattern, as a stream takes a file itself for a folder.
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    found = ST.run_to_table(ST.silences(stream), f"{D.shared_folder(spark)}/t4-{uuid.uuid4().hex}")
+    return found.select("user_id", *[C(c).cast("timestamp_ntz").alias(c) for c in ("last_seen", "silent_at")])
+
+
 @query("e15_set_members", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS is_primary FROM documents WHERE doc_id % 7 <> 0")
 def e15(spark, d):
     """Sets by source; removing a primary document promotes the next one: the smallest id a set, found before the shuffle, not a sort of each set."""

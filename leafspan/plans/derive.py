@@ -8,6 +8,8 @@ position. Each function has its twin among the common table expressions of
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafspan.functions import text as T
@@ -22,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset a temporary one, in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-stream-")
+
+
 def paged(docs: DataFrame, lines: int = PAGE_LINES) -> DataFrame:
     """(doc_id, page_no, text, total_pages): so many lines make a page. No shuffle: pages come from the row's own array."""
     split = docs.where("text is not null").select("doc_id", F.split("text", "\n").alias("l")).withColumn("total_pages", F.expr(f"cast(ceil(size(l) / {lines}) as int)"))

@@ -414,3 +414,29 @@ def test_quality_and_sample(spark):
     assert took[0] == took[1] and len(took[0]) == 7
     for _, n, accuracy, low, high in took[0]:
         assert 90 < n < 200 and low < accuracy < high and high - low < 0.2
+
+
+def test_silence_is_told_when_the_timer_fires(spark, tmp_path):
+    """Three files are three batches: a pause across batches, one within, one that only the timer sees, and none for who talked last."""
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    batches = [[(1, at(1)), (1, at(1, 20)), (2, at(1)), (3, at(1)), (None, at(1))], [(1, at(1, 40)), (2, at(2)), (2, at(2, 45)), (4, None)], [(1, at(9)), (5, at(8, 50))]]
+    schema = "user_id long, ts timestamp"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (part,) = (tmp_path / f"in{k}").glob("part-*")
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streams.run_to_table(streams.silences(stream, delay="10 minutes"), str(tmp_path / "out"))
+    utc = lambda t: t.astimezone(dt.timezone.utc).replace(tzinfo=None) if t.tzinfo else t
+    rows = sorted(((r["user_id"], utc(r["last_seen"]), r["silent_at"] - r["last_seen"]) for r in got.collect()), key=str)
+    half = dt.timedelta(minutes=30)
+    assert rows == sorted([(1, at(1, 40), half), (2, at(1), half), (2, at(2), half), (2, at(2, 45), half), (3, at(1), half), (None, at(1), half)], key=str)
+
+
+def test_title_hits(spark):
+    items = spark.createDataFrame([(1, 0, "alpha", 1, 3000), (1, 1, "alpha beta", 2, 2), (1, 2, "", 2, 3), (1, 3, None, 1, 9), (1, 4, "pha b", 1, 9), (2, 0, "alpha", 1, 2), (1, 5, "alpha", 2500, 2600), (1, 6, "x", 5, 4)], "doc_id int, list_index int, title string, lo int, hi int")
+    pages = spark.createDataFrame([(1, 1, "alpha"), (1, 2, "an alpha beta, alpha"), (1, 3, None), (1, 4, ""), (1, 2500, "alpha"), (1, 2700, "alpha"), (3, 1, "alpha")], "doc_id int, page_no int, text string")
+    got = {tuple(r) for r in mapping.title_hits(items, pages).collect()}
+    assert got == {(1, 0, 1, 5), (1, 0, 2, 8), (1, 0, 2500, 5), (1, 0, 2700, 5), (1, 1, 2, 13), (1, 2, 2, 0), (1, 4, 2, 10), (1, 5, 2500, 5)}
