@@ -9,6 +9,9 @@ Where no piece holds a word-start marker after another character, a text falls
 apart at the markers and its words encode one by one, exactly. A batch is then
 its distinct words, encoded in one multithreaded call and kept for the next.
 Other models get whole texts.
+
+Decoding joins the bytes of all ids of a batch at once; to verify, what every
+text's ids decode to is held against the text.
 """
 
 from __future__ import annotations
@@ -114,7 +117,7 @@ class Codec:
         self.model = PieceModel(data)
         self.tokenizer = self.model.tokenizer()
         self.keep, self.known = keep, {}
-        self.sp, self.differ, self.lossy = None, set(), set()
+        self.sp, self.differ = None, set()
         if verify:
             import sentencepiece
 
@@ -123,25 +126,18 @@ class Codec:
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() if kind != UNKNOWN else " ⁇ ".encode()
             for p, _, kind in self.model.pieces
         ]
-        self.ended = [*self.bytes, b"\0"]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
 
     def _learn(self, words: set[str]) -> None:
-        new = sorted(words - self.known.keys())
+        new = [w for w in words if w not in self.known]  # a difference would go through all known words
         if len(self.known) + len(new) > self.keep:
-            self.known, self.differ, self.lossy = {}, set(), set()
-            new = sorted(words)
+            self.known, self.differ = {}, set()
+            new = list(words)
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         for word, own in zip(new, ids, strict=True):
             self.known[word] = array("i", own).tobytes()
         if self.sp is None:
             return
-        # A text's pieces are its words' pieces, one after the other, so it comes back whole if each word does. All are looked at at once, each with a NUL behind it.
-        flat: list[int] = []
-        for own in ids:
-            flat += own
-            flat.append(-1)
-        if b"".join(map(self.ended.__getitem__, flat)) != "\0".join([*new, ""]).replace(MARK, " ").encode("utf-8", "replace"):
-            self.lossy.update(w for w, own in zip(new, ids, strict=True) if b"".join(map(self.bytes.__getitem__, own)) != w.replace(MARK, " ").encode("utf-8", "replace"))
         if self.word_parity:
             # The library puts a marker before each text: a word without its own is a text whose pieces are that word's.
             usual = [k for k, w in enumerate(new) if w[:1] == MARK and w[1:2] not in ("", MARK)]
@@ -180,13 +176,34 @@ class Codec:
                 alike = [not self.differ or self.differ.isdisjoint(words) for words in cut]
             else:
                 alike = [np.array_equal(x, np.array(y, np.int32)) for x, y in zip(ids, self.sp.encode(part, num_threads=1), strict=True)]
-            whole = [None if self.sp is None else not self.lossy or self.lossy.isdisjoint(words) for words in cut]
+            whole = [None] * len(part) if self.sp is None else self._whole(ids, plain)
             out += zip(ids, alike, whole, strict=True)
         return out
 
+    def _bytes_of(self, ids: np.ndarray) -> bytes:
+        """The bytes of all pieces, one after the other."""
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
+    def _whole(self, ids: list[np.ndarray], plain: list[str], most: int = 1 << 20) -> list[bool]:
+        """Whether the ids of each text decode to it; about most ids are decoded at once."""
+        out: list[bool] = []
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(x) for x in ids]) // most)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+            if b == a:
+                continue
+            own = np.concatenate(ids[a:b])
+            data = self._bytes_of(own)
+            wanted = [t.replace(MARK, " ").encode("utf-8", "replace") for t in plain[a:b]]
+            lengths = [len(w) for w in wanted]
+            ends = np.cumsum(np.append(0, self.sizes[own]))[np.cumsum([0, *[len(x) for x in ids[a:b]]])].tolist()
+            if data == b"".join(wanted) and np.array_equal(np.diff(ends), lengths):
+                out += [True] * (b - a)
+            else:
+                out += [data[i:j] == w for i, j, w in zip(ends, ends[1:], wanted)]
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        text = data.decode("utf-8", "replace")
+        text = self._bytes_of(np.asarray(ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 

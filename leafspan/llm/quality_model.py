@@ -176,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a model on labelled texts that aren't held out.
 
     Labels of null and rows without an id are left out; an id labelled twice
-    counts as 1 if at least half of its labels are 1.
+    counts as 1 if at least half of its labels are 1. Of the rows of one id one
+    text serves, that of the least hash, so max_train bounds the rows that come
+    to the driver, and a repeated id weighs no more than others.
     """
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
@@ -190,9 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features_of(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "h", "x"])
 
-    got = texts.select("y", "text").mapInArrow(run, "y double, x array<double>").toPandas()
+    kind = texts.schema["id"].dataType.simpleString()
+    read = texts.select("id", "text", "y", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(run, f"id {kind}, y double, h bigint, x array<double>")
+    # Counted down to a row an id within tasks first.
+    got = read.groupBy("id").agg(F.first("y").alias("y"), F.min_by("x", "h").alias("x")).select("y", "x").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["y"].to_numpy(float)))  # rows arrive in any order
     return fit(x[order], got["y"].to_numpy(float)[order])

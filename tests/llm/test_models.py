@@ -207,3 +207,20 @@ def test_url_parts_and_rules_against_brute_force(spark):
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
     got = {x["id"]: (x["host"], x["path"], x["rule"]) for x in url_filter.judge(df).collect()}
     assert [got[k] for k in range(len(urls))] == judged_by_hand(urls, url_filter.RULES)
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A thousand rows of one labelled id are one row of the sample, the same on every run; other columns and long texts don't matter."""
+    docs = [(1, f"text number {k} of a hot id, {'word ' * (k % 50)}", "x") for k in range(1000)] + [(k, f"clean sentence number {k}. It has words.", "y") for k in range(2, 9)] + [(9, "long words " * 200_000, "z"), (None, "no id", None)]
+    labels = [(k, k % 2, 0) for k in range(1, 10)] + [(None, 1, 0), (1, None, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, id string").withColumnsRenamed({"id": "y"}).selectExpr("*", "1 AS h", "2 AS x")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    for parts in (2, 5):
+        quality_model.train(df.repartition(parts), known, max_train=4)
+        quality_model.train(df.repartition(parts), known)
+    import zlib
+
+    taught = [k for k in range(1, 10) if zlib.crc32(str(k).encode()) % 5]
+    assert [len(y) for _, y in seen] == [4, len(taught)] * 2 and seen[0] == seen[2] and seen[1] == seen[3]
