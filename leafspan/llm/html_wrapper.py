@@ -1,20 +1,22 @@
 """Main text of HTML by wrappers: regular expressions without unions, inferred per host.
 
-A page is a stream of tags and texts. What repeats side by side (list items,
-paragraphs) becomes a repeated group and texts become slots, so that a page is
-a small expression. A text that most of a host's distinct pages with its place
-have there is a constant of the template and a token of its own; all other slots
-are fields, whose texts vary. Expressions of a host are aligned, two at a time:
-what only one of them has becomes optional, groups that match are merged. Pages
-with the same expression count once, and a host's expressions are first merged
-in salted parts and then together, so a large host is no large task.
-
-The wrapper decides: its constants are never main text, its fields may be. Among
-fields the place, the tags around it, breaks the tie: those inside the page's
-article go first, those inside menus, headers, footers, sidebars, notices,
-adverts, forms and comments come last, and serve only where a host's template
-has no other field. Extraction reads a page's tags again and keeps the texts in
-fields of the main text.
+A page is a stream of tags and texts. Texts become slots, named by the block
+tags around them, and what repeats side by side becomes a repeated group,
+however long its period is, so that a page is a small expression. A text that
+most of a host's distinct pages with its slot have there is a constant of the
+template and a token of its own; all other slots are fields, whose texts vary.
+Expressions of a host are aligned, two at a time, in memory that grows with
+their lengths: where one has a repeated group and the other what the group
+repeats, both get the group, and what only one of them has becomes optional.
+Pages with the same expression count once, and a host's expressions are first
+merged in salted parts and then together, so a large host is no large task.
+
+An article's text is main text, whatever of it repeats on a host. Elsewhere the
+wrapper decides: the fields of a page show which element holds most of what
+varies, and constants outside of it go. Fields inside menus, headers, footers,
+sidebars, notices, adverts, forms and comments, by the tags around them, serve
+only where a host's template has no other field. Extraction reads a page's tags
+again and keeps the texts in slots of the main text.
 """
 
 from __future__ import annotations
@@ -61,8 +63,8 @@ FRAME_WORDS = frozenset(
 )
 OWNER_WORDS = frozenset("article post entry blog story reader readers user users visitor visitors your the".split())
 MAIN_TAGS = frozenset(("article", "main"))
-# Distinct pages that a constant stands on at least.
-LEAST_PAGES = 3
+# Blocks that hold text and aren't what holds a page's blocks together.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption".split())
 
 
 def _aside_name(value: str, inside: bool, title_like: bool) -> bool:
@@ -106,19 +108,21 @@ class _Place:
     """Open elements: their tags, the place's number, and whether they, or one around them, look like (1) or are hidden and so lie (2) outside the main text."""
 
     def __init__(self):
-        self.open: list[tuple[str, int, bool, str]] = []
+        self.open: list[tuple[str, int, bool, str, int]] = []
         self.times: dict[str, int] = {}
+        self.begun = 0
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             return
-        above = self.open[-1] if self.open else ("", 0, False, "")
+        above = self.open[-1] if self.open else ("", 0, False, "", 0)
         aside = (_aside_of if len(attributes) < 200 else _aside_of.__wrapped__)(tag, attributes, above[2])
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
             self._imply(tag)
-            above = self.open[-1] if self.open else ("", 0, False, "")
+            above = self.open[-1] if self.open else ("", 0, False, "", 0)
+        self.begun += 1
         place = above[3] if tag in INLINE else _place_of(above[3], tag)
-        self.open.append((tag, max(above[1], aside), above[2] or tag in MAIN_TAGS, place))
+        self.open.append((tag, max(above[1], aside), above[2] or tag in MAIN_TAGS, place, self.begun))
         self.times[tag] = self.times.get(tag, 0) + 1
 
     def _cut(self, k: int) -> None:
@@ -145,21 +149,21 @@ class _Place:
 
     def slot(self) -> str:
         """The place as the wrapper knows it: a number of its block tags, + in the main part, - outside the text, ~ hidden."""
-        above = self.open[-1] if self.open else ("", 0, False, "")
+        above = self.open[-1] if self.open else ("", 0, False, "", 0)
         return above[3] + ("~" if above[1] > 1 else "-" if above[1] else "+" if above[2] else "")
 
 
 _ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
-def read(page: str) -> Iterator[tuple[str, str]]:
+def read(page: str, place: _Place | None = None) -> Iterator[tuple[str, str]]:
     """(slot, text) of the texts of a page, and (slot, "\\n") where a block begins or ends.
 
     An element that closes itself (<x/>) is empty. One whose content is no text
     goes with it; without an end it is a tag alone, but for scripts and styles,
     which reach to the end of the page.
     """
-    place, at, endless = _Place(), 0, set()
+    place, at, endless = place or _Place(), 0, set()
     while m := _TOKEN.match(page, at):
         at = m.end()
         if m[6] is not None:
@@ -237,17 +241,17 @@ def blocks_of(page: str) -> tuple[int, list[dict]]:
         last = at
     likely = [at for at in lengths if not at[0].endswith(("-", "~"))]
     longest = max(likely, key=lambda at: (lengths[at], at[1]))[1] if likely else _number(page)
-    slots = {s: _number(s) for s, _ in times}
-    rows = [{"slot": slots[s], "text": number, "times": n} for (s, number), n in times.items()]
+    slots = {s: _number(s) for s, _ in times if not s.endswith("+")}
+    rows = [{"slot": slots[s], "text": number, "times": n} for (s, number), n in times.items() if s in slots]
     return longest, rows + [{"slot": n, "text": 0, "times": 0} for n in slots.values()]
 
 
 def constants(pages: DataFrame) -> DataFrame:
     """(host, texts): numbers of a host's constants, over the table (host, html).
 
-    A constant stands on more than half of the distinct pages that have its slot,
-    the same number of times, and on LEAST_PAGES at least; so a host has at
-    most twice as many as an average page has blocks.
+    A constant repeats: it stands on more than half of the distinct pages that have
+    its slot, the same number of times, and on more than one; so a host has at
+    most twice as many as an average page has blocks. Texts in articles are none.
     """
     block = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64()), ("times", pa.int32())]))
 
@@ -259,7 +263,7 @@ def constants(pages: DataFrame) -> DataFrame:
 
     read_ = pages.select("host", "html").mapInArrow(run, "host string, page bigint, whole bigint, blocks array<struct<slot:bigint,text:bigint,times:int>>")
     distinct = read_.groupBy("host", "page").agg(F.min(F.struct("whole", "blocks")).alias("one"))
-    counts = cut(distinct.select("host", F.inline("one.blocks")).groupBy("host", "slot", "text", "times").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES))
+    counts = cut(distinct.select("host", F.inline("one.blocks")).groupBy("host", "slot", "text", "times").agg(F.count("*").alias("n")).where("n > 1"))
     slots = counts.where("times = 0").select("host", "slot", F.col("n").alias("with_slot"))
     most = counts.where("times > 0").join(slots, ["host", "slot"]).where("2 * n > with_slot")
     return most.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("texts"))
@@ -278,47 +282,169 @@ def expression(page: str, fixed: frozenset[int] | set[int] = frozenset()) -> tup
     return tuple(out)
 
 
+REPEATED, OPTIONAL = "\x01", "\x02"  # marks behind a token
+_GROUP = re.compile("[\x03\x04\x05]")  # around and between the tokens of a group
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
+def bare(token: str) -> str:
+    return token.rstrip("\x01\x02")
+
+
+def marked(token: str, *others: str) -> str:
+    """A token with the marks of others too."""
+    marks = {m for x in (token, *others) for m in x[len(bare(x)) :]}
+    return bare(token) + "".join(sorted(marks))
+
+
+def group(tokens: list[str]) -> str:
+    return "\x03" + "\x04".join(tokens) + "\x05" + REPEATED
+
+
+def tokens_of(token: str) -> list[str]:
+    """The slots of a token, those of a group from within it, with their marks; optional groups make them optional."""
+    if not token.startswith("\x03"):
+        return [token]
+    own = [t for t in _GROUP.split(bare(token)) if t.strip("\x01\x02")]
+    return [marked(t, OPTIONAL) for t in own] if OPTIONAL in token[len(bare(token)) :] else own
+
+
 def fold(e: tuple[str, ...]) -> tuple[str, ...]:
-    """Folds runs of two slots that take turns (a b a b) into one repeated group."""
+    """Runs that stand twice or more one after the other, of any length, become one repeated group; marks of their tokens are put together.
+
+    A run that ends at the last token has its period from where the last 1, 2,
+    4, ... tokens stood before; hashes of prefixes compare runs at once.
+    """
     out: list[str] = []
-    for x in e:
-        out.append(x)
-        while len(out) >= 4 and out[-4:-2] == out[-2:]:
-            del out[-2:]
+    prefix, power, last = [0], [1], {}
+    due: dict[int, tuple[int, list[str], int, str]] = {}  # the length at which a group could have come once more: its place, tokens, their hash, itself
+
+    def run(i: int, j: int) -> int:
+        return (prefix[j] - prefix[i] * power[j - i]) % _PRIME
+
+    def push(token: str) -> None:
+        out.append(token)
+        prefix.append((prefix[-1] * _BASE + hash(bare(token))) % _PRIME)
+        if len(power) <= len(out):
+            power.append(power[-1] * _BASE % _PRIME)
+
+    def together(n: int, content: list[str], more: list[str]) -> None:
+        content = [marked(x, y) for x, y in zip(content, more, strict=True)]
+        del out[n:], prefix[n + 1 :]
+        push(content[0] if len(content) == 1 and content[0].startswith("\x03") else marked(content[0], REPEATED) if len(content) == 1 else group(content))
+        if len(content) > 1:
+            h = 0
+            for x in content:
+                h = (h * _BASE + hash(bare(x))) % _PRIME
+            due[n + 1 + len(content)] = n, content, h, out[n]
+
+    def shrink() -> bool:
+        n = len(out)
+        if n in due:
+            at, content, h, token = due[n]
+            if out[at] == token and run(at + 1, n) == h:
+                together(at, content, out[at + 1 :])
+                return True
+        k = 1
+        while k <= n:
+            key = (k, run(n - k, n))
+            p = n - last.get(key, n)
+            last[key] = n
+            if k <= p and 2 * p <= n and run(n - 2 * p, n - p) == run(n - p, n):
+                together(n - 2 * p, out[n - 2 * p : n - p], out[n - p :])
+                return True
+            k *= 2
+        return False
+
+    for token in e:
+        push(token)
+        while shrink():
+            pass
+    return tuple(out)
+
+
+def grouped(e: tuple[str, ...], other: tuple[str, ...]) -> tuple[str, ...]:
+    """e with the groups of the other expression where it has what they repeat once: a mismatch of a group and its content."""
+    starts: dict[str, list[tuple[list[str], str]]] = {}
+    for token in set(other) - set(e):
+        if token.startswith("\x03"):
+            content = [bare(t) for t in _content(token)]
+            starts.setdefault(content[0], []).append((content, marked(bare(token), REPEATED)))
+    if not starts:
+        return e
+    names, out, at = [bare(t) for t in e], [], 0
+    while at < len(e):
+        for content, token in sorted(starts.get(names[at], ()), key=lambda x: (-len(x[0]), x[1])):
+            if names[at : at + len(content)] == content:
+                out.append(token)
+                at += len(content)
+                break
+        else:
+            out.append(e[at])
+            at += 1
     return tuple(out)
 
 
+def _content(token: str) -> list[str]:
+    """The tokens of a group, groups within it whole."""
+    out, depth, start = [], 0, 1
+    for k, c in enumerate(token):
+        if c == "\x03":
+            depth += 1
+        elif c == "\x05":
+            depth -= 1
+        if (c == "\x04" and depth == 1) or (c == "\x05" and depth == 0):
+            out.append(token[start:k])
+            start = k + 1
+    return out
+
+
+def _common(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, in memory that grows with the lengths: halves of left meet parts of right."""
+
+    def ahead(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(b) + 1, np.int32)
+        for x in a:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+        return row
+
+    out, todo = [], [(0, len(left), 0, len(right))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and left[i] == right[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and left[n - 1] == right[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if n - i == 1:
+            at = np.flatnonzero(right[j:m] == left[i])
+            if len(at):
+                out.append((i, j + int(at[0])))
+            continue
+        half = (i + n) // 2
+        split = j + int(np.argmax(ahead(left[i:half], right[j:m]) + ahead(left[half:n][::-1], right[j:m][::-1])[::-1]))
+        todo += [(i, half, j, split), (half, n, split, m)]
+    return sorted(out)
+
+
 def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    """The union-free expression of two: what both have once, what one has marked optional (?).
+    """The union-free expression of two: what both have once, what one has marked optional.
 
-    A repeated group matches a single slot and stays repeated. Marks are
-    characters after a slot: \\x01 repeated, \\x02 optional.
+    A repeated group matches what it repeats, and stays repeated.
     """
-    bare = lambda s: s.rstrip("\x01\x02")
-    n, m = len(a), len(b)
+    a, b = grouped(a, b), grouped(b, a)
     numbers = {x: k for k, x in enumerate({bare(x) for x in (*a, *b)})}
-    left, right = [numbers[bare(x)] for x in a], np.array([numbers[bare(x)] for x in b], np.int64)
-    # Longest common subsequences of what follows, a row at a time; running maxima from the right fill a row in.
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (right == left[i]))
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    left, right = (np.array([numbers[bare(x)] for x in e], np.int64) for e in (a, b))
     out: list[str] = []
-
-    def put(slot: str, marks: str) -> None:
-        out.append(bare(slot) + "".join(sorted(set(marks))))
-
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and bare(a[i]) == bare(b[j]):
-            put(a[i], a[i][len(bare(a[i])) :] + b[j][len(bare(b[j])) :])
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1, j] >= best[i, j + 1]):
-            put(a[i], a[i][len(bare(a[i])) :] + "\x02")
-            i += 1
-        else:
-            put(b[j], b[j][len(bare(b[j])) :] + "\x02")
-            j += 1
+    for x, y in [*_common(left, right), (len(a), len(b))]:
+        out += [marked(t, OPTIONAL) for t in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(marked(a[x], b[y]))
+        i, j = x + 1, y + 1
     return tuple(out)
 
 
@@ -332,14 +458,23 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([table["host"][0].as_py()], pa.string()), "slots": pa.array([list(merged or ())], pa.list_(pa.string())), "n": pa.array([n], pa.int64())})
 
 
-def wrappers(pages: DataFrame, most: int = 256, broadcast_rows: int = 20_000) -> DataFrame:
+BROADCAST_BYTES = 32 << 20
+
+
+def _small(df: DataFrame, column: str, each, most: int) -> bool:
+    """Whether all arrays of a column are at most so many bytes together; each is an element's."""
+    size = df.agg(F.sum(64 + F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + each(x))).alias("n")).first()["n"]
+    return (size or 0) <= most
+
+
+def wrappers(pages: DataFrame, most: int = 256, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(host, slots, n): the wrapper of every host, over the table (host, html).
 
     A task merges about most expressions: a host's are dealt into so many parts,
     in two rounds, that a host of most**3 expressions has no larger task.
     """
     fixed = cut(constants(pages))
-    small = fixed.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = _small(fixed, "texts", lambda x: F.lit(8), broadcast_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,44 +502,73 @@ def main_slots(slots: list[str]) -> set[str]:
 
     Where a template, known by its constants, has fields only in places that look like none of the main text, these are the main text.
     """
-    fields = [s for s in slots if "\x00" not in s]
-    bare = {s.rstrip("\x01\x02") for s in fields}
-    inside = {s for s in bare if s.endswith("+")}
-    if any(s.rstrip("\x01\x02").endswith("+") and "\x02" not in s for s in fields):
+    tokens = [t for s in slots for t in tokens_of(s)]
+    fields = [s for s in tokens if "\x00" not in s]
+    names = {bare(s) for s in fields}
+    inside = {s for s in names if s.endswith("+")}
+    if any(bare(s).endswith("+") and OPTIONAL not in s for s in fields):
         return inside
-    likely = inside | {s for s in bare if not s.endswith(("+", "-", "~"))}
-    return likely or ({s for s in bare if s.endswith("-")} if len(fields) < len(slots) else set())
+    likely = inside | {s for s in names if not s.endswith(("+", "-", "~"))}
+    return likely or ({s for s in names if s.endswith("-")} if len(fields) < len(tokens) else set())
 
 
 def fixed_texts(slots: list[str]) -> set[int]:
     """The constants of a wrapper."""
-    return {int(s.rstrip("\x01\x02").split("\x00")[1]) for s in slots if "\x00" in s}
+    return {int(bare(t).split("\x00")[1]) for s in slots for t in tokens_of(s) if "\x00" in t}
 
 
-def text_of(page: str, wanted: set[str], fixed: set[int] = frozenset()) -> str:
-    """The texts in wanted slots that aren't fixed: white space within a block is one blank, and so is what joins blocks.
-
-    A page that has such a text in an article takes none from outside of it.
+def _kept_constants(page: str, parts: list[tuple[str, str, int]], wanted: set[str], fixed: set[int] | frozenset[int]) -> set[int]:
+    """Places among parts of constants inside the element that holds most of the text that varies."""
+    place, lengths, around, tags, own = _Place(), {}, [], {0: ""}, []
+    for (slot, text, number), _ in zip(parts, read(page, place), strict=True):
+        path = [(tag, n) for tag, *_, n in place.open] if text != "\n" else []
+        around.append([n for _, n in path])
+        if text == "\n" or text.isspace():
+            continue
+        tags.update({n: tag for tag, n in path})
+        if number not in fixed and slot in wanted:
+            own.append((len(text), around[-1]))
+            for n in around[-1]:
+                lengths[n] = lengths.get(n, 0) + len(text)
+    total = sum(n for n, _ in own)
+    # Elements are numbered as they begin, so the last with most of the text is the innermost.
+    most = max((n for n, size in lengths.items() if 2 * size > total), default=0)
+    path = next((p for _, p in own if most in p), [])
+    above = [n for n in path[: path.index(most) + 1] if tags[n] not in TEXT_BLOCKS | INLINE] if most else []
+    holder = above[-1] if above else 0
+    return {k for k, p in enumerate(around) if not holder or holder in p}
+
+
+def text_of(page: str, wanted: set[str], fixed: set[int] | frozenset[int] = frozenset()) -> str:
+    """The texts in wanted slots: white space within a block is one blank, and so is what joins blocks.
+
+    A page that has such a text in an article takes none from outside of it, and
+    all of it. On other pages fixed texts outside of what holds the page's fields go.
     """
-    parts = [(s, t) for s, t, n in keyed(page) if t == "\n" or n not in fixed]
-    if any(s.endswith("+") and s in wanted and not t.isspace() for s, t in parts):
+    parts = list(keyed(page))
+    if any(s.endswith("+") and s in wanted and not t.isspace() for s, t, _ in parts):
         wanted = {s for s in wanted if s.endswith("+")}
-    kept = [t if t == "\n" else html.unescape(t) for s, t in parts if t == "\n" or s in wanted]
+    elif any(n in fixed for *_, n in parts):
+        inside = _kept_constants(page, parts, wanted, fixed)
+        places = wanted | {s for s, *_ in parts if not s.endswith(("+", "-", "~"))}
+        parts = [x for k, x in enumerate(parts) if x[1] == "\n" or x[2] not in fixed or (k in inside and x[0] in places)]
+        wanted = places if any(n in fixed for *_, n in parts) else wanted
+    kept = [t if t == "\n" else html.unescape(t) for s, t, _ in parts if t == "\n" or s in wanted]
     return " ".join("".join(kept).split())
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of pages: (id, url, text, n_chars); text is empty where there is none.
 
     Null and empty pages have an empty text, and pages with a null url share a
     wrapper; the same holds for repeated rows, which are extracted alike. An
     empty table gives an empty table. The wrappers are
-    broadcast if they are at most broadcast_rows, else joined by host.
+    broadcast if they are at most broadcast_bytes together, else joined by host.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    found = cut(wrappers(rows, broadcast_rows=broadcast_rows)).select("host", "slots")
-    small = found.limit(broadcast_rows + 1).count() <= broadcast_rows
+    found = cut(wrappers(rows, broadcast_bytes=broadcast_bytes)).select("host", "slots")
+    small = _small(found, "slots", lambda x: F.octet_length(x).cast("bigint") + 16, broadcast_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple] = {}
