@@ -4,7 +4,8 @@ Hosts run words together. A unigram model, counted over all the table's URLs
 and the word list below, splits every distinct host label by Viterbi: labels
 are exploded into substrings, substrings meet their counts in a join, and each
 label's best split is a fold over its own (few) candidates. Multinomial naive
-Bayes then scores the words of host and path. It learns from labelled URLs where
+Bayes then scores the words of host and path, and what the host's name is made
+of: listed words, others, hyphens. It learns from labelled URLs where
 the caller has some, else from weak labels: a URL whose split host has a word
 that only such hosts have is an example to block, any other an example to allow;
 a fifth of the hosts never serve as examples, and held_out() reports on these.
@@ -92,20 +93,18 @@ def split_labels(labels: DataFrame, counts: DataFrame, total: float) -> DataFram
                 ends: dict[int, list] = {}
                 for k in known_ or []:
                     ends.setdefault(k["b"], []).append((k["a"], k["p"]))
-                # best[i]: likelihood, start of the last word, whether it is unknown; unknown stretches grow by a character each
-                best = [(0.0, 0, False)]
+                # Behind each character the best split that ends in a known word and the one that ends in an unknown stretch, which may grow: (likelihood, start of its last part, whether a known word ends there).
+                best = [((0.0, 0, True), (-math.inf, 0, True))]
                 for b in range(1, len(label) + 1):
-                    score, start, _ = best[b - 1]
-                    if b > 1 and best[b - 1][2]:
-                        tries = [(score - math.log(10), start, True)]
-                    else:
-                        tries = [(score + base - math.log(10), b - 1, True)]
-                    tries += [(best[a - 1][0] + p, a - 1, False) for a, p in ends.get(b, [])]
-                    best.append(max(tries, key=lambda t: (t[0], -t[1])))
-                words, b = [], len(label)
+                    (k, *_), (u, start, before) = best[b - 1]
+                    stretch = max((u - math.log(10), start, before), (k + base - math.log(10), b - 1, True), key=lambda t: (t[0], -t[1]))
+                    known_ends = [(best[a - 1][at][0] + p, a - 1, at == 0) for a, p in ends.get(b, []) for at in (0, 1)]
+                    best.append((max(known_ends, key=lambda t: (t[0], -t[1]), default=(-math.inf, 0, True)), stretch))
+                words, b, at = [], len(label), int(best[-1][1][0] > best[-1][0][0])
                 while b > 0:
-                    words.append(label[best[b][1] : b])
-                    b = best[b][1]
+                    _, start, ended = best[b][at]
+                    words.append(label[start:b])
+                    b, at = start, int(not ended)
                 out.append(words[::-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["label", "words"])
 
@@ -164,9 +163,13 @@ def _judged(pages: DataFrame, id_col: str, url_col: str, rules, spam_words, host
     else:
         known = with_parts(labelled.select(F.col("url").cast("string").alias("url"), F.col("blocked").alias("spam")).where("spam is not null"), "url").groupBy("host", "path").agg(F.bool_or("spam").alias("spam"))
         examples = examples.join(known, ["host", "path"], "left").withColumn("example", F.col("spam").isNotNull()).withColumn("spam", F.coalesce("spam", F.lit(False)))
-    # Numbers in paths are pages, not words: they count as one.
+    # Numbers in paths are pages, not words: they count as one. Beside the words stands what a name is made of, which names of other words share: listed words or none, and hyphens.
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    common = F.array(*[F.lit(w) for w in sorted({*spam_words, *host_words})])
     tokens = F.concat(
-        F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w)),
+        F.transform(words, lambda w: F.concat(F.lit("h:"), w)),
+        F.transform(words, lambda w: F.when(F.array_contains(common, w), "s:listed").otherwise("s:other")),
+        F.when(F.instr("host", "-") > 0, F.array(F.lit("s:hyphen"))).otherwise(F.array().cast("array<string>")),
         F.transform(_tokens(F.col("path")), lambda w: F.concat(F.lit("p:"), F.regexp_replace(w, r"^\p{N}+$", "#"))),
     )
     examples = examples.select("host", "path", "rows", "spam", "example", tokens.alias("tokens"))
