@@ -246,6 +246,13 @@ def blocks_of(page: str) -> tuple[int, list[dict]]:
     return longest, rows + [{"slot": n, "text": 0, "times": 0} for n in slots.values()]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many pages, as what is made of a page is larger than the page."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def constants(pages: DataFrame) -> DataFrame:
     """(host, texts): numbers of a host's constants, over the table (host, html).
 
@@ -256,7 +263,7 @@ def constants(pages: DataFrame) -> DataFrame:
     block = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.int64()), ("times", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             got = [blocks_of(page.as_py() or "") for page in batch.column(1)]
             whole = [_number(page.as_py() or "") for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array(whole, pa.int64()), pa.array([b for _, b in got], block)], ["host", "page", "whole", "blocks"])
@@ -572,7 +579,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple] = {}
-        for batch in batches:
+        for batch in _parts(batches):
             texts = []
             for page, slots in zip(batch.column(2), batch.column(3), strict=True):
                 key = tuple(slots.as_py() or ())
