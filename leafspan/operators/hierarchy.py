@@ -90,13 +90,21 @@ def promote_chapters(outline: DataFrame) -> DataFrame:
 
 
 def exact_parents(items: DataFrame) -> DataFrame:
-    """Adds parent_pos: the latest earlier item whose code is this one's without its last part; null for roots and orphans."""
-    items = items.withColumn("parent_code", F.when(F.instr("structure", ".") > 0, F.regexp_replace("structure", r"\.[^.]*$", "")))
-    up = items.select("doc_id", F.col("structure").alias("parent_code"), F.col("list_index").alias("up"))
-    found = (
-        items.join(up, ["doc_id", "parent_code"]).where("up < list_index").groupBy("doc_id", "list_index").agg(F.max("up").alias("parent_pos"))
-    )
-    return items.join(found, ["doc_id", "list_index"], "left").drop("parent_code")
+    """Adds parent_pos: the latest earlier item whose code is this one's without its last part; null for roots and orphans.
+
+    Each item asks at its parent's code and answers at its own: of both, by
+    document and code, the last answer before a question is its parent. One
+    exchange, no pairs, however often codes repeat.
+    """
+    columns = items.columns
+    parent = F.when(F.instr("structure", ".") > 0, F.regexp_replace("structure", r"\.[^.]*$", ""))
+    row = F.struct(*columns)
+    asked = items.select("doc_id", parent.alias("_code"), F.col("list_index").alias("_at"), F.lit(0).alias("_answer"), row.alias("_row"))
+    answers = items.where("structure is not null").select("doc_id", F.col("structure").alias("_code"), F.col("list_index").alias("_at"), F.lit(1).alias("_answer"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    # An item's question comes before its own answer.
+    order = W.partitionBy("doc_id", "_code").orderBy("_at", "_answer").rowsBetween(W.unboundedPreceding, -1)
+    found = F.when(F.col("_code").isNotNull(), F.last(F.when(F.col("_answer") == 1, F.col("_at")), ignorenulls=True).over(order))
+    return asked.unionByName(answers).withColumn("parent_pos", found).where("_answer = 0").select(*[F.col(f"_row.`{c}`").alias(c) for c in columns], "parent_pos")
 
 
 def hierarchical_ids(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -143,23 +151,29 @@ def is_leaf() -> Column:
     return F.coalesce(F.lead("depth").over(by_doc()) <= F.col("depth"), F.lit(True))
 
 
+_HEADING = r"^(#{1,6})\s+(.+)$"
+
+
+def _with_headings(lines: DataFrame) -> DataFrame:
+    """Adds head: whether a line is a Markdown heading outside of code fences."""
+    order = W.partitionBy("doc_id").orderBy("line_num").rowsBetween(W.unboundedPreceding, 0)
+    fence = F.ltrim("line").startswith("```")
+    df = lines.withColumn("_inside", F.sum(fence.cast("int")).over(order) % 2 == 1)
+    return df.withColumn("head", ~fence & ~F.col("_inside") & F.col("line").rlike(_HEADING)).drop("_inside")
+
+
 def headings(lines: DataFrame) -> DataFrame:
     """Markdown headings outside of code fences: (doc_id, line_num, level, title) of lines (doc_id, line_num, line)."""
-    order = W.partitionBy("doc_id").orderBy("line_num").rowsBetween(W.unboundedPreceding, 0)
-    df = lines.withColumn("fence", F.ltrim("line").startswith("```")).withColumn("inside", F.sum(F.col("fence").cast("int")).over(order) % 2 == 1)
-    return df.where(~F.col("fence") & ~F.col("inside") & F.col("line").rlike(r"^#{1,6}\s+.+$")).select(
-        "doc_id", "line_num", F.length(F.regexp_extract("line", r"^(#{1,6})", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)).alias("title")
-    )
+    return _with_headings(lines).where("head").select("doc_id", "line_num", F.length(F.regexp_extract("line", _HEADING, 1)).alias("level"), F.trim(F.regexp_extract("line", _HEADING, 2)).alias("title"))
 
 
-def section_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
+def section_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, line_num, text): each heading with the lines up to the next one, trimmed.
 
-    Lines get their heading from a running maximum: no range join.
+    Headings and what they head come from two windows of one order, so lines are read and sorted once.
     """
-    marked = lines.join(heads.select("doc_id", "line_num", F.lit(True).alias("head")), ["doc_id", "line_num"], "left")
     order = W.partitionBy("doc_id").orderBy("line_num").rowsBetween(W.unboundedPreceding, 0)
-    owned = marked.withColumn("owner", F.max(F.when(F.col("head"), F.col("line_num"))).over(order)).where("owner is not null")
+    owned = _with_headings(lines).withColumn("owner", F.max(F.when(F.col("head"), F.col("line_num"))).over(order)).where("owner is not null")
     return owned.groupBy("doc_id", F.col("owner").alias("line_num")).agg(
         F.btrim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_num", "line"))), lambda x: x["line"]), "\n"), F.lit(" \n\t\r")).alias("text")
     )

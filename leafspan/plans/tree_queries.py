@@ -97,8 +97,7 @@ def w6(spark, d):
 @query("w5_markdown_sections", tsql(MD, """SELECT doc_id, owner AS line_num, trim(string_agg(line, chr(10) ORDER BY line_num), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM (
     SELECT m.*, max(h.line_num) OVER (PARTITION BY m.doc_id ORDER BY m.line_num) AS owner FROM md_lines m LEFT JOIN heads h ON m.doc_id = h.doc_id AND m.line_num = h.line_num) WHERE owner IS NOT NULL GROUP BY doc_id, owner""", "toc_items", "doc_pages"))
 def w5(spark, d):
-    lines = md_lines(spark, d)
-    return H.section_lines(lines, H.headings(lines))
+    return H.section_lines(md_lines(spark, d))
 
 
 @query("w7_end_pages", sql("SELECT doc_id, pre, start_page, end_page FROM nodes", "nodes"))

@@ -174,7 +174,7 @@ def test_markdown_headings_ignore_fences(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_num int, line string")
     heads = hierarchy.headings(df)
     assert [(r["level"], r["title"]) for r in heads.orderBy("line_num").collect()] == [(1, "One"), (2, "Two")]
-    assert hierarchy.section_lines(df, heads).orderBy("line_num").collect()[1]["text"] == "## Two\nmore"
+    assert hierarchy.section_lines(df).orderBy("line_num").collect()[1]["text"] == "## Two\nmore"
 
 
 def test_interpolation(spark):
@@ -440,3 +440,15 @@ def test_title_hits(spark):
     pages = spark.createDataFrame([(1, 1, "alpha"), (1, 2, "an alpha beta, alpha"), (1, 3, None), (1, 4, ""), (1, 2500, "alpha"), (1, 2700, "alpha"), (3, 1, "alpha")], "doc_id int, page_no int, text string")
     got = {tuple(r) for r in mapping.title_hits(items, pages).collect()}
     assert got == {(1, 0, 1, 5), (1, 0, 2, 8), (1, 0, 2500, 5), (1, 0, 2700, 5), (1, 1, 2, 13), (1, 2, 2, 0), (1, 4, 2, 10), (1, 5, 2500, 5)}
+
+
+def test_exact_parents_among_repeated_codes(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(d, k, r.choice(["1", "2", "1.1", "1.2", "2.1", "1.1.1", "x.", "", None]), "e") for d in (1, 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, list_index int, structure string, parent_code string").repartition(3)
+    got = {(x["doc_id"], x["list_index"]): x["parent_pos"] for x in hierarchy.exact_parents(df).collect()}
+    for d, k, code, _ in rows:
+        up = code.rsplit(".", 1)[0] if code and "." in code else None
+        assert got[d, k] == max((i for e, i, c, _ in rows if e == d and i < k and c == up and up is not None), default=None)
