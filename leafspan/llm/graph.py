@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))  # written out for the same reason
     rest = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 

@@ -286,7 +286,8 @@ def _grouped(rows: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
     joined = components(edges)
     rooted = leaves.join(joined.withColumnRenamed("node", key), key, "left")
     linked = rooted.where(F.col("component").isNotNull())
-    low = linked.groupBy("component").agg(F.min("first").alias("low"))
+    # Written out, so that Spark can split a giant component where it meets its smallest id.
+    low = cut(linked.groupBy("component").agg(F.min("first").alias("low")))
     named = (
         linked.join(low, "component")
         .select(key, F.col("low").alias("component_id"))
@@ -508,7 +509,8 @@ def similar_documents(
     gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # A row is named by its id and a hash of its text, so that texts of a null or repeated id don't meet each other's sketches.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("own", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -519,10 +521,12 @@ def similar_documents(
                 fps.append(simhash_of(h))
                 sets.append(set_key(own))
                 keys.append(band_keys(own, bands, rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "key", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "own", "fp", "key", "buckets"])
 
-    sketches = cut(texts.mapInArrow(sketch, f"id {kind}, fp bigint, key binary, buckets array<bigint>"))
-    one_each = cut(sketches.groupBy("key").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("buckets").alias("buckets")))
+    sketches = cut(texts.mapInArrow(sketch, f"id {kind}, own bigint, fp bigint, key binary, buckets array<bigint>"))
+    # Null ids come last, so a representative has one only where all of its texts do.
+    named = F.struct(F.col("id").isNull().alias("z"), "id", "own")
+    one_each = cut(sketches.groupBy("key").agg(F.min(named).alias("named"), F.min("fp").alias("fp"), F.first("buckets").alias("buckets")))
     dealt = one_each.select("key", "fp", F.explode("buckets").alias("bucket"))
     sizes = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).where("n > 1"))
     met, hot, led = dealt.join(sizes.where(F.col("n") <= hot_block).select("bucket"), "bucket"), None, None
@@ -538,15 +542,16 @@ def similar_documents(
     def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(3).cast(pa.binary())]
-            same = [k for k, x in enumerate(sets) if set_key(x) == batch.column(1)[k].as_py()]  # other texts of the same id drop out
+            same = [k for k, x in enumerate(sets) if set_key(x) == batch.column(1)[k].as_py()]  # a text of another hash drops out
             part = batch.take(pa.array(same, pa.int64()))
             ends = np.concatenate(([0], np.cumsum([len(sets[k]) for k in same]))).astype(np.int32)
             flat = np.concatenate([sets[k] for k in same]) if same else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["component", "key", "fp", "shingles"])
 
-    wanted = one_each.select(F.col("id").alias("_id"), "key", "fp").join(candidates.withColumnRenamed("node", "key"), "key")
-    known = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("component", "key", "fp", "text")
-    sets = cut(known.mapInArrow(shingles_of, "component binary, key binary, fp bigint, shingles array<bigint>"))
+    wanted = one_each.select(F.col("named.id").alias("_id"), F.col("named.own").alias("_own"), "key", "fp").join(candidates.withColumnRenamed("node", "key"), "key")
+    known = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own"))).select("component", "key", "fp", "text")
+    # Rows that repeat id and text are one.
+    sets = cut(known.mapInArrow(shingles_of, "component binary, key binary, fp bigint, shingles array<bigint>").dropDuplicates(["key"]))
     large = cut(sets.groupBy("component").agg(F.sum(F.size("shingles")).alias("n")).where(F.col("n") > hot_shingles))
     calm, hot, led = sets, None, None
     if not large.isEmpty():

@@ -162,3 +162,13 @@ def test_similar_documents_match_brute_force(spark, hot, shingles):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {x["id"]: x["component_id"] for x in simhash.similar_documents(df, hot_block=hot, hot_shingles=shingles).collect()}
     assert got == {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+
+
+def test_similar_texts_of_null_and_repeated_ids(spark):
+    """Rows of one id, or of none, are told apart by their texts; rows that repeat both are one."""
+    base = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(6)]
+    near = [b.replace("x30 ", "y30 ") for b in base]
+    rows = [(None, t) for t in base] + [(7, t) for t in near] + [(7, near[0])] * 3 + [(None, base[1])] * 3 + [(8, None), (None, "")]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["component_id"] is None, r["component_id"]) for r in got) == [(False, 7)] * 18 + [(False, 8)] * 2
