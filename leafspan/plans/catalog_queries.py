@@ -38,7 +38,8 @@ def s2(spark, d):
     return D.doc_pages(spark, d)
 
 
-@query("s3_file_types", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 3 THEN NULL ELSE 'markdown' END AS file_type FROM documents")
+@query("s3_file_types", """SELECT doc_id, CASE WHEN regexp_matches(name, '(?i)\\.pdf$') THEN 'pdf' WHEN regexp_matches(name, '(?i)\\.(md|markdown)$') THEN 'markdown' END AS file_type FROM (
+    SELECT doc_id, 'f' || doc_id || (['.PDF', '.md', '.Markdown', '.txt'])[CAST(doc_id % 4 + 1 AS INT)] AS name FROM documents)""")
 def s3(spark, d):
     name = F.concat(F.lit("f"), C("doc_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".md", ".Markdown", ".txt")]), (C("doc_id") % 4 + 1).cast("int")))
     kind = F.when(F.lower(name).rlike(r"\.pdf$"), "pdf").when(F.lower(name).rlike(r"\.(md|markdown)$"), "markdown")
@@ -319,7 +320,8 @@ def r2(spark, d):
     return c.unionByName(c.where("turn = 0").withColumn("model", F.lit("m1")), allowMissingColumns=True)
 
 
-@query("r3_latest_wins", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'b' WHEN doc_id % 2 = 0 THEN 'a' ELSE source END AS source, n_chars FROM documents")
+@query("r3_latest_wins", """SELECT doc_id, arg_max(source, step) AS source, arg_max(n_chars, step) AS n_chars FROM (SELECT doc_id, source, n_chars, 0 AS step FROM documents UNION ALL SELECT doc_id, 'a', NULL, 1 FROM documents WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, 'b', NULL, 2 FROM documents WHERE doc_id % 3 = 0) GROUP BY doc_id""")
 def r3(spark, d):
     docs = D.table(spark, d, "documents").select("doc_id", "source", "n_chars")
     a = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("a").alias("source"), F.lit(1).alias("at"))

@@ -270,11 +270,12 @@ def j6(spark, d):
     return M.relocate(bounded(spark, d).where("NOT passed"), D.doc_pages(spark, d))
 
 
-@query("j7_fill_mapping", sql("SELECT doc_id, list_index, CASE WHEN list_index % 3 = 0 OR list_index % 2 = 0 THEN physical_index END AS physical FROM toc_items", "toc_items"))
+@query("j7_fill_mapping", sql("""SELECT l.doc_id, l.list_index, coalesce(l.physical, r.physical) AS physical FROM (SELECT doc_id, list_index, CASE WHEN list_index % 3 = 0 THEN physical_index END AS physical FROM toc_items) l
+    LEFT JOIN (SELECT doc_id, list_index, physical_index + 1 AS physical FROM toc_items WHERE list_index % 2 = 0) r ON r.doc_id = l.doc_id AND r.list_index = l.list_index""", "toc_items"))
 def j7(spark, d):
     t = D.toc_items(spark, d)
     left = t.select("doc_id", "list_index", F.when(C("list_index") % 3 == 0, C("physical_index")).alias("physical"))
-    return M.fill_mapping(left, t.where("list_index % 2 = 0").select("doc_id", "list_index", C("physical_index").alias("physical")), ["doc_id", "list_index"], "physical")
+    return M.fill_mapping(left, t.where("list_index % 2 = 0").select("doc_id", "list_index", (C("physical_index") + 1).alias("physical")), ["doc_id", "list_index"], "physical")
 
 
 @query("j8_merge_structures", sql("SELECT doc_id, list_index, structure, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, structure, title ORDER BY list_index) AS rn FROM toc_items) WHERE rn = 1", "toc_items"))
