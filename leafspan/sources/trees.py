@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as S
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as S
 
 from leafspan.operators import hierarchy as H
 
 
+ROWS = "array<struct<path:array<int>,depth:int,node_id:string,title:string,start_page:int,end_page:int>>"
+
+
 def tree_schema(depth: int = 4) -> S.StructType:
     """A node with every accepted key, its children unrolled to a depth."""
     fields = [S.StructField(k, S.StringType()) for k in ("title", "node_id", "id", "summary")]
@@ -25,7 +28,9 @@ def flat_trees(text: DataFrame, key: str, depth: int = 4) -> DataFrame:
     """(key, path, depth, node_id, title, start_page, end_page) of JSON trees (key, value).
 
     A tree is {structure: [..]}, {children: [..]}, {result: {structure: [..]}} or
-    a list of nodes. One generator a level; levels are put together by union.
+    a list of nodes. One pass: every node gives itself and all below it, and one
+    generator makes rows of a tree's nodes. A union of levels would read the input
+    once a level, all in the tasks of one stage.
     """
     # Children go by two names: made one first, as the schema would double with every level.
     text = text.select(F.col(key).alias("doc"), F.regexp_replace("value", r'(?<!\\\\)"nodes"\s*:', '"children":').alias("value"))
@@ -33,17 +38,25 @@ def flat_trees(text: DataFrame, key: str, depth: int = 4) -> DataFrame:
     wrapped = S.StructType([S.StructField("structure", many), S.StructField("children", many), S.StructField("result", S.StructType([S.StructField("structure", many)]))])
     w = F.from_json("value", wrapped)
     roots = F.when(F.ltrim("value").startswith("["), F.from_json("value", many)).otherwise(F.coalesce(w["structure"], w["children"], w["result"]["structure"]))
-    level = text.select("doc", F.posexplode(roots).alias("p", "n")).select("doc", F.array("p").alias("path"), "n")
-    out = None
-    for d in range(1, depth + 1):
-        flat = level.select(
-            "doc", "path", F.lit(d).alias("depth"), F.coalesce("n.node_id", "n.id").alias("node_id"), F.col("n.title").alias("title"),
-            F.coalesce("n.start_index", "n.ps", "n.page_start").alias("start_page"), F.coalesce("n.end_index", "n.pe", "n.page_end").alias("end_page"),
+    nodes = _with_all_below(roots, F.array().cast("array<int>"), 1, depth)
+    return text.select(F.col("doc").alias(key), F.inline(nodes))
+
+
+def _with_all_below(nodes: Column, above: Column, level: int, depth: int) -> Column:
+    """The nodes of an array and all below them to a depth, in preorder; above is the path of their parent."""
+
+    def unrolled(n: Column, place: Column) -> Column:
+        path = F.concat(above, F.array(place))
+        own = F.struct(
+            path.alias("path"), F.lit(level).alias("depth"), F.coalesce(n["node_id"], n["id"]).alias("node_id"), n["title"].alias("title"),
+            F.coalesce(n["start_index"], n["ps"], n["page_start"]).alias("start_page"), F.coalesce(n["end_index"], n["pe"], n["page_end"]).alias("end_page"),
         )
-        out = flat if out is None else out.unionByName(flat)
-        if d < depth:
-            level = level.select("doc", "path", F.posexplode("n.children").alias("p", "n")).select("doc", F.array_append("path", F.col("p")).alias("path"), "n")
-    return out.withColumnRenamed("doc", key)
+        if level == depth:
+            return F.array(own)
+        below = _with_all_below(n["children"], path, level + 1, depth)
+        return F.concat(F.array(own), F.coalesce(below, F.array().cast(ROWS)))
+
+    return F.flatten(F.transform(nodes, unrolled))
 
 
 def nested_trees(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -230,6 +230,36 @@ def test_trees_out_and_in(spark, tmp_path):
     assert json.loads(row["tree"])["children"][0]["children"][0]["id"] == "1.1"
 
 
+def test_trees_are_read_in_one_pass(spark):
+    """All layouts and depths as a walk gives them; levels beyond the depth go. No union of levels, each of which would read the input again."""
+    import json
+    import random
+
+    r, want, values = random.Random(3), set(), []
+
+    def grown(doc, path, kids):
+        out = []
+        for i in range(r.randrange(0, 4) if path else 3):
+            here = [*path, i]
+            names = r.choice([("node_id", "start_index", "end_index", "nodes"), ("id", "ps", "pe", "children"), ("id", "page_start", "page_end", "children")])
+            if len(here) <= 3:
+                want.add((doc, tuple(here), len(here), f"n{here}", f"t{here}", i, i + 1))
+            node = {"title": f"t{here}", names[0]: f"n{here}", names[1]: i, names[2]: i + 1}
+            if len(here) < 5 and (below := grown(doc, here, names[3])) or r.random() < 0.5:
+                node[names[3]] = below if len(here) < 5 else None
+            out.append(node)
+        return out
+
+    for doc, wrap in enumerate([lambda x: x, lambda x: {"structure": x}, lambda x: {"children": x}, lambda x: {"result": {"structure": x}}] * 3):
+        values.append((doc, json.dumps(wrap(grown(doc, [], "nodes")))))
+    values += [(90, "[]"), (91, "no tree"), (92, None), (93, '{"structure": null}')]
+    got = trees.flat_trees(spark.createDataFrame(values, "d long, value string").repartition(2), "d", 3)
+    rows = got.collect()
+    assert {(x["d"], tuple(x["path"]), *x[2:]) for x in rows} == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Generate") == 1
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1, i // 4, i % 60), i % 3, "error" if i % 5 == 0 else "view") for i in range(40)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
