@@ -5,7 +5,9 @@ Python's \\s and \\d know Unicode; the patterns that need it say (?U).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as S
+
+from leafspan.functions import nearest
 
 CJK = r"[一-鿿]"
 
@@ -202,21 +204,13 @@ def toc_score(text: Column) -> Column:
 def title_confidence(title: Column, page: Column) -> Column:
     """100 where the page has the title in any case, 95 where it has its letters and digits, else how near the nearest stretch of its length comes.
 
-    Stretches start at every character; what differs in over three tenths of its length counts as nought.
+    Stretches start at every character; what differs in over three tenths of its
+    length counts as nought. Only pages without the title go to Python.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-
-    def score(x: Column) -> Column:
-        t, p = x["t"], x["p"]
-        n = F.length(t)
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - n + 1))
-        # The distance with a limit is -1 beyond it, and cheap where a stretch is unlike.
-        near = F.array_min(F.filter(F.transform(starts, lambda i: F.call_function("levenshtein", F.substring(p, i, n), t, F.floor(n * 3 / 10).cast("int"))), lambda d: d >= 0))
-        return F.when(n == 0, 0).when(F.contains(p, t), 95).when(near.isNotNull(), F.least(F.floor(100 * (n - near) / n).cast("int"), F.lit(94))).otherwise(0)
-
-    # An array of one, so that both texts are made ready once, not for every stretch.
-    ready = F.array(F.struct(norm(title).alias("t"), norm(page).alias("p")))
-    return F.when(F.contains(F.lower(page), F.lower(title)), 100).otherwise(F.get(F.transform(ready, score), F.lit(0)))
+    # A null says that the page has the title.
+    left = F.when(F.contains(F.lower(page), F.lower(title)), F.lit(None)).otherwise(F.coalesce(norm(page), F.lit("")))
+    return F.pandas_udf(nearest.confidence, S.IntegerType())(norm(title), left)
 
 
 # What tells types of documents apart: words of the text, patterns of it, and hints in titles.

@@ -363,6 +363,55 @@ def test_title_confidence(spark, title, page, least, most):
     assert least <= df.select(T.title_confidence(C("t"), C("p"))).first()[0] <= most
 
 
+def test_title_confidence_is_exact(spark, monkeypatch):
+    """The bit-parallel search against all windows by a table of distances; titles of one to three words of 64 bits, lanes of a few windows. An unlike page is not measured window by window."""
+    import random
+
+    import pandas as pd
+
+    from leafspan.functions import nearest
+
+    def distance(a, b):
+        row = range(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def brute(t, p):
+        if t is None or p is None:
+            return 0
+        if t in p:
+            return 100
+        best = min(distance(p[i : i + len(t)], t) for i in range(max(1, len(p) - len(t) + 1)))
+        return min(94, 100 * (len(t) - best) // len(t)) if best <= len(t) * 3 // 10 else 0
+
+    r, rows = random.Random(5), [(None, "abc"), ("abcd", None), ("", "abc"), ("abcd", ""), (None, None)]
+    for _ in range(150):
+        letters = r.choice(["ab", "abcdefghijkl", "ab漢字𠀀é"])
+        word = lambda n: "".join(r.choices(letters, k=n))  # noqa: B023, E731
+        t, p = word(r.choice([1, 3, 4, 9, 20, 63, 64, 65, 130])), word(r.choice([0, 2, 30, 90]))
+        like = list(t)
+        for _ in range(r.randrange(len(t) // 3 + 2)):
+            at = r.randrange(len(like) + 1)
+            like[at : at + r.randrange(2)] = word(r.randrange(2))
+        rows.append((t, p + "".join(like) + word(5) if r.random() < 0.7 else p))
+    df = spark.createDataFrame(rows, "t string, p string").repartition(1)
+    got = [tuple(x) for x in df.select("t", "p", T.title_confidence(C("t"), C("p"))).collect()]
+    assert sorted(map(str, got)) == sorted(str((t, p, brute(t, p))) for t, p in rows) and len({x[2] for x in got}) > 10
+    monkeypatch.setattr(nearest, "LANE", 3)
+    few = pd.DataFrame([x for x in rows if x[0] and x[1]])
+    assert [95 if x == 100 else x for x in map(brute, few[0], few[1])] == nearest.confidence(few[0], few[1]).tolist()
+
+    measured, walk = [], nearest._walk
+    monkeypatch.setattr(nearest, "_walk", lambda *a: (measured.append(len(a[2]) * a[5]), walk(*a))[1])
+    page = "".join(r.choices("etaoinshrdlu", k=20_000))
+    assert nearest.confidence(pd.Series(["quickjumpingfoxesvexbigwhiskyboxers", page[500:520] + "#" + page[521:540]]), pd.Series([page, page])).tolist() == [0, 94]
+    assert sum(measured) < 10
+
+
 def test_duplicates_shift_and_steps_back(spark):
     df = spark.createDataFrame([(1, i, p) for i, p in enumerate([10, 15, 15, 15, 20, None, 16])], "doc_id long, list_index int, physical int")
     assert {r["list_index"]: r["shifted"] for r in mapping.shift_duplicates(df).collect()} == {0: 10, 1: 15, 2: 16, 3: 17, 4: 20, 5: None, 6: 18}
